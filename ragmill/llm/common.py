@@ -8,6 +8,7 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -108,7 +109,7 @@ def groups(batches: Iterable[pa.RecordBatch], text: str = "text") -> Iterator[pa
     """Slices of Arrow batches that hold about GROUP_CHARS bytes of text each, so that memory doesn't follow the batch."""
     for batch in batches:
         column = batch.column(batch.schema.get_field_index(text))
-        ends = np.cumsum(pa.compute.fill_null(pa.compute.binary_length(column), 0).to_numpy(zero_copy_only=False))
+        ends = np.cumsum(pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False))
         at = 0
         while at < batch.num_rows:
             upto = int(np.searchsorted(ends, (ends[at - 1] if at else 0) + GROUP_CHARS, "right"))
