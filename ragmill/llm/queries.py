@@ -7,23 +7,68 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe_trie, token_counts
+from . import bpe_trie, contamination, licences, pii, quality, token_counts, toxicity
 from .common import read
 
 BYTE_VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
 WORD_VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
 
 
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.score(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
+def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.judge(read(spark, sf_dir, "documents"))
+
+
+def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return contamination.find(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+
+
 def op4_bpe_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_trie.digests(read(spark, sf_dir, "documents"), WORD_VOCABULARY)
 
 
+def op5_licence_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licences.scan(read(spark, sf_dir, "documents"))
+
+
+def op6_pii_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.pseudonymise(read(spark, sf_dir, "documents"))
+
+
 def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(read(spark, sf_dir, "documents"), BYTE_VOCABULARY)
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_toxicity": op1_toxicity,
+    "op2_quality_rules": op2_quality_rules,
+    "op3_decontamination": op3_decontamination,
     "op4_bpe_trie": op4_bpe_trie,
+    "op5_licence_scan": op5_licence_scan,
+    "op6_pii_pseudonyms": op6_pii_pseudonyms,
     "op7_token_counts": op7_token_counts,
 }
-ORACLES: dict[str, str] = {}
+#: Bigrams, tries, networks and permutations have no SQL; containment of shingles has.
+ORACLES: dict[str, str] = {
+    "op3_decontamination": r"""
+        WITH docs AS (
+            SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+                   'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w
+            FROM documents),
+        items AS (
+            SELECT item_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+                   'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w
+            FROM benchmark),
+        ds AS (SELECT DISTINCT doc_id, array_to_string(w[i:i + 4], ' ') AS s
+               FROM (SELECT doc_id, w, unnest(range(1, len(w) - 3)) AS i FROM docs)),
+        its AS (SELECT DISTINCT item_id, array_to_string(w[i:i + 4], ' ') AS s
+                FROM (SELECT item_id, w, unnest(range(1, len(w) - 3)) AS i FROM items)),
+        sizes AS (SELECT item_id, count(*) AS n FROM its GROUP BY item_id)
+        SELECT doc_id, item_id, count(*) AS n_shared, any_value(n) AS n_item_shingles, count(*)::DOUBLE / any_value(n) AS containment
+        FROM ds JOIN its USING (s) JOIN sizes USING (item_id)
+        GROUP BY doc_id, item_id HAVING 100 * count(*) >= 75 * any_value(n)
+    """,
+}
