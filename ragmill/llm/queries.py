@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe_trie, contamination, jaccard, licences, pii, quality, token_counts, toxicity
+from . import bpe_trie, contamination, jaccard, licences, passages, pii, quality, token_counts, toxicity
 from .common import read
 
 BYTE_VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
@@ -46,6 +46,10 @@ def op8_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.near_duplicates(read(spark, sf_dir, "documents"))
 
 
+def op10_passage_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return passages.remove_repeats(read(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity": op1_toxicity,
     "op2_quality_rules": op2_quality_rules,
@@ -55,6 +59,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_pii_pseudonyms": op6_pii_pseudonyms,
     "op7_token_counts": op7_token_counts,
     "op8_jaccard_join": op8_jaccard_join,
+    "op10_passage_dedup": op10_passage_dedup,
 }
 #: Bigrams, tries, networks and permutations have no SQL; containment of shingles has.
 ORACLES: dict[str, str] = {
