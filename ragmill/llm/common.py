@@ -9,7 +9,6 @@ from collections.abc import Iterable, Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -38,25 +37,7 @@ def words_column(text: Column) -> Column:
 
 def words_of(text: str | None, lower: bool = False) -> list[bytes]:
     """bytes.split() parts at the six characters of GAP and at no others."""
-    if not text:
-        return []
-    data = text.encode("utf-8", "surrogatepass")
-    return (data.translate(_ASCII_LOWER) if lower else data).split()
-
-
-class _WordHashes(dict):
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= CACHE_WORDS:
-            self.clear()
-        value = self[word] = xxhash.xxh3_64_intdigest(word)
-        return value
-
-
-_WORD_HASHES = _WordHashes()
-
-
-def word_hashes(words: list[bytes]) -> np.ndarray:
-    return np.fromiter(map(_WORD_HASHES.__getitem__, words), np.uint64, len(words))
+    return encoded(text, lower).split()
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -68,6 +49,60 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+_SOLID = np.ones(256, bool)
+_SOLID[[9, 10, 11, 12, 13, 32]] = False
+_BASE = 0xD1342543DE82EF95
+_BYTES = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+_BLOCK = 1 << 19
+_POWERS = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
+
+
+def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """The first n powers of _BASE and of its inverse, modulo 2 ** 64."""
+    if len(_POWERS[0]) < n:
+        for k, base in enumerate((_BASE, pow(_BASE, -1, 1 << 64))):
+            steps = np.full(n, base, np.uint64)
+            steps[0] = 1
+            _POWERS[k] = np.cumprod(steps)
+    return _POWERS[0][:n], _POWERS[1][:n]
+
+
+def _hashes(data: np.ndarray, at: np.ndarray, to: np.ndarray) -> np.ndarray:
+    power, inverse = _powers(len(data))
+    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(_BYTES[data] * power)])
+    return mix((sums[to] - sums[at]) * inverse[at])
+
+
+def hashed(datas: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """64-bit hashes of all words of some texts, and where each text's begin (with the end of all as last).
+
+    A word's hash is a polynomial in its bytes, taken from running sums over blocks, so no word is handled singly.
+    """
+    data = np.frombuffer(b"\n".join(datas), np.uint8)
+    edge = np.flatnonzero(np.diff(_SOLID[data], prepend=False, append=False))
+    at, to = edge[::2], edge[1::2]
+    parts, first = [], 0
+    while first < len(at):
+        last = max(first + 1, int(np.searchsorted(to, at[first] + _BLOCK, "right")))
+        low = at[first]
+        parts.append(_hashes(data[low : to[last - 1]], at[first:last] - low, to[first:last] - low))
+        first = last
+    ends = np.cumsum(np.fromiter(map(len, datas), np.int64, len(datas)) + 1)
+    bounds = np.searchsorted(at, np.concatenate([[0], ends]))
+    return np.concatenate(parts) if parts else np.empty(0, np.uint64), bounds
+
+
+def encoded(text: str | None, lower: bool = False) -> bytes:
+    if not text:
+        return b""
+    data = text.encode("utf-8", "surrogatepass")
+    return data.translate(_ASCII_LOWER) if lower else data
+
+
+def word_hashes(words: list[bytes]) -> np.ndarray:
+    return hashed([b" ".join(words)])[0]
+
+
 #: Odd multipliers of the two window hashes.
 LANES = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F))
 
@@ -96,13 +131,24 @@ def window_hashes(hashes: np.ndarray, size: int, lane: int = 0) -> np.ndarray:
         return mix(out)
 
 
+def shingle_sets(texts: list[str | None]) -> list[np.ndarray]:
+    """For each text the hashes of its distinct 5-word shingles, ascending; a shorter text's words make one; A-Z lower-cased."""
+    hashes, bounds = hashed([encoded(t, lower=True) for t in texts])
+    windows = window_hashes(hashes, SHINGLE)
+    out = []
+    for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
+        if b - a < SHINGLE:
+            out.append(window_hashes(hashes[a:b], b - a) if b > a else np.empty(0, np.uint64))
+            continue
+        own = np.sort(windows[a : b - SHINGLE + 1])
+        keep = np.ones(len(own), bool)
+        np.not_equal(own[1:], own[:-1], out=keep[1:])
+        out.append(own[keep])
+    return out
+
+
 def shingle_set(text: str | None) -> np.ndarray:
-    """Hashes of a text's distinct 5-word shingles, ascending; a shorter text's words make one; A-Z lower-cased."""
-    words = words_of(text, lower=True)
-    if not words:
-        return np.empty(0, np.uint64)
-    hashes = word_hashes(words)
-    return np.unique(window_hashes(hashes, SHINGLE)) if len(words) >= SHINGLE else window_hashes(hashes, len(words))
+    return shingle_sets([text])[0]
 
 
 def groups(batches: Iterable[pa.RecordBatch], text: str = "text") -> Iterator[pa.RecordBatch]:
@@ -118,8 +164,15 @@ def groups(batches: Iterable[pa.RecordBatch], text: str = "text") -> Iterator[pa
             at = upto
 
 
+def bounded_batches(spark: SparkSession) -> None:
+    """Arrow batches by size, not only by rows: long texts would make them large in both processes."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 2000)
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", 8 << 20)
+
+
 def work_folder(spark: SparkSession) -> str:
     """A fresh folder under spark.checkpoint.dir; where that is unset (tests), under a new temporary one that is then set."""
+    bounded_batches(spark)
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
         kept = spark.sparkContext._jsc.sc().getCheckpointDir()
@@ -137,6 +190,6 @@ def stored(df: DataFrame, folder: str, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(f"{folder}/{name}")
 
 
-def one_of_each(docs: DataFrame, *columns: str) -> DataFrame:
-    """The named columns only: extra columns of the input, whatever their names, play no part."""
-    return docs.select(*columns)
+def recounted(docs: DataFrame) -> DataFrame:
+    """docs with n_chars, where there is such a column, as the length of text."""
+    return docs.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else docs

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable, Iterator
+
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -64,3 +67,32 @@ def bitmap(values: DataFrame, column: str, bits: int) -> Bitmap:
     out = np.zeros(1 << (bits - 6), np.int64)
     out[words.column("word").to_numpy()] = words.column("bits").to_numpy()
     return Bitmap(out.view(np.uint64))
+
+
+def inside(docs: DataFrame, key: str, chosen: Bitmap, wanted: bool) -> DataFrame:
+    """The rows, with all columns, whose key is in a bitmap or null; or with wanted false, the others."""
+    shared = docs.sparkSession.sparkContext.broadcast(chosen)
+    at = docs.columns.index(key)
+
+    def of(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids = batch.column(at)
+            known = shared.value.has(ids.fill_null(0).to_numpy().view(np.uint64)) | ids.is_null().to_numpy(zero_copy_only=False)
+            yield batch.filter(pa.array(known if wanted else ~known))
+
+    return docs.mapInArrow(of, docs.schema)
+
+
+def one_each(docs: DataFrame, groups: DataFrame, folder: str, bits: int = 25) -> DataFrame:
+    """Of each group (doc_id, component_id) the document that names it, once; rows with a null doc_id stay.
+
+    Rows that surely stay aren't moved: only those whose id may be dropped or repeated are joined.
+    """
+    ids = groups.where("doc_id IS NOT NULL")
+    drop = common.stored(ids.where("doc_id <> component_id").select("doc_id").distinct(), folder, "drop")
+    again = common.stored(ids.groupBy("doc_id").count().where("count > 1").select("doc_id"), folder, "again")
+    doubtful = bitmap(drop.unionByName(again), "doc_id", bits)
+    checked = inside(docs, "doc_id", doubtful, True)
+    nulls = checked.where("doc_id IS NULL")
+    checked = checked.where("doc_id IS NOT NULL").join(drop, "doc_id", "left_anti").dropDuplicates(["doc_id"])
+    return inside(docs, "doc_id", doubtful, False).unionByName(checked.select(*docs.columns)).unionByName(nulls)

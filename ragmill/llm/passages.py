@@ -24,7 +24,6 @@ from collections.abc import Iterable, Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from numpy.lib.stride_tricks import sliding_window_view
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -42,15 +41,24 @@ _EMPTY = hashlib.sha256(b"").hexdigest()
 
 
 def anchors(hashes: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of the 8-word runs of a text, and for each window the place of its anchor among them."""
+    """Hashes of the 8-word runs of some words, and for each window the place of its anchor among them."""
     if len(hashes) < window:
         return np.empty(0, np.uint64), np.empty(0, np.int64)
     runs = common.window_hashes(hashes, ANCHOR)
     span = window - ANCHOR + 1
     places = np.empty(len(runs) - span + 1, np.int64)
-    for a in range(0, len(places), 100_000):
-        view = sliding_window_view(runs[a : a + 100_000 + span - 1], span)
-        places[a : a + len(view)] = np.arange(a, a + len(view)) + span - 1 - view[:, ::-1].argmin(axis=1)
+    low = np.uint64((1 << 20) - 1)
+    for a in range(0, len(places), 500_000):
+        part = runs[a : a + 500_000 + span - 1]
+        # The high bits of the hash, then the place from the end: the minimum over a span, by doubling, has both.
+        key = (part & ~low) | (low - np.arange(len(part), dtype=np.uint64))
+        width = 1
+        while 2 * width <= span:
+            key = np.minimum(key[:-width], key[width:])
+            width *= 2
+        n = len(part) - span + 1
+        best = np.minimum(key[:n], key[span - width : span - width + n])
+        places[a : a + n] = a + (low - (best & low)).astype(np.int64)
     return runs, places
 
 
@@ -100,6 +108,15 @@ class FingerprintIndex:
             self.spark.sql(f"DROP TABLE IF EXISTS {run}")
 
 
+def _firsts(places: np.ndarray) -> np.ndarray:
+    """Places without repeats; anchors of neighbouring windows never go back."""
+    if not len(places):
+        return places
+    keep = np.ones(len(places), bool)
+    np.not_equal(places[1:], places[:-1], out=keep[1:])
+    return places[keep]
+
+
 def _ident(doc_id: int | None, hashes: np.ndarray) -> int:
     return doc_id if doc_id is not None else -1 - (xxhash.xxh3_64_intdigest(hashes.tobytes()) >> 2)
 
@@ -110,10 +127,12 @@ def _prints(docs: DataFrame, window: int) -> DataFrame:
     def of(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for group in common.groups(batches):
             rows = []
-            for doc_id, text in zip(group.column(0).to_pylist(), group.column(1).to_pylist(), strict=True):
-                words = common.words_of(text)
-                hashes = common.word_hashes(words)
-                runs, places = anchors(hashes, window)
+            datas = [common.encoded(t) for t in group.column(1).to_pylist()]
+            every, bounds = common.hashed(datas)
+            runs, all_places = anchors(every, window)
+            for doc_id, data, a, b in zip(group.column(0).to_pylist(), datas, bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
+                words, hashes = data.split(), every[a:b]
+                places = _firsts(all_places[a : max(a, b - window + 1)])
                 rows.append(
                     (
                         _ident(doc_id, hashes),
@@ -121,7 +140,7 @@ def _prints(docs: DataFrame, window: int) -> DataFrame:
                         len(words),
                         xxhash.xxh3_128_digest(hashes.tobytes()),
                         hashlib.sha256(b" ".join(words)).hexdigest(),
-                        runs[np.unique(places)].view(np.int64),
+                        runs[places].view(np.int64),
                     )
                 )
             columns = list(zip(*rows, strict=True))
@@ -134,46 +153,43 @@ def _prints(docs: DataFrame, window: int) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(of, kind)
 
 
-def _only(docs: DataFrame, chosen: Bitmap, inside: bool) -> DataFrame:
-    """(doc_id, text) of rows whose id is, or isn't, in a bitmap."""
+def _chosen(docs: DataFrame, chosen: Bitmap, wanted: bool) -> DataFrame:
+    """(id, text) of the rows whose doc_id is in a bitmap or null; or with wanted false, of the others."""
     shared = docs.sparkSession.sparkContext.broadcast(chosen)
 
     def of(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            if batch.num_rows:
-                ids = batch.column(0).fill_null(0).to_numpy().view(np.uint64)
-                known = shared.value.has(ids) | batch.column(0).is_null().to_numpy(zero_copy_only=False)
-                yield batch.filter(pa.array(known if inside else ~known))
-
-    return docs.select("doc_id", "text").mapInArrow(of, "doc_id long, text string")
+            yield _pick(batch, shared.value, wanted)
 
+    return docs.select("doc_id", "text").mapInArrow(of, "id long, text string")
 
-def _identified(docs: DataFrame) -> DataFrame:
-    """docs with id; only null doc_ids need their text for it."""
 
-    def of(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            pairs = zip(batch.column(0).to_pylist(), batch.column(1), strict=True)
-            ids = [i if i is not None else _ident(None, common.word_hashes(common.words_of(t.as_py()))) for i, t in pairs]
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), batch.column(1)], names=["id", "text"])
+def _pick(batch: pa.RecordBatch, chosen: Bitmap, wanted: bool) -> pa.RecordBatch:
+    """See _chosen; ids of rows without one come from their texts."""
+    ids = batch.column(0)
+    null = ids.is_null().to_numpy(zero_copy_only=False)
+    values = ids.fill_null(0).to_numpy().copy()
+    for k in np.flatnonzero(null):
+        values[k] = _ident(None, common.hashed([common.encoded(batch.column(1)[int(k)].as_py())])[0])
+    known = chosen.has(values.view(np.uint64)) | null
+    return pa.RecordBatch.from_arrays([pa.array(values), batch.column(1)], names=["id", "text"]).filter(pa.array(known if wanted else ~known))
 
-    return docs.mapInArrow(of, "id long, text string")
 
-
-def _repeated(parts_of: list[DataFrame], keys: Bitmap, window: int, parts: int) -> DataFrame:
-    """(id, starts): windows that occur twice, by place; parts_of: frames of (id, text)."""
-    shared = parts_of[0].sparkSession.sparkContext.broadcast(keys)
+def _repeated(docs: DataFrame, spares: Bitmap, checked: DataFrame, keys: Bitmap, window: int, parts: int) -> DataFrame:
+    """(id, starts): windows that occur twice, by place, in the rows of docs outside spares and in checked (id, text)."""
+    shared = docs.sparkSession.sparkContext.broadcast((keys, spares))
 
     def chunks(batches: Iterable[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, ...]]:
         held: list[tuple[np.ndarray, ...]] = []
         size = 0
         for group in common.groups(batches):
-            for i, text in zip(group.column(0).to_pylist(), group.column(1).to_pylist(), strict=True):
-                hashes = common.word_hashes(common.words_of(text))
-                runs, places = anchors(hashes, window)
-                starts = np.flatnonzero(shared.value.has(runs[places])) if len(places) else places
+            every, bounds = common.hashed([common.encoded(t) for t in group.column(1).to_pylist()])
+            runs, places = anchors(every, window)
+            hit = shared.value[0].has(runs)[places] if len(places) else np.empty(0, bool)
+            for i, a, b in zip(group.column(0).to_pylist(), bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
+                starts = np.flatnonzero(hit[a : max(a, b - window + 1)])
                 if len(starts):
-                    lanes = [common.window_hashes(hashes, window, lane)[starts] for lane in (0, 1)]
+                    lanes = [common.window_hashes(every[a:b], window, lane)[starts] for lane in (0, 1)]
                     held.append((*lanes, np.full(len(starts), i, np.int64), starts.astype(np.int32)))
                     size += len(starts)
                 if size >= CHUNK_WORDS:
@@ -182,6 +198,9 @@ def _repeated(parts_of: list[DataFrame], keys: Bitmap, window: int, parts: int)
         if held:
             yield tuple(map(np.concatenate, zip(*held, strict=True)))
 
+    def first_dealt(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from dealt(_pick(batch, shared.value[1], False) for batch in batches)
+
     def dealt(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for x, y, ids, starts in chunks(batches):
             order = np.lexsort((y, x))
@@ -222,10 +241,7 @@ def _repeated(parts_of: list[DataFrame], keys: Bitmap, window: int, parts: int)
         return pa.table({"id": pa.array(ids[first], pa.int64()), "starts": pa.array([starts[a:b].tobytes() for a, b in zip(first, ends, strict=False)], pa.binary())})
 
     kind = "part int, x binary, y binary, ids binary, starts binary"
-    dealt_rows = None
-    for frame in parts_of:
-        rows = frame.mapInArrow(dealt, kind)
-        dealt_rows = rows if dealt_rows is None else dealt_rows.unionByName(rows)
+    dealt_rows = docs.select("doc_id", "text").mapInArrow(first_dealt, kind).unionByName(checked.mapInArrow(dealt, kind))
     return dealt_rows.groupBy("part").applyInArrow(matched, "id long, starts binary")
 
 
@@ -279,13 +295,12 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, batches: int = BATCHES
 
     # Documents that are surely no spare copies stay where they are read; the rest is compared with the spare ones.
     spares = bitmap(spare, "id", BITS)
-    sure = _identified(_only(docs, spares, False))
-    maybe = _identified(_only(docs, spares, True)).join(spare, "id", "left_anti").dropDuplicates(["id"])
+    checked = _chosen(docs, spares, True).join(spare, "id", "left_anti").dropDuplicates(["id"])
     parts = max(1, -(-total * 6 // PART_WINDOWS))
-    found = common.stored(_repeated([sure, maybe], bitmap(again, "key", BITS), window, parts), folder, "repeated")
+    found = common.stored(_repeated(docs, spares, checked, bitmap(again, "key", BITS), window, parts), folder, "repeated")
     marks = found.groupBy("id").agg(F.collect_list("starts").alias("starts"))
     touched = bitmap(found, "id", BITS)
-    texts = _identified(_only(docs, touched, True))
+    texts = _chosen(docs, touched, True)
     cut = _cut(texts.join(marks, "id").select("id", "text", "starts").dropDuplicates(["id"]), window, False)
     whole = (F.col("copies") > 1) & (F.col("n") >= window)
     return (
