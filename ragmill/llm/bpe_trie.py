@@ -164,39 +164,24 @@ def codec(path: str) -> Codec:
     return Codec(path)
 
 
-def encode_decode(docs: DataFrame, vocabulary: str) -> DataFrame:
-    """doc_id, n_tokens, ids (binary), decoded, and the digests of both, for each row."""
+_KINDS = {"n_tokens": pa.int64(), "ids": pa.binary(), "decoded": pa.string(), "ids_sha256": pa.string(), "decoded_sha256": pa.string()}
+_SQL = {"n_tokens": "long", "ids": "binary", "decoded": "string", "ids_sha256": "string", "decoded_sha256": "string"}
 
-    def of(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for group in common.groups(batches):
-            done = codec(vocabulary).ids_with_text([t or "" for t in group.column(1).to_pylist()])
-            yield pa.RecordBatch.from_arrays(
-                [
-                    group.column(0),
-                    pa.array([len(ids) // 4 for ids, _ in done], pa.int64()),
-                    pa.array([ids for ids, _ in done], pa.binary()),
-                    pa.array([text for _, text in done], pa.string()),
-                ],
-                names=["doc_id", "n_tokens", "ids", "decoded"],
-            )
 
-    return docs.select("doc_id", "text").mapInArrow(of, "doc_id long, n_tokens long, ids binary, decoded string")
-
-
-def digests(docs: DataFrame, vocabulary: str) -> DataFrame:
-    """doc_id, n_tokens, ids_sha256, decoded_sha256 of encode_decode, without carrying the texts out of the worker."""
+def encode_decode(docs: DataFrame, vocabulary: str, columns: tuple[str, ...] = ("n_tokens", "ids", "decoded")) -> DataFrame:
+    """doc_id and the named columns of each row: n_tokens, ids (little-endian 32-bit), decoded, ids_sha256, decoded_sha256."""
 
     def of(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        make = {
+            "n_tokens": lambda ids, _: len(ids) // 4,
+            "ids": lambda ids, _: ids,
+            "decoded": lambda _, text: text,
+            "ids_sha256": lambda ids, _: hashlib.sha256(ids).hexdigest(),
+            "decoded_sha256": lambda _, text: hashlib.sha256(text.encode()).hexdigest(),
+        }
         for group in common.groups(batches):
             done = codec(vocabulary).ids_with_text([t or "" for t in group.column(1).to_pylist()])
-            yield pa.RecordBatch.from_arrays(
-                [
-                    group.column(0),
-                    pa.array([len(ids) // 4 for ids, _ in done], pa.int64()),
-                    pa.array([hashlib.sha256(ids).hexdigest() for ids, _ in done], pa.string()),
-                    pa.array([hashlib.sha256(text.encode()).hexdigest() for _, text in done], pa.string()),
-                ],
-                names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"],
-            )
-
-    return docs.select("doc_id", "text").mapInArrow(of, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+            made = [pa.array([make[c](*x) for x in done], _KINDS[c]) for c in columns]
+            yield pa.RecordBatch.from_arrays([group.column(0), *made], names=["doc_id", *columns])
+
+    return docs.select("doc_id", "text").mapInArrow(of, ", ".join(["doc_id long", *(f"{c} {_SQL[c]}" for c in columns)]))

@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe_trie, contamination, jaccard, licences, passages, pii, quality, token_counts, toxicity
+from . import bpe_trie, contamination, jaccard, licences, lines, passages, pii, quality, token_counts, toxicity
 from .common import read
 
 BYTE_VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
@@ -27,7 +27,7 @@ def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_bpe_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return bpe_trie.digests(read(spark, sf_dir, "documents"), WORD_VOCABULARY)
+    return bpe_trie.encode_decode(read(spark, sf_dir, "documents"), WORD_VOCABULARY, ("n_tokens", "ids_sha256", "decoded_sha256"))
 
 
 def op5_licence_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -46,6 +46,10 @@ def op8_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.near_duplicates(read(spark, sf_dir, "documents"))
 
 
+def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lines.judge(read(spark, sf_dir, "documents"))
+
+
 def op10_passage_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return passages.remove_repeats(read(spark, sf_dir, "documents"))
 
@@ -59,10 +63,31 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_pii_pseudonyms": op6_pii_pseudonyms,
     "op7_token_counts": op7_token_counts,
     "op8_jaccard_join": op8_jaccard_join,
+    "op9_line_dedup": op9_line_dedup,
     "op10_passage_dedup": op10_passage_dedup,
 }
 #: Bigrams, tries, networks and permutations have no SQL; containment of shingles has.
 ORACLES: dict[str, str] = {
+    "op9_line_dedup": r"""
+        WITH l AS (
+            SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS p
+            FROM documents),
+        first AS (SELECT line, min((doc_id, p)) AS at FROM l WHERE regexp_matches(line, '[^\x20\x09-\x0D]') GROUP BY line),
+        lengthy AS (SELECT line, at, length(line) AS n FROM first WHERE length(line) >= 40),
+        near AS (
+            SELECT DISTINCT a.line FROM lengthy a JOIN lengthy b ON a.n BETWEEN b.n - 2 AND b.n + 2 AND b.at < a.at
+            WHERE (left(a.line, a.n // 3) = left(b.line, a.n // 3) OR right(a.line, a.n // 3) = right(b.line, a.n // 3)
+                   OR contains(b.line, substr(a.line, a.n // 3 + 1, a.n // 3)))
+              AND levenshtein(a.line, b.line) <= 2),
+        kept AS (
+            SELECT l.doc_id, l.p, l.line FROM l LEFT JOIN first USING (line) LEFT JOIN near ON near.line = l.line
+            WHERE first.at IS NULL OR (near.line IS NULL AND first.at = (l.doc_id, l.p))),
+        joined AS (SELECT doc_id, count(*) AS k, string_agg(line, chr(10) ORDER BY p) AS text FROM kept GROUP BY doc_id)
+        SELECT d.doc_id, CASE WHEN coalesce(d.text, '') = '' THEN 0 ELSE len(string_split(d.text, chr(10))) END AS n_lines,
+               CASE WHEN coalesce(d.text, '') = '' THEN 0 ELSE len(string_split(d.text, chr(10))) - coalesce(k, 0) END AS n_removed,
+               CASE WHEN d.text IS NULL THEN NULL ELSE coalesce(joined.text, '') END AS text
+        FROM documents d LEFT JOIN joined USING (doc_id)
+    """,
     "op3_decontamination": r"""
         WITH docs AS (
             SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
