@@ -4,7 +4,509 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from ..functions import labels, vectors
+from ..operators import chunking, cleaning, context, fusion, layout, search, store, structure
+from ..sources.tables import Settings, document_rows, embedded_chunks, query_vector, read, text_chunks
+from .retrieval import hybrid
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
+TERMS = ["the", "of"]
+
+
+def query(sql: str | None = None) -> Callable:
+    """Registers a query under its function's name, with its SQL."""
+
+    def put(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLES[f.__name__] = sql
+        return f
+
+    return put
+
+
+_COSINE = """
+    q AS (SELECT embedding::DOUBLE[] AS v FROM embeddings WHERE vec_id = 0),
+    near AS (SELECT vec_id AS id, list_cosine_similarity(embedding::DOUBLE[], q.v) AS vector_score FROM embeddings, q
+             WHERE embedding IS NOT NULL ORDER BY 1 - list_cosine_similarity(embedding::DOUBLE[], q.v), vec_id LIMIT 20)"""
+_TOKENS = r"""
+    t AS (SELECT doc_id, regexp_extract_all(lower(coalesce(text, '')), '[\p{L}\p{N}]+') AS ts FROM documents),
+    pos AS (SELECT doc_id, x, p FROM (SELECT doc_id, unnest(ts) AS x, generate_subscripts(ts, 1) AS p FROM t) WHERE x IN ('the', 'of')),
+    both_in AS (SELECT doc_id FROM pos GROUP BY doc_id HAVING count(DISTINCT x) = 2)"""
+_LEXICAL = (
+    _TOKENS
+    + """,
+    gaps AS (SELECT doc_id, x, p, lag(x) OVER w AS px, lag(p) OVER w AS pp FROM pos JOIN both_in USING (doc_id) WINDOW w AS (PARTITION BY doc_id ORDER BY p)),
+    lex AS (SELECT doc_id AS id, sum(0.1 / (p - pp)) AS lexical_score FROM gaps WHERE px <> x GROUP BY doc_id),
+    top_lex AS (SELECT * FROM lex ORDER BY round(lexical_score, 9) DESC, id LIMIT 20)"""
+)
+
+
+@query(f"WITH {_COSINE} SELECT id, round(vector_score, 6) AS vector_score FROM near")
+def cosine_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    top = search.vector_topk(embedded_chunks(spark, sf_dir), query_vector(spark, sf_dir), 20)
+    return top.select("id", F.round("vector_score", 6).alias("vector_score"))
+
+
+_L2 = """WITH q AS (SELECT embedding::DOUBLE[] AS v FROM embeddings WHERE vec_id = 0)
+    SELECT vec_id AS id, {columns} round(list_distance(embedding::DOUBLE[], q.v), 6) AS distance
+    FROM embeddings JOIN documents ON vec_id = doc_id, q WHERE embedding IS NOT NULL {more}
+    ORDER BY list_distance(embedding::DOUBLE[], q.v), vec_id LIMIT 20"""
+
+
+def _l2(spark: SparkSession, sf_dir: str, external_id: str | None) -> DataFrame:
+    chunks = embedded_chunks(spark, sf_dir).withColumn("document_id", F.col("id"))
+    top = search.document_topk(chunks, document_rows(spark, sf_dir), query_vector(spark, sf_dir), 20, external_id)
+    return top.select("id", "external_id", "title", F.round("distance", 6).alias("distance"))
+
+
+@query(_L2.format(columns="'ext-' || doc_id AS external_id, source || '/' || lang AS title,", more=""))
+def l2_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _l2(spark, sf_dir, None)
+
+
+@query(_L2.format(columns="'ext-' || doc_id AS external_id, source || '/' || lang AS title,", more="AND doc_id = 7"))
+def l2_topk_one_document(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _l2(spark, sf_dir, "ext-7")
+
+
+@query(f"WITH {_TOKENS} SELECT doc_id AS id, count(*) AS n_hits FROM pos JOIN both_in USING (doc_id) GROUP BY doc_id")
+def lexical_match(spark: SparkSession, sf_dir: str) -> DataFrame:
+    index = search.postings(text_chunks(spark, sf_dir).select("id", "content"))
+    return search.lexical_match(index, TERMS).groupBy("id").agg(F.count("*").alias("n_hits"))
+
+
+@query(f"WITH {_LEXICAL} SELECT id, round(lexical_score, 6) AS lexical_score FROM lex")
+def lexical_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
+    index = search.postings(text_chunks(spark, sf_dir).select("id", "content"))
+    ranked = search.cover_density(search.lexical_match(index, TERMS), TERMS)
+    return ranked.select("id", F.round("lexical_score", 6).alias("lexical_score"))
+
+
+def _lexical_top(spark: SparkSession, sf_dir: str) -> DataFrame:
+    index = search.postings(text_chunks(spark, sf_dir).select("id", "content"))
+    ranked = search.cover_density(search.lexical_match(index, TERMS), TERMS)
+    return ranked.orderBy(F.round("lexical_score", 9).desc(), "id").limit(20)
+
+
+@query(f"WITH {_LEXICAL} SELECT id, round(lexical_score, 6) AS lexical_score FROM top_lex")
+def lexical_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _lexical_top(spark, sf_dir).select("id", F.round("lexical_score", 6).alias("lexical_score"))
+
+
+_FUSED = (
+    _COSINE
+    + ","
+    + _LEXICAL
+    + """,
+    merged AS (SELECT coalesce(near.id, top_lex.id) AS id, vector_score, lexical_score FROM near FULL JOIN top_lex ON near.id = top_lex.id),
+    tops AS (SELECT max(coalesce(vector_score, 0)) AS mv, max(coalesce(lexical_score, 0)) AS ml FROM merged),
+    scored AS (SELECT merged.*, 0.6 * CASE WHEN mv <> 0 THEN coalesce(vector_score, 0) / mv ELSE 0 END
+                      + 0.4 * CASE WHEN ml <> 0 THEN coalesce(lexical_score, 0) / ml ELSE 0 END AS rerank_score FROM merged, tops),
+    ranked AS (SELECT *, row_number() OVER (ORDER BY rerank_score DESC, id) - 1 AS rank FROM scored)"""
+)
+
+
+@query(
+    f"WITH {_FUSED} SELECT id, round(vector_score, 6) AS vector_score, round(lexical_score, 6) AS lexical_score, "
+    "round(rerank_score, 6) AS rerank_score, rank FROM ranked WHERE rank < 10"
+)
+def hybrid_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The flagship: vector and lexical top 20, merged, scored, first 10."""
+    chunks = text_chunks(spark, sf_dir)
+    top = hybrid(chunks, embedded_chunks(spark, sf_dir), query_vector(spark, sf_dir), TERMS)
+    return top.select("id", *[F.round(c, 6).alias(c) for c in ("vector_score", "lexical_score", "rerank_score")], "rank")
+
+
+def _merged(spark: SparkSession, sf_dir: str) -> DataFrame:
+    near = search.vector_topk(embedded_chunks(spark, sf_dir), query_vector(spark, sf_dir), 20).select("id", "vector_score")
+    return fusion.combine(near, _lexical_top(spark, sf_dir))
+
+
+@query(f"WITH {_FUSED} SELECT id, round(vector_score, 6) AS vector_score, round(lexical_score, 6) AS lexical_score FROM merged")
+def merge_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _merged(spark, sf_dir).select("id", F.round("vector_score", 6).alias("vector_score"), F.round("lexical_score", 6).alias("lexical_score"))
+
+
+@query(
+    f"""WITH {_FUSED},
+    model AS (SELECT id, (id % 11)::DOUBLE AS score FROM merged WHERE id % 2 = 0)
+    SELECT id, score AS rerank_score, row_number() OVER (ORDER BY score IS NULL, score DESC,
+           CASE WHEN score IS NULL THEN coalesce(vector_score, 0) + coalesce(lexical_score, 0) END DESC, id) - 1 AS rank
+    FROM merged LEFT JOIN model USING (id)"""
+)
+def model_rerank(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scores come as a model's JSON; only even ids have one."""
+    merged = _merged(spark, sf_dir)
+    made = merged.where("id % 2 = 0").agg(F.to_json(F.struct(F.collect_list(F.struct("id", (F.col("id") % 11).alias("score"))).alias("ranking"))).alias("j"))
+    scores = made.select(F.explode(fusion.parse_scores(F.col("j"))).alias("s")).select("s.id", "s.score")
+    return fusion.ranked(fusion.apply_scores(merged, scores)).select("id", "rerank_score", "rank")
+
+
+_TOP = """
+    top AS (SELECT doc_id AS id, doc_id AS document_id, text, row_number() OVER (ORDER BY n_chars DESC, doc_id) - 1 AS rank,
+                   (doc_id % 7 + 1)::INT AS s, (doc_id % 7 + 1 + doc_id % 3)::INT AS e FROM documents QUALIFY rank < 10)"""
+
+
+def _top(spark: SparkSession, sf_dir: str, n: int = 10) -> DataFrame:
+    """Chunks of the n longest documents, ranked."""
+    sizes = read(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "n_chars")
+    first = sizes.orderBy(F.col("n_chars").desc(), "id").limit(n).withColumn("rank", F.row_number().over(Window.orderBy(F.col("n_chars").desc(), "id")) - 1)
+    return text_chunks(spark, sf_dir).join(first, "id")
+
+
+@query(
+    f"""WITH {_TOP}, need AS (SELECT id, document_id, rank, unnest(range(s, e + 1)) AS page_number FROM top)
+    SELECT document_id, page_number::INT AS page_number, min(rank) AS rank, list(id ORDER BY rank)::VARCHAR AS chunk_ids
+    FROM need JOIN (SELECT DISTINCT doc_id FROM documents) d ON d.doc_id = need.document_id WHERE page_number <= 6 GROUP BY ALL"""
+)
+def pages_for_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document has the pages 1 to 6."""
+    pages = read(spark, sf_dir, "documents").select(F.col("doc_id").alias("document_id"), F.explode(F.sequence(F.lit(1), F.lit(6))).alias("page_number"))
+    found = context.pages_for_chunks(_top(spark, sf_dir), pages)
+    ids = F.concat(F.lit("["), F.array_join(F.transform("chunk_ids", lambda x: x.cast("string")), ", "), F.lit("]"))
+    return found.select("document_id", "page_number", "rank", ids.alias("chunk_ids"))
+
+
+_LABELLED = "'See Figure ' || (doc_id % 9 + 1) || '-' || (doc_id % 20) || 'c and FIG. B-' || (doc_id % 4) || '. ' || text"
+
+
+@query(
+    f"""WITH f AS (SELECT doc_id, unnest(regexp_extract_all({_LABELLED},
+        '(?i)\\b(fig(?:ure)?[.]?\\s*(?:[A-Za-z]+(?:[-.]\\s*)?)?[0-9]+(?:[-.–][0-9]+)*[A-Za-z]*)', 1)) AS raw FROM documents)
+    SELECT doc_id, string_agg(label, '; ' ORDER BY label) AS labels FROM (
+        SELECT DISTINCT doc_id, 'FIGURE ' || upper(trim(regexp_replace(raw, '(?i)^fig(?:ure)?[.]?\\s*', ''))) AS label FROM f) GROUP BY doc_id"""
+)
+def figure_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    text = F.expr("concat('See Figure ', doc_id % 9 + 1, '-', doc_id % 20, 'c and FIG. B-', doc_id % 4, '. ', text)")
+    return read(spark, sf_dir, "documents").select("doc_id", F.array_join(labels.figure_labels(text), "; ").alias("labels"))
+
+
+@query(
+    """WITH named AS (SELECT doc_id AS document_id, 'FIGURE ' || (doc_id % 9) AS figure_label FROM documents WHERE doc_id % 3 = 0),
+    stored AS (SELECT doc_id AS document_id, 'FIGURE ' || k AS figure_label FROM documents, range(9) t(k))
+    SELECT document_id, figure_label FROM stored JOIN named USING (document_id, figure_label)"""
+)
+def figures_for_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents").select(F.col("doc_id").alias("document_id"))
+    chunks = docs.where("document_id % 3 = 0").withColumn("content", F.expr("concat('as fig. ', document_id % 9, ' shows, fig ', document_id % 9)"))
+    figures = docs.select("document_id", F.explode(F.sequence(F.lit(0), F.lit(8))).alias("k")).select("document_id", F.expr("concat('FIGURE ', k)").alias("figure_label"))
+    return context.figures_for_chunks(chunks, figures)
+
+
+_WS = "regexp_replace({x}, '[\\t-\\r\\x1c-\\x20\\x85\\xa0]+', ' ', 'g')"
+
+
+@query(
+    f"""WITH {_TOP}, sums AS (SELECT id, rank, length(trim(text)) AS n, sum(length(trim(text, E' \\n\\t\\r'))) OVER (ORDER BY rank) AS s FROM top)
+    SELECT id, rank FROM sums WHERE s <= 60000 OR rank = 0"""
+)
+def context_budget(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return context.budget(_top(spark, sf_dir), 60_000).select("id", "rank")
+
+
+@query(
+    f"""WITH {_TOP}, parts AS (SELECT rank, '[Source ' || (rank + 1) || '] Document: doc-' || document_id || ' | Section: S' || (document_id % 5)
+        || chr(10) || trim(text, E' \\n\\t\\r') AS s, sum(length(trim(text, E' \\n\\t\\r'))) OVER (ORDER BY rank) AS n FROM top)
+    SELECT string_agg(s, E'\\n\\n---\\n\\n' ORDER BY rank) AS context FROM parts WHERE n <= 60000 OR rank = 0"""
+)
+def context_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return context.context(_top(spark, sf_dir), 60_000)
+
+
+def _paragraph_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines of documents as paragraphs; every third line begins a page."""
+    lines = read(spark, sf_dir, "documents").select(F.col("doc_id").alias("document_id"), F.posexplode(F.split("text", "\n")).alias("seq", "raw"))
+    cleaned = lines.withColumn("text", labels.clean_text(F.col("raw"))).where("text <> ''")
+    return cleaned.select("document_id", (F.floor(F.col("seq") / 3) + 1).cast("int").alias("page_number"), "seq", "text")
+
+
+_PARAGRAPHS = f"""
+    ls AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS raw, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS seq FROM documents),
+    ps AS (SELECT doc_id, seq, (seq // 3 + 1)::INT AS page, trim({_WS.format(x="raw")}) AS p FROM ls),
+    kept AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY seq) AS n FROM ps WHERE p <> '')"""
+
+
+@query(f"WITH {_PARAGRAPHS} SELECT doc_id AS document_id, page AS page_number, seq::INT AS seq, p AS text FROM kept")
+def paragraphs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _paragraph_rows(spark, sf_dir)
+
+
+@query(
+    f"""WITH RECURSIVE {_PARAGRAPHS},
+    fold AS (
+        SELECT doc_id, n, page, p, length(p) AS size, 0 AS chunk FROM kept WHERE n = 1
+        UNION ALL
+        SELECT k.doc_id, k.n, k.page, k.p, CASE WHEN f.size + 1 + length(k.p) > 1800 THEN length(k.p) ELSE f.size + 1 + length(k.p) END,
+               f.chunk + (f.size + 1 + length(k.p) > 1800)::INT
+        FROM fold f JOIN kept k ON k.doc_id = f.doc_id AND k.n = f.n + 1),
+    packed AS (SELECT doc_id, chunk, min(page) AS s, max(page) AS e, string_agg(p, ' ' ORDER BY n) AS content FROM fold GROUP BY ALL)
+    SELECT doc_id AS document_id, chunk AS chunk_index, s AS page_start,
+           coalesce(lead(s) OVER (PARTITION BY doc_id ORDER BY chunk), e) AS page_end, content FROM packed"""
+)
+def pack_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chunking.pack(_paragraph_rows(spark, sf_dir))
+
+
+@query(
+    """WITH t AS (SELECT n_regionkey, string_agg(n_name || ' | ' || coalesce(CASE WHEN n_nationkey % 4 > 0 THEN n_nationkey::VARCHAR END, ''), chr(10)
+                  ORDER BY n_nationkey) AS body FROM nation GROUP BY n_regionkey)
+    SELECT n_regionkey::BIGINT AS document_id, 0 AS chunk_index, trim('name | key' || chr(10) || '----------' || chr(10) || body, E' \\n') AS content FROM t"""
+)
+def table_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A table per region: nations with their keys, every fourth cell null."""
+    key = F.when(F.col("n_nationkey") % 4 > 0, F.col("n_nationkey").cast("string"))
+    rows = read(spark, sf_dir, "nation").groupBy("n_regionkey").agg(F.array_sort(F.collect_list(F.struct("n_nationkey", F.array("n_name", key).alias("r")))).alias("rs"))
+    cells = rows.select(
+        F.col("n_regionkey").cast("long").alias("document_id"),
+        F.lit(1).alias("page_number"),
+        F.lit(0).alias("table_index"),
+        F.concat(F.array(F.array(F.lit("name"), F.lit("key"))), F.transform("rs", lambda x: x["r"])).alias("rows"),
+    )
+    body = cells.select("document_id").where(F.lit(False))
+    return chunking.table_chunks(cells, body).select("document_id", "chunk_index", "content")
+
+
+@query(
+    """SELECT doc_id, trim(regexp_replace(regexp_replace(text, 'of\\s+the', ' ', 'gi'), 'and', ' ', 'gi'), E' \\n\\t\\r') AS content FROM documents
+    WHERE trim(regexp_replace(regexp_replace(text, 'of\\s+the', ' ', 'gi'), 'and', ' ', 'gi'), E' \\n\\t\\r') <> ''"""
+)
+def strip_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    return docs.select("doc_id", cleaning.strip_phrases(F.col("text"), ["of the"], ["and"]).alias("content")).where("content <> ''")
+
+
+@query(
+    """WITH c AS (SELECT doc_id AS id, doc_id % 20 AS document_id, trim(text, E' \\n\\t\\r') AS content FROM documents WHERE trim(text, E' \\n\\t\\r') <> ''),
+    f AS (SELECT document_id, min(id) AS id FROM c WHERE regexp_matches(content, 'th[a-z]+ing', 'i') GROUP BY document_id)
+    SELECT c.id, CASE WHEN f.id IS NOT NULL THEN regexp_extract(content, '(?is)th[a-z]+ing.*$') ELSE content END AS content
+    FROM c LEFT JOIN f ON f.document_id = c.document_id AND f.id = c.id"""
+)
+def trim_before_start(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Twenty documents; the start heading is a word."""
+    chunks = read(spark, sf_dir, "documents").select(
+        F.col("doc_id").alias("id"), (F.col("doc_id") % 20).alias("document_id"), F.col("doc_id").alias("chunk_index"), F.col("text").alias("content")
+    )
+    return cleaning.clean_chunks(chunks, [], start="(?i)th[a-z]+ing").select("id", "content")
+
+
+@query()
+def section_tracker(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ten documents whose chunks begin with made-up headings and page lines."""
+    head = F.expr(
+        "CASE doc_id % 4 WHEN 0 THEN concat(doc_id % 6 + 1, ' General') WHEN 1 THEN concat(doc_id % 6 + 1, '.', doc_id % 3 + 1, ' Frames') "
+        "WHEN 2 THEN concat('Page ', doc_id % 100) ELSE 'SECURITY MECHANISMS' END"
+    )
+    chunks = read(spark, sf_dir, "documents").select(
+        F.col("doc_id").alias("id"), (F.col("doc_id") % 10).alias("document_id"), F.col("doc_id").alias("chunk_index"), F.concat_ws("\n", head, F.col("text")).alias("content")
+    )
+    return structure.track(chunks)
+
+
+@query(
+    """SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN 'new' ELSE 'old' END AS a, 'kept' AS b, CASE WHEN doc_id % 3 = 0 THEN lang END AS c FROM documents"""
+)
+def merge_metadata(spark: SparkSession, sf_dir: str) -> DataFrame:
+    old = F.create_map(F.lit("a"), F.lit("old"), F.lit("b"), F.lit("kept"))
+    new = F.create_map(F.lit("a"), F.when(F.col("doc_id") % 2 == 0, F.lit("new")), F.lit("c"), F.when(F.col("doc_id") % 3 == 0, F.col("lang")))
+    merged = read(spark, sf_dir, "documents").select("doc_id", structure.merge_metadata(old, new).alias("m"))
+    return merged.select("doc_id", *[F.try_element_at("m", F.lit(k)).alias(k) for k in "abc"])
+
+
+@query(
+    """WITH incoming AS (SELECT * FROM documents WHERE doc_id % 5 = 0 UNION ALL SELECT doc_id + 1000000, text, lang, source, n_chars FROM documents WHERE doc_id % 50 = 0)
+    SELECT 'ext-' || coalesce(i.doc_id, d.doc_id) AS external_id, CASE WHEN d.doc_id IS NOT NULL THEN d.doc_id ELSE i.doc_id END AS id,
+           CASE WHEN i.doc_id IS NOT NULL THEN 'new' ELSE d.source || '/' || d.lang END AS title,
+           CASE WHEN d.doc_id IS NOT NULL THEN 'text' ELSE 'pdf' END AS source_type
+    FROM documents d FULL JOIN incoming i ON i.doc_id = d.doc_id"""
+)
+def upsert_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    table = document_rows(spark, sf_dir)
+    more = table.where("id % 50 = 0").withColumn("id", F.col("id") + 1_000_000).withColumn("external_id", F.concat(F.lit("ext-"), F.col("id").cast("string")))
+    rows = table.where("id % 5 = 0").unionByName(more).withColumn("title", F.lit("new")).withColumn("source_type", F.lit("pdf"))
+    return store.upsert(table, rows, ("external_id",), keep=("id", "source_type")).select("external_id", "id", "title", "source_type")
+
+
+@query(
+    """WITH incoming AS (SELECT l_orderkey AS document_id, 'FIGURE ' || l_linenumber AS figure_label, l_comment_id AS position, l_quantity AS caption
+        FROM (SELECT *, row_number() OVER (ORDER BY l_orderkey, l_linenumber, l_partkey, l_suppkey, l_quantity) AS l_comment_id FROM lineitem WHERE l_orderkey <= 200))
+    SELECT document_id, figure_label, caption FROM incoming QUALIFY row_number() OVER (PARTITION BY document_id, figure_label ORDER BY position DESC) = 1"""
+)
+def upsert_figures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Figures of orders up to key 200; of rows with one label the last stays."""
+    lines = read(spark, sf_dir, "lineitem").where("l_orderkey <= 200")
+    position = F.row_number().over(Window.orderBy("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity"))
+    rows = lines.select(F.col("l_orderkey").alias("document_id"), F.concat(F.lit("FIGURE "), F.col("l_linenumber").cast("string")).alias("figure_label"), position.alias("position"), F.col("l_quantity").alias("caption"))
+    latest = store.last_of_each(rows, ("document_id", "figure_label"), "position")
+    table = latest.where(F.lit(False))
+    return store.upsert(table, latest, ("document_id", "figure_label")).select("document_id", "figure_label", "caption")
+
+
+@query(
+    """SELECT l_orderkey AS document_id, l_linenumber AS chunk_index, 'old' AS content FROM lineitem WHERE l_orderkey % 3 <> 0
+    UNION ALL SELECT o_orderkey, 1, 'new' FROM orders WHERE o_orderkey % 6 = 0"""
+)
+def replace_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders as documents: those divisible by 3 are replaced, by nothing unless by 6."""
+    old = read(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("document_id"), F.col("l_linenumber").alias("chunk_index"), F.lit("old").alias("content"))
+    orders = read(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("document_id"))
+    new = orders.where("document_id % 6 = 0").select("document_id", F.lit(1).alias("chunk_index"), F.lit("new").alias("content"))
+    return store.replace(old, new, orders.where("document_id % 3 = 0"))
+
+
+_STATUS = "CASE event_id % 3 WHEN 0 THEN 'completed' WHEN 1 THEN 'failed' ELSE 'processing' END"
+
+
+@query(
+    f"""SELECT event_id, {_STATUS} AS status, CASE WHEN event_id % 3 = 1 THEN event_type END AS error_message,
+    CASE WHEN {_STATUS} IN ('completed', 'failed') THEN ts + INTERVAL 1 HOUR ELSE ts END AS finished_at FROM events"""
+)
+def run_status(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events as runs that change their status: the end is set for finished ones only."""
+    rows = read(spark, sf_dir, "events").withColumn("status", F.expr(_STATUS))
+    end = F.when(F.col("status").isin("completed", "failed"), F.col("ts") + F.expr("INTERVAL 1 HOUR")).otherwise(F.col("ts"))
+    return rows.select("event_id", "status", F.when(F.col("event_id") % 3 == 1, F.col("event_type")).alias("error_message"), end.alias("finished_at"))
+
+
+@query(
+    """WITH c AS (SELECT doc_id AS id, doc_id % 50 AS document_id, vec_id IS NULL AS needs_update FROM documents LEFT JOIN embeddings ON vec_id = doc_id)
+    SELECT id, document_id, needs_update, id AS order_index FROM c WHERE document_id IN (SELECT DISTINCT document_id FROM c WHERE needs_update)"""
+)
+def documents_to_update(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), (F.col("doc_id") % 50).alias("document_id"), F.lit(None).cast("int").alias("chunk_index"))
+    chunks = docs.join(embedded_chunks(spark, sf_dir), "id", "left")
+    return store.documents_to_update(chunks, True).select("id", "document_id", "needs_update", "order_index")
+
+
+@query("SELECT vec_id AS id, '[' || array_to_string(list_transform(embedding, lambda x: printf('%.10f', x::DOUBLE)), ',') || ']' AS v FROM embeddings")
+def vector_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedded_chunks(spark, sf_dir).select("id", vectors.vector_text(F.col("embedding")).alias("v"))
+
+
+@query()
+def offline_embedding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return read(spark, sf_dir, "documents").select("doc_id", vectors.offline_embedding(64)(F.col("text")).alias("embedding"))
+
+
+def _words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of documents laid out on pages: ten to a line, lines 14 apart and a little uneven, forty lines to a page."""
+    words = read(spark, sf_dir, "documents").select(F.col("doc_id").alias("document_id"), F.posexplode(search.tokens(F.col("text"))).alias("i", "text"))
+    line = F.floor(F.col("i") / 10)
+    x0, top = (F.col("i") % 10) * 50.0 + 60, (line % 40) * 14.0 + 40 + (F.col("i") % 3) * 0.75
+    return words.select("document_id", (F.floor(line / 40) + 1).cast("int").alias("page_number"), "text", x0.alias("x0"), top.alias("top"), (x0 + 45).alias("x1"), (top + 10).alias("bottom"))
+
+
+_WORDS = r"""
+    t AS (SELECT doc_id, regexp_extract_all(lower(coalesce(text, '')), '[\p{L}\p{N}]+') AS ts FROM documents),
+    u AS (SELECT doc_id AS document_id, unnest(ts) AS text, generate_subscripts(ts, 1) - 1 AS i FROM t),
+    w AS (SELECT document_id, text, i, (i // 400 + 1)::INT AS page_number, (i % 10) * 50.0::DOUBLE + 60 AS x0, (i // 10 % 40) * 14.0::DOUBLE + 40 + (i % 3) * 0.75::DOUBLE AS top FROM u)"""
+
+
+@query(
+    f"""WITH {_WORDS} SELECT document_id, page_number, (i // 10 % 40)::INT AS line, string_agg(text, ' ' ORDER BY x0) AS text, min(x0)::DOUBLE AS x0,
+    min(top)::DOUBLE AS top, max(x0 + 45)::DOUBLE AS x1, max(top + 10)::DOUBLE AS bottom FROM w GROUP BY document_id, page_number, i // 10 % 40"""
+)
+def word_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return layout.word_lines(_words(spark, sf_dir))
+
+
+def _pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _words(spark, sf_dir).select(*layout.PAGE).distinct().withColumn("width", F.lit(600.0)).withColumn("height", F.lit(800.0))
+
+
+@query(
+    f"""WITH {_WORDS} SELECT document_id, page_number, count(*) AS n FROM w
+    WHERE x0 + 45 > 80 AND x0 < 600 AND top + 10 > 60 AND top < 765 GROUP BY ALL"""
+)
+def crop_margins(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return layout.crop_margins(_words(spark, sf_dir), _pages(spark, sf_dir)).groupBy(*layout.PAGE).agg(F.count("*").alias("n"))
+
+
+@query(
+    f"""WITH {_WORDS} SELECT document_id, page_number, count(*) AS n FROM w
+    WHERE NOT (x0 + 45 > 98.5 AND x0 < 301.5 AND top + 10 > 98.5 AND top < 151.5) GROUP BY ALL"""
+)
+def without_struck(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page has one strikeout annotation and one of another kind."""
+    pages = _pages(spark, sf_dir)
+    struck = pages.select(*layout.PAGE, F.lit("StrikeOut").alias("subtype"), F.array(F.lit(300.0), F.lit(150.0), F.lit(100.0), F.lit(100.0)).alias("rect"), F.array().cast("array<double>").alias("quadpoints"))
+    other = struck.withColumn("subtype", F.lit("Highlight")).withColumn("rect", F.array(F.lit(0.0), F.lit(0.0), F.lit(600.0), F.lit(800.0)))
+    strikes = layout.strike_boxes(struck.unionByName(other), pages)
+    return layout.without_struck(_words(spark, sf_dir), strikes).groupBy(*layout.PAGE).agg(F.count("*").alias("n"))
+
+
+@query(
+    """WITH c AS (SELECT doc_id AS document_id, 420.0::DOUBLE + doc_id % 50 AS c_top FROM documents),
+    b AS (SELECT *, least(799, c_top - 2) AS low, greatest(0, least(799, c_top - 2) - 360) AS high FROM c),
+    s AS (SELECT doc_id AS document_id, 100.0 + k * 60 AS x0, 20.0 + k * 100 + doc_id % 9 AS top, 150.0 + k * 60 AS x1, 60.0 + k * 100 + doc_id % 9 AS bottom FROM documents, range(6) t(k)),
+    m AS (SELECT document_id, any_value(high) AS high, greatest(0, min(greatest(0, x0)) - 6) AS x0, greatest(any_value(high), min(greatest(high, top)) - 6) AS top,
+          least(600, max(least(600, x1)) + 6) AS x1, least(any_value(low), max(least(low, bottom)) + 6) AS bottom
+          FROM b JOIN s USING (document_id) WHERE bottom > high AND top < low GROUP BY document_id)
+    SELECT document_id, 'FIGURE 1' AS figure_label, x0::DOUBLE AS x0, (CASE WHEN bottom - top < 40 THEN greatest(high, bottom - 40) ELSE top END)::DOUBLE AS top, x1::DOUBLE AS x1, bottom::DOUBLE AS bottom FROM m"""
+)
+def figure_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A caption and six shapes on one page of every document."""
+    docs = read(spark, sf_dir, "documents").select(F.col("doc_id").alias("document_id"), F.lit(1).alias("page_number"))
+    pages = docs.withColumn("width", F.lit(600.0)).withColumn("height", F.lit(800.0))
+    found = docs.select(*layout.PAGE, F.lit(0).alias("position"), F.lit("FIGURE 1").alias("figure_label"), F.lit(0.0).alias("min_top"), (F.lit(420.0) + F.col("document_id") % 50).alias("top"))
+    shapes = docs.select(*layout.PAGE, F.explode(F.sequence(F.lit(0), F.lit(5))).alias("k"))
+    down = F.col("k") * 100.0 + F.col("document_id") % 9
+    shapes = shapes.select(*layout.PAGE, (F.col("k") * 60.0 + 100).alias("x0"), (down + 20).alias("top"), (F.col("k") * 60.0 + 150).alias("x1"), (down + 60).alias("bottom"))
+    return layout.figure_boxes(found, shapes, pages).select("document_id", "figure_label", *layout.BOX)
+
+
+@query()
+def extract_figures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Captions set below made-up images on the first page of every document."""
+    words = _words(spark, sf_dir).where("page_number = 1 AND top < 300")
+    docs = words.select("document_id", "page_number").distinct()
+    caption = docs.select(*layout.PAGE, F.explode(F.array(F.struct(F.lit("Figure").alias("text"), F.lit(60.0).alias("x0")), F.struct(F.expr("concat(document_id % 7 + 1, '—')").alias("text"), F.lit(110.0).alias("x0")))).alias("w"))
+    caption = caption.select(*layout.PAGE, "w.text", "w.x0", F.lit(610.0).alias("top"), (F.col("w.x0") + 40).alias("x1"), F.lit(620.0).alias("bottom"))
+    shapes = docs.select(*layout.PAGE, F.lit("image").alias("kind"), F.lit(80.0).alias("x0"), F.lit(450.0).alias("top"), F.lit(400.0).alias("x1"), F.lit(600.0).alias("bottom"))
+    pages = docs.withColumn("width", F.lit(600.0)).withColumn("height", F.lit(800.0))
+    return layout.extract_figures(pages, words.unionByName(caption), shapes)
+
+
+@query("SELECT page_id, lower(regexp_replace(regexp_replace(regexp_extract(url, '[^/]*$'), '[^a-zA-Z0-9._-]+', '-', 'g'), '^-+|-+$', '', 'g')) AS name FROM pages WHERE regexp_extract(url, '[^/]*$') <> ''")
+def object_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = read(spark, sf_dir, "pages").where(F.element_at(F.split("url", "/"), -1) != "")
+    return rows.select("page_id", labels.object_name(F.col("url")).alias("name"))
+
+
+@query(
+    """SELECT event_id, CASE WHEN event_id % 4 = 0 THEN 100 WHEN event_id % 4 = 1 THEN NULL
+    ELSE greatest(3, least(97, floor(greatest(0, epoch(TIMESTAMP '2024-06-01') - epoch(ts)) * 100 / 1200 + 0.5)))::INT END AS progress FROM events"""
+)
+def ingest_progress(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = read(spark, sf_dir, "events")
+    started = F.when(F.col("event_id") % 4 != 1, F.col("ts").cast("timestamp"))
+    finished = F.when(F.col("event_id") % 4 == 0, F.col("ts").cast("timestamp"))
+    return rows.select("event_id", labels.progress(started, finished, F.lit("2024-06-01").cast("timestamp")).alias("progress"))
+
+
+@query(
+    """SELECT vec_id AS id, row_number() OVER (ORDER BY vec_id) - 1 AS rank FROM embeddings QUALIFY rank // 4 = least(7, (count(*) OVER () - 1) // 4)"""
+)
+def paging(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ranked = embedded_chunks(spark, sf_dir).select("id", (F.row_number().over(Window.orderBy("id")) - 1).alias("rank"))
+    return context.screen(ranked, "rank", 7)
+
+
+@query()
+def inverted_file_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Approximate top 20 from the 8 nearest of 16 lists."""
+    index = search.InvertedFileIndex(embedded_chunks(spark, sf_dir), lists=16)
+    return index.topk(query_vector(spark, sf_dir), 20, probes=8).select("id", F.round("distance", 6).alias("distance"))
+
+
+@query()
+def answer_payload(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The JSON of an answer over the longest documents."""
+    top = _top(spark, sf_dir).select("id", "document_id", "rank", "content", "page_start", "page_end", "metadata")
+    pages = read(spark, sf_dir, "documents").select(F.col("doc_id").alias("document_id"), F.explode(F.sequence(F.lit(1), F.lit(6))).alias("page_number"))
+    figures = read(spark, sf_dir, "documents").select(F.col("doc_id").alias("document_id"), F.lit("FIGURE 1").alias("figure_label"))
+    return context.payload(top, context.pages_for_chunks(top, pages), context.figures_for_chunks(top, figures), "An answer.")
