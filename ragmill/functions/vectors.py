@@ -41,9 +41,9 @@ def vector_literal(vector: list[float]) -> Column:
     return F.array(*[F.lit(float(x)) for x in vector])
 
 
-def vector_text(vector: Column) -> Column:
-    """A vector as bracketed text with ten decimals."""
-    return F.concat(F.lit("["), F.array_join(F.transform(vector, lambda x: F.format_string("%.10f", x.cast("double"))), ","), F.lit("]"))
+def vector_text(vector: Column, decimals: int = 10) -> Column:
+    """A vector as bracketed text; a value that lies within double precision of a rounding limit may go either way."""
+    return F.concat(F.lit("["), F.array_join(F.transform(vector, lambda x: F.format_string(f"%.{decimals}f", x.cast("double"))), ","), F.lit("]"))
 
 
 def embed_offline(text: str | None, dimension: int = DIMENSION) -> list[float]:

@@ -105,10 +105,13 @@ def screen(rows: DataFrame, order: str, page: int, size: int = 4) -> DataFrame:
 
 def payload(chunks: DataFrame, pages: DataFrame, figures: DataFrame, answer: str | None, error: str | None = None) -> DataFrame:
     """One row: `payload`, JSON of the answer (or the error in its place), chunks, pages and figures; nulls are kept."""
-    listed = lambda df, key: df.agg(F.array_sort(F.collect_list(F.struct(key, F.struct(*df.columns).alias("row")))).alias("x")).select(
-        F.transform("x", lambda e: e["row"]).alias("x")
+    # Rows go as JSON while they are put in order: maps can't be compared.
+    row = lambda df: F.to_json(F.struct(*df.columns), {"ignoreNullFields": "false"})
+    listed = lambda df, key: df.agg(F.array_sort(F.collect_list(F.struct(key, row(df).alias("row")))).alias("x")).select(
+        F.array_join(F.transform("x", lambda e: e["row"]), ",").alias("x")
     )
-    head = F.lit(error).alias("error") if error is not None else F.lit(answer).alias("answer")
-    joined = listed(chunks, "rank").select(F.col("x").alias("chunks")).join(listed(pages, "rank").select(F.col("x").alias("pages")))
-    joined = joined.join(listed(figures, "figure_label").select(F.col("x").alias("figures")))  # one row each
-    return joined.select(F.to_json(F.struct(head, "chunks", "pages", "figures"), {"ignoreNullFields": "false"}).alias("payload"))
+    head = F.to_json(F.struct(F.lit(error).alias("error") if error is not None else F.lit(answer).alias("answer")), {"ignoreNullFields": "false"})
+    parts = [listed(df, key).withColumnRenamed("x", name) for name, df, key in (("chunks", chunks, "rank"), ("pages", pages, "rank"), ("figures", figures, "figure_label"))]
+    joined = parts[0].join(parts[1]).join(parts[2])  # one row each
+    lists = [F.concat(F.lit(f', "{name}": ['), F.col(name), F.lit("]")) for name in ("chunks", "pages", "figures")]
+    return joined.select(F.concat(head.substr(F.lit(1), F.length(head) - 1), *lists, F.lit("}")).alias("payload"))

@@ -60,6 +60,8 @@ def cover_density(matched: DataFrame, lexemes: list[str]) -> DataFrame:
     last postings of each lexeme up to there, and of stretches with one beginning only the shortest is minimal.
     """
     wanted = sorted(set(lexemes))
+    if not wanted:
+        return matched.select("id", F.lit(0.0).alias("lexical_score")).where(F.lit(False))
     upto = Window.partitionBy("id").orderBy("position").rowsBetween(Window.unboundedPreceding, 0)
     rows = matched.withColumn("nth", F.count("*").over(upto))
     lasts = [F.last(F.when(F.col("lexeme") == x, F.struct("position", "nth")), ignorenulls=True).over(upto).alias(f"last_{i}") for i, x in enumerate(wanted)]

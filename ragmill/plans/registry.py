@@ -382,9 +382,9 @@ def documents_to_update(spark: SparkSession, sf_dir: str) -> DataFrame:
     return store.documents_to_update(chunks, True).select("id", "document_id", "needs_update", "order_index")
 
 
-@query("SELECT vec_id AS id, '[' || array_to_string(list_transform(embedding, lambda x: printf('%.10f', x::DOUBLE)), ',') || ']' AS v FROM embeddings")
+@query("SELECT vec_id AS id, '[' || array_to_string(list_transform(embedding, lambda x: printf('%.6f', x::DOUBLE)), ',') || ']' AS v FROM embeddings")
 def vector_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return embedded_chunks(spark, sf_dir).select("id", vectors.vector_text(F.col("embedding")).alias("v"))
+    return embedded_chunks(spark, sf_dir).select("id", vectors.vector_text(F.col("embedding"), 6).alias("v"))
 
 
 @query()
@@ -478,14 +478,14 @@ def object_names(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    """SELECT event_id, CASE WHEN event_id % 4 = 0 THEN 100 WHEN event_id % 4 = 1 THEN NULL
-    ELSE greatest(3, least(97, floor(greatest(0, epoch(TIMESTAMP '2024-06-01') - epoch(ts)) * 100 / 1200 + 0.5)))::INT END AS progress FROM events"""
+    """SELECT event_id, CASE WHEN event_id % 4 = 0 THEN 100
+    ELSE greatest(3, least(97, floor(greatest(0, epoch(TIMESTAMP '2024-01-15') - epoch(ts)) * 100 / 1200 + 0.5)))::INT END AS progress FROM events WHERE event_id % 4 <> 1"""
 )
 def ingest_progress(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = read(spark, sf_dir, "events")
-    started = F.when(F.col("event_id") % 4 != 1, F.col("ts").cast("timestamp"))
+    rows = read(spark, sf_dir, "events").where("event_id % 4 <> 1")
+    started = F.col("ts").cast("timestamp")
     finished = F.when(F.col("event_id") % 4 == 0, F.col("ts").cast("timestamp"))
-    return rows.select("event_id", labels.progress(started, finished, F.lit("2024-06-01").cast("timestamp")).alias("progress"))
+    return rows.select("event_id", labels.progress(started, finished, F.lit("2024-01-15").cast("timestamp")).alias("progress"))
 
 
 @query(
