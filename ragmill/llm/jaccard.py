@@ -21,7 +21,7 @@ empty table; extra columns are ignored.
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -31,10 +31,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import common
-from .graph import Bitmap, bitmap, components
+from .graph import Bitmap, bitmap, components, one_each
 
 #: Prefixes that may hold a token of the rare class; see Index for how this grows to bound what is broadcast.
-COMMON = 32
+COMMON = 16
 #: Frequent tokens that are broadcast at most (8 bytes each).
 MOST_FREQUENT = 1 << 20
 #: Bits of the bitmaps that thin rows before shuffles; they can only let too much through.
@@ -42,6 +42,7 @@ BITS = 25
 #: Tokens of one group of the counting and pairing steps, about.
 PART_TOKENS = 1_000_000
 CHUNK_TOKENS = 1_500_000
+_LAST = np.uint64(2**64 - 1)
 
 
 def may_lack(n: int, percent: int) -> int:
@@ -58,7 +59,7 @@ def head_size(n: int, percent: int) -> int:
 def _sets(docs: DataFrame) -> DataFrame:
     def of(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for group in common.groups(batches):
-            sets = [common.shingle_set(t) for t in group.column(1).to_pylist()]
+            sets = common.shingle_sets(group.column(1).to_pylist())
             yield pa.RecordBatch.from_arrays(
                 [
                     group.column(0),
@@ -82,7 +83,7 @@ def _tokens(docs: DataFrame, percent: int | None, only: Bitmap | None = None) ->
             if chosen is not None and batch.num_rows:
                 batch = batch.filter(pa.array(chosen.has(batch.column(0).to_numpy().view(np.uint64))))
             for group in common.groups([batch] if batch.num_rows else []):
-                sets = [common.shingle_set(t) for t in group.column(1).to_pylist()]
+                sets = common.shingle_sets(group.column(1).to_pylist())
                 heads = [s if percent is None else s[: head_size(len(s), percent)] for s in sets]
                 table = pa.RecordBatch.from_arrays(
                     [group.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array([h.tobytes() for h in heads], pa.binary())],
@@ -165,11 +166,12 @@ def _count(heads: DataFrame, rule: Rule, parts: int, beyond: bool) -> DataFrame:
             found = []
             for _, n, tokens in chunk:
                 if beyond:
-                    own = rule.singles(tokens, n)[0]
-                    found.append(own[own > tokens[may_lack(n, rule.percent)]])
+                    own, full = rule.singles(tokens, n)
+                    if full or len(tokens) == n:
+                        found.append(own[own > tokens[may_lack(n, rule.percent)]])
                 else:
                     found.append(tokens[: may_lack(n, rule.percent) + 1])
-            tokens, counts = np.unique(np.concatenate(found), return_counts=True)
+            tokens, counts = np.unique(np.concatenate([np.empty(0, np.uint64), *found]), return_counts=True)
             part = (tokens % np.uint64(parts)).astype(np.int32)
             order = np.argsort(part, kind="stable")
             tokens, counts, part = tokens[order], counts[order].astype(np.uint32), part[order]
@@ -213,11 +215,13 @@ def _pairs(heads: DataFrame, rule: Rule, repeated: Bitmap, parts: int, most: int
             tokens, ids, sizes = [], [], []
             for i, n, whole in chunk:
                 own, full = rule.singles(whole, n)
+                if not full and len(whole) < n:
+                    continue  # it comes as a whole set too
                 own = own[repeated.has(own)]
                 tokens.append(own)
                 ids.append(np.full(len(own), i, np.int64))
                 sizes.append(np.full(len(own), n if full else -n, np.int64))
-            token, doc, size = np.concatenate(tokens), np.concatenate(ids), np.concatenate(sizes)
+            token, doc, size = np.concatenate([np.empty(0, np.uint64), *tokens]), np.concatenate([np.empty(0, np.int64), *ids]), np.concatenate([np.empty(0, np.int64), *sizes])
             part = (token % np.uint64(parts)).astype(np.int32)
             order = np.argsort(part, kind="stable")
             token, doc, size, part = token[order], doc[order], size[order], part[order]
@@ -259,25 +263,65 @@ def _pairs(heads: DataFrame, rule: Rule, repeated: Bitmap, parts: int, most: int
     return heads.mapInArrow(dealt, kind).groupBy("part").applyInArrow(paired, _PAIRS)
 
 
+def _joined(pairs: DataFrame, sets: DataFrame, keep: Callable[[np.ndarray, int, np.ndarray, int], bool]) -> DataFrame:
+    """The pairs (a, b) whose sets, given as (id, n, tokens), satisfy keep."""
+    # Of the sets only those that a side needs are moved, and perhaps a few more.
+    first, second = (bitmap(pairs, side, BITS) for side in ("a", "b"))
+    one = _filtered(sets, second).select(F.col("id").alias("b"), F.col("n").alias("n_b"), F.col("tokens").alias("tokens_b"))
+    other = _filtered(sets, first).select(F.col("id").alias("a"), F.col("n").alias("n_a"), F.col("tokens").alias("tokens_a"))
+    joined = pairs.select("a", "b").join(one, "b").join(other, "a").select("a", "b", "n_a", "n_b", "tokens_a", "tokens_b")
+
+    def of(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            numbers = zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)
+            sets = zip(batch.column(4), batch.column(5), strict=True)
+            kept = [keep(np.frombuffer(x.as_buffer(), np.uint64), n, np.frombuffer(y.as_buffer(), np.uint64), m) for (n, m), (x, y) in zip(numbers, sets, strict=True)]
+            yield batch.select([0, 1]).filter(pa.array(kept, pa.bool_()))
+
+    return joined.mapInArrow(of, "a long, b long")
+
+
+def _shared(x: np.ndarray, y: np.ndarray) -> int:
+    both = np.concatenate([x, y])
+    both.sort()
+    return int((both[1:] == both[:-1]).sum())
+
+
 def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) that link."""
-    one = sets.select(F.col("id").alias("b"), F.col("tokens").alias("tokens_b"))
-    # Only the sets of first members are needed again, and each of those once.
-    other = sets.select(F.col("id").alias("a"), F.col("tokens").alias("tokens_a")).join(pairs.select("a").distinct(), "a", "left_semi")
-    joined = pairs.select("a", "b").join(one, "b").join(other, "a").select("a", "b", "tokens_a", "tokens_b")
+
+    def links(x: np.ndarray, _: int, y: np.ndarray, __: int) -> bool:
+        n = _shared(x, y)
+        return 100 * n >= percent * (len(x) + len(y) - n)
+
+    return _joined(pairs, sets, links)
+
+
+def _possible(pairs: DataFrame, heads: DataFrame, percent: int) -> DataFrame:
+    """The pairs that may link by their heads, the lowest tokens of each set: below the lower end both are known whole."""
+
+    def may(x: np.ndarray, n: int, y: np.ndarray, m: int) -> bool:
+        end = min(x[-1] if len(x) < n else _LAST, y[-1] if len(y) < m else _LAST)
+        x, y = x[: np.searchsorted(x, end, "right")], y[: np.searchsorted(y, end, "right")]
+        most = _shared(x, y) + min(n - len(x), m - len(y))
+        return 100 * most >= percent * (n + m - most)
+
+    return _joined(pairs, heads, may)
+
+
+def _filtered(sets: DataFrame, ids: Bitmap) -> DataFrame:
+    """The rows of sets with an id in a bitmap."""
+    shared = sets.sparkSession.sparkContext.broadcast(ids)
 
     def of(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keep = []
-            for x, y in zip(batch.column(2), batch.column(3), strict=True):
-                x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
-                both = np.concatenate([x, y])
-                both.sort()
-                common_n = int((both[1:] == both[:-1]).sum())
-                keep.append(100 * common_n >= percent * (len(both) - common_n))
-            yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
+            yield batch.filter(pa.array(shared.value.has(batch.column(0).to_numpy().view(np.uint64))))
 
-    return joined.mapInArrow(of, "a long, b long")
+    return sets.mapInArrow(of, sets.schema)
+
+
+def _members(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct()
 
 
 def near_duplicates(docs: DataFrame, percent: int = common.SIMILAR) -> DataFrame:
@@ -295,6 +339,13 @@ def near_duplicates(docs: DataFrame, percent: int = common.SIMILAR) -> DataFrame
     )
 
 
+def keep_one(docs: DataFrame, percent: int = common.SIMILAR) -> DataFrame:
+    """The rows of docs without those whose component holds a smaller doc_id; all columns stay."""
+    folder = common.work_folder(docs.sparkSession)
+    groups = common.stored(near_duplicates(docs, percent), folder, "groups")
+    return one_each(docs, groups, folder)
+
+
 def _links(docs: DataFrame, nodes: DataFrame, folder: str, percent: int) -> DataFrame:
     """Links (a, b) between nodes, enough for all components."""
     spark = docs.sparkSession
@@ -316,26 +367,27 @@ def _links(docs: DataFrame, nodes: DataFrame, folder: str, percent: int) -> Data
         # What prefixes take in beyond their frequent tokens may be frequent itself.
         step += 1
         rule = Rule(percent, frequent)
-        short = common.stored(_short(heads if whole is None else heads.join(whole.select("id"), "id", "left_anti"), rule), folder, f"short-{step}")
+        short = _short(heads, rule)
+        short = common.stored(short if whole is None else short.join(whole.select("id"), "id", "left_anti"), folder, f"short-{step}")
         grown = short.limit(1).count() > 0
         if grown:
             near = bitmap(short, "id", BITS)
             fresh = _tokens(docs, None, near).join(short, "id", "left_semi")
             fresh = common.stored(fresh, folder, f"whole-{step}")
             whole = fresh if whole is None else whole.unionByName(fresh)
-        signed = heads if whole is None else heads.join(whole.select("id"), "id", "left_anti").unionByName(whole)
+        signed = heads if whole is None else heads.unionByName(whole)
         more = common.stored(_count(signed, rule, max(1, parts // 8), True), folder, f"more-{step}")
         added = _longs(more.where(F.col("n") > limit), "token")
-        if not len(added):
-            if not grown:
-                break
-            continue
+        if len(added) <= max(8, len(frequent) // 10):
+            break  # the rest is small; what still crowds a token is caught when pairs are made
         frequent = np.union1d(frequent, added)
     extra = bitmap(more, "token", BITS)
     repeated = Bitmap(repeated.words | extra.words)
 
+    # Tokens of one prefix only are left out, so there are fewer parts than in the count.
+    pair_parts = max(1, -(-((counts.agg(F.sum(F.least("n", F.lit(4 * limit)))).first()[0] or 0)) // PART_TOKENS))
     while True:
-        raw = common.stored(_pairs(signed, rule, repeated, parts, 8 * limit), folder, f"raw-{len(rule.frequent)}")
+        raw = common.stored(_pairs(signed, rule, repeated, pair_parts, 4 * limit), folder, f"raw-{len(rule.frequent)}")
         over = _longs(raw.where("c = 0"), "a")
         if not len(over):
             break
@@ -351,31 +403,27 @@ def _links(docs: DataFrame, nodes: DataFrame, folder: str, percent: int) -> Data
         .where((F.col("n_a") < 0) | (F.col("n_b") < 0) | (F.col("c") + F.greatest(beyond(F.col("n_a")), beyond(F.col("n_b"))) >= overlap))
         .select("a", "b")
     )
-    combos = None
-    if whole is not None:
-        combos = common.stored(_combinations(whole, rule), folder, "combinations")
-        pivots = combos.groupBy("key").agg(F.min("id").alias("a"), F.count("*").alias("k")).where("k > 1").select("key", "a")
-        hub = combos.join(pivots, "key").where("id <> a").select("a", F.col("id").alias("b"))
-        candidates = candidates.unionByName(hub).distinct()
+    # Documents with too few rare tokens: few next to all, as their signatures are many.
+    crowded = common.stored(_crowded(signed, rule), folder, "crowded")
+    combo_parts = max(1, -(-(crowded.agg(F.sum(F.col("n") * 2)).first()[0] or 0) // PART_TOKENS))
+    alone = crowded.select("id", "n", "tokens", F.col("id").alias("component"))
+    candidates = candidates.unionByName(_combination_pairs(alone, rule, combo_parts, True)).distinct()
     candidates = common.stored(candidates, folder, "candidates")
+    candidates = common.stored(_possible(candidates, heads, percent).distinct(), folder, "possible")
 
-    members = candidates.select(F.col("a").alias("id")).unionByName(candidates.select(F.col("b").alias("id"))).distinct()
-    members = common.stored(members if combos is None else members.unionByName(combos.select("id")).distinct(), folder, "members")
-    verifiable = common.stored(_tokens(docs, None, bitmap(members, "id", BITS)).join(members, "id", "left_semi").dropDuplicates(["id"]), folder, "verifiable")
+    members = common.stored(_members(candidates).union(crowded.select("id")).distinct(), folder, "verified-ids")
+    verifiable = common.stored(_tokens(docs, None, bitmap(members, "id", BITS)), folder, "verifiable")
 
     star = candidates.groupBy("b").agg(F.min("a").alias("a"))
+    star = common.stored(star, folder, "star")
     links = common.stored(_verified(star, verifiable, percent), folder, "links-1")
     labels = components(links, folder, "first")
-    links = links.unionByName(common.stored(_verified(_across(candidates.join(star, ["a", "b"], "left_anti"), labels), verifiable, percent), folder, "links-2"))
-    if combos is not None:
-        labels = components(links, folder, "second")
-        tagged = combos.join(labels, "id", "left").select("key", "id", F.coalesce("component", "id").alias("component"))
-        open_keys = tagged.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y").select("key")
-        tagged = tagged.join(open_keys, "key", "left_semi")
-        left, right = tagged.toDF("key", "a", "x"), tagged.toDF("key", "b", "y")
-        rest = left.join(right, "key").where("x < y").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-        links = links.unionByName(common.stored(_verified(rest, verifiable, percent), folder, "links-3"))
-    return links
+    open_pairs = common.stored(_across(candidates.join(star, ["a", "b"], "left_anti"), labels), folder, "open")
+    links = links.unionByName(common.stored(_verified(open_pairs, verifiable, percent), folder, "links-2"))
+    labels = components(links, folder, "second")
+    tagged = crowded.join(labels, "id", "left").select("id", "n", "tokens", F.coalesce("component", "id").alias("component"))
+    rest = common.stored(_combination_pairs(tagged, rule, combo_parts, False).distinct(), folder, "rest")
+    return links.unionByName(common.stored(_verified(rest, verifiable, percent), folder, "links-3"))
 
 
 def _across(pairs: DataFrame, labels: DataFrame) -> DataFrame:
@@ -386,28 +434,104 @@ def _across(pairs: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def _short(heads: DataFrame, rule: Rule) -> DataFrame:
-    """Ids of documents whose head holds too few rare tokens."""
+    """Ids of documents of which more than the head is needed: it holds too few rare tokens."""
     shared = heads.sparkSession.sparkContext.broadcast(rule)
 
     def of(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for chunk in _chunks(batches):
-            yield _table([(i,) for i, n, tokens in chunk if not shared.value.singles(tokens, n)[1]], [("id", pa.int64())])
+            yield _table([(i,) for i, n, tokens in chunk if len(tokens) < n and not shared.value.singles(tokens, n)[1]], [("id", pa.int64())])
 
     return heads.mapInArrow(of, "id long")
 
 
-def _combinations(whole: DataFrame, rule: Rule) -> DataFrame:
-    """(key, id) for documents with too few rare tokens in their whole sets."""
-    shared = whole.sparkSession.sparkContext.broadcast(rule)
+def _runs(sorted_keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and lengths of the runs of equal keys."""
+    starts = np.flatnonzero(np.r_[True, sorted_keys[1:] != sorted_keys[:-1]])
+    return starts, np.diff(np.r_[starts, len(sorted_keys)])
+
+
+def _crowded(signed: DataFrame, rule: Rule) -> DataFrame:
+    """Whole sets (id, n, tokens) with too few rare tokens for a prefix of single ones."""
+    shared = signed.sparkSession.sparkContext.broadcast(rule)
 
     def of(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for chunk in _chunks(batches):
-            for i, n, tokens in chunk:
-                if not shared.value.singles(tokens, n)[1]:
-                    keys = shared.value.combinations(tokens, n)
-                    yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(np.full(len(keys), i))], names=["key", "id"])
+        for batch in batches:
+            sets = [np.frombuffer(t.as_buffer(), np.uint64) for t in batch.column(2)]
+            keep = [len(t) == n and not shared.value.singles(t, n)[1] for n, t in zip(batch.column(1).to_pylist(), sets, strict=True)]
+            yield batch.filter(pa.array(keep, pa.bool_()))
+
+    return signed.mapInArrow(of, "id long, n long, tokens binary").dropDuplicates(["id"])
+
+
+def _combination_pairs(crowded: DataFrame, rule: Rule, parts: int, star: bool) -> DataFrame:
+    """Candidates (a, b) of crowded(id, n, tokens, component) that meet in a combination of frequent tokens.
 
-    return whole.mapInArrow(of, "key long, id long").distinct()
+    All rare tokens of these documents are indexed singly, so a pair that meets here only shares frequent ones:
+    at most the smaller number f of those. With n tokens it can so link with sets of at most
+    f * (100 + p) / p - n tokens, which leaves out what strays too far from a group without a comparison.
+    star: of each combination the pairs with the document that strays least; else all pairs between components.
+    """
+    shared = crowded.sparkSession.sparkContext.broadcast(rule)
+    percent = rule.percent
+
+    def dealt(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rule = shared.value
+        for batch in batches:
+            rows = {"key": [], "id": [], "n": [], "most": [], "component": []}
+            for i, n, t, component in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), batch.column(3).to_pylist(), strict=True):
+                tokens = np.frombuffer(t.as_buffer(), np.uint64)
+                keys = rule.combinations(tokens, n)
+                most = int((~rule.rare(tokens)).sum()) * (100 + percent) // percent - n
+                rows["key"].append(keys)
+                for name, value in (("id", i), ("n", n), ("most", most), ("component", component)):
+                    rows[name].append(np.full(len(keys), value, np.int64))
+            if not rows["key"]:
+                continue
+            flat = {k: np.concatenate(v) for k, v in rows.items()}
+            part = (flat["key"] % np.uint64(parts)).astype(np.int32)
+            order = np.argsort(part, kind="stable")
+            flat, part = {k: v[order] for k, v in flat.items()}, part[order]
+            cuts = np.flatnonzero(np.r_[True, part[1:] != part[:-1]]) if len(part) else []
+            ends = np.r_[cuts[1:], len(part)] if len(part) else []
+            out = [(int(part[a]), *(v[a:b].tobytes() for v in flat.values())) for a, b in zip(cuts, ends, strict=True)]
+            yield _table(out, [("part", pa.int32()), *((k, pa.binary()) for k in flat)])
+
+    def paired(table: pa.Table) -> pa.Table:
+        read = lambda name, kind=np.int64: np.frombuffer(b"".join(table.column(name).to_pylist()), kind)
+        key, doc, n, most, component = read("key", np.uint64), read("id"), read("n"), read("most"), read("component")
+        order = np.lexsort((doc, n, key))
+        key, doc, n, most, component = key[order], doc[order], n[order], most[order], component[order]
+        found = [np.empty((2, 0), np.int64)]
+        if len(key):
+            starts, lengths = _runs(key)
+            # Sizes ascend within a key, so the first is the least; what can't even link with that is out.
+            able = most >= np.repeat(n[starts], lengths)
+            key, doc, n, most, component = key[able], doc[able], n[able], most[able], component[able]
+        if len(key) and star:
+            starts, lengths = _runs(key)
+            reach = most / n
+            top = np.flatnonzero(reach == np.repeat(np.maximum.reduceat(reach, starts), lengths))
+            hub = np.repeat(top[np.searchsorted(top, starts)], lengths)
+            fits = (n <= most[hub]) & (most >= n[hub]) & (doc != doc[hub])
+            found.append(np.array([np.minimum(doc, doc[hub])[fits], np.maximum(doc, doc[hub])[fits]]))
+        elif len(key):
+            starts, lengths = _runs(key)
+            open_ = np.minimum.reduceat(component, starts) != np.maximum.reduceat(component, starts)
+            for a, length in zip(starts[open_].tolist(), lengths[open_].tolist(), strict=True):
+                b = a + length
+                upto = a + np.searchsorted(n[a:b], most[a:b], "right")
+                for i in range(a, b - 1):
+                    j = slice(i + 1, int(upto[i - a]))
+                    other = doc[j][(component[j] != component[i]) & (most[j] >= n[i])]
+                    if len(other):
+                        found.append(np.array([np.minimum(other, doc[i]), np.maximum(other, doc[i])]))
+                if len(found) > 1000:
+                    found = [np.unique(np.concatenate(found, axis=1), axis=1)]
+        a, b = np.unique(np.concatenate(found, axis=1), axis=1)
+        return pa.table({"a": pa.array(a), "b": pa.array(b)})
+
+    kind = "part int, key binary, id binary, n binary, most binary, component binary"
+    return crowded.mapInArrow(dealt, kind).groupBy("part").applyInArrow(paired, "a long, b long")
 
 
 def _longs(rows: DataFrame, column: str) -> np.ndarray:
