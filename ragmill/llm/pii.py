@@ -233,7 +233,7 @@ _EDGE, _STOP = r"(?<![\w.+\-])", r"(?![\w])(?!-\d)"
 NUMBERS = (
     (re.compile(r"(?<!\w)(?=[a-fA-F]*[0-9])(?:[0-9a-f]{32,}|[0-9A-F]{32,})(?!\w)"), "secret"),
     (re.compile(r"(?<!\w)[A-Z]{2}[0-9]{2}(?: ?[0-9A-Z]{4}){2,7}(?: ?[0-9A-Z]{1,3})?(?!\w)"), "iban"),
-    (re.compile(r"(?<!\w)[0-9](?:[ \-]?[0-9]){12,18}(?![0-9])(?!\w)"), "card"),
+    (re.compile(r"(?<!\w)(?:[0-9]{13,19}|[0-9]{4}([ \-])[0-9]{4}\1[0-9]{4}\1[0-9]{1,7}|[0-9]{4}([ \-])[0-9]{6}\2[0-9]{5})(?!\w)"), "card"),
     (re.compile(r"(?<![\w\-])([0-9]{3})-([0-9]{2})-([0-9]{4})(?![\w\-])"), "ssn"),
     (re.compile(r"(?<![\w.\-])[0-9]{4}-[0-9]{2}-[0-9]{2}(?![0-9\-])"), "date"),
     (re.compile(r"(?<![\w./\-])[0-9]{1,2}([./])[0-9]{1,2}\1[0-9]{4}(?![0-9/])(?!\w)"), "date"),
@@ -250,6 +250,7 @@ def pseudonyms(key: bytes) -> Pseudonyms:
 
 def pseudonymise(docs: DataFrame, key: bytes = KEY) -> DataFrame:
     """doc_id, text with pseudonyms, n_values. The key decides the permutation; keep it secret and the same across tables."""
+    common.bounded_batches(docs.sparkSession)
 
     def of(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for group in common.groups(batches):
