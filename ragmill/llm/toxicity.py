@@ -68,11 +68,11 @@ def words_of(text: str | None) -> list[str]:
 
 
 def buckets(words: list[str]) -> np.ndarray:
-    """The three embedding rows of each word; row 0 stays zero."""
+    """The three embedding rows of each word; a word too short for a prefix has its own row in its place. Row 0 stays zero."""
     of, n = xxhash.xxh3_64_intdigest, BUCKETS - 1
     whole = [1 + of("w" + w) % n if w else 0 for w in words]
-    four = [1 + of("4" + w[:4]) % n if len(w) > 4 else 0 for w in words]
-    five = [1 + of("5" + w[:5]) % n if len(w) > 5 else 0 for w in words]
+    four = [1 + of("4" + w[:4]) % n if len(w) > 4 else x for w, x in zip(words, whole, strict=True)]
+    five = [1 + of("5" + w[:5]) % n if len(w) > 5 else x for w, x in zip(words, whole, strict=True)]
     return np.array([whole, four, five], np.int32).T
 
 
@@ -251,8 +251,12 @@ def train(rows: list[tuple[int, str | None, int]], seed: int = 7) -> Network | N
     return network
 
 
+#: What an error in another language counts when a language's threshold is set; it steadies those with few rows.
+OTHERS = 0.25
+
+
 def calibrate(network: Network, rows: list[tuple[int, str | None, int]]) -> None:
-    """Sets each language's threshold to the middle of the widest gap of outputs among those with the fewest errors."""
+    """Sets each language's threshold where errors, those of other languages counting OTHERS, are fewest."""
     outputs, languages = [], []
     reader = Reader(network)
     for start in range(0, len(rows), 64):
@@ -260,25 +264,23 @@ def calibrate(network: Network, rows: list[tuple[int, str | None, int]]) -> None
         outputs += x.tolist()
         languages += langs
     labels = [y for _, _, y in rows]
-    shared = _threshold(outputs, labels, 0.0)
     for lang in LANGUAGES:
-        own = [(x, y) for x, y, other in zip(outputs, labels, languages, strict=True) if other == lang]
-        enough = min(sum(y for _, y in own), sum(1 - y for _, y in own)) >= 5
-        network.thresholds[lang] = _threshold([x for x, _ in own], [y for _, y in own], shared) if enough else shared
+        network.thresholds[lang] = _threshold(outputs, labels, [1.0 if x == lang else OTHERS for x in languages])
 
 
-def _threshold(outputs: list[float], labels: list[int], default: float) -> float:
-    pairs = sorted(zip(outputs, labels, strict=True))
-    if len({y for _, y in pairs}) < 2:
-        return default
-    errors = sum(1 - y for _, y in pairs)
+def _threshold(outputs: list[float], labels: list[int], weights: list[float]) -> float:
+    """The middle of the widest gap between outputs among those with the least weight of errors; 0 without both labels."""
+    rows = sorted(zip(outputs, labels, weights, strict=True))
+    if len({y for _, y, _ in rows}) < 2:
+        return 0.0
+    errors = sum(w for _, y, w in rows if not y)
     best = None
-    for i in range(len(pairs) - 1):
-        errors += 1 if pairs[i][1] else -1
-        gap = pairs[i + 1][0] - pairs[i][0]
-        if gap > 0 and (best is None or (errors, -gap) < best[:2]):
-            best = errors, -gap, (pairs[i][0] + pairs[i + 1][0]) / 2
-    return best[2] if best else default
+    for (x, y, w), (following, _, _) in zip(rows, rows[1:], strict=False):
+        errors += w if y else -w
+        rank = round(errors, 6), x - following
+        if following > x and (best is None or rank < best[0]):
+            best = rank, (x + following) / 2
+    return best[1] if best else 0.0
 
 
 def sample(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE) -> list[tuple[int, str | None, int]]:
