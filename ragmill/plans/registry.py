@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions import labels, vectors
+from ..functions import labels, stem, vectors
 from ..operators import chunking, cleaning, context, fusion, layout, search, store, structure
 from ..sources.tables import Settings, document_rows, embedded_chunks, query_vector, read, text_chunks
 from .retrieval import hybrid
@@ -98,6 +98,13 @@ def lexical_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _lexical_top(spark, sf_dir).select("id", F.round("lexical_score", 6).alias("lexical_score"))
 
 
+@query()
+def lexical_topk_english(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Stems instead of words; the words of this query are stems of the tables' prose."""
+    chunks = text_chunks(spark, sf_dir).select("id", "content")
+    return search.lexical_topk(chunks, stem.query_lexemes("er tion"), 20, stem.english_lexeme)
+
+
 _FUSED = (
     _COSINE
     + ","

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import stem
 from ..operators import context, fusion, search
 from ..sources.tables import Settings
 from .providers import Answerer, Embedder, NoReranker, OfflineAnswerer, Reranker, rerank
@@ -24,7 +26,7 @@ def hybrid(chunks: DataFrame, vectors: DataFrame, vector: list[float], lexemes:
 
 @dataclass
 class Retriever:
-    """The stored tables with the models that read them."""
+    """The stored tables with the models that read them; english: match stems and skip stop words."""
 
     chunks: DataFrame
     pages: DataFrame
@@ -33,13 +35,15 @@ class Retriever:
     reranker: Reranker = NoReranker()
     answerer: Answerer = OfflineAnswerer()
     settings: Settings = Settings()
+    english: bool = False
 
     def search(self, question: str) -> DataFrame:
         if not question.strip():
             raise ValueError("the question is blank")
         near = search.vector_topk(self.chunks.select("id", "embedding"), self.embedder.one(question), self.settings.vector_k).select("id", "vector_score")
-        lexemes = [t.lower() for t in question.split()]
-        found = fusion.combine(near, search.lexical_topk(self.chunks.select("id", "content"), lexemes, self.settings.lexical_k))
+        lexemes = stem.query_lexemes(question) if self.english else re.findall(r"[^\W_]+", question.lower())
+        lexical = search.lexical_topk(self.chunks.select("id", "content"), lexemes, self.settings.lexical_k, stem.english_lexeme if self.english else None)
+        found = fusion.combine(near, lexical)
         candidates = found.join(self.chunks.drop("embedding"), "id")
         return rerank(candidates, question, self.reranker, self.settings.top_k)
 
