@@ -7,8 +7,8 @@ equality only.
 
 Two lines within t edits share one of t + 1 segments of the shorter one, at a place that its length and the
 segment's number confine. Distinct lines are indexed by (length, segment number, hash of the segment); each
-probes the indexes of its own and up to t smaller lengths with the substrings that can match. The pairs that
-meet are verified by a banded bit-parallel edit distance (Hyyrö 2003): one word holds the 2t + 1 diagonals.
+probes the indexes of its own and up to t smaller lengths with the substrings that can match. Of the pairs that
+meet, those go that differ in too many of eight blocks or in their letters; the rest is verified by a banded bit-parallel edit distance (Hyyrö 2003): one word holds the 2t + 1 diagonals.
 
 Equal lines are one row (128-bit hash of the line) before any join, so frequent lines cost no pairs.
 
@@ -28,28 +28,63 @@ from .quality import let
 EDITS = 2
 LEAST = 40
 _LAST = (1 << 63) - 1
+#: Lines whose texts are looked up by a broadcast; more are looked up by a shuffled join.
+BROADCAST_LINES = 500_000
 
 
-def _cut(length: Column, i: int, edits: int) -> tuple[Column, Column]:
-    """Start (from 1) and length of segment i of a line."""
-    start = F.floor(length * i / (edits + 1))
-    return (start + 1).cast("int"), (F.floor(length * (i + 1) / (edits + 1)) - start).cast("int")
+def _cuts(edits: int) -> list[tuple[int, int, int]]:
+    """(length less, segment, shift) of every signature of a line."""
+    return [
+        (less, i, shift)
+        for less in range(edits + 1)
+        for i in range(edits + 1)
+        for shift in range(max(-i, less - (edits - i)), min(i, less + (edits - i)) + 1)
+    ]
 
 
-def signatures(line: Column, edits: int) -> Column:
-    """Array of (sig, indexed) of a line: its own segments, and the substrings that a shorter or equal line's may match."""
-    own = F.length(line)
-    out = []
-    for less in range(edits + 1):
-        length = own - less
-        for i in range(edits + 1):
-            start, size = _cut(length, i, edits)
-            low, high = max(-i, less - (edits - i)), min(i, less + (edits - i))
-            for shift in range(low, high + 1):
-                sig = F.xxhash64(length, F.lit(i), F.substr(line, start + shift, size))
-                inside = (start + shift >= 1) & (start + shift + size - 1 <= own)
-                out.append(F.when(inside, F.struct(sig.alias("sig"), F.lit(less == 0 and shift == 0).alias("indexed"))))
-    return F.filter(F.array(*out), lambda x: x.isNotNull())
+def indexed(edits: int) -> list[int]:
+    """Places of a line's own segments among its signatures; a shorter or equal line may match any of the others too."""
+    return [k for k, (less, _, shift) in enumerate(_cuts(edits)) if less == 0 and shift == 0]
+
+
+def same_length(edits: int) -> list[int]:
+    """Places of the signatures that look for lines of the same length."""
+    return [k for k, (less, _, _) in enumerate(_cuts(edits)) if less == 0]
+
+
+def signatures(line: Column, length: Column, edits: int) -> Column:
+    """Hashes of a line's segments, and of the substrings that another line's segments may match; null outside the line.
+
+    One lambda over the constant cuts: written out, they'd make a method too long to be compiled.
+    """
+    cuts = F.array(*[F.struct(F.lit(less).alias("less"), F.lit(i).alias("i"), F.lit(shift).alias("shift")) for less, i, shift in _cuts(edits)])
+
+    def one(c: Column) -> Column:
+        other = length - c["less"]
+        start = F.floor(other * c["i"] / (edits + 1)).cast("int") + 1 + c["shift"]
+        end = F.floor(other * (c["i"] + 1) / (edits + 1)).cast("int") + c["shift"]
+        return F.when((start >= 1) & (end <= length), F.xxhash64(other, c["i"], F.substr(line, start, end - start + 1)))
+
+    return F.transform(cuts, one)
+
+
+def blocks_agree(a: Column, b: Column, edits: int, blocks: int = 8) -> Column:
+    """Whether all but `edits` of a's blocks stand in b, at most `edits` places off: true of any lines within reach."""
+    found = F.lit(0)
+    for k in range(blocks):
+        start = F.floor(F.length(a) * k / blocks).cast("int")
+        size = F.floor(F.length(a) * (k + 1) / blocks).cast("int") - start
+        low = F.greatest(F.lit(1), start + 1 - edits)
+        area = F.substr(b, low, start + 1 + size + edits - low)
+        found = found + F.contains(area, F.substr(a, start + 1, size)).cast("int")
+    return found >= blocks - edits
+
+
+def letters_agree(a: Column, b: Column, edits: int) -> Column:
+    """Whether the counts of the commonest letters differ by at most two per edit in all: true of any lines within reach."""
+    letters = F.array(*[F.lit(c) for c in "etaoinsrhldcumfpgwybvk"])
+    apart = F.transform(letters, lambda c: F.abs(F.length(F.replace(a, c, F.lit(""))) - F.length(a) + F.length(b) - F.length(F.replace(b, c, F.lit("")))))
+    return F.aggregate(apart, F.lit(0), lambda s, x: s + x) <= 2 * edits
 
 
 def edit_distance_within(a: Column, b: Column, edits: int) -> Column:
@@ -123,31 +158,32 @@ def removed(docs: DataFrame, folder: str, edits: int = EDITS, least: int = LEAST
     """(d, t, ps): the places of the lines that go, by document."""
     lines = _lines(docs)
     at = F.struct("d", "t", "p")
-    sigs = F.when(F.length("line") >= least, signatures(F.col("line"), edits))
-    occurrences = lines.select(*_key(), at.alias("at"), sigs.alias("sigs"))
+    sigs = F.when(F.col("n") >= least, signatures(F.col("line"), F.col("n"), edits))
+    occurrences = lines.withColumn("n", F.length("line")).select(*_key(), at.alias("at"), sigs.alias("sigs"))
     # The signatures follow from the line, so any of a group's will do.
-    distinct = common.stored(occurrences.groupBy("h", "g").agg(F.min(F.struct("at", "sigs")).alias("x")).select("h", "g", "x.at", "x.sigs"), folder, "distinct")
-    rows = distinct.where(F.col("sigs").isNotNull()).select("h", "g", F.explode("sigs").alias("s")).select("h", "g", "s.sig", "s.indexed")
-    index, probes = rows.where("indexed").select("sig", F.col("h").alias("h2"), F.col("g").alias("g2")), rows.select("sig", "h", "g")
-    pairs = probes.join(index, "sig").where("h <> h2 OR g <> g2").select("h", "g", "h2", "g2").distinct()
-    firsts = distinct.select("h", "g", "at")
-    pairs = pairs.join(firsts, ["h", "g"]).join(firsts.select(F.col("h").alias("h2"), F.col("g").alias("g2"), F.col("at").alias("at2")), ["h2", "g2"])
+    grouped = occurrences.groupBy("h", "g").agg(F.min(F.struct("at", "sigs")).alias("x"))
+    distinct = common.stored(grouped.select("h", "g", "x.at", "x.sigs"), folder, "distinct")
+    # From here one half of a line's hash names it; should two lines share it, both are looked at.
+    rows = distinct.where(F.col("sigs").isNotNull()).select("h", F.posexplode("sigs").alias("k", "sig")).where(F.col("sig").isNotNull())
+    index = rows.where(F.col("k").isin(indexed(edits))).select(F.col("sig").alias("sig2"), F.col("h").alias("h2"))
+    probes = rows.select("h", "sig", F.col("k").isin(same_length(edits)).alias("same"))
+    # Of two lines of one length either may probe the other, so one does.
+    meet = F.expr("sig = sig2 AND h <> h2 AND (h < h2 OR NOT same)")
+    pairs = probes.join(index, meet).select("h", "h2").distinct()
+    firsts = distinct.select("h", "at")
+    pairs = pairs.join(firsts, "h").join(firsts.select(F.col("h").alias("h2"), F.col("at").alias("at2")), "h2")
     # In each pair the one that first occurs later may go; the pairs may come from either side.
-    later = common.stored(
-        pairs.select("h", "g", "h2", "g2", F.greatest("at", "at2").alias("late"), F.least("at", "at2").alias("early")).select("h", "g", "h2", "g2", "late", "early"),
-        folder,
-        "pairs",
-    )
-    wanted = later.select("late").union(later.select("early")).distinct().select("late.*")
-    texts = wanted.join(_order(docs).dropDuplicates(["d", "t"]), ["d", "t"]).select(F.struct("d", "t", "p").alias("at"), F.get(F.split("text", "\n"), F.col("p")).alias("line"))
-    texts = common.stored(texts, folder, "texts")
+    later = common.stored(pairs.select(F.greatest("at", "at2").alias("late"), F.least("at", "at2").alias("early")).distinct(), folder, "pairs")
+    wanted = common.stored(later.select("late").union(later.select("early")).distinct().select("late.*"), folder, "wanted")
+    wanted = F.broadcast(wanted) if wanted.count() <= BROADCAST_LINES else wanted
+    texts = _order(docs).join(wanted, ["d", "t"]).select(F.struct("d", "t", "p").alias("at"), F.get(F.split("text", "\n"), F.col("p")).alias("line"))
+    texts = common.stored(texts.distinct(), folder, "texts")
     both = (
-        later.select("late", "early")
-        .distinct()
-        .join(texts.select(F.col("at").alias("late"), F.col("line").alias("a")), "late")
+        later.join(texts.select(F.col("at").alias("late"), F.col("line").alias("a")), "late")
         .join(texts.select(F.col("at").alias("early"), F.col("line").alias("b")), "early")
         .where(F.abs(F.length("a") - F.length("b")) <= edits)
     )
+    both = common.stored(both.where(blocks_agree(F.col("a"), F.col("b"), edits)).where(letters_agree(F.col("a"), F.col("b"), edits)), folder, "likely")
     near = both.where(edit_distance_within(F.col("a"), F.col("b"), edits)).select(F.xxhash64("a").alias("h"), F.xxhash64(F.lit(1), "a").alias("g")).distinct()
     near = common.stored(near, folder, "near")
     # Of a line within reach of an earlier one every occurrence goes; of others all but the first.
