@@ -125,11 +125,12 @@ def test_edit_distance_and_segments(spark, edits):
         pairs.append(("".join(a), "".join(b)))
     pairs = [sorted(p, key=len) for p in pairs if abs(len(p[0]) - len(p[1])) <= edits]
     df = spark.createDataFrame(pairs, "a string, b string")
-    found = df.select("a", "b", lines.edit_distance_within(F.col("a"), F.col("b"), edits), lines.signatures(F.col("a"), edits), lines.signatures(F.col("b"), edits)).collect()
-    for a, b, near, of_a, of_b in found:
+    found = df.select("a", "b", lines.edit_distance_within(F.col("a"), F.col("b"), edits), *[lines.signatures(F.col(x), F.length(x), edits) for x in "ab"], lines.blocks_agree(F.col("a"), F.col("b"), edits) & lines.letters_agree(F.col("a"), F.col("b"), edits)).collect()
+    for a, b, near, of_a, of_b, agree in found:
         assert near == (brute.edit_distance(a, b) <= edits), (a, b)
         if near and len(a) > 2 * edits + 1:
-            assert {x.sig for x in of_a if x.indexed} & {x.sig for x in of_b}, (a, b)
+            assert {of_a[k] for k in lines.indexed(edits)} & {x for x in of_b if x is not None}, (a, b)
+        assert agree or not near, (a, b)
 
 
 ITEMS = [(0, None), (1, ""), (2, "one two"), (3, "two one"), (4, "alpha beta gamma delta epsilon zeta eta theta iota kappa"), (4, "alpha beta gamma delta epsilon zeta eta theta iota kappa")]
