@@ -207,12 +207,17 @@ def fit(counts: dict[int, int]) -> Model:
     return model
 
 
-def pattern_counts(measured: DataFrame) -> dict[int, int]:
-    """Texts by vote pattern; those that the base rules reject anyway don't teach the model."""
-    rows = measured.where(~base_failed(F.col("q"))).groupBy(pattern(F.col("q")).alias("code")).count().collect()
+def pattern_counts(patterns: DataFrame) -> dict[int, int]:
+    """Texts by vote pattern, from the column `code`; null codes, of texts that the base rules reject anyway, don't teach."""
+    rows = patterns.where(F.col("code").isNotNull()).groupBy("code").count().collect()
     return {r["code"]: r["count"] for r in rows}
 
 
+def lesson(q: Column) -> Column:
+    """The vote pattern of a text that the base rules pass, else null."""
+    return F.when(~base_failed(q), pattern(q))
+
+
 def posterior(q: Column, model: Model) -> Column:
     odds = F.lit(math.log(model.good / (1 - model.good)))
     for r, rule in enumerate(RULES):
@@ -225,8 +230,8 @@ def judge(docs: DataFrame) -> DataFrame:
     """doc_id, the base measures, base_failed, probability, kept. Texts are measured once; the measures are stored."""
     folder = common.work_folder(docs.sparkSession)
     measured = common.stored(docs.select("doc_id", measures(F.col("text")).alias("q")), folder, "measures")
-    model = fit(pattern_counts(measured))
     q = F.col("q")
+    model = fit(pattern_counts(measured.select(lesson(q).alias("code"))))
     return measured.select(
         "doc_id",
         *[q[c].alias(c) for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")],
@@ -237,8 +242,11 @@ def judge(docs: DataFrame) -> DataFrame:
 
 
 def keep_good(docs: DataFrame) -> DataFrame:
-    """The rows of docs that judge() keeps, with all their columns. Texts are measured twice, so that none is shuffled."""
-    model = fit(pattern_counts(docs.select(measures(F.col("text")).alias("q"))))
-    q = F.col("q")
-    measured = docs.select(F.struct("*").alias("row"), measures(F.col("text")).alias("q"))
-    return measured.where(~base_failed(q) & (posterior(q, model) >= KEEP)).select("row.*")
+    """The rows of docs that judge() keeps, with all their columns. Texts are measured twice, so that none is shuffled.
+
+    Measures are bound inside one expression: as a column, every use in a filter would measure the text again.
+    """
+    # The round trip through an array keeps the optimizer from copying the expression into the filter on it.
+    codes = docs.select(F.explode(F.array(let(measures(F.col("text")), lesson))).alias("code"))
+    model = fit(pattern_counts(codes))
+    return docs.where(let(measures(F.col("text")), lambda q: ~base_failed(q) & (posterior(q, model) >= KEEP)))
