@@ -19,7 +19,6 @@ import json
 import struct
 import unicodedata
 from collections.abc import Iterable, Iterator
-from os.path import commonprefix
 
 import pyarrow as pa
 import regex
@@ -31,7 +30,9 @@ from .token_counts import SPACES, byte_symbols
 END = "</w>"
 #: How the vocabulary splits a normalised text into words.
 PATTERN = rf"'s|'t|'re|'ve|'m|'ll|'d|\p{{L}}+|\p{{N}}|[^{SPACES}\p{{L}}\p{{N}}]+"
-_PAIRS = 1_000_000
+#: Token pairs, and words, that a worker keeps.
+_PAIRS = 200_000
+KNOWN = 400_000
 
 
 class TrieEncoder:
@@ -69,33 +70,38 @@ class TrieEncoder:
             known = self.stable[left, right] = self.merged(parts) == ([left, right] if left else [right])
         return known
 
-    def state(self, word: str, depth: int, states: list[str], mark: str) -> str:
-        vocab, stable = self.vocab, self.stable
-        for start in range(max(0, depth - self.longest), depth):
-            token = word[start:depth] + mark
-            if token in vocab:
-                left = states[start]
-                known = stable.get((left, token))
-                if known or known is None and self.fits(left, token):
-                    return token
-        raise ValueError("no token of the vocabulary ends this prefix")
-
     def encode(self, words: Iterable[str]) -> dict[str, list[str]]:
         """Tokens of distinct words, given in byte symbols."""
+        vocab, stable, fits, longest = self.vocab, self.stable, self.fits, self.longest
         out: dict[str, list[str]] = {}
         states, last = [""], ""
         for word in sorted(words):
-            del states[min(len(commonprefix((last, word))), len(last) - 1 if last else 0) + 1 :]
-            for depth in range(len(states), len(word)):
-                states.append(self.state(word, depth, states, ""))
-            depth, token = len(word), self.state(word, len(word), states, END)
-            tokens = []
-            while True:
-                tokens.append(token)
-                depth -= len(token.removesuffix(END) if depth == len(word) else token)
-                if not depth:
+            size = len(word)
+            # States of the common prefix stay; a word's last symbol, which carries the end mark, has its own node.
+            same = 0
+            for a, b in zip(word[: size - 1], last[:-1], strict=False):
+                if a != b:
                     break
+                same += 1
+            del states[same + 1 :]
+            for depth in range(same + 1, size + 1):
+                end = END if depth == size else ""
+                for start in range(depth - longest if depth > longest else 0, depth):
+                    token = word[start:depth] + end
+                    if token in vocab:
+                        left = states[start]
+                        known = stable.get((left, token))
+                        if known or known is None and fits(left, token):
+                            break
+                else:
+                    raise ValueError("no token of the vocabulary ends this prefix")
+                if depth < size:
+                    states.append(token)
+            tokens, depth = [token], size - len(token) + len(END)
+            while depth:
                 token = states[depth]
+                tokens.append(token)
+                depth -= len(token)
             out[word] = tokens[::-1]
             last = word
         return out
@@ -112,15 +118,16 @@ class Codec:
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.special_split = regex.compile("(" + "|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) + ")")
         self.split = regex.compile(PATTERN)
-        self.spaces = regex.compile(f"[{SPACES}]+")
         self.table = byte_symbols()
         self.known: dict[str, tuple[bytes, str]] = {}
         self.names = self.encoder.names | {i: t for t, i in self.special.items()}
 
     def words(self, text: str) -> list[str]:
-        # Letters are lower-cased one by one, so a final sigma has no form of its own.
-        text = self.spaces.sub(" ", unicodedata.normalize("NFC", text)).replace("Σ", "σ").lower()
-        return self.split.findall(text)
+        if not text.isascii():
+            # Letters are lower-cased one by one, so a final sigma has no form of its own.
+            text = unicodedata.normalize("NFC", text).replace("Σ", "σ")
+        # Runs of white space, which the vocabulary makes one space, stand between words and go either way.
+        return self.split.findall(text.lower())
 
     def learn(self, words: set[str]) -> None:
         spelled = {"".join(map(self.table.__getitem__, w.encode())): w for w in words}
@@ -141,7 +148,7 @@ class Codec:
             else:
                 split.append(self.words(text))
         new = set().union(*split).difference(self.known) if split else set()
-        if new and len(self.known) + len(new) > common.CACHE_WORDS:
+        if new and len(self.known) + len(new) > KNOWN:
             self.known.clear()
             new = set().union(*split)
         for x in [x for x in new if isinstance(x, tuple)]:
@@ -170,6 +177,7 @@ _SQL = {"n_tokens": "long", "ids": "binary", "decoded": "string", "ids_sha256":
 
 def encode_decode(docs: DataFrame, vocabulary: str, columns: tuple[str, ...] = ("n_tokens", "ids", "decoded")) -> DataFrame:
     """doc_id and the named columns of each row: n_tokens, ids (little-endian 32-bit), decoded, ids_sha256, decoded_sha256."""
+    common.bounded_batches(docs.sparkSession)
 
     def of(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         make = {
