@@ -72,16 +72,16 @@ ORACLES: dict[str, str] = {
         WITH l AS (
             SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS p
             FROM documents),
-        first AS (SELECT line, min((doc_id, p)) AS at FROM l WHERE regexp_matches(line, '[^\x20\x09-\x0D]') GROUP BY line),
-        lengthy AS (SELECT line, at, length(line) AS n FROM first WHERE length(line) >= 40),
+        firsts AS (SELECT line, min((doc_id, p)) AS place FROM l WHERE regexp_matches(line, '[^\x20\x09-\x0D]') GROUP BY line),
+        lengthy AS (SELECT line, place, length(line) AS n FROM firsts WHERE length(line) >= 40),
         near AS (
-            SELECT DISTINCT a.line FROM lengthy a JOIN lengthy b ON a.n BETWEEN b.n - 2 AND b.n + 2 AND b.at < a.at
+            SELECT DISTINCT a.line FROM lengthy a JOIN lengthy b ON a.n BETWEEN b.n - 2 AND b.n + 2 AND b.place < a.place
             WHERE (left(a.line, a.n // 3) = left(b.line, a.n // 3) OR right(a.line, a.n // 3) = right(b.line, a.n // 3)
                    OR contains(b.line, substr(a.line, a.n // 3 + 1, a.n // 3)))
               AND levenshtein(a.line, b.line) <= 2),
         kept AS (
-            SELECT l.doc_id, l.p, l.line FROM l LEFT JOIN first USING (line) LEFT JOIN near ON near.line = l.line
-            WHERE first.at IS NULL OR (near.line IS NULL AND first.at = (l.doc_id, l.p))),
+            SELECT l.doc_id, l.p, l.line FROM l LEFT JOIN firsts USING (line) LEFT JOIN near ON near.line = l.line
+            WHERE firsts.place IS NULL OR (near.line IS NULL AND firsts.place = (l.doc_id, l.p))),
         joined AS (SELECT doc_id, count(*) AS k, string_agg(line, chr(10) ORDER BY p) AS text FROM kept GROUP BY doc_id)
         SELECT d.doc_id, CASE WHEN coalesce(d.text, '') = '' THEN 0 ELSE len(string_split(d.text, chr(10))) END AS n_lines,
                CASE WHEN coalesce(d.text, '') = '' THEN 0 ELSE len(string_split(d.text, chr(10))) - coalesce(k, 0) END AS n_removed,
