@@ -66,7 +66,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_line_dedup": op9_line_dedup,
     "op10_passage_dedup": op10_passage_dedup,
 }
-#: Bigrams, tries, networks and permutations have no SQL; containment of shingles has.
+#: Networks, expectation-maximisation, merges, Dice stretches and permutations have no SQL; sets, lines and windows have.
 ORACLES: dict[str, str] = {
     "op9_line_dedup": r"""
         WITH l AS (
@@ -106,4 +106,31 @@ ORACLES: dict[str, str] = {
         FROM ds JOIN its USING (s) JOIN sizes USING (item_id)
         GROUP BY doc_id, item_id HAVING 100 * count(*) >= 75 * any_value(n)
     """,
+    "op8_jaccard_join": r"""
+        WITH RECURSIVE t AS (
+            SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+                   'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w
+            FROM documents),
+        s AS (SELECT DISTINCT doc_id, array_to_string(w[i:i + 4], ' ') AS x
+              FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 3, 2))) AS i FROM t WHERE len(w) > 0)),
+        sizes AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+        shared AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM s a JOIN s b ON a.x = b.x AND a.doc_id <> b.doc_id GROUP BY ALL),
+        links AS (SELECT a, b FROM shared JOIN sizes m ON m.doc_id = a JOIN sizes n ON n.doc_id = b WHERE 100 * c >= 75 * (m.n + n.n - c)),
+        reach AS (SELECT doc_id AS a, doc_id AS b FROM t UNION SELECT reach.a, links.b FROM reach JOIN links ON links.a = reach.b)
+        SELECT t.doc_id, coalesce(n, 0) AS n_shingles, component_id
+        FROM t LEFT JOIN sizes USING (doc_id) JOIN (SELECT a AS doc_id, min(b) AS component_id FROM reach GROUP BY a) USING (doc_id)
+    """,
+    "op10_passage_dedup": r"""
+        WITH t AS (
+            SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
+        windows AS (SELECT doc_id, i, array_to_string(w[i:i + 34], ' ') AS x
+                    FROM (SELECT doc_id, w, unnest(range(1, len(w) - 33)) AS i FROM t WHERE len(w) >= 35)),
+        again AS (SELECT x FROM windows GROUP BY x HAVING count(*) > 1),
+        gone AS (SELECT DISTINCT doc_id, unnest(range(i, i + 35)) AS j FROM windows JOIN again USING (x)),
+        words AS (SELECT doc_id, unnest(w) AS word, generate_subscripts(w, 1) AS j FROM t),
+        kept AS (SELECT doc_id, string_agg(word, ' ' ORDER BY j) AS k FROM words ANTI JOIN gone USING (doc_id, j) GROUP BY doc_id),
+        counts AS (SELECT doc_id, count(*) AS c FROM gone GROUP BY doc_id)
+        SELECT doc_id, len(w) AS n_words, coalesce(c, 0) AS n_removed, sha256(coalesce(k, '')) AS kept_sha256
+        FROM t LEFT JOIN counts USING (doc_id) LEFT JOIN kept USING (doc_id)
+    """,
 }
