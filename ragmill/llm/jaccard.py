@@ -351,10 +351,12 @@ def _links(docs: DataFrame, nodes: DataFrame, folder: str, percent: int) -> Data
     spark = docs.sparkSession
     ids = nodes.select(F.col("node").alias("id")).distinct()
     heads = common.stored(_tokens(docs, percent).join(ids, "id", "left_semi"), folder, "heads")
+    common.release(spark)
     total = nodes.agg(F.sum("n")).first()[0] or 0
     parts = max(1, -(-total * (100 - percent) // (100 * PART_TOKENS)))
 
     counts = common.stored(_count(heads, Rule(percent, np.empty(0, np.uint64)), parts, False), folder, "counts")
+    common.release(spark)
     limit = COMMON
     while counts.where(F.col("n") > limit).count() > MOST_FREQUENT:
         limit *= 2  # prefixes hold a bounded number of tokens, so the frequent ones stay below their bound
@@ -378,7 +380,7 @@ def _links(docs: DataFrame, nodes: DataFrame, folder: str, percent: int) -> Data
         signed = heads if whole is None else heads.unionByName(whole)
         more = common.stored(_count(signed, rule, max(1, parts // 8), True), folder, f"more-{step}")
         added = _longs(more.where(F.col("n") > limit), "token")
-        if len(added) <= max(8, len(frequent) // 10):
+        if len(added) <= max(8, len(frequent) // 50):
             break  # the rest is small; what still crowds a token is caught when pairs are made
         frequent = np.union1d(frequent, added)
     extra = bitmap(more, "token", BITS)
@@ -410,6 +412,7 @@ def _links(docs: DataFrame, nodes: DataFrame, folder: str, percent: int) -> Data
     candidates = candidates.unionByName(_combination_pairs(alone, rule, combo_parts, True)).distinct()
     candidates = common.stored(candidates, folder, "candidates")
     candidates = common.stored(_possible(candidates, heads, percent).distinct(), folder, "possible")
+    common.release(spark)
 
     members = common.stored(_members(candidates).union(crowded.select("id")).distinct(), folder, "verified-ids")
     verifiable = common.stored(_tokens(docs, None, bitmap(members, "id", BITS)), folder, "verifiable")
