@@ -361,12 +361,15 @@ def _links(docs: DataFrame, nodes: DataFrame, folder: str, percent: int) -> Data
     while counts.where(F.col("n") > limit).count() > MOST_FREQUENT:
         limit *= 2  # prefixes hold a bounded number of tokens, so the frequent ones stay below their bound
     frequent = _longs(counts.where(F.col("n") > limit), "token")
-    repeated = bitmap(counts, "token", BITS)
+    plain = bitmap(counts, "token", BITS)
 
+    # Tokens of one prefix only are left out, so there are fewer parts than in the count.
+    pair_parts = max(1, -(-((counts.agg(F.sum(F.least("n", F.lit(4 * limit)))).first()[0] or 0)) // PART_TOKENS))
     whole = None
     step = 0
     while True:
-        # What prefixes take in beyond their frequent tokens may be frequent itself.
+        # Whatever changes the rule, prefixes grow by it: sets whose head is too short for it come whole, and
+        # what prefixes take in beyond their frequent tokens is counted again, as it may be frequent itself.
         step += 1
         rule = Rule(percent, frequent)
         short = _short(heads, rule)
@@ -380,20 +383,16 @@ def _links(docs: DataFrame, nodes: DataFrame, folder: str, percent: int) -> Data
         signed = heads if whole is None else heads.unionByName(whole)
         more = common.stored(_count(signed, rule, max(1, parts // 8), True), folder, f"more-{step}")
         added = _longs(more.where(F.col("n") > limit), "token")
-        if len(added) <= max(8, len(frequent) // 50):
-            break  # the rest is small; what still crowds a token is caught when pairs are made
-        frequent = np.union1d(frequent, added)
-    extra = bitmap(more, "token", BITS)
-    repeated = Bitmap(repeated.words | extra.words)
-
-    # Tokens of one prefix only are left out, so there are fewer parts than in the count.
-    pair_parts = max(1, -(-((counts.agg(F.sum(F.least("n", F.lit(4 * limit)))).first()[0] or 0)) // PART_TOKENS))
-    while True:
-        raw = common.stored(_pairs(signed, rule, repeated, pair_parts, 4 * limit), folder, f"raw-{len(rule.frequent)}")
+        if len(added) > max(8, len(frequent) // 50):
+            frequent = np.union1d(frequent, added)
+            continue
+        # The rest is small; what still crowds a token is caught when pairs are made.
+        repeated = Bitmap(plain.words | bitmap(more, "token", BITS).words)
+        raw = common.stored(_pairs(signed, rule, repeated, pair_parts, 4 * limit), folder, "raw")
         over = _longs(raw.where("c = 0"), "a")
         if not len(over):
             break
-        rule = Rule(percent, np.union1d(rule.frequent, over))
+        frequent = np.union1d(frequent, over)
     # Both prefixes end somewhere in the order. What the one that ends first shares with the other set, it
     # shares with its prefix, and beyond its prefix it has n - m - 1 tokens.
     beyond = lambda n: F.ceil(F.abs(n) * percent / 100) - 1

@@ -42,6 +42,16 @@ def test_components_of_a_crowd(spark):
     assert found == brute.components(rows)
 
 
+@pytest.mark.parametrize("length", [24, 28])
+def test_components_of_short_near_copies(spark, length):
+    """More near copies than a single token may have documents: the rule changes when pairs are made, and heads grow too short for it."""
+    rng = random.Random(length)
+    words = sentence(rng, length - 1).split()
+    rows = [(k, " ".join([*words, f"end{k}"])) for k in range(80)]
+    found = listed(jaccard.near_duplicates(make(spark, rows)), "doc_id", "n_shingles", "component_id")
+    assert found == brute.components(rows)
+
+
 def test_combinations_miss_no_pair():
     """Sets of frequent tokens alone: every pair that links shares a combination."""
     import numpy as np
