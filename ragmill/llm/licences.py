@@ -2,6 +2,8 @@
 
 Texts and templates are normalised alike: lower case, everything but letters and digits becomes a space,
 copyright lines go. A stretch is one or more whole lines that follow each other; the whole text is one too.
+Where no stretch of whole lines reaches THRESHOLD, any run of words is one, so a licence may share its lines
+with other prose, or with a copyright line.
 A stretch that reaches THRESHOLD shares enough bigrams with the template to hold one of its key bigrams (all
 but so many that the rest could not suffice alone), so lines are first probed for those. Around a probe hit,
 only stretches within the size bounds that the threshold sets for the template are compared.
@@ -56,6 +58,25 @@ DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVI
 INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING
 NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH
 DAMAGE.""",
+    "BSD-3-Clause": """Redistribution and use in source and binary forms, with or without modification, are permitted provided
+that the following conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list of
+conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this
+list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution.
+3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products
+derived from this software without specific prior written permission. THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND
+CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF
+MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE
+LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO,
+PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY
+THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT
+OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE.""",
+    "Zlib": """This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable
+for any damages arising from the use of this software. Permission is granted to anyone to use this software for any purpose,
+including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions: 1. The
+origin of this software must not be misrepresented; you must not claim that you wrote the original software. If you use this
+software in a product, an acknowledgment in the product documentation would be appreciated but is not required. 2. Altered
+source versions must be plainly marked as such, and must not be misrepresented as being the original software. 3. This notice
+may not be removed or altered from any source distribution.""",
     "BSD notice": "Use of this source code is governed by a BSD-style license that can be found in the LICENSE file.",
     "Apache-2.0": """Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance
 with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0 Unless required by
@@ -68,6 +89,38 @@ License as published by the Free Software Foundation, either version 3 of the Li
 This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of
 MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU General Public License for more details. You should have
 received a copy of the GNU General Public License along with this program. If not, see <https://www.gnu.org/licenses/>.""",
+    "GPL-2.0": """This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License
+as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version.
+This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of
+MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU General Public License for more details. You should have
+received a copy of the GNU General Public License along with this program; if not, write to the Free Software
+Foundation, Inc., 51 Franklin Street, Fifth Floor, Boston, MA 02110-1301 USA.""",
+    "GPL-2.0 with URL": """This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License
+as published by the Free Software Foundation, either version 2 of the License, or (at your option) any later version.
+This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of
+MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU General Public License for more details. You should have
+received a copy of the GNU General Public License along with this program. If not, see <https://www.gnu.org/licenses/>.""",
+    "LGPL-2.1": """This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License
+as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version.
+This library is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of
+MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU Lesser General Public License for more details. You should have
+received a copy of the GNU Lesser General Public License along with this library; if not, write to the Free Software
+Foundation, Inc., 51 Franklin Street, Fifth Floor, Boston, MA 02110-1301 USA.""",
+    "LGPL-2.1 with URL": """This library is free software: you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License
+as published by the Free Software Foundation, either version 2.1 of the License, or (at your option) any later version.
+This library is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of
+MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU Lesser General Public License for more details. You should have
+received a copy of the GNU Lesser General Public License along with this library. If not, see <https://www.gnu.org/licenses/>.""",
+    "LGPL-3.0": """This program is free software: you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License
+as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.
+This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of
+MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU Lesser General Public License for more details. You should have
+received a copy of the GNU Lesser General Public License along with this program. If not, see <https://www.gnu.org/licenses/>.""",
+    "AGPL-3.0": """This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License
+as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.
+This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of
+MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU Affero General Public License for more details. You should have
+received a copy of the GNU Affero General Public License along with this program. If not, see <https://www.gnu.org/licenses/>.""",
     "GPL-3.0 notice": "This work is licensed under the GNU General Public License, version 3.",
     "GPL-2.0 notice": "This work is licensed under the GNU General Public License, version 2.",
     "LGPL-3.0 notice": "This work is licensed under the GNU Lesser General Public License, version 3.",
@@ -126,12 +179,43 @@ class Scanner:
         self.probe = re.compile(r"(?<![^\W_])(?:" + "|".join(rf"{a}[\W_]+(?:{'|'.join(sorted(bs))})" for a, bs in sorted(firsts.items())) + r")(?![^\W_])")
         self.first_word = re.compile("|".join(sorted(firsts)))
 
+    def best_run(self, grams: list[tuple[tuple[str, str], int, int]], name: str) -> tuple[float, int, int] | None:
+        """(Dice, first line, last line) of a template's best and then first run of words, given as bigrams with their lines.
+
+        A best run begins and ends with bigrams of the template, and its first one doesn't come again in it. One
+        with more than 2n (1 - t) / t bigrams that the template lacks can't reach the threshold t.
+        """
+        template = self.templates[name]
+        n, foreign = len(template), 2 * len(template) * (1 - self.threshold) / self.threshold + 1e-9
+        best = None
+        for start, (head, first, _) in enumerate(grams):
+            if head not in template:
+                continue
+            held: set[tuple[str, str]] = set()
+            shared = 0
+            for k in range(start, len(grams)):
+                x, _, last = grams[k]
+                if x in held:
+                    if x == head:
+                        break
+                    continue
+                held.add(x)
+                if x in template:
+                    shared += 1
+                    score = 2 * shared / (len(held) + n)
+                    if score >= self.threshold and (best is None or score > best[0]):
+                        best = score, first, last
+                elif len(held) - shared > foreign:
+                    break
+        return best
+
     def scan(self, text: str) -> list[tuple[str, float, int, int]]:
         """(template, Dice, first line, last line) of each template's best stretch that no liker one overlaps."""
         lowered = text.lower()
         if not self.probe.search(lowered):
             return []
-        lines = [normalised(x) for x in _COPYRIGHT.sub("", text).split("\n")]
+        raw = text.split("\n")
+        lines = [[] if _COPYRIGHT.match(x) else normalised(x) for x in raw]
         # A line's bigrams, with the one that leads into it from the last line with words.
         own: list[set[tuple[str, str]]] = []
         into: list[tuple[str, str] | None] = []
@@ -145,7 +229,19 @@ class Scanner:
             for x in own[i] | ({into[i]} if into[i] else set()):
                 for name in self.keys.get(x, ()):
                     hit.setdefault(name, set()).add(i)
+        # Words with their lines, for runs of words. A copyright line that holds a key bigram holds more than its notice.
+        flat = []
+        for i, words in enumerate(lines):
+            if not words and _COPYRIGHT.match(raw[i]):
+                words = normalised(raw[i])
+                words = words if any(x in self.keys for x in bigrams(words)) else []
+            flat += [(w, i) for w in words]
+        grams = [((a, b), i, j) for (a, i), (b, j) in zip(flat, flat[1:], strict=False)]
+        for x, _, j in grams:
+            for name in self.keys.get(x, ()):
+                hit.setdefault(name, set()).add(j)
         out = []
+        likeness: dict[str, float] = {}
         for name, at in sorted(hit.items()):
             template, (low, high) = self.templates[name], self.bounds[name]
             best = None
@@ -178,11 +274,18 @@ class Scanner:
                     if into[end]:
                         held.add(into[end])
                     held |= own[end]
+            run = None if best and best[0] == 1 else self.best_run(grams, name)
+            if best and run and run[0] > best[0] and run[1] <= best[2] and best[1] <= run[2]:
+                # Whole lines may hold prose that runs leave out, so templates are compared by their runs.
+                likeness[name] = run[0]
+                if run[1] < best[1] or best[2] < run[2]:
+                    best = run
+            best = best or run
             if best:
                 out.append((name, best[0], best[1], best[2]))
         # Of templates whose stretches overlap, the likest stays, of equally like ones the longest.
         kept: list[tuple[str, float, int, int]] = []
-        for x in sorted(out, key=lambda x: (-x[1], -len(self.templates[x[0]]), x[0])):
+        for x in sorted(out, key=lambda x: (-likeness.get(x[0], x[1]), -len(self.templates[x[0]]), x[0])):
             if not any(x[2] <= y[3] and y[2] <= x[3] for y in kept):
                 kept.append(x)
         return sorted(kept, key=lambda x: (x[2], x[0]))

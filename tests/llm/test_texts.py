@@ -234,6 +234,33 @@ def test_licence_scan():
     assert scan(" ".join(words[: len(words) // 3])) == []
 
 
+@pytest.mark.parametrize("name", ["MIT", "GPL-2.0", "LGPL-2.1", "LGPL-3.0", "AGPL-3.0", "GPL-3.0", "BSD-2-Clause", "BSD-3-Clause", "MPL-2.0"])
+def test_licences_inside_lines(name):
+    """A licence comes out as itself and not as a liker of its kin, also where it shares its lines with prose."""
+    rng = random.Random(3)
+    words = licences.TEMPLATES[name].split()
+    scan = licences.Scanner(licences.TEMPLATES).scan
+    for before, after in ((sentence(rng, 400), sentence(rng, 400)), (sentence(rng, 90), ""), ("Copyright 2020 X", ""), ("Copyright 2020 X " + sentence(rng, 200), "")):
+        flat = f"{before} {' '.join(words)} {after}"
+        found = scan("first\n" + flat)
+        assert [(n, a, b) for n, _, a, b in found] == [(name, 1, 1)], (name, found)
+        half = len(before) + len(words)
+        split = flat[:half] + flat[half:].replace(" ", "\n", 1)
+        assert [n for n, *_ in scan(split)] == [name], (name, scan(split))
+
+
+def test_runs_miss_nothing():
+    """The best run of words is that of all runs."""
+    rng = random.Random(8)
+    scanner = licences.Scanner({"t": "a b c d e f a c e b"}, 0.6)
+    for _ in range(300):
+        words = [rng.choice("abcdefxyz") for _ in range(rng.randint(2, 30))]
+        grams = [(x, k, k + 1) for k, x in enumerate(zip(words, words[1:], strict=False))]
+        scores = [licences.dice(licences.bigrams(words[i:j]), scanner.templates["t"]) for i in range(len(words)) for j in range(i + 2, len(words) + 1)]
+        found = scanner.best_run(grams, "t")
+        assert (found[0] if found else 0) == pytest.approx(max(scores) if max(scores) >= 0.6 else 0)
+
+
 def test_licence_rows(spark):
     rows = [(1, None), (2, ""), (3, "a\nLicensed under the Apache License, Version 2.0.\nb"), (3, "a\nLicensed under the Apache License, Version 2.0.\nb"), (4, "no licence")]
     found = [tuple(r) for r in licences.scan(make(spark, rows)).collect()]
