@@ -81,7 +81,10 @@ def lexical_topk(chunks: DataFrame, query: list[str], k: int, lexeme=None) -> Da
 
 
 class InvertedFileIndex:
-    """Vectors dealt to k-means lists; a query reads the lists nearest to it. Approximate, so opt-in."""
+    """Vectors dealt to k-means lists; a query reads the lists nearest to it. Approximate, so opt-in.
+
+    The defaults find 0.9 of the nearest 20 and more on the test tables' vectors, which hardly cluster.
+    """
 
     def __init__(self, chunks: DataFrame, lists: int = 100, sample: int = 20_000, seed: int = 42) -> None:
         """The lists are fitted on at most `sample` vectors, chosen by a hash of their ids; every vector is then dealt."""
@@ -90,6 +93,6 @@ class InvertedFileIndex:
         self.model = KMeans(k=lists, seed=seed, maxIter=10).fit(fitted)
         self.rows = self.model.transform(rows).withColumnRenamed("prediction", "list").drop("features")
 
-    def topk(self, query: list[float], k: int, probes: int = 10, metric: str = "l2") -> DataFrame:
+    def topk(self, query: list[float], k: int, probes: int = 50, metric: str = "l2") -> DataFrame:
         near = sorted(range(self.model.getK()), key=lambda i: sum((a - b) ** 2 for a, b in zip(self.model.clusterCenters()[i], query, strict=True)))
         return vector_topk(self.rows.where(F.col("list").isin(near[:probes])).drop("list"), query, k, metric)

@@ -15,6 +15,8 @@ from .retrieval import hybrid
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 TERMS = ["the", "of"]
+#: Of the inverted file.
+LISTS, PROBES = 16, 12
 
 
 def query(sql: str | None = None) -> Callable:
@@ -505,9 +507,9 @@ def paging(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def inverted_file_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Approximate top 20 from the 8 nearest of 16 lists."""
-    index = search.InvertedFileIndex(embedded_chunks(spark, sf_dir), lists=16)
-    return index.topk(query_vector(spark, sf_dir), 20, probes=8).select("id", F.round("distance", 6).alias("distance"))
+    """Approximate top 20 from the 12 nearest of 16 lists."""
+    index = search.InvertedFileIndex(embedded_chunks(spark, sf_dir), lists=LISTS)
+    return index.topk(query_vector(spark, sf_dir), 20, probes=PROBES).select("id", F.round("distance", 6).alias("distance"))
 
 
 @query()
