@@ -470,10 +470,10 @@ def figure_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def extract_figures(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Captions set below made-up images on the first page of every document."""
-    words = _words(spark, sf_dir).where("page_number = 1 AND top < 300")
+    """Captions set below made-up images on every page of every document; two labels take turns from page to page."""
+    words = _words(spark, sf_dir)
     docs = words.select("document_id", "page_number").distinct()
-    caption = docs.select(*layout.PAGE, F.explode(F.array(F.struct(F.lit("Figure").alias("text"), F.lit(60.0).alias("x0")), F.struct(F.expr("concat(document_id % 7 + 1, '—')").alias("text"), F.lit(110.0).alias("x0")))).alias("w"))
+    caption = docs.select(*layout.PAGE, F.explode(F.array(F.struct(F.lit("Figure").alias("text"), F.lit(60.0).alias("x0")), F.struct(F.expr("concat(document_id % 7 + page_number % 2, '—')").alias("text"), F.lit(110.0).alias("x0")))).alias("w"))
     caption = caption.select(*layout.PAGE, "w.text", "w.x0", F.lit(610.0).alias("top"), (F.col("w.x0") + 40).alias("x1"), F.lit(620.0).alias("bottom"))
     shapes = docs.select(*layout.PAGE, F.lit("image").alias("kind"), F.lit(80.0).alias("x0"), F.lit(450.0).alias("top"), F.lit(400.0).alias("x1"), F.lit(600.0).alias("bottom"))
     pages = docs.withColumn("width", F.lit(600.0)).withColumn("height", F.lit(800.0))
