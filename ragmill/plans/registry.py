@@ -398,7 +398,7 @@ def vector_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def offline_embedding(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return read(spark, sf_dir, "documents").select("doc_id", vectors.offline_embedding(64)(F.col("text")).alias("embedding"))
+    return read(spark, sf_dir, "documents").select("doc_id", vectors.offline_embedding()(F.col("text")).alias("embedding"))
 
 
 def _words(spark: SparkSession, sf_dir: str) -> DataFrame:
