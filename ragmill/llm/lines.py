@@ -8,13 +8,21 @@ equality only.
 Two lines within t edits share one of t + 1 segments of the shorter one, at a place that its length and the
 segment's number confine. Distinct lines are indexed by (length, segment number, hash of the segment); each
 probes the indexes of its own and up to t smaller lengths with the substrings that can match. Of the pairs that
-meet, those go that differ in too many of eight blocks or in their letters; the rest is verified by a banded bit-parallel edit distance (Hyyrö 2003): one word holds the 2t + 1 diagonals.
+meet, those go that differ in too many of eight blocks or in their letters; the rest is verified by a banded
+bit-parallel edit distance (Hyyrö 2003): one word holds the 2t + 1 diagonals.
+
+A signature that more than CROWD lines index (near copies of one line) isn't paired as it is. The letter counts
+of two lines within t edits, d apart in length, differ by at most 2t - d in all, so of 2t - d + 1 groups of
+letters one has equal counts: the signature is extended by the counts of each group in turn. Then two rounds:
+every line is compared with the first one under each of its keys, and only lines that this doesn't settle are
+paired with the others there, if their letters agree. No pair that could decide about a line is left out.
 
 Equal lines are one row (128-bit hash of the line) before any join, so frequent lines cost no pairs.
 
 Defined cases: null and empty texts have no lines to remove, null stays null; a text whose lines all go is
 empty; rows equal in doc_id and text get the same result; a null doc_id comes after all others; an empty
-table gives an empty table; extra columns are kept by `dedup` and ignored by `judge`.
+table gives an empty table; extra columns are kept by `dedup` and ignored by `judge`. A line of fewer than LEAST
+code points goes only if it equals an earlier one.
 """
 
 from __future__ import annotations
@@ -27,6 +35,9 @@ from .quality import let
 
 EDITS = 2
 LEAST = 40
+#: Lines that may index a signature before it is extended by letter counts.
+CROWD = 16
+LETTERS = "etaoinsrhldcumfpgwybvk"
 _LAST = (1 << 63) - 1
 #: Lines whose texts are looked up by a broadcast; more are looked up by a shuffled join.
 BROADCAST_LINES = 500_000
@@ -80,11 +91,24 @@ def blocks_agree(a: Column, b: Column, edits: int, blocks: int = 8) -> Column:
     return found >= blocks - edits
 
 
-def letters_agree(a: Column, b: Column, edits: int) -> Column:
-    """Whether the counts of the commonest letters differ by at most two per edit in all: true of any lines within reach."""
-    letters = F.array(*[F.lit(c) for c in "etaoinsrhldcumfpgwybvk"])
-    apart = F.transform(letters, lambda c: F.abs(F.length(F.replace(a, c, F.lit(""))) - F.length(a) + F.length(b) - F.length(F.replace(b, c, F.lit("")))))
-    return F.aggregate(apart, F.lit(0), lambda s, x: s + x) <= 2 * edits
+def letter_counts(line: Column) -> Column:
+    """How often each of LETTERS occurs in a line."""
+    return F.transform(F.array(*map(F.lit, LETTERS)), lambda c: F.length(line) - F.length(F.replace(line, c, F.lit(""))))
+
+
+def letters_agree(a: Column, b: Column, apart: Column, edits: int) -> Column:
+    """Whether letter counts of lines `apart` in length differ by at most 2 * edits - apart: true of any lines within reach."""
+    total = sum((F.abs(F.get(a, F.lit(i)) - F.get(b, F.lit(i))) for i in range(len(LETTERS))), F.lit(0))
+    return total <= 2 * edits - apart
+
+
+def letter_keys(counts: Column, edits: int) -> Column:
+    """For each difference in length d, an array with a hash of each of 2 * edits - d + 1 groups of counts; one at least is equal in lines within reach."""
+    schemes = []
+    for apart in range(edits + 1):
+        n = 2 * edits - apart + 1
+        schemes.append(F.array(*[F.xxhash64(F.lit(apart), F.lit(g), *[F.get(counts, F.lit(i)) for i in range(g, len(LETTERS), n)]) for g in range(n)]))
+    return F.array(*schemes)
 
 
 def edit_distance_within(a: Column, b: Column, edits: int) -> Column:
@@ -154,7 +178,38 @@ def _key() -> list[Column]:
     return [F.xxhash64("line").alias("h"), F.xxhash64(F.lit(1), "line").alias("g")]
 
 
-def removed(docs: DataFrame, folder: str, edits: int = EDITS, least: int = LEAST) -> DataFrame:
+def _near(pairs: DataFrame, known: DataFrame, folder: str, name: str, edits: int) -> DataFrame:
+    """(h, g) of the later line of each pair (h, h2) that is within reach."""
+    other = known.select(*[F.col(c).alias(f"{c}2") for c in known.columns])
+    late = F.col("at") > F.col("at2")
+    both = pairs.join(known, "h").join(other, "h2").withColumn("apart", F.abs(F.length("line") - F.length("line2")))
+    both = both.where((F.col("apart") <= edits) & letters_agree(F.col("counts"), F.col("counts2"), F.col("apart"), edits))
+    both = both.where(blocks_agree(F.col("line"), F.col("line2"), edits))
+    likely = common.stored(both.select("line", "line2", *[F.when(late, F.col(c)).otherwise(F.col(f"{c}2")).alias(c) for c in ("h", "g")]), folder, f"{name}-likely")
+    # Pairs are few and long to verify, so they are dealt out evenly.
+    likely = likely.repartition(F.xxhash64("line", "line2"))
+    return common.stored(likely.where(edit_distance_within(F.col("line"), F.col("line2"), edits)).select("h", "g").distinct(), folder, name)
+
+
+def _first_met(keys: DataFrame) -> DataFrame:
+    """Pairs (h, h2) of each line with the first line under each of its keys, where that comes earlier."""
+    here = F.struct("at", "h")
+    first = keys.groupBy("key").agg(F.min(here).alias("any"), F.min(F.when(F.col("own"), here)).alias("owner"))
+    met = keys.join(first, "key").select("h", "at", F.when(F.col("own"), F.col("any")).otherwise(F.col("owner")).alias("x"))
+    return met.where("x.at < at").select("h", F.col("x.h").alias("h2")).distinct()
+
+
+def _met(keys: DataFrame, settled: DataFrame, edits: int) -> DataFrame:
+    """Pairs (h, h2) that meet in a key, with letters that agree, and of which the later one is not settled."""
+    rows = keys.join(settled.select("h").distinct().withColumn("done", F.lit(True)), "h", "left").withColumn("done", F.col("done").isNotNull())
+    index = rows.where("own").select("key", *[F.col(c).alias(f"{c}2") for c in ("h", "at", "n", "counts", "done")])
+    # Of two lines of one length either may probe the other, so one does.
+    meet = (F.col("h") != F.col("h2")) & (~F.col("own") | (F.col("h") < F.col("h2"))) & ~F.when(F.col("at") > F.col("at2"), F.col("done")).otherwise(F.col("done2"))
+    meet = meet & letters_agree(F.col("counts"), F.col("counts2"), F.abs(F.col("n") - F.col("n2")), edits)
+    return rows.join(index, (rows["key"] == index["key"]) & meet).select("h", "h2").distinct()
+
+
+def removed(docs: DataFrame, folder: str, edits: int = EDITS, least: int = LEAST, crowd: int = CROWD) -> DataFrame:
     """(d, t, ps): the places of the lines that go, by document."""
     lines = _lines(docs)
     at = F.struct("d", "t", "p")
@@ -165,27 +220,30 @@ def removed(docs: DataFrame, folder: str, edits: int = EDITS, least: int = LEAST
     distinct = common.stored(grouped.select("h", "g", "x.at", "x.sigs"), folder, "distinct")
     # From here one half of a line's hash names it; should two lines share it, both are looked at.
     rows = distinct.where(F.col("sigs").isNotNull()).select("h", F.posexplode("sigs").alias("k", "sig")).where(F.col("sig").isNotNull())
-    index = rows.where(F.col("k").isin(indexed(edits))).select(F.col("sig").alias("sig2"), F.col("h").alias("h2"))
+    own = F.col("k").isin(indexed(edits))
+    crowded = common.stored(rows.where(own).groupBy("sig").count().where(F.col("count") > crowd).select("sig"), folder, "crowded")
+    index = rows.where(own).join(crowded, "sig", "left_anti").select(F.col("sig").alias("sig2"), F.col("h").alias("h2"))
     probes = rows.select("h", "sig", F.col("k").isin(same_length(edits)).alias("same"))
     # Of two lines of one length either may probe the other, so one does.
     meet = F.expr("sig = sig2 AND h <> h2 AND (h < h2 OR NOT same)")
-    pairs = probes.join(index, meet).select("h", "h2").distinct()
-    firsts = distinct.select("h", "at")
-    pairs = pairs.join(firsts, "h").join(firsts.select(F.col("h").alias("h2"), F.col("at").alias("at2")), "h2")
-    # In each pair the one that first occurs later may go; the pairs may come from either side.
-    later = common.stored(pairs.select(F.greatest("at", "at2").alias("late"), F.least("at", "at2").alias("early")).distinct(), folder, "pairs")
-    wanted = common.stored(later.select("late").union(later.select("early")).distinct().select("late.*"), folder, "wanted")
+    pairs = common.stored(probes.join(index, meet).select(F.greatest("h", "h2").alias("h"), F.least("h", "h2").alias("h2")).distinct(), folder, "pairs")
+    less = F.get(F.array(*[F.lit(x) for x, _, _ in _cuts(edits)]), F.col("k"))
+    many = common.stored(rows.join(crowded, "sig", "left_semi").select("h", "sig", own.alias("own"), less.alias("less")), folder, "many")
+
+    wanted = pairs.select("h").union(pairs.select("h2")).union(many.select("h")).distinct()
+    wanted = common.stored(distinct.join(wanted, "h", "left_semi").select("h", "g", "at.*"), folder, "wanted")
     wanted = F.broadcast(wanted) if wanted.count() <= BROADCAST_LINES else wanted
-    texts = _order(docs).join(wanted, ["d", "t"]).select(F.struct("d", "t", "p").alias("at"), F.get(F.split("text", "\n"), F.col("p")).alias("line"))
-    texts = common.stored(texts.distinct(), folder, "texts")
-    both = (
-        later.join(texts.select(F.col("at").alias("late"), F.col("line").alias("a")), "late")
-        .join(texts.select(F.col("at").alias("early"), F.col("line").alias("b")), "early")
-        .where(F.abs(F.length("a") - F.length("b")) <= edits)
-    )
-    both = common.stored(both.where(blocks_agree(F.col("a"), F.col("b"), edits)).where(letters_agree(F.col("a"), F.col("b"), edits)), folder, "likely")
-    near = both.where(edit_distance_within(F.col("a"), F.col("b"), edits)).select(F.xxhash64("a").alias("h"), F.xxhash64(F.lit(1), "a").alias("g")).distinct()
-    near = common.stored(near, folder, "near")
+    line = F.get(F.split("text", "\n"), F.col("p"))
+    known = _order(docs).join(wanted, ["d", "t"]).select("h", "g", at.alias("at"), line.alias("line"), letter_counts(line).alias("counts")).distinct()
+    known = common.stored(known, folder, "texts")
+
+    keyed = many.join(known.select("h", "at", F.length("line").alias("n"), "counts"), "h")
+    # A line is indexed for all differences in length, and probes for the one of its signature.
+    hashes = F.when(F.col("own"), F.flatten(letter_keys(F.col("counts"), edits))).otherwise(F.get(letter_keys(F.col("counts"), edits), F.col("less")))
+    keyed = keyed.select("h", "at", "n", "counts", "own", "sig", F.explode(hashes).alias("key"))
+    keyed = common.stored(keyed.withColumn("key", F.xxhash64("sig", "key")).drop("sig").distinct(), folder, "keys")
+    near = _near(pairs.union(_first_met(keyed)).distinct(), known, folder, "near", edits)
+    near = near.union(_near(_met(keyed, near, edits), known, folder, "near-again", edits)).distinct()
     # Of a line within reach of an earlier one every occurrence goes; of others all but the first.
     verdict = distinct.select("h", "g", "at").join(near.withColumn("near", F.lit(True)), ["h", "g"], "left")
     occurrences = lines.select(*_key(), at.alias("place"))
@@ -194,11 +252,13 @@ def removed(docs: DataFrame, folder: str, edits: int = EDITS, least: int = LEAST
 
 
 def _kept(text: Column, places: Column) -> Column:
-    """The text without the lines at places; places has an entry per line at most."""
-    marks = let(places, lambda ps: F.map_from_arrays(ps, F.transform(ps, lambda _: F.lit(True))))
+    """The text without the lines at places, in time by its lines and places."""
     return let(
-        F.struct(F.split(text, "\n").alias("ls"), marks.alias("gone")),
-        lambda x: F.array_join(F.filter(x["ls"], lambda _, i: ~F.map_contains_key(x["gone"], i)), "\n"),
+        F.struct(F.split(text, "\n").alias("ls"), places.alias("ps")),
+        lambda x: let(
+            F.struct(x["ls"].alias("ls"), F.array_except(F.sequence(F.lit(0), F.size(x["ls"]) - 1), x["ps"]).alias("left")),
+            lambda y: F.array_join(F.transform(y["left"], lambda i: F.get(y["ls"], i)), "\n"),
+        ),
     )
 
 

@@ -135,12 +135,40 @@ def test_edit_distance_and_segments(spark, edits):
         pairs.append(("".join(a), "".join(b)))
     pairs = [sorted(p, key=len) for p in pairs if abs(len(p[0]) - len(p[1])) <= edits]
     df = spark.createDataFrame(pairs, "a string, b string")
-    found = df.select("a", "b", lines.edit_distance_within(F.col("a"), F.col("b"), edits), *[lines.signatures(F.col(x), F.length(x), edits) for x in "ab"], lines.blocks_agree(F.col("a"), F.col("b"), edits) & lines.letters_agree(F.col("a"), F.col("b"), edits)).collect()
-    for a, b, near, of_a, of_b, agree in found:
+    of_letters, apart = [lines.letter_counts(F.col(x)) for x in "ab"], F.abs(F.length("a") - F.length("b"))
+    found = df.select("a", "b", lines.edit_distance_within(F.col("a"), F.col("b"), edits), *[lines.signatures(F.col(x), F.length(x), edits) for x in "ab"], lines.blocks_agree(F.col("a"), F.col("b"), edits) & lines.letters_agree(*of_letters, apart, edits), *[lines.letter_keys(x, edits) for x in of_letters]).collect()
+    for a, b, near, of_a, of_b, agree, keys_a, keys_b in found:
         assert near == (brute.edit_distance(a, b) <= edits), (a, b)
         if near and len(a) > 2 * edits + 1:
             assert {of_a[k] for k in lines.indexed(edits)} & {x for x in of_b if x is not None}, (a, b)
         assert agree or not near, (a, b)
+        assert not near or set(keys_a[abs(len(a) - len(b))]) & set(keys_b[abs(len(a) - len(b))]), (a, b)
+
+
+@pytest.mark.parametrize("crowd", [16, 1])
+def test_line_dedup_of_a_crowd(spark, crowd):
+    """Near copies of one line by degrees, and lines that a number sets apart: crowded signatures lose no pair."""
+    rng = random.Random(3)
+    words = sentence(rng, 14).split()
+    rows = []
+    for k in range(130):
+        changed = list(words)
+        for _ in range(rng.choice([0, 1, 1, 2, 3])):
+            i = rng.randrange(len(changed))
+            changed[i] = rng.choice([sentence(rng, 1), changed[i] + rng.choice("xyz"), changed[i][1:]])
+        rows.append((k, " ".join(changed)))
+    rows += [(1000 + k, f"entry number {k * 7 % 90:05d} of the list that goes on and on") for k in range(90)]
+    rng.shuffle(rows)
+    found = lines.removed(make(spark, rows), common.work_folder(spark), crowd=crowd)
+    wanted = [d for d, n, _ in brute.line_dedup(rows) if n]
+    assert sorted(r.d for r in found.collect()) == sorted(wanted)
+
+
+def test_line_dedup_of_one_long_text(spark):
+    """A text of very many lines, most of which go."""
+    rows = [(0, "\n".join(f"line {k % 700} of one long text" for k in range(60_000)))]
+    found = lines.judge(make(spark, rows)).first()
+    assert found.n_removed == 59_300 and found.text == "\n".join(f"line {k} of one long text" for k in range(700))
 
 
 ITEMS = [(0, None), (1, ""), (2, "one two"), (3, "two one"), (4, "alpha beta gamma delta epsilon zeta eta theta iota kappa"), (4, "alpha beta gamma delta epsilon zeta eta theta iota kappa")]
