@@ -233,9 +233,10 @@ def removed(docs: DataFrame, folder: str, edits: int = EDITS, least: int = LEAST
     wanted = pairs.select("h").union(pairs.select("h2")).union(many.select("h")).distinct()
     wanted = common.stored(distinct.join(wanted, "h", "left_semi").select("h", "g", "at.*"), folder, "wanted")
     wanted = F.broadcast(wanted) if wanted.count() <= BROADCAST_LINES else wanted
-    line = F.get(F.split("text", "\n"), F.col("p"))
-    known = _order(docs).join(wanted, ["d", "t"]).select("h", "g", at.alias("at"), line.alias("line"), letter_counts(line).alias("counts")).distinct()
-    known = common.stored(known, folder, "texts")
+    # A text is split once for each line, not once for each letter.
+    found = let(F.get(F.split("text", "\n"), F.col("p")), lambda line: F.struct(line.alias("line"), letter_counts(line).alias("counts")))
+    known = _order(docs).join(wanted, ["d", "t"]).select("h", "g", at.alias("at"), found.alias("found")).select("h", "g", "at", "found.*")
+    known = common.stored(known.distinct(), folder, "texts")
 
     keyed = many.join(known.select("h", "at", F.length("line").alias("n"), "counts"), "h")
     # A line is indexed for all differences in length, and probes for the one of its signature.
