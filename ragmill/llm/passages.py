@@ -34,9 +34,10 @@ WINDOW = 35
 ANCHOR = 8
 BATCHES = 3
 MOST_RUNS = 2
-BITS = 25
 CHUNK_WORDS = 1_500_000
 PART_WINDOWS = 2_000_000
+_MASK = (1 << 64) - 1
+_NO_ID = 1 << 63
 _EMPTY = hashlib.sha256(b"").hexdigest()
 
 
@@ -117,8 +118,11 @@ def _firsts(places: np.ndarray) -> np.ndarray:
     return places[keep]
 
 
-def _ident(doc_id: int | None, hashes: np.ndarray) -> int:
-    return doc_id if doc_id is not None else -1 - (xxhash.xxh3_64_intdigest(hashes.tobytes()) >> 2)
+def _idents(batch: pa.RecordBatch) -> np.ndarray:
+    """A hash of doc_id and text for each row, so that texts with one doc_id are told apart."""
+    ids, texts = batch.column(0).to_pylist(), batch.column(1)
+    found = (xxhash.xxh3_64_intdigest(t.as_buffer() or b"", seed=_NO_ID if i is None else i & _MASK) for i, t in zip(ids, texts, strict=True))
+    return np.fromiter(found, np.uint64, len(ids)).view(np.int64)
 
 
 def _prints(docs: DataFrame, window: int) -> DataFrame:
@@ -130,12 +134,12 @@ def _prints(docs: DataFrame, window: int) -> DataFrame:
             datas = [common.encoded(t) for t in group.column(1).to_pylist()]
             every, bounds = common.hashed(datas)
             runs, all_places = anchors(every, window)
-            for doc_id, data, a, b in zip(group.column(0).to_pylist(), datas, bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
+            for ident, doc_id, data, a, b in zip(_idents(group).tolist(), group.column(0).to_pylist(), datas, bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
                 words, hashes = data.split(), every[a:b]
                 places = _firsts(all_places[a : max(a, b - window + 1)])
                 rows.append(
                     (
-                        _ident(doc_id, hashes),
+                        ident,
                         doc_id,
                         len(words),
                         xxhash.xxh3_128_digest(hashes.tobytes()),
@@ -154,7 +158,7 @@ def _prints(docs: DataFrame, window: int) -> DataFrame:
 
 
 def _chosen(docs: DataFrame, chosen: Bitmap, wanted: bool) -> DataFrame:
-    """(id, text) of the rows whose doc_id is in a bitmap or null; or with wanted false, of the others."""
+    """(id, text) of the rows whose id is in a filter; or with wanted false, of the others."""
     shared = docs.sparkSession.sparkContext.broadcast(chosen)
 
     def of(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -165,13 +169,9 @@ def _chosen(docs: DataFrame, chosen: Bitmap, wanted: bool) -> DataFrame:
 
 
 def _pick(batch: pa.RecordBatch, chosen: Bitmap, wanted: bool) -> pa.RecordBatch:
-    """See _chosen; ids of rows without one come from their texts."""
-    ids = batch.column(0)
-    null = ids.is_null().to_numpy(zero_copy_only=False)
-    values = ids.fill_null(0).to_numpy().copy()
-    for k in np.flatnonzero(null):
-        values[k] = _ident(None, common.hashed([common.encoded(batch.column(1)[int(k)].as_py())])[0])
-    known = chosen.has(values.view(np.uint64)) | null
+    """See _chosen."""
+    values = _idents(batch)
+    known = chosen.has(values)
     return pa.RecordBatch.from_arrays([pa.array(values), batch.column(1)], names=["id", "text"]).filter(pa.array(known if wanted else ~known))
 
 
@@ -294,12 +294,12 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, batches: int = BATCHES
     index.close()
 
     # Documents that are surely no spare copies stay where they are read; the rest is compared with the spare ones.
-    spares = bitmap(spare, "id", BITS)
+    spares = bitmap(spare, "id")
     checked = _chosen(docs, spares, True).join(spare, "id", "left_anti").dropDuplicates(["id"])
     parts = max(1, -(-total * 6 // PART_WINDOWS))
-    found = common.stored(_repeated(docs, spares, checked, bitmap(again, "key", BITS), window, parts), folder, "repeated")
+    found = common.stored(_repeated(docs, spares, checked, bitmap(again, "key"), window, parts), folder, "repeated")
     marks = found.groupBy("id").agg(F.collect_list("starts").alias("starts"))
-    touched = bitmap(found, "id", BITS)
+    touched = bitmap(found, "id")
     texts = _chosen(docs, touched, True)
     cut = _cut(texts.join(marks, "id").select("id", "text", "starts").dropDuplicates(["id"]), window, False)
     whole = (F.col("copies") > 1) & (F.col("n") >= window)
