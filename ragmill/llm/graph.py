@@ -1,4 +1,4 @@
-"""Connected components of links, and bounded bitmaps of ids, as distributed steps over stored tables."""
+"""Connected components of links, and bounded filters of ids, as distributed steps over stored tables."""
 
 from __future__ import annotations
 
@@ -40,33 +40,50 @@ def components(links: DataFrame, folder: str, name: str) -> DataFrame:
     return common.stored(edges.select(F.col("u").alias("id"), F.col("v").alias("component")).union(roots), folder, f"{name}-labels")
 
 
+#: Bits per member of a filter, and the most bits that one may have (32 MB).
+BITS_EACH = 16
+MOST_BITS = 1 << 28
+
+
 class Bitmap:
-    """A set of 64-bit values as bits at their low places: may say yes wrongly, never no. Its size is fixed."""
+    """A Bloom filter of 64-bit values with two hashes: may say yes wrongly, never no."""
 
-    def __init__(self, words: np.ndarray) -> None:
+    def __init__(self, words: np.ndarray, full: bool = False) -> None:
         self.words = words
-        self.mask = np.uint64(len(words) * 64 - 1)
+        #: Whether there are more members than it has room for, so that too many others pass.
+        self.full = full
 
-    def __contains__(self, value: int) -> bool:
-        return bool(self.has(np.array([value], np.int64).view(np.uint64))[0])
+    @staticmethod
+    def places(values: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
+        mixed = common.mix(values.view(np.uint64))
+        return mixed & np.uint64(bits - 1), (mixed >> np.uint64(32)) * np.uint64(0x9E3779B1) & np.uint64(bits - 1)
 
     def has(self, values: np.ndarray) -> np.ndarray:
-        at = values & self.mask
-        return (self.words[(at >> np.uint64(6)).astype(np.int64)] >> (at & np.uint64(63))) & np.uint64(1) != 0
-
-
-def bitmap(values: DataFrame, column: str, bits: int) -> Bitmap:
-    """Of a column of longs. The driver gets at most 2 ** bits / 64 words, whatever the table's size."""
-    words = (
-        values.select(F.col(column).bitwiseAND(F.lit((1 << bits) - 1)).alias("at"))
-        .selectExpr("at >> 6 AS word", "1L << CAST(at & 63 AS INT) AS bit")
-        .groupBy("word")
-        .agg(F.bit_or("bit").alias("bits"))
-        .toArrow()
-    )
-    out = np.zeros(1 << (bits - 6), np.int64)
+        found = np.ones(len(values), bool)
+        for at in self.places(values, len(self.words) * 64):
+            found &= (self.words[(at >> np.uint64(6)).astype(np.int64)] >> (at & np.uint64(63))) & np.uint64(1) != 0
+        return found
+
+
+def bitmap(values: DataFrame, column: str) -> Bitmap:
+    """Of a column of longs, sized by its rows up to MOST_BITS, which bounds what is sent to and from the driver."""
+    n = values.count()
+    bits = 1 << 12
+    while bits < min(MOST_BITS, n * BITS_EACH):
+        bits *= 2
+
+    def set_bits(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at = np.sort(np.concatenate(Bitmap.places(batch.column(0).to_numpy(), bits)))
+            word = (at >> np.uint64(6)).astype(np.int64)
+            first = np.flatnonzero(np.r_[True, word[1:] != word[:-1]]) if len(word) else np.empty(0, np.int64)
+            held = np.bitwise_or.reduceat(np.uint64(1) << (at & np.uint64(63)), first) if len(first) else at
+            yield pa.RecordBatch.from_arrays([pa.array(word[first]), pa.array(held.view(np.int64))], names=["word", "bit"])
+
+    words = values.select(F.col(column).cast("long")).mapInArrow(set_bits, "word long, bit long").groupBy("word").agg(F.bit_or("bit").alias("bits")).toArrow()
+    out = np.zeros(bits >> 6, np.int64)
     out[words.column("word").to_numpy()] = words.column("bits").to_numpy()
-    return Bitmap(out.view(np.uint64))
+    return Bitmap(out.view(np.uint64), n * 4 > bits)
 
 
 def inside(docs: DataFrame, key: str, chosen: Bitmap, wanted: bool) -> DataFrame:
@@ -83,7 +100,7 @@ def inside(docs: DataFrame, key: str, chosen: Bitmap, wanted: bool) -> DataFrame
     return docs.mapInArrow(of, docs.schema)
 
 
-def one_each(docs: DataFrame, groups: DataFrame, folder: str, bits: int = 25) -> DataFrame:
+def one_each(docs: DataFrame, groups: DataFrame, folder: str) -> DataFrame:
     """Of each group (doc_id, component_id) the document that names it, once; rows with a null doc_id stay.
 
     Rows that surely stay aren't moved: only those whose id may be dropped or repeated are joined.
@@ -91,7 +108,7 @@ def one_each(docs: DataFrame, groups: DataFrame, folder: str, bits: int = 25) ->
     ids = groups.where("doc_id IS NOT NULL")
     drop = common.stored(ids.where("doc_id <> component_id").select("doc_id").distinct(), folder, "drop")
     again = common.stored(ids.groupBy("doc_id").count().where("count > 1").select("doc_id"), folder, "again")
-    doubtful = bitmap(drop.unionByName(again), "doc_id", bits)
+    doubtful = bitmap(drop.unionByName(again), "doc_id")
     checked = inside(docs, "doc_id", doubtful, True)
     nulls = checked.where("doc_id IS NULL")
     checked = checked.where("doc_id IS NOT NULL").join(drop, "doc_id", "left_anti").dropDuplicates(["doc_id"])

@@ -15,7 +15,8 @@ share a token in their prefixes of m + 1 tokens, m being what each may lack of t
   between components is lost and a large group costs no quadratic number of pairs.
 
 Defined cases: null and empty texts have no shingles and are alone; fewer than five words make one shingle;
-rows that repeat a document get its row each; a null doc_id gives a null component; an empty table gives an
+rows that repeat a document get its row each; of rows with one doc_id and several texts each has its own text's
+component, and the components of all texts that this doc_id stands for are one; a null doc_id gives a null component; an empty table gives an
 empty table; extra columns are ignored.
 """
 
@@ -31,14 +32,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import common
-from .graph import Bitmap, bitmap, components, one_each
+from .graph import Bitmap, bitmap, components, inside, one_each
 
 #: Prefixes that may hold a token of the rare class; see Index for how this grows to bound what is broadcast.
 COMMON = 16
 #: Frequent tokens that are broadcast at most (8 bytes each).
 MOST_FREQUENT = 1 << 20
-#: Bits of the bitmaps that thin rows before shuffles; they can only let too much through.
-BITS = 25
 #: Tokens of one group of the counting and pairing steps, about.
 PART_TOKENS = 1_000_000
 CHUNK_TOKENS = 1_500_000
@@ -266,7 +265,7 @@ def _pairs(heads: DataFrame, rule: Rule, repeated: Bitmap, parts: int, most: int
 def _joined(pairs: DataFrame, sets: DataFrame, keep: Callable[[np.ndarray, int, np.ndarray, int], bool]) -> DataFrame:
     """The pairs (a, b) whose sets, given as (id, n, tokens), satisfy keep."""
     # Of the sets only those that a side needs are moved, and perhaps a few more.
-    first, second = (bitmap(pairs, side, BITS) for side in ("a", "b"))
+    first, second = (bitmap(pairs, side) for side in ("a", "b"))
     one = _filtered(sets, second).select(F.col("id").alias("b"), F.col("n").alias("n_b"), F.col("tokens").alias("tokens_b"))
     other = _filtered(sets, first).select(F.col("id").alias("a"), F.col("n").alias("n_a"), F.col("tokens").alias("tokens_a"))
     joined = pairs.select("a", "b").join(one, "b").join(other, "a").select("a", "b", "n_a", "n_b", "tokens_a", "tokens_b")
@@ -331,7 +330,7 @@ def near_duplicates(docs: DataFrame, percent: int = common.SIMILAR) -> DataFrame
     nodes = common.stored(
         sets.where("sid IS NOT NULL AND doc_id IS NOT NULL").groupBy("sid").agg(F.min("doc_id").alias("node"), F.max("n").alias("n")), folder, "nodes"
     )
-    links = _links(docs, nodes, folder, percent)
+    links = _links(docs, sets, nodes, folder, percent)
     labels = components(links, folder, "all").withColumnRenamed("id", "node")
     return (
         sets.join(nodes.select("sid", "node").join(labels, "node", "left"), "sid", "left")
@@ -346,11 +345,16 @@ def keep_one(docs: DataFrame, percent: int = common.SIMILAR) -> DataFrame:
     return one_each(docs, groups, folder)
 
 
-def _links(docs: DataFrame, nodes: DataFrame, folder: str, percent: int) -> DataFrame:
+def _links(docs: DataFrame, sets: DataFrame, nodes: DataFrame, folder: str, percent: int) -> DataFrame:
     """Links (a, b) between nodes, enough for all components."""
     spark = docs.sparkSession
+    # Documents that surely stand for their set stay where they are read; of the others those that don't are left out.
     ids = nodes.select(F.col("node").alias("id")).distinct()
-    heads = common.stored(_tokens(docs, percent).join(ids, "id", "left_semi"), folder, "heads")
+    copies = sets.join(nodes.select("sid", "node"), "sid").where("doc_id <> node").select(F.col("doc_id").alias("id"))
+    copies = common.stored(copies.distinct().join(ids, "id", "left_anti"), folder, "spare")
+    spare = bitmap(copies, "id")
+    doubtful = _tokens(inside(docs, "doc_id", spare, True), percent).join(copies, "id", "left_anti")
+    heads = common.stored(_tokens(inside(docs, "doc_id", spare, False), percent).unionByName(doubtful), folder, "heads")
     common.release(spark)
     total = nodes.agg(F.sum("n")).first()[0] or 0
     parts = max(1, -(-total * (100 - percent) // (100 * PART_TOKENS)))
@@ -361,7 +365,6 @@ def _links(docs: DataFrame, nodes: DataFrame, folder: str, percent: int) -> Data
     while counts.where(F.col("n") > limit).count() > MOST_FREQUENT:
         limit *= 2  # prefixes hold a bounded number of tokens, so the frequent ones stay below their bound
     frequent = _longs(counts.where(F.col("n") > limit), "token")
-    plain = bitmap(counts, "token", BITS)
 
     # Tokens of one prefix only are left out, so there are fewer parts than in the count.
     pair_parts = max(1, -(-((counts.agg(F.sum(F.least("n", F.lit(4 * limit)))).first()[0] or 0)) // PART_TOKENS))
@@ -376,7 +379,7 @@ def _links(docs: DataFrame, nodes: DataFrame, folder: str, percent: int) -> Data
         short = common.stored(short if whole is None else short.join(whole.select("id"), "id", "left_anti"), folder, f"short-{step}")
         grown = short.limit(1).count() > 0
         if grown:
-            near = bitmap(short, "id", BITS)
+            near = bitmap(short, "id")
             fresh = _tokens(docs, None, near).join(short, "id", "left_semi")
             fresh = common.stored(fresh, folder, f"whole-{step}")
             whole = fresh if whole is None else whole.unionByName(fresh)
@@ -387,7 +390,7 @@ def _links(docs: DataFrame, nodes: DataFrame, folder: str, percent: int) -> Data
             frequent = np.union1d(frequent, added)
             continue
         # The rest is small; what still crowds a token is caught when pairs are made.
-        repeated = Bitmap(plain.words | bitmap(more, "token", BITS).words)
+        repeated = bitmap(counts.select("token").unionByName(more.select("token")), "token")
         raw = common.stored(_pairs(signed, rule, repeated, pair_parts, 4 * limit), folder, "raw")
         over = _longs(raw.where("c = 0"), "a")
         if not len(over):
@@ -414,7 +417,10 @@ def _links(docs: DataFrame, nodes: DataFrame, folder: str, percent: int) -> Data
     common.release(spark)
 
     members = common.stored(_members(candidates).union(crowded.select("id")).distinct(), folder, "verified-ids")
-    verifiable = common.stored(_tokens(docs, None, bitmap(members, "id", BITS)), folder, "verifiable")
+    chosen = bitmap(members, "id")
+    verifiable = _tokens(docs, None, chosen)
+    # The filter lets few others through; once it is too small for its members, they are joined as well.
+    verifiable = common.stored(verifiable.join(members, "id", "left_semi") if chosen.full else verifiable, folder, "verifiable")
 
     star = candidates.groupBy("b").agg(F.min("a").alias("a"))
     star = common.stored(star, folder, "star")
@@ -462,7 +468,7 @@ def _crowded(signed: DataFrame, rule: Rule) -> DataFrame:
             keep = [len(t) == n and not shared.value.singles(t, n)[1] for n, t in zip(batch.column(1).to_pylist(), sets, strict=True)]
             yield batch.filter(pa.array(keep, pa.bool_()))
 
-    return signed.mapInArrow(of, "id long, n long, tokens binary").dropDuplicates(["id"])
+    return signed.mapInArrow(of, "id long, n long, tokens binary").dropDuplicates(["id", "tokens"])
 
 
 def _combination_pairs(crowded: DataFrame, rule: Rule, parts: int, star: bool) -> DataFrame:

@@ -5,7 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from ragmill.llm import common, contamination, jaccard, lines, passages
+from ragmill.llm import common, contamination, graph, jaccard, lines, passages
 
 from . import brute
 from .conftest import make, odd_rows, sentence
@@ -92,6 +92,33 @@ def test_passages_by_batches(spark, batches):
     assert found == brute.passages(rows)
 
 
+def test_one_id_with_several_texts(spark):
+    """Each row has the result of its own text."""
+    rng = random.Random(8)
+    a, b = sentence(rng, 60), sentence(rng, 50)
+    rows = [(1, a), (1, b), (1, a + " " + sentence(rng, 40)), (2, sentence(rng, 40) + " " + b), (None, sentence(rng, 38) + " " + a)]
+    found = listed(passages.remove_repeats(make(spark, rows)), "doc_id", "n_words", "n_removed", "kept_sha256")
+    assert found == brute.passages(rows)
+
+
+def test_components_with_ids_spread(spark):
+    """Ids over all 64 bits, also negative ones."""
+    rows = [(None if i is None else (i * 0x9E3779B97F4A7C15 + 2**63) % 2**64 - 2**63, t) for i, t in odd_rows()]
+    found = listed(jaccard.near_duplicates(make(spark, rows)), "doc_id", "n_shingles", "component_id")
+    assert found == brute.components(rows)
+
+
+@pytest.mark.parametrize("most", [1 << 12, 1 << 28])
+def test_filters_let_all_members_through(spark, monkeypatch, most):
+    import numpy as np
+
+    monkeypatch.setattr(graph, "MOST_BITS", most)
+    values = np.random.default_rng(0).integers(-(2**63), 2**63, 3000)
+    found = graph.bitmap(spark.createDataFrame([(int(x),) for x in values], "x long"), "x")
+    assert found.has(values).all() and found.full == (most == 1 << 12)
+    assert found.full or found.has(values + 1).mean() < 0.05
+
+
 def line_rows():
     rng = random.Random(4)
     pool = [sentence(rng, 12) for _ in range(12)] + ["short line", "x", ""]
