@@ -40,6 +40,25 @@ def components(links: DataFrame, folder: str, name: str) -> DataFrame:
     return common.stored(edges.select(F.col("u").alias("id"), F.col("v").alias("component")).union(roots), folder, f"{name}-labels")
 
 
+#: The primes of XXH64, whose hash of a long Spark's xxhash64 gives with seed 42.
+PRIMES = [np.uint64(p) for p in (0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x85EBCA77C2B2AE63, 0x27D4EB2F165667C5)]
+
+
+def _rotated(x: np.ndarray, n: int) -> np.ndarray:
+    return (x << np.uint64(n)) | (x >> np.uint64(64 - n))
+
+
+def xxhash64(values: np.ndarray) -> np.ndarray:
+    """What Spark's xxhash64 gives for longs, so that filters are filled in the JVM and asked in numpy."""
+    p1, p2, p3, p4, p5 = PRIMES
+    with np.errstate(over="ignore"):
+        x = (np.uint64(42 + 8) + p5) ^ (_rotated(values * p2, 31) * p1)
+        x = _rotated(x, 27) * p1 + p4
+        x = (x ^ (x >> np.uint64(33))) * p2
+        x = (x ^ (x >> np.uint64(29))) * p3
+        return x ^ (x >> np.uint64(32))
+
+
 #: Bits per member of a filter, and the most bits that one may have (32 MB).
 BITS_EACH = 16
 MOST_BITS = 1 << 28
@@ -53,14 +72,11 @@ class Bitmap:
         #: Whether there are more members than it has room for, so that too many others pass.
         self.full = full
 
-    @staticmethod
-    def places(values: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
-        mixed = common.mix(values.view(np.uint64))
-        return mixed & np.uint64(bits - 1), (mixed >> np.uint64(32)) * np.uint64(0x9E3779B1) & np.uint64(bits - 1)
-
     def has(self, values: np.ndarray) -> np.ndarray:
         found = np.ones(len(values), bool)
-        for at in self.places(values, len(self.words) * 64):
+        last = np.uint64(len(self.words) * 64 - 1)
+        hashes = xxhash64(values.view(np.uint64))
+        for at in (hashes & last, (hashes >> np.uint64(32)) & last):
             found &= (self.words[(at >> np.uint64(6)).astype(np.int64)] >> (at & np.uint64(63))) & np.uint64(1) != 0
         return found
 
@@ -72,15 +88,15 @@ def bitmap(values: DataFrame, column: str) -> Bitmap:
     while bits < min(MOST_BITS, n * BITS_EACH):
         bits *= 2
 
-    def set_bits(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            at = np.sort(np.concatenate(Bitmap.places(batch.column(0).to_numpy(), bits)))
-            word = (at >> np.uint64(6)).astype(np.int64)
-            first = np.flatnonzero(np.r_[True, word[1:] != word[:-1]]) if len(word) else np.empty(0, np.int64)
-            held = np.bitwise_or.reduceat(np.uint64(1) << (at & np.uint64(63)), first) if len(first) else at
-            yield pa.RecordBatch.from_arrays([pa.array(word[first]), pa.array(held.view(np.int64))], names=["word", "bit"])
-
-    words = values.select(F.col(column).cast("long")).mapInArrow(set_bits, "word long, bit long").groupBy("word").agg(F.bit_or("bit").alias("bits")).toArrow()
+    at = F.expr(f"explode(array(h & {bits - 1}, shiftrightunsigned(h, 32) & {bits - 1}))").alias("at")
+    words = (
+        values.select(F.xxhash64(F.col(column).cast("long")).alias("h"))
+        .select(at)
+        .selectExpr("at >> 6 AS word", "1L << CAST(at & 63 AS INT) AS bit")
+        .groupBy("word")
+        .agg(F.bit_or("bit").alias("bits"))
+        .toArrow()
+    )
     out = np.zeros(bits >> 6, np.int64)
     out[words.column("word").to_numpy()] = words.column("bits").to_numpy()
     return Bitmap(out.view(np.uint64), n * 4 > bits)

@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import common
-from .graph import Bitmap, bitmap, components, inside, one_each
+from .graph import Bitmap, bitmap, components, one_each
 
 #: Prefixes that may hold a token of the rare class; see Index for how this grows to bound what is broadcast.
 COMMON = 16
@@ -319,6 +319,18 @@ def _filtered(sets: DataFrame, ids: Bitmap) -> DataFrame:
     return sets.mapInArrow(of, sets.schema)
 
 
+def _marked(sets: DataFrame, ids: Bitmap) -> DataFrame:
+    """sets with doubtful: whether the id may be among ids."""
+    shared = sets.sparkSession.sparkContext.broadcast(ids)
+
+    def of(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            marks = pa.array(shared.value.has(batch.column(0).to_numpy().view(np.uint64)))
+            yield pa.RecordBatch.from_arrays([*batch.columns, marks], names=[*batch.schema.names, "doubtful"])
+
+    return sets.mapInArrow(of, "id long, n long, tokens binary, doubtful boolean")
+
+
 def _members(pairs: DataFrame) -> DataFrame:
     return pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct()
 
@@ -330,8 +342,7 @@ def near_duplicates(docs: DataFrame, percent: int = common.SIMILAR) -> DataFrame
     nodes = common.stored(
         sets.where("sid IS NOT NULL AND doc_id IS NOT NULL").groupBy("sid").agg(F.min("doc_id").alias("node"), F.max("n").alias("n")), folder, "nodes"
     )
-    links = _links(docs, sets, nodes, folder, percent)
-    labels = components(links, folder, "all").withColumnRenamed("id", "node")
+    labels = _labels(docs, sets, nodes, folder, percent).withColumnRenamed("id", "node")
     return (
         sets.join(nodes.select("sid", "node").join(labels, "node", "left"), "sid", "left")
         .select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "node", "doc_id")).alias("component_id"))
@@ -345,16 +356,16 @@ def keep_one(docs: DataFrame, percent: int = common.SIMILAR) -> DataFrame:
     return one_each(docs, groups, folder)
 
 
-def _links(docs: DataFrame, sets: DataFrame, nodes: DataFrame, folder: str, percent: int) -> DataFrame:
-    """Links (a, b) between nodes, enough for all components."""
+def _labels(docs: DataFrame, sets: DataFrame, nodes: DataFrame, folder: str, percent: int) -> DataFrame:
+    """(id, component) of all nodes that link."""
     spark = docs.sparkSession
     # Documents that surely stand for their set stay where they are read; of the others those that don't are left out.
     ids = nodes.select(F.col("node").alias("id")).distinct()
     copies = sets.join(nodes.select("sid", "node"), "sid").where("doc_id <> node").select(F.col("doc_id").alias("id"))
     copies = common.stored(copies.distinct().join(ids, "id", "left_anti"), folder, "spare")
-    spare = bitmap(copies, "id")
-    doubtful = _tokens(inside(docs, "doc_id", spare, True), percent).join(copies, "id", "left_anti")
-    heads = common.stored(_tokens(inside(docs, "doc_id", spare, False), percent).unionByName(doubtful), folder, "heads")
+    every = common.stored(_marked(_tokens(docs, percent), bitmap(copies, "id")), folder, "every")
+    doubtful = common.stored(every.where("doubtful").drop("doubtful").join(copies, "id", "left_anti"), folder, "doubtful")
+    heads = every.where("NOT doubtful").drop("doubtful").unionByName(doubtful)
     common.release(spark)
     total = nodes.agg(F.sum("n")).first()[0] or 0
     parts = max(1, -(-total * (100 - percent) // (100 * PART_TOKENS)))
@@ -427,11 +438,18 @@ def _links(docs: DataFrame, sets: DataFrame, nodes: DataFrame, folder: str, perc
     links = common.stored(_verified(star, verifiable, percent), folder, "links-1")
     labels = components(links, folder, "first")
     open_pairs = common.stored(_across(candidates.join(star, ["a", "b"], "left_anti"), labels), folder, "open")
-    links = links.unionByName(common.stored(_verified(open_pairs, verifiable, percent), folder, "links-2"))
-    labels = components(links, folder, "second")
+    labels = _merged(labels, common.stored(_verified(open_pairs, verifiable, percent), folder, "links-2"), folder, "second")
     tagged = crowded.join(labels, "id", "left").select("id", "n", "tokens", F.coalesce("component", "id").alias("component"))
     rest = common.stored(_combination_pairs(tagged, rule, combo_parts, False).distinct(), folder, "rest")
-    return links.unionByName(common.stored(_verified(rest, verifiable, percent), folder, "links-3"))
+    return _merged(labels, common.stored(_verified(rest, verifiable, percent), folder, "links-3"), folder, "all")
+
+
+def _merged(labels: DataFrame, links: DataFrame, folder: str, name: str) -> DataFrame:
+    """The components of those that stand and of more links."""
+    if not links.limit(1).count():
+        return labels
+    standing = labels.select(F.col("id").alias("a"), F.col("component").alias("b"))
+    return components(standing.unionByName(links), folder, name)
 
 
 def _across(pairs: DataFrame, labels: DataFrame) -> DataFrame:
