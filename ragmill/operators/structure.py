@@ -1,95 +1,115 @@
-"""Headings, sections and page numbers carried from chunk to chunk within a document."""
+"""Headings, sections and page numbers carried from chunk to chunk within a document, as window functions.
 
-from __future__ import annotations
+A heading event sets its level and clears those below. So the heading in force is the last one of the first
+level, or before any of those what the first event makes up from its number; a section is the same within the
+stretch since the last heading of the first level; a subsection stands only until the next event. Pages are
+the last value seen, and the span of pages starts anew in every chunk whose text names a page.
+"""
 
-import json
-import re
-from collections.abc import Iterator
+from __future__ import annotations
 
-import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-_NUMBERED = re.compile(r"(?:section\s+)?([0-9]+(?:[.][0-9]+){0,3})[.)]?\s+([a-z0-9].*)", re.IGNORECASE)
-_CAPITALS = re.compile(r"[A-Z][A-Z0-9 /&'\-]{3,}")
-#: In this order: the first form that a line holds names its page.
-_PAGES = tuple(
-    re.compile(p, re.IGNORECASE)
-    for p in (r"\bpage\s+([0-9]{1,4})\b", r"\bpg[.]\s*([0-9]{1,4})\b", r"\bp[.]\s*([0-9]{1,4})\b", r"\A\s*-{0,3}\s*([0-9]{1,4})\s*-{0,3}\s*\Z")
-)
-LEVELS = ("heading", "section", "subsection")
-
-
-class Tracker:
-    """The state of one document; feed() takes a chunk's text and gives the metadata that holds after it."""
-
-    def __init__(self) -> None:
-        self.levels: dict[str, str | None] = dict.fromkeys(LEVELS)
-        self.page: int | None = None
-        self.span: set[int] = set()
-
-    def feed(self, text: str | None) -> dict:
-        text = text or ""
-        found = {int(n) for form in _PAGES for n in form.findall(text)}
-        if found:
-            self.span, self.page = found, min(found)
-        for line in filter(None, map(str.strip, text.splitlines())):
-            page = next((int(m[1]) for form in _PAGES if (m := form.search(line))), None)
-            if page is not None:
-                self.page = page
-                self.span = self.span | {page}
-            elif m := _NUMBERED.fullmatch(line):
-                self._numbered(m[1].split("."), m[2].strip().rstrip(". "))
-            elif _CAPITALS.fullmatch(line):
-                self._set(line.title())
-        out: dict = {k: v for k, v in self.levels.items() if v}
-        if out:
-            out["section_hierarchy"] = list(out.values())
-        if self.page is not None:
-            out["page_number"] = self.page
-        if self.span:
-            out["page_numbers"] = sorted(self.span)
-        return out
-
-    def _set(self, *values: str | None) -> None:
-        self.levels = dict(zip(LEVELS, [*values, None, None, None][:3], strict=True))
-
-    def _numbered(self, numbers: list[str], title: str) -> None:
-        """A heading sets its level and clears those below; levels above that are missing are made up from its number."""
-        label = f"{'.'.join(numbers)} {title}".strip()
-        heading, section = self.levels["heading"], self.levels["section"]
-        if len(numbers) == 1:
-            self._set(label)
-        elif len(numbers) == 2:
-            self._set(heading if heading is not None else label, label)
-        else:
-            above = f"{'.'.join(numbers[:2])} {label.partition(' ')[2]}" if " " in label else ".".join(numbers[:2])
-            self._set(heading if heading is not None else f"{numbers[0]} {label}", section if section is not None else above, label)
-
-
-SCHEMA = "id long, document_id long, updates string"
+# The forms that count as headings and page numbers. Digits are ASCII digits.
+NUMBERED = r"(?i)^\s*(?:Section\s+)?(\d+(?:\.\d+){0,3})[\.)]?\s+([A-Za-z0-9][^\n]*)$"
+CAPITALS = r"^[A-Z][A-Z0-9 /&'\-]{3,}$"
+PAGES = (r"(?i)\bpage\s+(\d{1,4})\b", r"(?i)\bpg\.\s*(\d{1,4})\b", r"(?i)\bp\.\s*(\d{1,4})\b", r"^\s*-{0,3}\s*(\d{1,4})\s*-{0,3}\s*$")
+# End of the fixed values.
+
+LINE_ENDS = r"\R|[\x1c-\x1e]"
+EDGES = r"(?U)^\s+|\s+$"
+
+
+def _lines(text: Column) -> Column:
+    """Lines without white space around them, blank ones left out."""
+    return F.filter(F.transform(F.split(text, LINE_ENDS), lambda line: F.regexp_replace(line, EDGES, "")), lambda line: line != "")
+
+
+def _pages(text: Column) -> Column:
+    """Every page number that a text names, in any form."""
+    found = F.concat(*[F.regexp_extract_all(text, F.lit(form), F.lit(1)) for form in PAGES])
+    return F.array_distinct(F.transform(found, lambda n: n.cast("int")))
+
+
+def _page(line: Column) -> Column:
+    """The page that a line names by the first form that it holds, or null."""
+    return F.coalesce(*[F.when(line.rlike(form), F.regexp_extract(line, form, 1).cast("int")) for form in PAGES])
+
+
+def _titled(line: Column) -> Column:
+    """Each run of letters with a capital first and small letters after."""
+    runs = F.regexp_extract_all(line, F.lit("[A-Z]+|[^A-Z]+"), F.lit(0))
+    return F.array_join(F.transform(runs, lambda run: F.concat(F.substring(run, 1, 1), F.lower(F.substr(run, F.lit(2))))), "")
+
+
+def _event(line: Column) -> Column:
+    """(level, label, heading and section to make up from the number) of a heading line, or null; lines that name a page are none."""
+    number = F.regexp_extract(line, NUMBERED, 1)
+    title = F.rtrim(F.regexp_replace(F.regexp_extract(line, NUMBERED, 2), EDGES, ""), F.lit(". "))
+    parts = F.split(number, r"\.")
+    label = F.trim(F.concat_ws(" ", number, title))
+    event = lambda level, label, heading, section: F.struct(level.alias("level"), label.alias("label"), heading.alias("heading"), section.alias("section"))
+    none = F.lit(None).cast("string")
+    level = F.least(F.size(parts), F.lit(3))
+    over = F.when(level == 2, label).when(level == 3, F.concat_ws(" ", parts[0], label))
+    numbered = event(level, label, over, F.when(level == 3, F.trim(F.concat_ws(" ", F.concat_ws(".", F.slice(parts, 1, 2)), title))))
+    capitals = event(F.lit(1), _titled(line), none, none)
+    return F.when(_page(line).isNotNull(), None).when(line.rlike(NUMBERED), numbered).when(line.rlike(CAPITALS), capitals)
 
 
 def track(chunks: DataFrame) -> DataFrame:
-    """(id, document_id, updates as JSON) of chunks(id, document_id, chunk_index, content), each document in order.
+    """(id, document_id, updates as JSON) of chunks(id, document_id, chunk_index, content): what holds after each chunk.
 
-    Rows are dealt and sorted by document; a task then folds its documents one row at a time, so no document
-    has to fit in memory.
+    All windows share one sort by document and place, which spills; a document is not held as one value. A null
+    content changes nothing; chunks without an index are ordered by id.
     """
-    order = F.coalesce(F.col("chunk_index").cast("long"), F.col("id"))
-    rows = chunks.select("id", "document_id", order.alias("at"), "content").repartition("document_id").sortWithinPartitions("document_id", "at", "id")
-
-    def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        current, tracker = None, Tracker()
-        for batch in batches:
-            updates = []
-            for document, content in zip(batch["document_id"], batch["content"], strict=True):
-                if document != current:
-                    current, tracker = document, Tracker()
-                updates.append(json.dumps(tracker.feed(content)))
-            yield pd.DataFrame({"id": batch["id"], "document_id": batch["document_id"], "updates": updates})
-
-    return rows.mapInPandas(fold, SCHEMA)
+    at = F.coalesce(F.col("chunk_index").cast("long"), F.col("id"))
+    rows = chunks.select("id", "document_id", at.alias("at"), F.coalesce("content", F.lit("")).alias("text")).withColumn("lines", _lines(F.col("text")))
+    named = F.filter(F.transform("lines", _page), lambda page: page.isNotNull())
+    rows = rows.select(
+        "id",
+        "document_id",
+        "at",
+        _pages(F.col("text")).alias("found"),
+        named.alias("named"),
+        F.filter(F.transform("lines", _event), lambda event: event.isNotNull()).alias("events"),
+    )
+    chunk = Window.partitionBy("document_id").orderBy("at", "id")
+    page = F.coalesce(F.try_element_at("named", F.lit(-1)), F.array_min("found"))
+    rows = rows.withColumn("page", F.last(page, True).over(chunk)).withColumn("span", F.sum((F.size("found") > 0).cast("int")).over(chunk))
+    own = F.array_union("found", "named")
+    since = Window.partitionBy("document_id", "span").orderBy("at", "id")
+    rows = rows.withColumn("pages", F.array_sort(F.array_distinct(F.flatten(F.collect_set(F.when(F.size(own) > 0, own)).over(since)))))
+
+    rows = rows.select("*", F.posexplode_outer("events").alias("k", "event")).withColumn("k", F.coalesce("k", F.lit(-1)))
+    line = Window.partitionBy("document_id").orderBy("at", "id", "k")
+    is_level = lambda n: F.col("event.level") == n
+    rows = rows.withColumn("block", F.sum(F.coalesce(is_level(1).cast("int"), F.lit(0))).over(line))
+    within = Window.partitionBy("document_id", "block").orderBy("at", "id", "k")
+    last = F.last(F.when(F.col("event").isNotNull(), F.col("event")), True).over(line)
+    rows = rows.select(
+        "id",
+        "document_id",
+        "events",
+        "k",
+        "page",
+        "pages",
+        F.coalesce(F.last(F.when(is_level(1), F.col("event.label")), True).over(line), F.first("event.heading", True).over(line)).alias("heading"),
+        F.coalesce(F.last(F.when(is_level(2), F.col("event.label")), True).over(within), F.first("event.section", True).over(within)).alias("section"),
+        F.when(last["level"] == 3, last["label"]).alias("subsection"),
+    )
+    held = rows.where(F.col("k") == F.size("events") - 1)
+    levels = F.array_compact(F.array("heading", "section", "subsection"))
+    updates = F.struct(
+        "heading",
+        "section",
+        "subsection",
+        F.when(F.size(levels) > 0, levels).alias("section_hierarchy"),
+        F.col("page").alias("page_number"),
+        F.when(F.size("pages") > 0, F.col("pages")).alias("page_numbers"),
+    )
+    return held.select("id", "document_id", F.to_json(updates).alias("updates"))
 
 
 def merge_metadata(existing: Column, updates: Column) -> Column:

@@ -153,6 +153,20 @@ def test_section_tracker(spark):
     assert e == {"heading": "3 3.1.4 Scope", "section": "3.1 Scope", "subsection": "3.1.4 Scope", "section_hierarchy": ["3 3.1.4 Scope", "3.1 Scope", "3.1.4 Scope"]}
 
 
+def test_levels_and_pages_are_carried(spark):
+    """Levels made up from a number, cleared by those above; pages of whole lines add to the span, others start it anew."""
+    a, b, c, d, e, f = tracked(
+        spark,
+        [(1, 0, "no heading\n- 7 -"), (1, 1, "2.1.3 Deep.\n12"), (1, 2, None), (1, 3, "2.2 Next\nSection 3) Third"), (1, 4, "3.1.1 Low\n3.1 Mid"), (1, 5, "X-RAY 2ND LINE\nsee p. 4 and pg. 9")],
+    )
+    assert a == {"page_number": 7, "page_numbers": [7]}
+    assert b["heading"] == "2 2.1.3 Deep" and b["section"] == "2.1 Deep" and b["subsection"] == "2.1.3 Deep" and b["page_numbers"] == [7, 12]
+    assert c == b
+    assert d == {"heading": "3 Third", "section_hierarchy": ["3 Third"], "page_number": 12, "page_numbers": [7, 12]}
+    assert e["heading"] == "3 Third" and e["section"] == "3.1 Mid" and "subsection" not in e
+    assert f["heading"] == "X-Ray 2Nd Line" and "section" not in f and f["page_number"] == 9 and f["page_numbers"] == [4, 9]
+
+
 def kept(spark, lengths, budget, mode):
     rows = [(i, "" if n is None else "x" * n) for i, n in enumerate(lengths)]
     return [r.rank for r in context.budget(spark.createDataFrame(rows, "rank int, content string"), budget, mode).orderBy("rank").collect()]
@@ -212,6 +226,28 @@ def test_figures_of_a_document(spark):
     assert [(r.page_number, r.figure_label, r.x0, r.top, r.x1, r.bottom) for r in found] == [(1, "FIGURE 1", 74.0, 444.0, 406.0, 606.0)]
 
 
+def test_figures_of_one_page(spark):
+    """A caption of a label that the document has leaves the bound where it is; a table's label above a box rules it out."""
+    pages = spark.createDataFrame([(1, p, 600.0, 800.0) for p in (1, 2, 3)], "document_id long, page_number int, width double, height double")
+    on = lambda number, *rows: words(spark, list(rows)).withColumn("page_number", F.lit(number))
+    first = on(1, ("Fig.", 60, 300), ("1—A", 110, 300))
+    second = on(2, ("Fig.", 60, 300), ("1—A", 110, 300), ("Fig.", 60, 600), ("2—B", 110, 600))
+    third = on(3, ("Table", 80, 180), ("4—Rates", 130, 180), ("Fig.", 60, 400), ("3—C", 110, 400))
+    shapes = [(1, 1, 200.0), (1, 2, 200.0), (1, 2, 500.0), (1, 3, 210.0)]
+    shapes = spark.createDataFrame([(d, p, "rect", 80.0, t, 400.0, t + 80) for d, p, t in shapes], "document_id long, page_number int, kind string, x0 double, top double, x1 double, bottom double")
+    found = layout.extract_figures(pages, first.unionByName(second).unionByName(third), shapes).collect()
+    # On the second page the first caption is known, so the band of the other one reaches up to the first shape.
+    assert sorted((r.page_number, r.figure_label, r.top, r.bottom) for r in found) == [(1, "FIGURE 1", 194.0, 286.0), (2, "FIGURE 2", 238.0, 586.0)]
+
+
+def test_text_boxes_above_captions(spark):
+    pages = spark.createDataFrame([(1, 1, 600.0, 800.0)], "document_id long, page_number int, width double, height double")
+    found = spark.createDataFrame([(1, 1, 0, "FIGURE 1", 0.0, 400.0)], "document_id long, page_number int, position int, figure_label string, min_top double, top double")
+    three = [("a", 100, 300), ("b", 150, 320), ("c", 200, 340)]
+    (box,) = layout.textual_figure_boxes(found, words(spark, three), pages).collect()
+    assert (box.x0, box.top) == (94.0, 296.0) and layout.textual_figure_boxes(found, words(spark, three[:2]), pages).count() == 0
+
+
 def test_an_image_needs_a_label_below(spark):
     pages = spark.createDataFrame([(1, 1, 600.0, 800.0)], "document_id long, page_number int, width double, height double")
     text = words(spark, [("see", 100, 300), ("Fig.", 120, 300), ("7—B", 150, 300)])
