@@ -11,6 +11,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.labels import WHITE
+
 # The forms that count as headings and page numbers. Digits are ASCII digits.
 NUMBERED = r"(?i)^\s*(?:Section\s+)?(\d+(?:\.\d+){0,3})[\.)]?\s+([A-Za-z0-9][^\n]*)$"
 CAPITALS = r"^[A-Z][A-Z0-9 /&'\-]{3,}$"
@@ -18,23 +20,29 @@ PAGES = (r"(?i)\bpage\s+(\d{1,4})\b", r"(?i)\bpg\.\s*(\d{1,4})\b", r"(?i)\bp\.\s
 # End of the fixed values.
 
 LINE_ENDS = r"\R|[\x1c-\x1e]"
-EDGES = r"(?U)^\s+|\s+$"
+#: The forms of PAGES as one, to pass over the many texts and lines that hold none of them.
+NAMES = r"(?im)\bp(?:age\s+|g\.\s*|\.\s*)\d{1,4}\b|^\s*-{0,3}\s*\d{1,4}\s*-{0,3}\s*$"
+
+
+def _stripped(text: Column) -> Column:
+    return F.btrim(text, F.lit(WHITE))
 
 
 def _lines(text: Column) -> Column:
     """Lines without white space around them, blank ones left out."""
-    return F.filter(F.transform(F.split(text, LINE_ENDS), lambda line: F.regexp_replace(line, EDGES, "")), lambda line: line != "")
+    return F.filter(F.transform(F.split(text, LINE_ENDS), _stripped), lambda line: line != "")
 
 
 def _pages(text: Column) -> Column:
     """Every page number that a text names, in any form."""
     found = F.concat(*[F.regexp_extract_all(text, F.lit(form), F.lit(1)) for form in PAGES])
-    return F.array_distinct(F.transform(found, lambda n: n.cast("int")))
+    found = F.array_distinct(F.transform(found, lambda n: n.cast("int")))
+    return F.when(text.rlike(NAMES), found).otherwise(F.array().cast("array<int>"))
 
 
 def _page(line: Column) -> Column:
-    """The page that a line names by the first form that it holds, or null."""
-    return F.coalesce(*[F.when(line.rlike(form), F.regexp_extract(line, form, 1).cast("int")) for form in PAGES])
+    """The page that a line names by the first form that it holds; for lines that NAMES picks."""
+    return F.coalesce(*[F.try_element_at(F.transform(F.regexp_extract_all(line, F.lit(form), F.lit(1)), lambda n: n.cast("int")), F.lit(1)) for form in PAGES])
 
 
 def _titled(line: Column) -> Column:
@@ -44,9 +52,9 @@ def _titled(line: Column) -> Column:
 
 
 def _event(line: Column) -> Column:
-    """(level, label, heading and section to make up from the number) of a heading line, or null; lines that name a page are none."""
+    """(level, label, heading and section to make up from the number) of a heading line."""
     number = F.regexp_extract(line, NUMBERED, 1)
-    title = F.rtrim(F.regexp_replace(F.regexp_extract(line, NUMBERED, 2), EDGES, ""), F.lit(". "))
+    title = F.rtrim(_stripped(F.regexp_extract(line, NUMBERED, 2)), F.lit(". "))
     parts = F.split(number, r"\.")
     label = F.trim(F.concat_ws(" ", number, title))
     event = lambda level, label, heading, section: F.struct(level.alias("level"), label.alias("label"), heading.alias("heading"), section.alias("section"))
@@ -55,7 +63,7 @@ def _event(line: Column) -> Column:
     over = F.when(level == 2, label).when(level == 3, F.concat_ws(" ", parts[0], label))
     numbered = event(level, label, over, F.when(level == 3, F.trim(F.concat_ws(" ", F.concat_ws(".", F.slice(parts, 1, 2)), title))))
     capitals = event(F.lit(1), _titled(line), none, none)
-    return F.when(_page(line).isNotNull(), None).when(line.rlike(NUMBERED), numbered).when(line.rlike(CAPITALS), capitals)
+    return F.when(line.rlike(NUMBERED), numbered).otherwise(capitals)
 
 
 def track(chunks: DataFrame) -> DataFrame:
@@ -66,14 +74,17 @@ def track(chunks: DataFrame) -> DataFrame:
     """
     at = F.coalesce(F.col("chunk_index").cast("long"), F.col("id"))
     rows = chunks.select("id", "document_id", at.alias("at"), F.coalesce("content", F.lit("")).alias("text")).withColumn("lines", _lines(F.col("text")))
-    named = F.filter(F.transform("lines", _page), lambda page: page.isNotNull())
+    # Few lines are looked at closely: those that name a page, and of the others those that are headings.
+    names = lambda line: line.rlike(NAMES)
+    heads = F.filter("lines", lambda line: (line.rlike(NUMBERED) | line.rlike(CAPITALS)) & ~names(line))
+    named = F.transform(F.filter("lines", names), _page)
     rows = rows.select(
         "id",
         "document_id",
         "at",
         _pages(F.col("text")).alias("found"),
-        named.alias("named"),
-        F.filter(F.transform("lines", _event), lambda event: event.isNotNull()).alias("events"),
+        F.when(F.col("text").rlike(NAMES), named).otherwise(F.array().cast("array<int>")).alias("named"),
+        F.transform(heads, _event).alias("events"),
     )
     chunk = Window.partitionBy("document_id").orderBy("at", "id")
     page = F.coalesce(F.try_element_at("named", F.lit(-1)), F.array_min("found"))
