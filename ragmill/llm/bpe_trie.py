@@ -25,16 +25,33 @@ import regex
 from pyspark.sql import DataFrame
 
 from . import common
-from .token_counts import SPACES, byte_symbols
+from .token_counts import FIRST_NEWER, SPACES, byte_symbols, newer, split_text
 
 END = "</w>"
 #: How the vocabulary splits a normalised text into words.
 PATTERN = rf"'s|'t|'re|'ve|'m|'ll|'d|\p{{L}}+|\p{{N}}|[^{SPACES}\p{{L}}\p{{N}}]+"
+# Fixed values of Unicode: letters and numbers that version 16.0 added, as ranges, which the vocabulary's pattern
+# knows (but no later ones), and the small letters of capitals that versions 16.0 and 17.0 added.
+UNICODE_16 = (
+    "1c89-1c8a a7cb-a7cd a7da-a7dc 105c0-105f3 10d40-10d65 10d6f-10d85 10ec2-10ec4 11380-11389 1138b-1138b 1138e-1138e 11390-113b5 113b7-113b7 "
+    "113d1-113d1 113d3-113d3 116d0-116e3 11bc0-11be0 11bf0-11bf9 13460-143fa 16100-1611d 16130-16139 16d40-16d6c 16d70-16d79 18cff-18cff "
+    "1ccf0-1ccf9 1e5d0-1e5ed 1e5f0-1e5fa"
+)
+SMALL = {0x1C89: 0x1C8A, 0xA7CB: 0x264, 0xA7CC: 0xA7CD, 0xA7CE: 0xA7CF, 0xA7D2: 0xA7D3, 0xA7D4: 0xA7D5, 0xA7DA: 0xA7DB, 0xA7DC: 0x19B}
+SMALL |= {c: c + 0x20 for c in range(0x10D50, 0x10D66)} | {c: c + 0x1B for c in range(0x16EA0, 0x16EB9)}
+# End of the fixed values.
 #: Token pairs, and words, that a worker keeps.
 _PAIRS = 200_000
 KNOWN = 400_000
 
 
+@functools.cache
+def hidden() -> dict[int, str]:
+    """Characters that the regex module has as letters or numbers and the vocabulary's pattern doesn't, with their stand-in."""
+    known = {c for r in UNICODE_16.split() for c in range(int(r.partition("-")[0], 16), int(r.partition("-")[2], 16) + 1)}
+    return {c: x for c, x in newer().items() if c not in known}
+
+
 class TrieEncoder:
     """Encodes words for a vocabulary whose words end in END."""
 
@@ -127,7 +144,10 @@ class Codec:
             # Letters are lower-cased one by one, so a final sigma has no form of its own.
             text = unicodedata.normalize("NFC", text).replace("Σ", "σ")
         # Runs of white space, which the vocabulary makes one space, stand between words and go either way.
-        return self.split.findall(text.lower())
+        text = text.lower()
+        if not text or max(text) < FIRST_NEWER:
+            return self.split.findall(text)
+        return split_text(self.split, text.translate(SMALL), hidden())
 
     def learn(self, words: set[str]) -> None:
         spelled = {"".join(map(self.table.__getitem__, w.encode())): w for w in words}
@@ -140,7 +160,7 @@ class Codec:
         """For each text its ids as little-endian 32-bit integers and its words, special tokens among them."""
         split = []
         for text in texts:
-            if "<|" in text and self.special_split.search(text):
+            if self.special_split.search(text):
                 words = []
                 for i, piece in enumerate(self.special_split.split(text)):
                     words += [("", piece)] if i % 2 else self.words(piece)

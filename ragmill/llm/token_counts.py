@@ -13,6 +13,8 @@ from __future__ import annotations
 
 import functools
 import json
+import sys
+import unicodedata
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -27,6 +29,10 @@ SPACES = "\\t-\\r\\x20\\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u20
 PATTERN = (
     rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{SPACES}\p{{L}}\p{{N}}]+|[{SPACES}]+(?![^{SPACES}])|[{SPACES}]+"
 )
+#: Stands for characters newer than the vocabularies' tables while a text is split: no letter, number or space.
+STAND_IN = "\ue000"
+#: The lowest character that a table newer than Unicode 15.1 adds as a letter or number.
+FIRST_NEWER = "\u0558"
 LIMIT = 512
 _NEVER = np.int32(2**31 - 1)
 
@@ -39,6 +45,21 @@ def byte_symbols() -> list[str]:
     return [chr(b) if b in set(plain) else chr(next(spare)) for b in range(256)]
 
 
+@functools.cache
+def newer() -> dict[int, str]:
+    """Characters that the regex module has as letters or numbers and Unicode 15.1, which vocabularies go by, doesn't know, with their stand-in."""
+    unknown = "".join(c for c in map(chr, range(sys.maxunicode + 1)) if unicodedata.category(c) == "Cn")
+    return dict.fromkeys(map(ord, regex.findall(r"[\p{L}\p{N}]", unknown)), STAND_IN)
+
+
+def split_text(split: regex.Pattern, text: str, hidden: dict[int, str] | None = None) -> list[str]:
+    """What a pattern finds in a text, with the characters of hidden (newer() unless given) as no letters or numbers."""
+    hidden = newer() if hidden is None else hidden
+    if not text or max(text) < FIRST_NEWER or hidden.keys().isdisjoint(map(ord, text)):
+        return split.findall(text)
+    return [text[m.start() : m.end()] for m in split.finditer(text.translate(hidden))]
+
+
 class RankMerger:
     """Counts the tokens of pre-tokens. Merges must be ordered so that a token is made before it is used."""
 
@@ -122,9 +143,9 @@ class Counter:
             if self.special and self.special.search(text):
                 pieces = self.special.split(text)
                 n = len(pieces) - 1
-            tokens = self.split.findall(pieces[0])
+            tokens = split_text(self.split, pieces[0])
             for piece in pieces[1:]:
-                tokens += self.split.findall(piece)
+                tokens += split_text(self.split, piece)
             parts.append((tokens, n))
         new = set().union(*(p[0] for p in parts)).difference(self.known) if parts else set()
         if new and len(self.known) + len(new) > common.CACHE_WORDS:

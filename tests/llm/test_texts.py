@@ -55,6 +55,21 @@ def test_bpe_equals_the_library_and_round_trips(spark):
         assert codec.decode(data) == decoded
 
 
+def test_every_character_splits_as_in_the_library():
+    """Each code point but those of empty planes and private use, between letters and after a digit, for both vocabularies."""
+    chars = [chr(c) for c in [*range(0xD800), *range(0xF900, 0x34000), *range(0xE0000, 0xE0200)]]
+    texts = [" ".join(f"a{c}b 1{c}" for c in chars[k : k + 400]) for k in range(0, len(chars), 400)]
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    wanted = Tokenizer.from_file(path).encode_batch(texts, add_special_tokens=False)
+    assert token_counts.Counter(path).count(texts) == [len(x.ids) for x in wanted]
+    path = public_tokenizers.path("word_bpe_49k.json")
+    wanted = Tokenizer.from_file(path)
+    wanted.no_truncation()
+    wanted.no_padding()
+    for text, x, (ids, _) in zip(texts, wanted.encode_batch(texts, add_special_tokens=False), bpe_trie.Codec(path).encode(texts), strict=True):
+        assert ids == struct.pack(f"<{len(x.ids)}I", *x.ids), [hex(ord(c)) for c in text if ord(c) > 127][:8]
+
+
 def test_trie_states_equal_plain_bpe():
     codec = bpe_trie.Codec(public_tokenizers.path("word_bpe_49k.json"))
     rng = random.Random(8)
