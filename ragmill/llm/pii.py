@@ -30,7 +30,6 @@ from pyspark.sql import DataFrame
 from . import common
 
 ROUNDS = 8
-KEY = b"ragmill test key"
 
 
 class Permutation:
@@ -248,7 +247,7 @@ def pseudonyms(key: bytes) -> Pseudonyms:
     return Pseudonyms(key)
 
 
-def pseudonymise(docs: DataFrame, key: bytes = KEY) -> DataFrame:
+def pseudonymise(docs: DataFrame, key: bytes) -> DataFrame:
     """doc_id, text with pseudonyms, n_values. The key decides the permutation; keep it secret and the same across tables."""
     common.bounded_batches(docs.sparkSession)
 

@@ -84,7 +84,7 @@ def test_cases_without_text(spark, documents, no_documents):
     assert (none[0].n_bytes, none[0].n_tokens, none[1].n_tokens) == (0, 0, 0)
     empty = bpe_trie.encode_decode(documents, words).where("doc_id = 0").first()
     assert (empty.n_tokens, bytes(empty.ids), empty.decoded) == (0, b"", "")
-    for df in (token_counts.count_tokens(no_documents, path), bpe_trie.encode_decode(no_documents, words), quality.judge(no_documents), quality.keep_good(no_documents), pii.pseudonymise(no_documents), licences.scan(no_documents)):
+    for df in (token_counts.count_tokens(no_documents, path), bpe_trie.encode_decode(no_documents, words), quality.judge(no_documents), quality.keep_good(no_documents), pii.pseudonymise(no_documents, b"key"), licences.scan(no_documents)):
         assert df.count() == 0
 
 
@@ -214,7 +214,7 @@ def test_pseudonyms_keep_formats(spark):
 
 def test_equal_values_stay_linked(spark):
     rows = [(1, "card 4111111111111111 x"), (2, "y 4111111111111111"), (3, "4111 1111 1111 1111"), (4, None), (5, ""), (5, "")]
-    found = {r.doc_id: (r.text, r.n_values) for r in pii.pseudonymise(make(spark, rows)).collect()}
+    found = {r.doc_id: (r.text, r.n_values) for r in pii.pseudonymise(make(spark, rows), b"key").collect()}
     digits = [re.sub(r"\D", "", found[k][0]) for k in (1, 2, 3)]
     assert len(set(digits)) == 1 and digits[0] != "4" + "1" * 15 and found[4] == (None, 0) and found[5] == ("", 0)
 
