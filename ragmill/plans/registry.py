@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from datetime import datetime
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -196,13 +197,13 @@ def figure_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    """WITH named AS (SELECT doc_id AS document_id, 'FIGURE ' || (doc_id % 9) AS figure_label FROM documents WHERE doc_id % 3 = 0),
+    """WITH named AS (SELECT doc_id AS document_id, 'FIGURE ' || (doc_id % 9) AS figure_label FROM documents),
     stored AS (SELECT doc_id AS document_id, 'FIGURE ' || k AS figure_label FROM documents, range(9) t(k))
     SELECT document_id, figure_label FROM stored JOIN named USING (document_id, figure_label)"""
 )
 def figures_for_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents").select(F.col("doc_id").alias("document_id"))
-    chunks = docs.where("document_id % 3 = 0").withColumn("content", F.expr("concat('as fig. ', document_id % 9, ' shows, fig ', document_id % 9)"))
+    chunks = docs.withColumn("content", F.expr("concat('as fig. ', document_id % 9, ' shows, fig ', document_id % 9)"))
     figures = docs.select("document_id", F.explode(F.sequence(F.lit(0), F.lit(8))).alias("k")).select("document_id", F.expr("concat('FIGURE ', k)").alias("figure_label"))
     return context.figures_for_chunks(chunks, figures)
 
@@ -341,18 +342,22 @@ def upsert_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    """WITH incoming AS (SELECT l_orderkey AS document_id, 'FIGURE ' || l_linenumber AS figure_label, l_comment_id AS position, l_quantity AS caption
-        FROM (SELECT *, row_number() OVER (ORDER BY l_orderkey, l_linenumber, l_partkey, l_suppkey, l_quantity) AS l_comment_id FROM lineitem WHERE l_orderkey <= 200))
-    SELECT document_id, figure_label, caption FROM incoming QUALIFY row_number() OVER (PARTITION BY document_id, figure_label ORDER BY position DESC) = 1"""
+    """WITH latest AS (SELECT l_orderkey AS document_id, 'FIGURE ' || l_linenumber AS figure_label, l_quantity::DOUBLE AS caption FROM lineitem
+        QUALIFY row_number() OVER (PARTITION BY l_orderkey, l_linenumber ORDER BY l_partkey DESC, l_suppkey DESC, l_quantity DESC) = 1),
+    stored AS (SELECT o_orderkey AS document_id, 'FIGURE 1' AS figure_label, true AS stood FROM orders)
+    SELECT document_id, figure_label, coalesce(caption, -1) AS caption, coalesce(stood, false) AS stood FROM latest FULL JOIN stored USING (document_id, figure_label)"""
 )
 def upsert_figures(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Figures of orders up to key 200; of rows with one label the last stays."""
-    lines = read(spark, sf_dir, "lineitem").where("l_orderkey <= 200")
-    position = F.row_number().over(Window.orderBy("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity"))
-    rows = lines.select(F.col("l_orderkey").alias("document_id"), F.concat(F.lit("FIGURE "), F.col("l_linenumber").cast("string")).alias("figure_label"), position.alias("position"), F.col("l_quantity").alias("caption"))
-    latest = store.last_of_each(rows, ("document_id", "figure_label"), "position")
-    table = latest.where(F.lit(False))
-    return store.upsert(table, latest, ("document_id", "figure_label")).select("document_id", "figure_label", "caption")
+    """Lines of orders as figures, over a first figure that every order has; of rows with one label the last stays."""
+    before, now = datetime(2024, 1, 1), datetime(2024, 2, 1)
+    label = F.concat(F.lit("FIGURE "), F.col("l_linenumber").cast("string")).alias("figure_label")
+    position = F.row_number().over(Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_quantity")).alias("position")
+    rows = read(spark, sf_dir, "lineitem").select(F.lit(None).cast("long").alias("id"), F.col("l_orderkey").alias("document_id"), label, position, F.col("l_quantity").cast("double").alias("caption"))
+    key = F.col("o_orderkey")
+    table = read(spark, sf_dir, "orders").select(
+        key.alias("id"), key.alias("document_id"), F.lit("FIGURE 1").alias("figure_label"), F.lit(0).alias("position"), F.lit(-1.0).alias("caption"), F.lit(before).alias("created_at")
+    )
+    return store.upsert_figures(table, rows, now).select("document_id", "figure_label", "caption", (F.col("created_at") == F.lit(before)).alias("stood"))
 
 
 @query(
@@ -480,19 +485,22 @@ def extract_figures(spark: SparkSession, sf_dir: str) -> DataFrame:
     return layout.extract_figures(pages, words.unionByName(caption), shapes)
 
 
-@query("SELECT page_id, lower(regexp_replace(regexp_replace(regexp_extract(url, '[^/]*$'), '[^a-zA-Z0-9._-]+', '-', 'g'), '^-+|-+$', '', 'g')) AS name FROM pages WHERE regexp_extract(url, '[^/]*$') <> ''")
+@query(
+    """WITH n AS (SELECT page_id, lower(regexp_replace(regexp_replace(regexp_extract(url, '[^/]*$'), '[^a-zA-Z0-9._-]+', '-', 'g'), '^-+|-+$', '', 'g')) AS name FROM pages)
+    SELECT page_id, CASE WHEN name = '' THEN 'asset' ELSE name END AS name FROM n"""
+)
 def object_names(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = read(spark, sf_dir, "pages").where(F.element_at(F.split("url", "/"), -1) != "")
-    return rows.select("page_id", labels.object_name(F.col("url")).alias("name"))
+    return read(spark, sf_dir, "pages").select("page_id", labels.object_name(F.col("url")).alias("name"))
 
 
 @query(
-    """SELECT event_id, CASE WHEN event_id % 4 = 0 THEN 100
-    ELSE greatest(3, least(97, floor(greatest(0, epoch(TIMESTAMP '2024-01-15') - epoch(ts)) * 100 / 1200 + 0.5)))::INT END AS progress FROM events WHERE event_id % 4 <> 1"""
+    """SELECT event_id, CASE WHEN event_id % 4 = 0 THEN 100 WHEN event_id % 4 = 1 THEN NULL
+    ELSE greatest(3, least(97, floor(greatest(0, epoch(TIMESTAMP '2024-01-15') - epoch(ts)) * 100 / 1200 + 0.5)))::INT END AS progress FROM events"""
 )
 def ingest_progress(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = read(spark, sf_dir, "events").where("event_id % 4 <> 1")
-    started = F.col("ts").cast("timestamp")
+    """A quarter of the events hasn't started, a quarter is finished."""
+    rows = read(spark, sf_dir, "events")
+    started = F.when(F.col("event_id") % 4 != 1, F.col("ts").cast("timestamp"))
     finished = F.when(F.col("event_id") % 4 == 0, F.col("ts").cast("timestamp"))
     return rows.select("event_id", labels.progress(started, finished, F.lit("2024-01-15").cast("timestamp")).alias("progress"))
 
