@@ -177,7 +177,6 @@ class Scanner:
         for a, b in self.keys:
             firsts.setdefault(a, set()).add(b)
         self.probe = re.compile(r"(?<![^\W_])(?:" + "|".join(rf"{a}[\W_]+(?:{'|'.join(sorted(bs))})" for a, bs in sorted(firsts.items())) + r")(?![^\W_])")
-        self.first_word = re.compile("|".join(sorted(firsts)))
 
     def best_run(self, grams: list[tuple[tuple[str, str], int, int]], name: str) -> tuple[float, int, int] | None:
         """(Dice, first line, last line) of a template's best and then first run of words, given as bigrams with their lines.
@@ -247,24 +246,29 @@ class Scanner:
             best = None
             starts = set()
             for i in at:  # stretches that hold line i
-                size, j = len(own[i]), i
+                j = i
                 starts.add(i)
                 # Lines repeat bigrams, so a stretch's set may be smaller than its sum; go back while the set fits.
+                # Once the lines before hold all that line i brings, one of them is a hit and goes further back.
                 held = set(own[i])
-                while j > 0:
+                brought = own[i] | ({into[i]} if into[i] else set())
+                while j > 0 and brought:
                     if into[j]:
                         held.add(into[j])
                     held |= own[j - 1]
-                    size = len(held)
+                    brought = brought - own[j - 1] - ({into[j]} if j < i else set())
                     j -= 1
-                    if size > high:
+                    if len(held) > high:
                         break
                     starts.add(j)
             for start in sorted(starts):
                 held = set(own[start])
-                end = start
+                end, scored = start, -1
+                # What the first line brings; once later lines hold it too, the stretch without that line is as good.
+                brought = own[start] | ({into[start + 1]} if start + 1 < len(lines) and into[start + 1] else set())
                 while True:
-                    if low <= len(held) <= high:
+                    if low <= len(held) <= high and len(held) != scored:
+                        scored = len(held)
                         score = dice(frozenset(held), template)
                         if score >= self.threshold and (best is None or score > best[0]):
                             best = score, start, end
@@ -274,6 +278,9 @@ class Scanner:
                     if into[end]:
                         held.add(into[end])
                     held |= own[end]
+                    brought = brought - own[end] - ({into[end]} if end > start + 1 else set())
+                    if not brought:
+                        break
             run = None if best and best[0] == 1 else self.best_run(grams, name)
             if best and run and run[0] > best[0] and run[1] <= best[2] and best[1] <= run[2]:
                 # Whole lines may hold prose that runs leave out, so templates are compared by their runs.

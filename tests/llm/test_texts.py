@@ -5,6 +5,7 @@ import hashlib
 import random
 import re
 import struct
+import time
 
 import public_tokenizers
 import pytest
@@ -249,6 +250,32 @@ def test_licence_scan():
     assert scan(" ".join(words[: len(words) // 3])) == []
 
 
+def test_licence_scan_of_mixed_lines():
+    """Of texts whose lines repeat, mix and break off, each template found has a stretch as like as the likest of all tried."""
+    rng = random.Random(6)
+    scan = licences.Scanner(licences.TEMPLATES).scan
+    pool = [x for name in ("MIT", "GPL-2.0", "MPL-2.0") for x in licences.TEMPLATES[name].split("\n")]
+    for _ in range(60):
+        name = rng.choice(["MIT", "GPL-2.0", "MPL-2.0"])
+        lines = [x for x in licences.TEMPLATES[name].split("\n") for _ in range(rng.choice([1, 1, 2, 3]))]
+        for _ in range(rng.randrange(6)):
+            lines.insert(rng.randrange(len(lines) + 1), rng.choice(["", rng.choice(pool), sentence(rng, 4)]))
+        if rng.random() < 0.4:
+            del lines[rng.randrange(len(lines))]
+        text = "\n".join(lines)
+        wanted, found = plain_scan(text), scan(text)
+        assert bool(found) >= bool(wanted) and all(wanted.get(x[0], 0) <= x[1] + 1e-9 for x in found), text
+
+
+def test_licence_scan_of_many_equal_lines():
+    """Time goes with the text, also where its lines say the same over and over."""
+    began = time.process_time()
+    for text in ("\n".join(["Licensed under CC BY 4.0."] * 20_000), "\n".join(licences.TEMPLATES["MIT"].split("\n") * 1000), "\n" * 50_000 + licences.TEMPLATES["MIT"] + "\n" * 50_000):
+        assert max(x[1] for x in licences.Scanner(licences.TEMPLATES).scan(text)) == 1.0
+    assert time.process_time() - began < 60
+
+
+
 @pytest.mark.parametrize("name", ["MIT", "GPL-2.0", "LGPL-2.1", "LGPL-3.0", "AGPL-3.0", "GPL-3.0", "BSD-2-Clause", "BSD-3-Clause", "MPL-2.0"])
 def test_licences_inside_lines(name):
     """A licence comes out as itself and not as a liker of its kin, also where it shares its lines with prose."""
