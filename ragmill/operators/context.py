@@ -95,12 +95,17 @@ def page_labels(pages: DataFrame, chunks: DataFrame) -> DataFrame:
     return cited.groupBy("document_id", "page_number").agg(F.array_sort(F.collect_set("source")).alias("sources"))
 
 
-def screen(rows: DataFrame, order: str, page: int, size: int = 4) -> DataFrame:
-    """One screen of rows; a page number beyond either end is moved to it."""
-    numbered = rows.withColumn("_n", F.row_number().over(Window.orderBy(order)) - 1).withColumn("_all", F.count("*").over(Window.partitionBy()))
-    last = F.greatest(F.lit(0), F.ceil(F.col("_all") / size) - 1)
-    at = F.greatest(F.lit(0), F.least(F.lit(page), last))
-    return numbered.where(F.floor(F.col("_n") / size) == at).drop("_n", "_all")
+def screen(rows: DataFrame, order: str, page: int, size: int = 4, number: str | None = None) -> DataFrame:
+    """One screen of rows, with their places from 0 in `number` if named; a page number beyond either end is moved to it.
+
+    Only the rows up to the end of the screen are numbered, after a top-k; the others are counted.
+    """
+    first = rows.orderBy(order).limit((max(page, 0) + 1) * size)
+    numbered = first.withColumn("_n", F.row_number().over(Window.orderBy(order)) - 1)
+    last = F.greatest(F.lit(0), F.ceil(F.count("*") / size) - 1)
+    at = rows.agg(F.greatest(F.lit(0), F.least(F.lit(page), last)).alias("_at"))
+    kept = numbered.join(F.broadcast(at)).where(F.floor(F.col("_n") / size) == F.col("_at")).drop("_at")  # one row
+    return kept.withColumnRenamed("_n", number) if number else kept.drop("_n")
 
 
 def payload(chunks: DataFrame, pages: DataFrame, figures: DataFrame, answer: str | None, error: str | None = None) -> DataFrame:

@@ -40,6 +40,23 @@ def with_ids(rows: DataFrame, table: DataFrame, *order: str) -> DataFrame:
     return numbered.join(F.broadcast(base)).withColumn("id", F.col("id") + F.col("_base")).drop("_base")
 
 
+#: A document's rows in a table of chunks, pages or figures are numbered within this many ids.
+CHILDREN = 1 << 24
+
+
+def child_id(document_id: str, number: str) -> Column:
+    """An id of a document's row by its number: total over a table without counting it, and the same when a job is run again."""
+    return F.col(document_id) * CHILDREN + F.col(number).cast("long")
+
+
+def figure_ids(rows: DataFrame, table: DataFrame) -> DataFrame:
+    """rows(document_id, figure_label, position) with ids after the largest that their document has in the table."""
+    base = table.groupBy("document_id").agg(F.max("id").alias("_base"))
+    nth = F.row_number().over(Window.partitionBy("document_id").orderBy("position", "figure_label"))
+    least = F.col("document_id") * CHILDREN
+    return rows.withColumn("_n", nth).join(base, "document_id", "left").withColumn("id", F.greatest(F.coalesce("_base", least), least) + F.col("_n")).drop("_base", "_n")
+
+
 def upsert_documents(table: DataFrame, rows: DataFrame, now: datetime) -> DataFrame:
     """By external_id. Ids, source type and creation time stay; updated_at is now for what rows touch."""
     stamped = rows.withColumn("created_at", F.lit(now)).withColumn("updated_at", F.lit(now))
@@ -62,15 +79,22 @@ def start_run(runs: DataFrame, run_id: str, document_id: int, now: datetime) ->
     return runs.unionByName(row)
 
 
+def set_statuses(runs: DataFrame, changes: DataFrame, now: datetime) -> DataFrame:
+    """Status and error of the runs in changes(id, status, error_message), one row each; the end is set for completed and failed ones and else stays."""
+    r, c = runs.alias("r"), changes.select("id", "status", "error_message", F.lit(True).alias("hit")).alias("c")
+    over = F.col("c.status").isin("completed", "failed")
+    new = {
+        "status": F.when(F.col("c.hit"), F.col("c.status")).otherwise(F.col("r.status")),
+        "error_message": F.when(F.col("c.hit"), F.col("c.error_message")).otherwise(F.col("r.error_message")),
+        "finished_at": F.when(over, F.lit(now)).otherwise(F.col("r.finished_at")),
+    }
+    joined = r.join(c, F.col("r.id") == F.col("c.id"), "left")
+    return joined.select(*[new.get(x, F.col(f"r.{x}")).alias(x) for x in runs.columns])
+
+
 def set_status(runs: DataFrame, run_id: str, status: str, now: datetime, error: str | None = None) -> DataFrame:
-    """The run's status and error; the end is set when it is completed or failed and else stays."""
-    hit = F.col("id") == run_id
-    over = F.lit(status).isin("completed", "failed")
-    return (
-        runs.withColumn("finished_at", F.when(hit & over, F.lit(now)).otherwise(F.col("finished_at")))
-        .withColumn("error_message", F.when(hit, F.lit(error)).otherwise(F.col("error_message")))
-        .withColumn("status", F.when(hit, F.lit(status)).otherwise(F.col("status")))
-    )
+    """set_statuses for one run."""
+    return set_statuses(runs, runs.sparkSession.createDataFrame([(run_id, status, error)], "id string, status string, error_message string"), now)
 
 
 def get_run(runs: DataFrame, run_id: str) -> DataFrame:

@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from typing import Protocol
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
 
 from ..functions import vectors
-from ..operators import fusion
+from ..operators import context, fusion
 
 NO_ANSWER = "No answer could be made from the documents."
+NOTHING_FOUND = "Nothing in the documents matches the question."
 
 
 class Embedder(Protocol):
@@ -49,6 +52,25 @@ class NoReranker:
         return None
 
 
+class ModelReranker:
+    """Scores by a model that is called with a prompt and gives JSON. A RuntimeError says that there is no model and is passed on; other failures give no scores."""
+
+    def __init__(self, call: Callable[[str], str]) -> None:
+        self.call = call
+
+    def scores(self, candidates: DataFrame, query: str) -> DataFrame | None:
+        prompt = context.rerank_prompt(candidates, query).first()["prompt"]
+        try:
+            said = self.call(prompt)
+        except RuntimeError:
+            raise
+        except Exception:  # whatever a model's client raises
+            return None
+        output = candidates.sparkSession.createDataFrame([(said,)], "said string")
+        found = output.select(F.explode(fusion.parse_scores(F.col("said"))).alias("s")).select("s.id", "s.score").collect()
+        return candidates.sparkSession.createDataFrame(found, "id long, score double") if found else None
+
+
 class OfflineAnswerer:
     def answer(self, prompt: str) -> str:  # noqa: ARG002
         return NO_ANSWER
@@ -57,5 +79,8 @@ class OfflineAnswerer:
 def rerank(candidates: DataFrame, query: str, reranker: Reranker, n: int) -> DataFrame:
     """The first n candidates by the model's scores, or by the weighted sum where it gives none."""
     scores = reranker.scores(candidates, query)
+    if scores is not None:  # scores of no candidate are none
+        scores = scores.join(candidates.select("id"), "id", "left_semi")
+        scores = scores if scores.limit(1).count() else None
     scored = fusion.fallback_scores(candidates) if scores is None else fusion.apply_scores(candidates, scores)
     return fusion.ranked(scored, n)

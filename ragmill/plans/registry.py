@@ -11,7 +11,9 @@ from pyspark.sql import functions as F
 from ..functions import labels, stem, vectors
 from ..operators import chunking, cleaning, context, fusion, layout, search, store, structure
 from ..sources.tables import Settings, document_rows, embedded_chunks, query_vector, read, text_chunks
-from .retrieval import hybrid
+from . import ingest as ingestion
+from .providers import OfflineEmbedder, rerank
+from .retrieval import document_context, hybrid
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -228,11 +230,15 @@ def context_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return context.context(_top(spark, sf_dir), 60_000)
 
 
+def _page_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as pages of three lines, each a paragraph."""
+    lines = read(spark, sf_dir, "documents").select(F.col("doc_id").alias("document_id"), F.split("text", "\n").alias("ls"))
+    pages = F.transform(F.sequence(F.lit(0), F.floor((F.size("ls") - 1) / 3).cast("int")), lambda i: F.array_join(F.slice("ls", i * 3 + 1, 3), "\n\n"))
+    return lines.where("ls IS NOT NULL").select("document_id", F.posexplode(pages).alias("i", "text")).select("document_id", (F.col("i") + 1).alias("page_number"), "text")
+
+
 def _paragraph_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Lines of documents as paragraphs; every third line begins a page."""
-    lines = read(spark, sf_dir, "documents").select(F.col("doc_id").alias("document_id"), F.posexplode(F.split("text", "\n")).alias("seq", "raw"))
-    cleaned = lines.withColumn("text", labels.clean_text(F.col("raw"))).where("text <> ''")
-    return cleaned.select("document_id", (F.floor(F.col("seq") / 3) + 1).cast("int").alias("page_number"), "seq", "text")
+    return chunking.explode_paragraphs(_page_texts(spark, sf_dir))
 
 
 _PARAGRAPHS = f"""
@@ -241,7 +247,9 @@ _PARAGRAPHS = f"""
     kept AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY seq) AS n FROM ps WHERE p <> '')"""
 
 
-@query(f"WITH {_PARAGRAPHS} SELECT doc_id AS document_id, page AS page_number, seq::INT AS seq, p AS text FROM kept")
+@query(
+    f"WITH {_PARAGRAPHS} SELECT doc_id AS document_id, page AS page_number, (row_number() OVER (PARTITION BY doc_id, page ORDER BY seq) - 1)::INT AS seq, p AS text FROM kept"
+)
 def paragraphs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _paragraph_rows(spark, sf_dir)
 
@@ -331,14 +339,17 @@ def merge_metadata(spark: SparkSession, sf_dir: str) -> DataFrame:
     """WITH incoming AS (SELECT * FROM documents WHERE doc_id % 5 = 0 UNION ALL SELECT doc_id + 1000000, text, lang, source, n_chars FROM documents WHERE doc_id % 50 = 0)
     SELECT 'ext-' || coalesce(i.doc_id, d.doc_id) AS external_id, CASE WHEN d.doc_id IS NOT NULL THEN d.doc_id ELSE i.doc_id END AS id,
            CASE WHEN i.doc_id IS NOT NULL THEN 'new' ELSE d.source || '/' || d.lang END AS title,
-           CASE WHEN d.doc_id IS NOT NULL THEN 'text' ELSE 'pdf' END AS source_type
+           CASE WHEN d.doc_id IS NOT NULL THEN 'text' ELSE 'pdf' END AS source_type, d.doc_id IS NULL AS created, i.doc_id IS NOT NULL AS updated
     FROM documents d FULL JOIN incoming i ON i.doc_id = d.doc_id"""
 )
 def upsert_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     table = document_rows(spark, sf_dir)
     more = table.where("id % 50 = 0").withColumn("id", F.col("id") + 1_000_000).withColumn("external_id", F.concat(F.lit("ext-"), F.col("id").cast("string")))
     rows = table.where("id % 5 = 0").unionByName(more).withColumn("title", F.lit("new")).withColumn("source_type", F.lit("pdf"))
-    return store.upsert(table, rows, ("external_id",), keep=("id", "source_type")).select("external_id", "id", "title", "source_type")
+    before, now = datetime(2024, 1, 1), datetime(2024, 2, 1)
+    table = table.withColumn("created_at", F.lit(before)).withColumn("updated_at", F.lit(before))
+    stamps = [(F.col(c) == F.lit(now)).alias(name) for c, name in (("created_at", "created"), ("updated_at", "updated"))]
+    return store.upsert_documents(table, rows, now).select("external_id", "id", "title", "source_type", *stamps)
 
 
 @query(
@@ -376,14 +387,20 @@ _STATUS = "CASE event_id % 3 WHEN 0 THEN 'completed' WHEN 1 THEN 'failed' ELSE '
 
 
 @query(
-    f"""SELECT event_id, {_STATUS} AS status, CASE WHEN event_id % 3 = 1 THEN event_type END AS error_message,
-    CASE WHEN {_STATUS} IN ('completed', 'failed') THEN ts + INTERVAL 1 HOUR ELSE ts END AS finished_at FROM events"""
+    f"""SELECT event_id::VARCHAR AS id, user_id AS document_id, CASE WHEN event_id % 5 = 0 THEN 'processing' ELSE {_STATUS} END AS status,
+    CASE WHEN event_id % 5 > 0 AND event_id % 3 = 1 THEN event_type END AS error_message,
+    event_id % 5 > 0 AND {_STATUS} IN ('completed', 'failed') AS finished FROM events
+    UNION ALL SELECT 'new', 1, 'processing', NULL, false"""
 )
 def run_status(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Events as runs that change their status: the end is set for finished ones only."""
-    rows = read(spark, sf_dir, "events").withColumn("status", F.expr(_STATUS))
-    end = F.when(F.col("status").isin("completed", "failed"), F.col("ts") + F.expr("INTERVAL 1 HOUR")).otherwise(F.col("ts"))
-    return rows.select("event_id", "status", F.when(F.col("event_id") % 3 == 1, F.col("event_type")).alias("error_message"), end.alias("finished_at"))
+    """Events as runs, and one that starts; four of five change their status, and the end is set for finished ones only."""
+    now = datetime(2024, 2, 1)
+    events = read(spark, sf_dir, "events").withColumn("id", F.col("event_id").cast("string"))
+    none = F.lit(None)
+    runs = events.select("id", F.col("user_id").cast("long").alias("document_id"), F.lit("processing").alias("status"), none.cast("string").alias("error_message"), F.lit(now).alias("started_at"), none.cast("timestamp").alias("finished_at"))
+    changes = events.where("event_id % 5 > 0").select("id", F.expr(_STATUS).alias("status"), F.when(F.col("event_id") % 3 == 1, F.col("event_type")).alias("error_message"))
+    done = store.set_statuses(store.start_run(runs, "new", 1, now), changes, now)
+    return done.select("id", "document_id", "status", "error_message", (F.col("finished_at").isNotNull()).alias("finished"))
 
 
 @query(
@@ -509,8 +526,7 @@ def ingest_progress(spark: SparkSession, sf_dir: str) -> DataFrame:
     """SELECT vec_id AS id, row_number() OVER (ORDER BY vec_id) - 1 AS rank FROM embeddings QUALIFY rank // 4 = least(7, (count(*) OVER () - 1) // 4)"""
 )
 def paging(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ranked = embedded_chunks(spark, sf_dir).select("id", (F.row_number().over(Window.orderBy("id")) - 1).alias("rank"))
-    return context.screen(ranked, "rank", 7)
+    return context.screen(embedded_chunks(spark, sf_dir).select("id"), "id", 7, number="rank")
 
 
 @query()
@@ -527,3 +543,124 @@ def answer_payload(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = read(spark, sf_dir, "documents").select(F.col("doc_id").alias("document_id"), F.explode(F.sequence(F.lit(1), F.lit(6))).alias("page_number"))
     figures = read(spark, sf_dir, "documents").select(F.col("doc_id").alias("document_id"), F.lit("FIGURE 1").alias("figure_label"))
     return context.payload(top, context.pages_for_chunks(top, pages), context.figures_for_chunks(top, figures), "An answer.")
+
+
+@query(
+    """WITH q AS (SELECT embedding::DOUBLE[] AS v FROM embeddings WHERE vec_id = 0),
+    top AS (SELECT doc_id, text, (doc_id % 7 + 1)::INT AS s, (doc_id % 7 + 1 + doc_id % 3)::INT AS e,
+            row_number() OVER (ORDER BY list_distance(embedding::DOUBLE[], q.v), vec_id) - 1 AS rank
+            FROM embeddings JOIN documents ON vec_id = doc_id, q WHERE embedding IS NOT NULL QUALIFY rank < 10),
+    parts AS (SELECT rank, '[Source ' || (rank + 1) || '] Document: ext-' || doc_id || ' | Section: S' || (doc_id % 5) || CASE WHEN s <> e THEN ' | Pages: ' || s || '-' || e
+              ELSE ' | Page: ' || s END || chr(10) || trim(coalesce(text, ''), E' \\n\\t\\r') AS p, sum(length(coalesce(text, ''))) OVER (ORDER BY rank) AS n FROM top)
+    SELECT string_agg(p, E'\\n\\n---\\n\\n' ORDER BY rank) AS context FROM parts WHERE n <= 8000 OR rank = 0"""
+)
+def document_question(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The context of a question from the command line, for which a table's vector stands."""
+    chunks = text_chunks(spark, sf_dir).join(embedded_chunks(spark, sf_dir), "id")
+    return document_context(chunks, document_rows(spark, sf_dir), query_vector(spark, sf_dir))
+
+
+class _Parity:
+    """Stands for a model: its scores are made from ids, and odd ones have none."""
+
+    def scores(self, candidates: DataFrame, query: str) -> DataFrame | None:  # noqa: ARG002
+        return candidates.where("id % 2 = 0").select("id", (F.col("id") % 11).cast("double").alias("score"))
+
+
+@query(
+    f"""WITH {_FUSED},
+    model AS (SELECT id, (id % 11)::DOUBLE AS score FROM merged WHERE id % 2 = 0)
+    SELECT id, score AS rerank_score, row_number() OVER (ORDER BY score IS NULL, score DESC,
+           CASE WHEN score IS NULL THEN coalesce(vector_score, 0) + coalesce(lexical_score, 0) END DESC, id) - 1 AS rank
+    FROM merged LEFT JOIN model USING (id) QUALIFY rank < 10"""
+)
+def rerank_plugin(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rerank(_merged(spark, sf_dir), "", _Parity(), 10).select("id", "rerank_score", "rank")
+
+
+@query(
+    """SELECT doc_id AS document_id, k.kind, CASE k.kind WHEN 'line' THEN 10.0 WHEN 'curve' THEN 1.0 ELSE 50.0 END::DOUBLE AS x0,
+    CASE k.kind WHEN 'line' THEN 5.0 WHEN 'curve' THEN 2.0 ELSE 20.0 END::DOUBLE AS top, CASE k.kind WHEN 'line' THEN 50.0 WHEN 'curve' THEN 3.0 + doc_id % 5 ELSE 10.0 END::DOUBLE AS x1,
+    CASE k.kind WHEN 'line' THEN 9.0 + doc_id % 4 WHEN 'curve' THEN 7.0 ELSE 30.0 END::DOUBLE AS bottom
+    FROM documents, (VALUES ('rect'), ('line'), ('curve'), ('image')) k(kind) WHERE NOT (k.kind = 'curve' AND doc_id % 3 = 0)"""
+)
+def shape_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Four drawn objects on a page of every document; the curves of a third have no points."""
+    kinds = F.explode(F.array(*map(F.lit, ("rect", "line", "curve", "image")))).alias("kind")
+    rows = read(spark, sf_dir, "documents").select(F.col("doc_id").alias("document_id"), F.lit(1).alias("page_number"), kinds)
+    places = {"x0": 50.0, "top": 20.0, "x1": 10.0, "bottom": 30.0, "y1": 5.0}
+    points = F.when(F.col("document_id") % 3 != 0, F.array(F.array(F.lit(1.0), F.lit(7.0)), F.array(F.col("document_id") % 5 + 3.0, F.lit(2.0))))
+    drawn = rows.select("*", *[F.lit(v).alias(k) for k, v in places.items()], (F.col("document_id") % 4 + 9.0).alias("y0"), points.alias("pts"))
+    return layout.shape_boxes(drawn).drop("page_number")
+
+
+@query(
+    f"""WITH {_WORDS}, p AS (SELECT DISTINCT document_id, page_number FROM w)
+    SELECT document_id, page_number, 'gs://images/pages/' || md5(name) || '_' || name AS image_uri, '600.0' AS width FROM (SELECT *, printf('doc%d_page_%04d.png', document_id, page_number) AS name FROM p)
+    UNION ALL SELECT doc_id + 1000000, 1, 'kept', NULL FROM documents"""
+)
+def replace_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's pages take the place of one; as many documents that don't come again keep theirs."""
+    docs = read(spark, sf_dir, "documents").select(F.col("doc_id").alias("document_id"))
+    empty = F.create_map().cast("map<string,string>")
+    other = docs.select((F.col("document_id") + 1_000_000).alias("document_id"))
+    old = docs.unionByName(other).select(F.col("document_id").alias("id"), "document_id", F.lit(1).alias("page_number"), F.lit("kept").alias("image_uri"), empty.alias("metadata"), F.lit(datetime(2024, 1, 1)).alias("created_at"))
+    new = ingestion.page_rows(_pages(spark, sf_dir).withColumn("rotation", F.lit(0)), "gs://images", datetime(2024, 2, 1))
+    return store.replace(old, new, docs).select("document_id", "page_number", "image_uri", F.try_element_at("metadata", F.lit("width")).alias("width"))
+
+
+@query(
+    f"""WITH RECURSIVE {_PARAGRAPHS},
+    fold AS (
+        SELECT doc_id, n, page, p, length(p) AS size, 0 AS chunk FROM kept WHERE n = 1
+        UNION ALL
+        SELECT k.doc_id, k.n, k.page, k.p, CASE WHEN f.size + 1 + length(k.p) > 1800 THEN length(k.p) ELSE f.size + 1 + length(k.p) END,
+               f.chunk + (f.size + 1 + length(k.p) > 1800)::INT
+        FROM fold f JOIN kept k ON k.doc_id = f.doc_id AND k.n = f.n + 1),
+    packed AS (SELECT doc_id, chunk, string_agg(p, ' ' ORDER BY n) AS content FROM fold GROUP BY ALL),
+    tables AS (SELECT d.doc_id, coalesce(n, 0)::INT AS chunk FROM documents d LEFT JOIN (SELECT doc_id, count(*) AS n FROM packed GROUP BY doc_id) USING (doc_id))
+    SELECT 'ext-' || doc_id AS external_id, chunk AS chunk_index, content, 'body' AS chunk_type, 8 AS dimension FROM packed
+    UNION ALL SELECT 'ext-' || doc_id, chunk, 'lang | source' || chr(10) || '-------------' || chr(10) || coalesce(lang, '') || ' | ' || coalesce(source, ''), 'table', 8
+    FROM tables JOIN documents USING (doc_id)
+    UNION ALL SELECT 'old-' || doc_id, 0, 'old', 'body', 8 FROM documents"""
+)
+def ingest_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document is uploaded with a table; half of them stood already, and as many others stand and stay."""
+    found = _ingested(spark, sf_dir)
+    names = found.documents.select(F.col("id").alias("document_id"), "external_id")
+    return found.chunks.join(names, "document_id").select("external_id", "chunk_index", "content", "chunk_type", F.size("embedding").alias("dimension"))
+
+
+def _ingested(spark: SparkSession, sf_dir: str) -> ingestion.Stored:
+    before, now = datetime(2024, 1, 1), datetime(2024, 2, 1)
+    docs = read(spark, sf_dir, "documents")
+    empty = F.create_map().cast("map<string,string>").alias("metadata")
+    name = F.concat(F.lit("ext-"), F.col("doc_id").cast("string"))
+    none = F.lit(None).cast("string")
+    stood = docs.select(F.col("doc_id").alias("id"), name.alias("external_id")).where("id % 2 = 0")
+    others = docs.select((F.col("doc_id") + 1_000_000).alias("id"), F.concat(F.lit("old-"), F.col("doc_id").cast("string")).alias("external_id"))
+    table = stood.unionByName(others).select(
+        "id", "external_id", F.lit("old").alias("title"), none.alias("description"), F.lit("pdf").alias("source_type"), none.alias("source_uri"), none.alias("checksum"),
+        F.lit(1).alias("total_pages"), empty, F.lit(before).alias("created_at"), F.lit(before).alias("updated_at"),
+    )
+    at, nothing = F.col("id"), F.lit(None).cast("array<float>").alias("embedding")
+    chunks = table.select(
+        (at * store.CHILDREN).alias("id"), at.alias("document_id"), F.lit(0).alias("chunk_index"), F.lit(1).alias("page_start"), F.lit(1).alias("page_end"), F.lit("old").alias("content"),
+        none.alias("heading"), F.lit("body").alias("chunk_type"), nothing, empty, F.lit(before).alias("created_at"),
+    )
+    pages = table.select(at, at.alias("document_id"), F.lit(1).alias("page_number"), none.alias("image_uri"), empty, F.lit(before).alias("created_at"))
+    figures = table.select(
+        (at * store.CHILDREN).alias("id"), at.alias("document_id"), F.lit("FIGURE 0").alias("figure_label"), F.lit(1).alias("page_number"), none.alias("caption"), none.alias("image_uri"), empty, F.lit(before).alias("created_at")
+    )
+    key = F.concat(F.lit("ext-"), F.col("document_id").cast("string")).alias("external_id")
+    named = lambda rows: rows.select(key, *[c for c in rows.columns if c != "document_id"])
+    cells = F.array(F.array(F.lit("lang"), F.lit("source")), F.array("lang", "source")).alias("rows")
+    upload = ingestion.Upload(
+        files=docs.select(name.alias("external_id"), F.lit("new").alias("title"), none.alias("description"), none.alias("source_uri"), F.sha2("text", 256).alias("checksum"), F.lit(1).alias("total_pages")),
+        texts=named(_page_texts(spark, sf_dir)),
+        tables=docs.select(name.alias("external_id"), F.lit(1).alias("page_number"), F.lit(0).alias("table_index"), cells),
+        pages=named(_pages(spark, sf_dir).withColumn("rotation", F.lit(0))),
+        words=named(_words(spark, sf_dir)),
+        shapes=docs.select(name.alias("external_id"), F.lit(1).alias("page_number"), F.lit("image").alias("kind"), *[F.lit(float(x)).alias(c) for c, x in zip(layout.BOX, (80, 450, 400, 600), strict=True)]),
+    )
+    return ingestion.ingest(ingestion.Stored(table, chunks, pages, figures), upload, OfflineEmbedder(8), now, "gs://images")

@@ -5,13 +5,13 @@ from __future__ import annotations
 import re
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import stem
 from ..operators import context, fusion, search
 from ..sources.tables import Settings
-from .providers import Answerer, Embedder, NoReranker, OfflineAnswerer, Reranker, rerank
+from .providers import NO_ANSWER, NOTHING_FOUND, Answerer, Embedder, NoReranker, OfflineAnswerer, Reranker, rerank
 
 
 def hybrid(chunks: DataFrame, vectors: DataFrame, vector: list[float], lexemes: list[str], settings: Settings = Settings()) -> DataFrame:
@@ -48,15 +48,38 @@ class Retriever:
         return rerank(candidates, question, self.reranker, self.settings.top_k)
 
     def answer(self, question: str) -> DataFrame:
-        """One row of JSON. The top chunks are cached: pages, figures and context all start from them."""
-        top = self.search(question).cache()
+        """One row of JSON. The top chunks, top_k at most, come to the driver once: pages, figures and context all start from them."""
+        found = self.search(question)
+        top = found.sparkSession.createDataFrame(found.collect(), found.schema)
         pages = context.pages_for_chunks(top, self.pages)
         figures = context.figures_for_chunks(top, self.figures)
-        try:
-            prompt = context.answer_prompt(context.context(top, self.settings.context_chars), question).first()["prompt"]
-            return context.payload(top, pages, figures, self.answerer.answer(prompt))
-        except Exception as error:  # the model's failure is part of the answer; what was found stays
-            return context.payload(top, pages, figures, None, f"The answer failed: {error}")
+        return context.payload(top, pages, figures, answered(context.context(top, self.settings.context_chars), question, self.answerer))
+
+
+def answered(context_rows: DataFrame, question: str, answerer: Answerer) -> str:
+    """The model's answer; a fixed text where the context is empty or the model fails."""
+    prompt = context.answer_prompt(context_rows.where("context <> ''"), question).first()
+    if prompt is None:
+        return NOTHING_FOUND
+    try:
+        return answerer.answer(prompt["prompt"]).strip()
+    except Exception:  # whatever a model's client raises; what was found is still shown
+        return NO_ANSWER
+
+
+def document_context(chunks: DataFrame, documents: DataFrame, vector: list[float], settings: Settings = Settings(), external_id: str | None = None) -> DataFrame:
+    """One row: the context of a question from the command line, by L2 distance, of one document only where external_id is given."""
+    top = search.document_topk(chunks, documents, vector, settings.top_k, external_id)
+    return context.context(top.withColumn("rank", F.row_number().over(Window.orderBy("distance", "id")) - 1), settings.context_chars, "cli")
+
+
+def document_answer(
+    question: str, chunks: DataFrame, documents: DataFrame, embedder: Embedder, answerer: Answerer = OfflineAnswerer(), settings: Settings = Settings(), external_id: str | None = None
+) -> str:
+    """The answer to a question from the command line."""
+    if not question.strip():
+        raise ValueError("the question is blank")
+    return answered(document_context(chunks, documents, embedder.one(question), settings, external_id), question, answerer)
 
 
 def backfill(chunks: DataFrame, embedder: Embedder, headers: list[str] = (), footers: list[str] = (), missing_only: bool = True) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import os
+from collections.abc import Mapping
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
@@ -18,6 +20,21 @@ class Settings:
     context_chars: int = 8000
     batch_size: int = 200
 
+    @classmethod
+    def from_environment(cls, environment: Mapping[str, str] = os.environ) -> Settings:
+        """The defaults, but for what the environment sets; a value that isn't a whole number is an error."""
+        return cls(**{name: int(environment[variable]) for name, variable in VARIABLES.items() if variable in environment})
+
+
+#: The environment's names of the settings.
+VARIABLES = {
+    "vector_k": "DEFAULT_VECTOR_K",
+    "lexical_k": "DEFAULT_LEXICAL_K",
+    "top_k": "DEFAULT_TOP_K",
+    "context_chars": "MAX_CONTEXT_CHARS",
+    "batch_size": "CHUNK_UPDATE_BATCH_SIZE",
+}
+
 
 def read(spark: SparkSession, folder: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{table}.parquet")
