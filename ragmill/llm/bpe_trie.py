@@ -177,6 +177,11 @@ class Codec:
         known = self.known
         return [(b"".join([known[w][0] for w in words]), words) for words in split]
 
+    def forget(self) -> None:
+        """Leaves only what comes from the file."""
+        self.known.clear()
+        self.encoder.stable.clear()
+
     def decode(self, ids: bytes) -> str:
         """Token strings with a space between, as a vocabulary without a decoder is read."""
         return " ".join([self.names[i] for (i,) in struct.iter_unpack("<I", ids)])
@@ -195,8 +200,11 @@ _KINDS = {"n_tokens": pa.int64(), "ids": pa.binary(), "decoded": pa.string(), "i
 _SQL = {"n_tokens": "long", "ids": "binary", "decoded": "string", "ids_sha256": "string", "decoded_sha256": "string"}
 
 
-def encode_decode(docs: DataFrame, vocabulary: str, columns: tuple[str, ...] = ("n_tokens", "ids", "decoded")) -> DataFrame:
-    """doc_id and the named columns of each row: n_tokens, ids (little-endian 32-bit), decoded, ids_sha256, decoded_sha256."""
+def encode_decode(docs: DataFrame, vocabulary: str, columns: tuple[str, ...] = ("n_tokens", "ids", "decoded"), forget: bool = False) -> DataFrame:
+    """doc_id and the named columns of each row: n_tokens, ids (little-endian 32-bit), decoded, ids_sha256, decoded_sha256.
+
+    forget: workers drop the words they know after each task, for jobs in which they wait beside other steps.
+    """
     common.bounded_batches(docs.sparkSession)
 
     def of(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -207,9 +215,13 @@ def encode_decode(docs: DataFrame, vocabulary: str, columns: tuple[str, ...] = (
             "ids_sha256": lambda ids, _: hashlib.sha256(ids).hexdigest(),
             "decoded_sha256": lambda _, text: hashlib.sha256(text.encode()).hexdigest(),
         }
-        for group in common.groups(batches):
-            done = codec(vocabulary).ids_with_text([t or "" for t in group.column(1).to_pylist()])
-            made = [pa.array([make[c](*x) for x in done], _KINDS[c]) for c in columns]
-            yield pa.RecordBatch.from_arrays([group.column(0), *made], names=["doc_id", *columns])
+        try:
+            for group in common.groups(batches):
+                done = codec(vocabulary).ids_with_text([t or "" for t in group.column(1).to_pylist()])
+                made = [pa.array([make[c](*x) for x in done], _KINDS[c]) for c in columns]
+                yield pa.RecordBatch.from_arrays([group.column(0), *made], names=["doc_id", *columns])
+        finally:
+            if forget:
+                codec(vocabulary).forget()
 
     return docs.select("doc_id", "text").mapInArrow(of, ", ".join(["doc_id long", *(f"{c} {_SQL[c]}" for c in columns)]))
