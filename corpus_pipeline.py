@@ -36,7 +36,7 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def bpe_encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of each document, and digests of them and of what they decode to."""
-    return bpe_trie.encode_decode(docs, VOCABULARY, ("n_tokens", "ids", "ids_sha256", "decoded_sha256"))
+    return bpe_trie.encode_decode(docs, VOCABULARY, ("n_tokens", "ids", "ids_sha256", "decoded_sha256"), forget=True)
 
 
 STAGES = [
