@@ -172,13 +172,15 @@ def bounded_batches(spark: SparkSession) -> None:
 
 
 def work_folder(spark: SparkSession) -> str:
-    """A fresh folder under spark.checkpoint.dir; where that is unset (tests), under a new temporary one that is then set."""
+    """A fresh folder under spark.checkpoint.dir; where that is unset, a local session gets a temporary one and a cluster an error."""
     bounded_batches(spark)
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
         kept = spark.sparkContext._jsc.sc().getCheckpointDir()
         base = kept.get() if kept.isDefined() else None
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir names no folder that all machines share")
         base = tempfile.mkdtemp(prefix="ragmill-")
         spark.sparkContext.setCheckpointDir(base)
     return f"{base.rstrip('/')}/work-{uuid.uuid4().hex}"

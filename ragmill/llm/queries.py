@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe_trie, contamination, jaccard, licences, lines, passages, pii, quality, token_counts, toxicity
+from . import bpe_trie, contamination, filter_audit, jaccard, licences, lines, lloyd, passages, pii, quality, rule_ensemble, token_counts, toxicity
 from .common import read
 
 BYTE_VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
@@ -56,6 +56,18 @@ def op10_passage_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return passages.remove_repeats(read(spark, sf_dir, "documents"))
 
 
+def op11_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rule_ensemble.score(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
+def op12_centroid_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lloyd.cluster(read(spark, sf_dir, "embeddings"))
+
+
+def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.interactions(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity": op1_toxicity,
     "op2_quality_rules": op2_quality_rules,
@@ -67,8 +79,42 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_jaccard_join": op8_jaccard_join,
     "op9_line_dedup": op9_line_dedup,
     "op10_passage_dedup": op10_passage_dedup,
+    "op11_quality_classifier": op11_quality_classifier,
+    "op12_centroid_clustering": op12_centroid_clustering,
+    "op13_filter_audit": op13_filter_audit,
 }
-#: Networks, expectation-maximisation, merges, Dice stretches and permutations have no SQL; sets, lines and windows have.
+
+
+def _lloyd_sql() -> str:
+    """The rounds one after the other, each a full assignment."""
+    parts = [
+        """kept AS MATERIALIZED (
+            SELECT vec_id, list_transform(embedding, lambda x: floor(x::DOUBLE * 256)::BIGINT) AS v FROM embeddings
+            WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0)""",
+        "xs AS MATERIALIZED (SELECT vec_id, unnest(v) AS x, generate_subscripts(v, 1) AS p FROM kept)",
+        """c0 AS MATERIALIZED (
+            SELECT c, unnest(v) AS x, generate_subscripts(v, 1) AS p
+            FROM (SELECT row_number() OVER (ORDER BY sha256('2:' || vec_id)) - 1 AS c, v FROM kept QUALIFY c < 40))""",
+    ]
+    for r in range(6):
+        parts.append(
+            f"""a{r} AS MATERIALIZED (
+            SELECT vec_id, c, d FROM (SELECT vec_id, c, sum((xs.x - m.x) * (xs.x - m.x)) AS d FROM xs JOIN c{r} m USING (p) GROUP BY ALL)
+            QUALIFY row_number() OVER (PARTITION BY vec_id ORDER BY d, c) = 1)"""
+        )
+        if r < 5:
+            parts.append(
+                f"""c{r + 1} AS MATERIALIZED (
+            SELECT c, p, CASE WHEN n IS NULL THEN m.x ELSE (s - ((s % n) + n) % n) // n END AS x
+            FROM c{r} m LEFT JOIN (SELECT c, p, sum(x)::BIGINT AS s, count(*) AS n FROM a{r} JOIN xs USING (vec_id) GROUP BY ALL) USING (c, p))"""
+            )
+    parts.append("digests AS (SELECT c, sha256(string_agg(x::VARCHAR, ',' ORDER BY p)) AS centroid_sha256 FROM c5 GROUP BY c)")
+    return f"""WITH {", ".join(parts)}
+        SELECT vec_id, c::INT AS cluster, d::BIGINT AS distance, (sum(d) OVER (PARTITION BY c))::BIGINT AS cluster_inertia, (sum(d) OVER ())::BIGINT AS inertia,
+               centroid_sha256 FROM a5 JOIN digests USING (c)"""
+
+
+#: Networks, expectation-maximisation, merges, Dice stretches, permutations and rule ensembles have no SQL; sets, lines, windows, rounds and counts have.
 ORACLES: dict[str, str] = {
     "op9_line_dedup": r"""
         WITH l AS (
@@ -135,4 +181,38 @@ ORACLES: dict[str, str] = {
         SELECT doc_id, len(w) AS n_words, coalesce(c, 0) AS n_removed, sha256(coalesce(k, '')) AS kept_sha256
         FROM t LEFT JOIN counts USING (doc_id) LEFT JOIN kept USING (doc_id)
     """,
+    "op12_centroid_clustering": _lloyd_sql(),
+    "op13_filter_audit": r"""
+        WITH w AS (
+            SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS t,
+                   list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
+        f AS (
+            SELECT doc_id, part, len(w) < 200 AS a, 100 * len(list_distinct(w)) < 50 * len(w) AS b,
+                   100 * length(regexp_replace(t, '[^A-Z]', '', 'g')) > 3 * length(t) AS c, regexp_matches(t, '[#$%&*|]') AS d,
+                   coalesce(doc_id > min(doc_id) OVER (PARTITION BY sha256(t)), false) AS e FROM w),
+        l AS (SELECT doc_id, max((quality = 1)::INT) AS good, max((toxic = 1)::INT) AS toxic FROM labels GROUP BY doc_id),
+        cells AS (
+            SELECT part, a, b, c, d, e, count(*) AS n, sum(coalesce(good, 0)) AS good, sum(coalesce(toxic, 0)) AS toxic
+            FROM f LEFT JOIN l USING (doc_id) GROUP BY ALL),
+        x AS (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS x),
+        orders AS (
+            SELECT p.x || q.x || r.x || s.x || t.x AS filter_order FROM x p, x q, x r, x s, x t
+            WHERE len(list_distinct([p.x, q.x, r.x, s.x, t.x])) = 5),
+        steps AS (
+            SELECT cells.*, filter_order, step::INT AS step, filter_order[step] AS filter,
+                   [a, b, c, d, e] AS fails, list_transform(range(1, step), lambda i: ascii(filter_order[i]) - 64) AS before
+            FROM cells, orders, range(1, 6) s(step)),
+        judged AS (
+            SELECT *, fails[ascii(filter) - 64] AS failed, len(list_filter(before, lambda i: fails[i])) > 0 AS gone,
+                   len(list_filter(fails, lambda z: z)) = 1 AS once FROM steps),
+        sums AS (
+            SELECT part, filter_order, step, filter, coalesce(sum(n) FILTER (NOT gone AND NOT failed), 0)::BIGINT AS kept,
+                   coalesce(sum(n) FILTER (NOT gone AND failed), 0)::BIGINT AS removed, coalesce(sum(n) FILTER (gone AND failed), 0)::BIGINT AS redundant,
+                   coalesce(sum(n) FILTER (failed AND once), 0)::BIGINT AS unique_fails,
+                   coalesce(sum(good) FILTER (NOT gone AND failed), 0)::BIGINT AS good_lost,
+                   coalesce(sum(toxic) FILTER (NOT gone AND failed), 0)::BIGINT AS toxic_lost
+            FROM judged GROUP BY ALL)
+        SELECT part, filter_order, step, kept, removed, redundant, unique_fails, good_lost, toxic_lost,
+               (sum(removed) OVER (PARTITION BY part, filter))::BIGINT AS shapley FROM sums
+    """,
 }
