@@ -2,11 +2,9 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.functions import array_to_vector
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import vectors
@@ -45,38 +43,71 @@ def postings(chunks: DataFrame, lexeme=None) -> DataFrame:  # noqa: ANN001
     return rows.select(made.alias("lexeme"), "id", "position").where(F.col("lexeme").isNotNull())
 
 
-def lexical_match(index: DataFrame, lexemes: list[str]) -> DataFrame:
-    """Postings of the query's lexemes in chunks that hold all of them; none for a query without lexemes."""
+#: What a stretch without foreign words adds to a score (fixed value of cover density ranks).
+COVER = 0.1
+
+
+def hits(token_list: Column, lexemes: list[str], lexeme=None) -> Column:  # noqa: ANN001
+    """structs (position, lexeme) of the tokens that are among the lexemes, in order; null unless all of them are there."""
     wanted = sorted(set(lexemes))
-    hits = index.where(F.col("lexeme").isin(wanted)) if wanted else index.where(F.lit(False))
-    have = hits.groupBy("id").agg(F.count_distinct("lexeme").alias("n")).where(F.col("n") == len(wanted)).select("id")
-    return hits.join(have, "id")
+    made = token_list if lexeme is None else F.transform(token_list, lexeme)
+    found = F.filter(F.transform(made, lambda x, p: F.struct(p.alias("position"), x.alias("lexeme"))), lambda h: h["lexeme"].isin(wanted))
+    return F.when(F.size(F.array_distinct(F.transform(found, lambda h: h["lexeme"]))) == len(wanted), found)
 
 
-def cover_density(matched: DataFrame, lexemes: list[str]) -> DataFrame:
-    """(id, lexical_score): each minimal stretch that holds all lexemes adds 0.1 / (1 + foreign words inside).
+def cover_score(found: Column, lexemes: list[str]) -> Column:
+    """The score of a chunk from its hits: each minimal stretch that holds all lexemes adds COVER / (1 + foreign words inside).
 
-    After Clarke, Cormack and Tudhope (2000). A stretch ends at a posting; it begins at the earliest of the
-    last postings of each lexeme up to there, and of stretches with one beginning only the shortest is minimal.
+    After Clarke, Cormack and Tudhope (2000). A stretch ends at a hit; it begins at the earliest of the last hits of each
+    lexeme up to there, and of stretches with one beginning only the first to end is minimal. The fold keeps the last
+    hit of each lexeme, with how many hits came before it, and the beginning of the stretch that was counted last.
     """
     wanted = sorted(set(lexemes))
-    if not wanted:
-        return matched.select("id", F.lit(0.0).alias("lexical_score")).where(F.lit(False))
-    upto = Window.partitionBy("id").orderBy("position").rowsBetween(Window.unboundedPreceding, 0)
-    rows = matched.withColumn("nth", F.count("*").over(upto))
-    lasts = [F.last(F.when(F.col("lexeme") == x, F.struct("position", "nth")), ignorenulls=True).over(upto).alias(f"last_{i}") for i, x in enumerate(wanted)]
-    rows = rows.select("id", "position", "nth", *lasts)
-    names = [F.col(f"last_{i}") for i in range(len(wanted))]
-    full = rows.where(reduce(lambda a, b: a & b, [n.isNotNull() for n in names], F.lit(True)))
-    start = F.least(*names) if len(names) > 1 else names[0]
-    covers = full.groupBy("id", start.alias("start")).agg(F.min(F.struct("position", "nth")).alias("end"))
-    foreign = (F.col("end.position") - F.col("start.position")) - (F.col("end.nth") - F.col("start.nth"))
-    return covers.groupBy("id").agg(F.sum(F.lit(0.1) / (F.lit(1) + foreign)).alias("lexical_score"))
+    hit = "struct<position:int,nth:int>"
+    zero = F.struct(
+        F.array_repeat(F.struct(F.lit(-1).alias("position"), F.lit(0).alias("nth")), len(wanted)).cast(f"array<{hit}>").alias("lasts"),
+        F.lit(-1).alias("counted"), F.lit(0).alias("nth"), F.lit(0.0).alias("sum"),
+    )
+    numbers = F.create_map(*[c for i, x in enumerate(wanted) for c in (F.lit(x), F.lit(i))])
+
+    def step(s: Column, h: Column) -> Column:
+        now = F.struct(h["position"].cast("int").alias("position"), s["nth"].alias("nth"))
+        lasts = F.transform(s["lasts"], lambda old, i: F.when(F.element_at(numbers, h["lexeme"]) == i, now).otherwise(old))
+
+        def counted(start: Column) -> Column:
+            foreign = (h["position"] - start["position"]) - (s["nth"] - start["nth"])
+            new = (start["position"] >= 0) & (start["position"] != s["counted"])
+            return F.struct(
+                lasts.alias("lasts"), F.when(new, start["position"]).otherwise(s["counted"]).alias("counted"), (s["nth"] + 1).alias("nth"),
+                (s["sum"] + F.when(new, F.lit(COVER) / (F.lit(1) + foreign)).otherwise(F.lit(0.0))).alias("sum"),
+            )
+
+        return F.element_at(F.transform(F.array(F.array_min(lasts)), counted), 1)
+
+    return F.aggregate(found, zero, step, lambda s: s["sum"])
+
+
+def lexical_match(chunks: DataFrame, lexemes: list[str], lexeme=None) -> DataFrame:  # noqa: ANN001
+    """(id, hits) of chunks(id, content) that hold all lexemes; none for a query without lexemes. Rows are looked at one by one, so nothing is shuffled."""
+    rows = chunks if lexemes else chunks.where(F.lit(False))
+    if lexeme is None:
+        return rows.select("id", hits(tokens(F.col("content")), lexemes or [""]).alias("hits")).where("hits IS NOT NULL")
+    # A lexeme function may be a Python one, which takes a column of tokens: chunks are told apart by a number, as ids may repeat.
+    wanted = sorted(set(lexemes))
+    exploded = rows.withColumn("_row", F.monotonically_increasing_id()).select("_row", "id", F.posexplode(tokens(F.col("content"))).alias("position", "token"))
+    found = exploded.select("_row", "id", "position", lexeme(F.col("token")).alias("lexeme")).where(F.col("lexeme").isin(wanted))
+    grouped = found.groupBy("_row", "id").agg(F.sort_array(F.collect_list(F.struct("position", "lexeme"))).alias("hits"))
+    return grouped.where(F.size(F.array_distinct(F.transform("hits", lambda h: h["lexeme"]))) == len(wanted)).select("id", "hits")
+
+
+def cover_density(matched: DataFrame, lexemes: list[str]) -> DataFrame:
+    """(id, lexical_score) of matched chunks."""
+    return matched.select("id", cover_score(F.col("hits"), lexemes or [""]).alias("lexical_score"))
 
 
 def lexical_topk(chunks: DataFrame, query: list[str], k: int, lexeme=None) -> DataFrame:  # noqa: ANN001
-    """The k best rows (id, lexical_score) of chunks(id, content) for a query's lexemes; ties by id."""
-    ranked = cover_density(lexical_match(postings(chunks, lexeme), query), query)
+    """The k best rows (id, lexical_score) of chunks(id, content) for a query's lexemes; ties by id. One scan; lexicon.Lexicon reads less."""
+    ranked = cover_density(lexical_match(chunks, query, lexeme), query)
     return ranked.orderBy(F.col("lexical_score").desc(), "id").limit(k)
 
 

@@ -33,11 +33,33 @@ def upsert(table: DataFrame, rows: DataFrame, keys: tuple[str, ...], keep: tuple
     return joined.select(*out)
 
 
+#: Rows of a partition are numbered within this many bits by monotonically_increasing_id.
+_PART_BITS = 33
+
+
+def numbered(rows: DataFrame, *order: str, name: str = "number") -> DataFrame:
+    """rows with dense numbers from 0 in the given order, which must be total; no task holds more than a range of it.
+
+    Rows are sorted by ranges and kept (in the checkpoint folder, as another run might cut the ranges elsewhere); the
+    rows of each range are counted, and the sums of the counts before it are added to the places inside it.
+    """
+    sorted_rows = rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_at", F.monotonically_increasing_id()).checkpoint()
+    part = F.shiftright("_at", _PART_BITS)
+    sizes = sorted({r["part"]: r["n"] for r in sorted_rows.groupBy(part.alias("part")).agg(F.count("*").alias("n")).collect()}.items())
+    before, offsets = 0, []
+    for k, n in sizes:
+        offsets.append((k, before))
+        before += n
+    # One row for each partition.
+    places = F.broadcast(rows.sparkSession.createDataFrame(offsets, "_part long, _before long"))
+    inside = F.col("_at") - F.shiftleft("_part", _PART_BITS)
+    return sorted_rows.withColumn("_part", part).join(places, "_part").withColumn(name, F.col("_before") + inside).drop("_at", "_part", "_before")
+
+
 def with_ids(rows: DataFrame, table: DataFrame, *order: str) -> DataFrame:
     """rows with ids after the table's largest, in the given order; the order must be total. The maximum is one value."""
-    base = table.agg(F.coalesce(F.max("id"), F.lit(0)).alias("_base"))
-    numbered = rows.withColumn("id", F.row_number().over(Window.orderBy(*order)).cast("long"))
-    return numbered.join(F.broadcast(base)).withColumn("id", F.col("id") + F.col("_base")).drop("_base")
+    base = table.agg(F.coalesce(F.max("id"), F.lit(0)).alias("base")).first()["base"]
+    return numbered(rows.drop("id"), *order, name="id").withColumn("id", F.col("id") + F.lit(base + 1))
 
 
 #: A document's rows in a table of chunks, pages or figures are numbered within this many ids.

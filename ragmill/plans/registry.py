@@ -9,8 +9,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import labels, stem, vectors
-from ..operators import chunking, cleaning, context, fusion, layout, search, store, structure
-from ..sources.tables import Settings, document_rows, embedded_chunks, query_vector, read, text_chunks
+from ..operators import chunking, cleaning, context, fusion, layout, lexicon, search, store, structure
+from ..sources.tables import Settings, document_rows, embedded_chunks, query_vector, read, text_chunks, work_folder
 from . import ingest as ingestion
 from .providers import OfflineEmbedder, rerank
 from .retrieval import document_context, hybrid
@@ -81,26 +81,45 @@ def l2_topk_one_document(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"WITH {_TOKENS} SELECT doc_id AS id, count(*) AS n_hits FROM pos JOIN both_in USING (doc_id) GROUP BY doc_id")
 def lexical_match(spark: SparkSession, sf_dir: str) -> DataFrame:
-    index = search.postings(text_chunks(spark, sf_dir).select("id", "content"))
-    return search.lexical_match(index, TERMS).groupBy("id").agg(F.count("*").alias("n_hits"))
+    return search.lexical_match(text_chunks(spark, sf_dir).select("id", "content"), TERMS).select("id", F.size("hits").cast("long").alias("n_hits"))
 
 
 @query(f"WITH {_LEXICAL} SELECT id, round(lexical_score, 6) AS lexical_score FROM lex")
 def lexical_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
-    index = search.postings(text_chunks(spark, sf_dir).select("id", "content"))
-    ranked = search.cover_density(search.lexical_match(index, TERMS), TERMS)
+    ranked = search.cover_density(search.lexical_match(text_chunks(spark, sf_dir).select("id", "content"), TERMS), TERMS)
     return ranked.select("id", F.round("lexical_score", 6).alias("lexical_score"))
 
 
 def _lexical_top(spark: SparkSession, sf_dir: str) -> DataFrame:
-    index = search.postings(text_chunks(spark, sf_dir).select("id", "content"))
-    ranked = search.cover_density(search.lexical_match(index, TERMS), TERMS)
+    ranked = search.cover_density(search.lexical_match(text_chunks(spark, sf_dir).select("id", "content"), TERMS), TERMS)
     return ranked.orderBy(F.round("lexical_score", 9).desc(), "id").limit(20)
 
 
 @query(f"WITH {_LEXICAL} SELECT id, round(lexical_score, 6) AS lexical_score FROM top_lex")
 def lexical_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _lexical_top(spark, sf_dir).select("id", F.round("lexical_score", 6).alias("lexical_score"))
+    """From a stored index, which is built first."""
+    index = lexicon.Lexicon(spark, work_folder(spark))
+    index.add(text_chunks(spark, sf_dir))
+    return index.topk(TERMS, 20, decimals=9).select("id", F.round("lexical_score", 6).alias("lexical_score"))
+
+
+_REPLACED = _LEXICAL.replace(
+    "t AS (SELECT doc_id, regexp_extract_all(lower(coalesce(text, '')), '[\\p{L}\\p{N}]+') AS ts FROM documents)",
+    "t AS (SELECT doc_id, regexp_extract_all(lower(coalesce(CASE WHEN doc_id % 3 = 0 THEN reverse(text) ELSE text END, '')), '[\\p{L}\\p{N}]+') AS ts FROM documents WHERE doc_id % 7 <> 1)",
+)
+assert _REPLACED != _LEXICAL
+
+
+@query(f"WITH {_REPLACED} SELECT id, round(lexical_score, 6) AS lexical_score FROM lex")
+def lexical_replaced(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A stored index in which a third of the chunks are replaced, by their text backwards, and a seventh then removed; the scores of all."""
+    index = lexicon.Lexicon(spark, work_folder(spark))
+    chunks = text_chunks(spark, sf_dir).select("id", "content")
+    index.add(chunks)
+    third = chunks.where("id % 3 = 0").withColumn("content", F.reverse("content"))
+    index.replace(third, third)
+    index.replace(chunks.where("false"), chunks.where("id % 7 = 1"))
+    return index.scores(TERMS).select("id", F.round("lexical_score", 6).alias("lexical_score"))
 
 
 @query()
