@@ -1,9 +1,7 @@
-"""Exact vector top-k, lexical match and cover-density rank, and an opt-in inverted-file index."""
+"""Exact vector top-k, lexical match and cover-density rank, by scans; lexicon and vector_lists hold stored indexes."""
 
 from __future__ import annotations
 
-from pyspark.ml.clustering import KMeans
-from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -109,21 +107,3 @@ def lexical_topk(chunks: DataFrame, query: list[str], k: int, lexeme=None) -> Da
     """The k best rows (id, lexical_score) of chunks(id, content) for a query's lexemes; ties by id. One scan; lexicon.Lexicon reads less."""
     ranked = cover_density(lexical_match(chunks, query, lexeme), query)
     return ranked.orderBy(F.col("lexical_score").desc(), "id").limit(k)
-
-
-class InvertedFileIndex:
-    """Vectors dealt to k-means lists; a query reads the lists nearest to it. Approximate, so opt-in.
-
-    The defaults find 0.9 of the nearest 20 and more on the test tables' vectors, which hardly cluster.
-    """
-
-    def __init__(self, chunks: DataFrame, lists: int = 100, sample: int = 20_000, seed: int = 42) -> None:
-        """The lists are fitted on at most `sample` vectors, chosen by a hash of their ids; every vector is then dealt."""
-        rows = chunks.where(F.col("embedding").isNotNull()).withColumn("features", array_to_vector(F.col("embedding").cast("array<double>")))
-        fitted = rows.orderBy(F.xxhash64("id")).limit(sample)
-        self.model = KMeans(k=lists, seed=seed, maxIter=10).fit(fitted)
-        self.rows = self.model.transform(rows).withColumnRenamed("prediction", "list").drop("features")
-
-    def topk(self, query: list[float], k: int, probes: int = 50, metric: str = "l2") -> DataFrame:
-        near = sorted(range(self.model.getK()), key=lambda i: sum((a - b) ** 2 for a, b in zip(self.model.clusterCenters()[i], query, strict=True)))
-        return vector_topk(self.rows.where(F.col("list").isin(near[:probes])).drop("list"), query, k, metric)

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import labels, stem, vectors
-from ..operators import chunking, cleaning, context, fusion, layout, lexicon, search, store, structure
+from ..operators import chunking, cleaning, context, fusion, layout, lexicon, search, store, structure, vector_lists
 from ..sources.tables import Settings, document_rows, embedded_chunks, query_vector, read, text_chunks, work_folder
 from . import ingest as ingestion
 from .providers import OfflineEmbedder, rerank
@@ -550,11 +550,24 @@ def paging(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def inverted_file_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Approximate top 20 from the 12 nearest of 16 lists."""
-    index = search.InvertedFileIndex(embedded_chunks(spark, sf_dir), lists=LISTS)
+    """Approximate top 20 from the 12 nearest of 16 stored lists, which are built first."""
+    index = vector_lists.VectorLists.build(embedded_chunks(spark, sf_dir), work_folder(spark), lists=LISTS)
     return index.topk(query_vector(spark, sf_dir), 20, probes=PROBES).select("id", F.round("distance", 6).alias("distance"))
 
 
+@query(
+    """WITH near AS (SELECT q.vec_id AS query, e.vec_id AS id, list_distance(e.embedding::DOUBLE[], q.embedding::DOUBLE[]) AS distance
+            FROM embeddings q JOIN embeddings e ON q.vec_id % 100 = 0)
+    SELECT query, (row_number() OVER (PARTITION BY query ORDER BY distance, id) - 1)::INT AS rank, id, round(distance, 6) AS distance FROM near QUALIFY rank < 20"""
+)
+def vector_lists_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The codes of all lists and exact distances of the best 60 by code, for every hundredth vector: the same as an exact search."""
+    rows = embedded_chunks(spark, sf_dir)
+    index = vector_lists.VectorLists.build(rows, work_folder(spark), lists=LISTS)
+    asked = [(r["id"], list(r["embedding"])) for r in rows.where("id % 100 = 0").collect()]  # the stated set of queries
+    return index.search(asked, 20, probes=LISTS, looked_up=3).withColumn("distance", F.round("distance", 6))
+
+
 @query()
 def answer_payload(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The JSON of an answer over the longest documents."""

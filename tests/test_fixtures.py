@@ -331,16 +331,6 @@ def test_vectors(spark):
     assert [r.id for r in search.vector_topk(rows, [1.0, 0.0], 2, "l2").collect()] == [1, 4]
 
 
-def test_inverted_file_recall(spark):
-    from ragmill.sources.tables import embedded_chunks, query_vector
-
-    folder = "/root/testdata/sf0.001"
-    rows, query = embedded_chunks(spark, folder), query_vector(spark, folder, 3)
-    exact = {r.id for r in search.vector_topk(rows, query, 20, "l2").collect()}
-    index = search.InvertedFileIndex(rows, lists=8)
-    assert len(exact & {r.id for r in index.topk(query, 20, probes=6).collect()}) >= 18
-
-
 def test_answer(spark):
     embed = OfflineEmbedder(8)
     rows = [(i, 1, i, 1, 1, f"alpha beta {i}, see Figure {i}", None, "body", embed.one(f"alpha beta {i}, see Figure {i}"), {}, NOW) for i in range(3)]
