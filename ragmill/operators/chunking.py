@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -27,25 +32,71 @@ def pack(rows: DataFrame, most: int = MOST_CHARS) -> DataFrame:
 
     Paragraphs fill a chunk, a space between them, until the next would make it longer than `most`; one that is
     longer itself stays whole. A chunk that the next paragraph didn't fit ends on that paragraph's page.
+
+    Paragraphs are dealt by document and sorted, and each task walks them batch by batch. Within a batch the start of
+    the next chunk is found by bisection of running sums of lengths, so the work is linear; from one batch to the next
+    a task holds the paragraphs of the chunk that is still open, and no more. Texts move as buffers, never one by one.
+
+    Defined cases: a null document_id is a document like others; rows with a null text are left out, empty texts count
+    as paragraphs without characters; rows with equal places follow each other by text; columns besides the four are ignored.
+    """
+    kinds = rows.select("document_id", "page_number").schema
+    schema = f"document_id {kinds[0].dataType.simpleString()}, chunk_index int, page_start {kinds[1].dataType.simpleString()}, page_end {kinds[1].dataType.simpleString()}, content string"
+    order = ["document_id", "page_number", "seq", "text"]
+    dealt = rows.where("text IS NOT NULL").select(*order).repartition("document_id").sortWithinPartitions(*order)
+
+    def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, number, last = None, 0, True
+        batches = iter(batches)
+        batch = next(batches, None)
+        while batch is not None:
+            following = next(batches, None)
+            last = following is None
+            table = pa.Table.from_batches([batch])
+            table = (table if held is None else pa.concat_tables([held, table])).combine_chunks()
+            if table.num_rows:
+                made, held, number = _packed(table, most, number, last)
+                if made.num_rows:
+                    yield made
+            batch = following
+
+    return dealt.mapInArrow(walk, schema)
+
+
+def _packed(table: pa.Table, most: int, number: int, last: bool) -> tuple[pa.RecordBatch, pa.Table, int]:
+    """The chunks of sorted paragraphs that are certain, the paragraphs of the one that isn't (none if `last`), and its number in its document.
+
+    number: that of the table's first chunk.
     """
-    ordered = rows.groupBy("document_id").agg(F.array_sort(F.collect_list(F.struct("page_number", "seq", "text"))).alias("ps"))
-    zero = F.struct(F.lit(-1).alias("chunk"), F.lit(0).alias("size"), F.array().cast("array<int>").alias("of"))
-
-    def step(s: Column, p: Column) -> Column:
-        full = (s["chunk"] < 0) | (s["size"] + 1 + F.length(p["text"]) > most)
-        chunk = F.when(full, s["chunk"] + 1).otherwise(s["chunk"])
-        size = F.when(full, F.length(p["text"])).otherwise(s["size"] + 1 + F.length(p["text"]))
-        return F.struct(chunk.alias("chunk"), size.alias("size"), F.array_append(s["of"], chunk).alias("of"))
-
-    numbered = ordered.select("document_id", "ps", F.aggregate("ps", zero, step, lambda s: s["of"]).alias("of"))
-    flat = numbered.select("document_id", F.explode(F.arrays_zip("ps", "of")).alias("x")).select("document_id", F.col("x.of").alias("chunk_index"), F.col("x.ps").alias("p"))
-    packed = flat.groupBy("document_id", "chunk_index").agg(
-        F.min("p.page_number").alias("page_start"),
-        F.max("p.page_number").alias("last_page"),
-        F.array_join(F.transform(F.array_sort(F.collect_list("p")), lambda p: p["text"]), " ").alias("content"),
+    ids = table.column("document_id").combine_chunks()
+    pages = table.column("page_number").combine_chunks()
+    texts = table.column("text").combine_chunks()
+    n = len(ids)
+    # Where documents begin; nulls are equal to each other.
+    coded = ids.dictionary_encode(null_encoding="encode").indices.to_numpy(zero_copy_only=False)
+    begins = np.flatnonzero(np.r_[True, coded[1:] != coded[:-1]])
+    ends = np.r_[begins[1:], n]
+    # A paragraph from `reach[k]` to `reach[k + 1]`, its separator counted with it.
+    reach = np.r_[0, np.cumsum(pc.utf8_length(texts).to_numpy(zero_copy_only=False).astype(np.int64) + 1)]
+    starts, numbers = [], []
+    for begin, end in zip(begins.tolist(), ends.tolist(), strict=True):
+        at, k = begin, number if begin == 0 else 0
+        while at < end:
+            starts.append(at)
+            numbers.append(k)
+            fits = int(np.searchsorted(reach, reach[at] + most + 1, "right")) - 1
+            at, k = min(max(fits, at + 1), end), k + 1
+    whole = len(starts) if last else len(starts) - 1
+    edges = np.array([*starts, n][: whole + 1])
+    first, after = edges[:-1], edges[1:]
+    ends_document = np.isin(after, ends)
+    # The next paragraph's page, if it is of the same document; the last page of a document otherwise.
+    ends_on = pages.take(pa.array(np.where(ends_document, after - 1, np.minimum(after, n - 1)).astype(np.int64)))
+    content = pc.binary_join(pa.ListArray.from_arrays(pa.array(edges.astype(np.int32)), texts.cast(pa.string())), " ") if whole else pa.array([], pa.string())
+    made = pa.RecordBatch.from_arrays(
+        [ids.take(pa.array(first)), pa.array(numbers[:whole], pa.int32()), pages.take(pa.array(first)), ends_on, content], names=["document_id", "chunk_index", "page_start", "page_end", "content"]
     )
-    following = F.lead("page_start").over(Window.partitionBy("document_id").orderBy("chunk_index"))
-    return packed.select("document_id", "chunk_index", "page_start", F.coalesce(following, "last_page").alias("page_end"), "content")
+    return made, table.slice(starts[whole]) if not last else table.slice(n), numbers[whole] if not last else 0
 
 
 def table_text(rows: Column) -> Column:
