@@ -45,14 +45,6 @@ def postings(chunks: DataFrame, lexeme=None) -> DataFrame:  # noqa: ANN001
 COVER = 0.1
 
 
-def hits(token_list: Column, lexemes: list[str], lexeme=None) -> Column:  # noqa: ANN001
-    """structs (position, lexeme) of the tokens that are among the lexemes, in order; null unless all of them are there."""
-    wanted = sorted(set(lexemes))
-    made = token_list if lexeme is None else F.transform(token_list, lexeme)
-    found = F.filter(F.transform(made, lambda x, p: F.struct(p.alias("position"), x.alias("lexeme"))), lambda h: h["lexeme"].isin(wanted))
-    return F.when(F.size(F.array_distinct(F.transform(found, lambda h: h["lexeme"]))) == len(wanted), found)
-
-
 def cover_score(found: Column, lexemes: list[str]) -> Column:
     """The score of a chunk from its hits: each minimal stretch that holds all lexemes adds COVER / (1 + foreign words inside).
 
@@ -86,15 +78,17 @@ def cover_score(found: Column, lexemes: list[str]) -> Column:
 
 
 def lexical_match(chunks: DataFrame, lexemes: list[str], lexeme=None) -> DataFrame:  # noqa: ANN001
-    """(id, hits) of chunks(id, content) that hold all lexemes; none for a query without lexemes. Rows are looked at one by one, so nothing is shuffled."""
-    rows = chunks if lexemes else chunks.where(F.lit(False))
-    if lexeme is None:
-        return rows.select("id", hits(tokens(F.col("content")), lexemes or [""]).alias("hits")).where("hits IS NOT NULL")
-    # A lexeme function may be a Python one, which takes a column of tokens: chunks are told apart by a number, as ids may repeat.
+    """(id, hits) of chunks(id, content) that hold all lexemes, hits as structs (position, lexeme) in order; none for a query without lexemes.
+
+    Other tokens are dropped where they are made, so only hits are shuffled. Rows are told apart by a number, as ids may repeat.
+    """
     wanted = sorted(set(lexemes))
-    exploded = rows.withColumn("_row", F.monotonically_increasing_id()).select("_row", "id", F.posexplode(tokens(F.col("content"))).alias("position", "token"))
-    found = exploded.select("_row", "id", "position", lexeme(F.col("token")).alias("lexeme")).where(F.col("lexeme").isin(wanted))
-    grouped = found.groupBy("_row", "id").agg(F.sort_array(F.collect_list(F.struct("position", "lexeme"))).alias("hits"))
+    rows = chunks if wanted else chunks.where(F.lit(False))
+    numbered = rows.select("id", "content").withColumn("row", F.monotonically_increasing_id())
+    exploded = numbered.select("row", "id", F.posexplode(tokens(F.col("content"))).alias("position", "token"))
+    made = lexeme(F.col("token")) if lexeme else F.col("token")
+    found = exploded.select("row", "id", "position", made.alias("lexeme")).where(F.col("lexeme").isin(wanted))
+    grouped = found.groupBy("row", "id").agg(F.sort_array(F.collect_list(F.struct("position", "lexeme"))).alias("hits"))
     return grouped.where(F.size(F.array_distinct(F.transform("hits", lambda h: h["lexeme"]))) == len(wanted)).select("id", "hits")
 
 

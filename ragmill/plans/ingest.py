@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 
 from ..functions import labels
 from ..operators import chunking, layout, store, structure
+from ..schema import CHUNK, DOCUMENT, FIGURE, PAGE
+from ..sources.snapshots import Change, Snapshots
 from .providers import Embedder
 from .retrieval import backfill
 
@@ -49,11 +51,11 @@ def object_uri(base: str, folder: str, prefix: Column, name: Column) -> Column:
     return F.concat(F.lit(base.rstrip("/") + "/"), labels.folder_name(F.lit(folder)), F.lit("/"), prefix, F.lit("_"), labels.object_name(name))
 
 
-def documents(stored: DataFrame, files: DataFrame, now: datetime) -> DataFrame:
-    """stored with files put in by external_id; documents that are new get the next ids."""
+def documents(stored: DataFrame, files: DataFrame, now: datetime, everything: DataFrame | None = None) -> DataFrame:
+    """stored with files put in by external_id; documents that are new get the next ids, after those of everything if stored is a part of it."""
     rows = files.withColumn("source_type", F.lit("pdf")).withColumn("metadata", F.create_map().cast("map<string,string>"))
     known = rows.join(stored.select("external_id", "id"), "external_id")
-    new = store.with_ids(rows.join(stored.select("external_id"), "external_id", "left_anti"), stored, "external_id")
+    new = store.with_ids(rows.join(stored.select("external_id"), "external_id", "left_anti"), stored if everything is None else everything, "external_id")
     return store.upsert_documents(stored, known.unionByName(new), now).select(*stored.columns)
 
 
@@ -88,19 +90,21 @@ def figure_rows(found: DataFrame, images: str) -> DataFrame:
     )
 
 
-def embedded(chunks: DataFrame, embedder: Embedder, headers: list[str] = (), footers: list[str] = (), missing_only: bool = True) -> DataFrame:
-    """chunks after a backfill of all, or of those without an embedding only."""
-    made = backfill(chunks, embedder, headers, footers, missing_only).withColumnRenamed("metadata", "new_metadata")
+def embedded(chunks: DataFrame, embedder: Embedder, headers: list[str] = (), footers: list[str] = (), missing_only: bool = True, folder: str | None = None) -> DataFrame:
+    """chunks after a backfill of all, or of those without an embedding only; folder as in backfill."""
+    made = backfill(chunks, embedder, headers, footers, missing_only, folder).withColumnRenamed("metadata", "new_metadata")
     return store.update_chunks(chunks, made, structure.merge_metadata(F.col("metadata"), F.col("new_metadata")))
 
 
-def ingest(stored: Stored, upload: Upload, embedder: Embedder, now: datetime, images: str, missing_only: bool = True) -> Stored:
+def ingest(
+    stored: Stored, upload: Upload, embedder: Embedder, now: datetime, images: str, missing_only: bool = True, docs: DataFrame | None = None, folder: str | None = None
+) -> Stored:
     """The stored tables after an upload: documents upserted, their chunks and pages replaced, figures upserted, chunks embedded.
 
-    Chunks and pages of an uploaded document go even if nothing comes in their place; figures stay. A caller
-    writes the result beside the old tables and then points to it, so a run that fails leaves them as they were.
+    Chunks and pages of an uploaded document go even if nothing comes in their place; figures stay. docs: the documents
+    after the upload, where they are made already; folder: where finished vectors are kept. ingest_into writes the result.
     """
-    docs = documents(stored.documents, upload.files, now)
+    docs = documents(stored.documents, upload.files, now) if docs is None else docs
     ids = docs.select("external_id", F.col("id").alias("document_id"))
     own = lambda rows: rows.join(ids, "external_id").drop("external_id")
     touched = own(upload.files.select("external_id"))
@@ -110,7 +114,23 @@ def ingest(stored: Stored, upload: Upload, embedder: Embedder, now: datetime, im
     return replace(
         stored,
         documents=docs,
-        chunks=embedded(chunks, embedder, missing_only=missing_only),
+        chunks=embedded(chunks, embedder, missing_only=missing_only, folder=folder),
         pages=store.replace(stored.pages, page_rows(pages, images, now), touched),
         figures=store.upsert_figures(stored.figures, store.figure_ids(found, stored.figures), now),
     )
+
+
+def ingest_into(tables: Snapshots, upload: Upload, embedder: Embedder, now: datetime, images: str, missing_only: bool = True) -> int:
+    """Ingests an upload into stored tables and gives the new version: all tables change in one commit, or none does.
+
+    Only the buckets that hold uploaded documents, or their chunks, pages and figures, are read and written anew. Vectors
+    are kept by text as they are made, so an upload that failed half-way embeds the rest only when it comes again.
+    """
+    named = tables.buckets_of(upload.files, "external_id")
+    everything = tables.read("document", DOCUMENT)
+    docs = documents(tables.read("document", DOCUMENT, named), upload.files, now, everything).checkpoint()
+    touched = tables.buckets_of(docs.join(upload.files, "external_id", "left_semi"), "id")
+    part = Stored(docs, tables.read("chunk", CHUNK, touched), tables.read("page", PAGE, touched), tables.read("figure", FIGURE, touched))
+    new = ingest(part, upload, embedder, now, images, missing_only, docs, f"{tables.folder}/vectors")
+    children = {"chunk": new.chunks, "page": new.pages, "figure": new.figures}
+    return tables.commit({"document": Change(docs, "external_id", named)} | {name: Change(rows, "document_id", touched) for name, rows in children.items()})

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Mapping
 from typing import Protocol
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import vectors
@@ -17,8 +17,10 @@ NOTHING_FOUND = "Nothing in the documents matches the question."
 
 class Embedder(Protocol):
     model: str
+    dimension: int
 
-    def column(self, text: Column) -> Column: ...
+    def embed(self, texts: list[str]) -> list[list[float]]:
+        """A vector for each text; raises where the model can't be reached."""
 
     def one(self, text: str) -> list[float]: ...
 
@@ -40,13 +42,43 @@ class OfflineEmbedder:
     def __init__(self, dimension: int = vectors.DIMENSION) -> None:
         self.dimension = dimension
 
-    def column(self, text: Column) -> Column:
-        return vectors.offline_embedding(self.dimension)(text)
+    def embed(self, texts: list[str]) -> list[list[float]]:
+        return [vectors.embed_offline(t, self.dimension) for t in texts]
 
     def one(self, text: str) -> list[float]:
         return vectors.embed_offline(text, self.dimension)
 
 
+class Chain:
+    """Embedders of one dimension in order: the next is asked where one fails `tries` times."""
+
+    def __init__(self, embedders: list[Embedder], tries: int = 2) -> None:
+        if not embedders or len({e.dimension for e in embedders}) > 1:
+            raise ValueError("a chain needs embedders of one dimension")
+        self.embedders, self.tries, self.dimension, self.model = embedders, tries, embedders[0].dimension, embedders[0].model
+
+    def named(self, texts: list[str]) -> tuple[str, list[list[float]]]:
+        """The model that answered, and its vectors; the last failure where none did."""
+        failure: Exception | None = None
+        for embedder in self.embedders:
+            for _ in range(self.tries):
+                try:
+                    made = embedder.embed(texts)
+                except Exception as error:  # whatever a model's client raises
+                    failure = error
+                    continue
+                if len(made) != len(texts) or any(len(v) != self.dimension for v in made):
+                    raise ValueError(f"{embedder.model} gave vectors of another number or length")
+                return embedder.model, made
+        raise failure
+
+    def embed(self, texts: list[str]) -> list[list[float]]:
+        return self.named(texts)[1]
+
+    def one(self, text: str) -> list[float]:
+        return self.embed([text])[0]
+
+
 class NoReranker:
     def scores(self, candidates: DataFrame, query: str) -> DataFrame | None:  # noqa: ARG002
         return None
@@ -84,3 +116,27 @@ def rerank(candidates: DataFrame, query: str, reranker: Reranker, n: int) -> Dat
         scores = scores if scores.limit(1).count() else None
     scored = fusion.fallback_scores(candidates) if scores is None else fusion.apply_scores(candidates, scores)
     return fusion.ranked(scored, n)
+
+
+def providers(environment: Mapping[str, str], makers: Mapping[str, Callable[[Mapping[str, str]], object]]) -> dict[str, object]:
+    """The embedder, reranker and answerer that the environment names (EMBEDDER, RERANKER, ANSWERER), made by `makers`.
+
+    What it doesn't name is the offline one; a reranker that has no key (its maker raises KeyError) is none, so scores
+    are weighted sums; an embedder or answerer without one is an error, as nothing can take its place unasked.
+    """
+    offline = {"embedder": OfflineEmbedder, "reranker": NoReranker, "answerer": OfflineAnswerer}
+    out: dict[str, object] = {}
+    for role, stand_in in offline.items():
+        name = environment.get(role.upper())
+        if name is None:
+            out[role] = stand_in()
+            continue
+        if name not in makers:
+            raise ValueError(f"no provider is called {name}")
+        try:
+            out[role] = makers[name](environment)
+        except KeyError as missing:
+            if role != "reranker":
+                raise RuntimeError(f"the {role} {name} lacks {missing.args[0]}") from missing
+            out[role] = stand_in()
+    return out

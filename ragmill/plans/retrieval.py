@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from ..functions import stem
 from ..operators import context, fusion, search
 from ..sources.tables import Settings
+from . import embeddings
 from .providers import NO_ANSWER, NOTHING_FOUND, Answerer, Embedder, NoReranker, OfflineAnswerer, Reranker, rerank
 
 
@@ -82,11 +83,16 @@ def document_answer(
     return answered(document_context(chunks, documents, embedder.one(question), settings, external_id), question, answerer)
 
 
-def backfill(chunks: DataFrame, embedder: Embedder, headers: list[str] = (), footers: list[str] = (), missing_only: bool = True) -> DataFrame:
-    """Chunks cleaned, tracked and embedded: (id, embedding, content, metadata). State runs over all chunks of a document."""
+def backfill(
+    chunks: DataFrame, embedder: Embedder, headers: list[str] = (), footers: list[str] = (), missing_only: bool = True, folder: str | None = None, settings: Settings = Settings()
+) -> DataFrame:
+    """Chunks cleaned, tracked and embedded: (id, embedding, content, metadata, model). State runs over all chunks of a document.
+
+    folder: where finished vectors are kept (see plans.embeddings); a run after one that failed embeds the rest only.
+    """
     from ..operators import cleaning, store, structure
 
     rows = store.documents_to_update(chunks, missing_only).drop("needs_update", "order_index")
     cleaned = cleaning.clean_chunks(rows, list(headers), list(footers))
     tracked = structure.with_structure(cleaned, missing_only)
-    return tracked.select("id", embedder.column(F.col("content")).cast("array<float>").alias("embedding"), "content", "metadata")
+    return embeddings.embedded(tracked.select("id", "content", "metadata"), embedder, folder, settings.batch_size).select("id", "embedding", "content", "metadata", "model")
