@@ -10,7 +10,10 @@ from pyspark.sql import functions as F
 
 from ..functions import labels, stem, vectors
 from ..operators import chunking, cleaning, context, fusion, layout, lexicon, search, store, structure, vector_lists
+from ..sources import layouts
+from ..sources.snapshots import Change, Snapshots
 from ..sources.tables import Settings, document_rows, embedded_chunks, query_vector, read, text_chunks, work_folder
+from . import embeddings
 from . import ingest as ingestion
 from .providers import OfflineEmbedder, rerank
 from .retrieval import document_context, hybrid
@@ -509,13 +512,27 @@ def figure_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return layout.figure_boxes(found, shapes, pages).select("document_id", "figure_label", *layout.BOX)
 
 
-@query()
+def _caption_words(pages: DataFrame) -> DataFrame:
+    """The two words of a caption low on each page; two labels take turns from page to page."""
+    parts = F.array(F.struct(F.lit("Figure").alias("text"), F.lit(60.0).alias("x0")), F.struct(F.expr("concat(document_id % 7 + page_number % 2, '—')").alias("text"), F.lit(110.0).alias("x0")))
+    words = pages.select(*layout.PAGE, F.explode(parts).alias("w"))
+    return words.select(*layout.PAGE, "w.text", "w.x0", F.lit(610.0).alias("top"), (F.col("w.x0") + 40).alias("x1"), F.lit(620.0).alias("bottom"))
+
+
+_FIGURES = f"""WITH {_WORDS}, p AS (SELECT DISTINCT document_id, page_number FROM w),
+    c AS (SELECT document_id, page_number, 'FIGURE ' || (document_id % 7 + page_number % 2) AS figure_label FROM p)"""
+
+
+@query(
+    _FIGURES
+    + """ SELECT document_id, min(page_number) AS page_number, figure_label, 'Figure ' || figure_label[8:] || '—' AS caption, 74.0::DOUBLE AS x0, 444.0::DOUBLE AS top, 406.0::DOUBLE AS x1,
+    606.0::DOUBLE AS bottom FROM c GROUP BY document_id, figure_label"""
+)
 def extract_figures(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Captions set below made-up images on every page of every document; two labels take turns from page to page."""
     words = _words(spark, sf_dir)
     docs = words.select("document_id", "page_number").distinct()
-    caption = docs.select(*layout.PAGE, F.explode(F.array(F.struct(F.lit("Figure").alias("text"), F.lit(60.0).alias("x0")), F.struct(F.expr("concat(document_id % 7 + page_number % 2, '—')").alias("text"), F.lit(110.0).alias("x0")))).alias("w"))
-    caption = caption.select(*layout.PAGE, "w.text", "w.x0", F.lit(610.0).alias("top"), (F.col("w.x0") + 40).alias("x1"), F.lit(620.0).alias("bottom"))
+    caption = _caption_words(docs)
     shapes = docs.select(*layout.PAGE, F.lit("image").alias("kind"), F.lit(80.0).alias("x0"), F.lit(450.0).alias("top"), F.lit(400.0).alias("x1"), F.lit(600.0).alias("bottom"))
     pages = docs.withColumn("width", F.lit(600.0)).withColumn("height", F.lit(800.0))
     return layout.extract_figures(pages, words.unionByName(caption), shapes)
@@ -651,10 +668,10 @@ def replace_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
         FROM fold f JOIN kept k ON k.doc_id = f.doc_id AND k.n = f.n + 1),
     packed AS (SELECT doc_id, chunk, string_agg(p, ' ' ORDER BY n) AS content FROM fold GROUP BY ALL),
     tables AS (SELECT d.doc_id, coalesce(n, 0)::INT AS chunk FROM documents d LEFT JOIN (SELECT doc_id, count(*) AS n FROM packed GROUP BY doc_id) USING (doc_id))
-    SELECT 'ext-' || doc_id AS external_id, chunk AS chunk_index, content, 'body' AS chunk_type, 8 AS dimension FROM packed
-    UNION ALL SELECT 'ext-' || doc_id, chunk, 'lang | source' || chr(10) || '-------------' || chr(10) || coalesce(lang, '') || ' | ' || coalesce(source, ''), 'table', 8
+    SELECT 'ext-' || doc_id AS external_id, chunk AS chunk_index, content, 'body' AS chunk_type, 1536 AS dimension FROM packed
+    UNION ALL SELECT 'ext-' || doc_id, chunk, 'lang | source' || chr(10) || '-------------' || chr(10) || coalesce(lang, '') || ' | ' || coalesce(source, ''), 'table', 1536
     FROM tables JOIN documents USING (doc_id)
-    UNION ALL SELECT 'old-' || doc_id, 0, 'old', 'body', 8 FROM documents"""
+    UNION ALL SELECT 'old-' || doc_id, 0, 'old', 'body', 1536 FROM documents"""
 )
 def ingest_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document is uploaded with a table; half of them stood already, and as many others stand and stay."""
@@ -692,7 +709,159 @@ def _ingested(spark: SparkSession, sf_dir: str) -> ingestion.Stored:
         texts=named(_page_texts(spark, sf_dir)),
         tables=docs.select(name.alias("external_id"), F.lit(1).alias("page_number"), F.lit(0).alias("table_index"), cells),
         pages=named(_pages(spark, sf_dir).withColumn("rotation", F.lit(0))),
-        words=named(_words(spark, sf_dir)),
+        words=named(_words(spark, sf_dir).unionByName(_caption_words(docs.select(F.col("doc_id").alias("document_id"), F.lit(1).alias("page_number"))))),
         shapes=docs.select(name.alias("external_id"), F.lit(1).alias("page_number"), F.lit("image").alias("kind"), *[F.lit(float(x)).alias(c) for c, x in zip(layout.BOX, (80, 450, 400, 600), strict=True)]),
     )
-    return ingestion.ingest(ingestion.Stored(table, chunks, pages, figures), upload, OfflineEmbedder(8), now, "gs://images")
+    return ingestion.ingest(ingestion.Stored(table, chunks, pages, figures), upload, OfflineEmbedder(), now, "gs://images")
+
+
+@query(
+    f"""WITH {_WORDS}, p AS (SELECT DISTINCT document_id FROM w)
+    SELECT 'ext-' || document_id AS external_id, page_number, '600.0' AS width, '180' AS resolution FROM (SELECT DISTINCT document_id, page_number FROM w)
+    UNION ALL SELECT 'old-' || doc_id, 1, NULL, NULL FROM documents"""
+)
+def ingest_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The pages of the plan in ingest_documents."""
+    found = _ingested(spark, sf_dir)
+    names = found.documents.select(F.col("id").alias("document_id"), "external_id")
+    facts = [F.try_element_at("metadata", F.lit(k)).alias(k) for k in ("width", "resolution")]
+    return found.pages.join(names, "document_id").select("external_id", "page_number", *facts)
+
+
+@query(
+    f"""WITH {_WORDS}
+    SELECT 'ext-' || doc_id AS external_id, 'FIGURE 0' AS figure_label, NULL AS caption FROM documents WHERE doc_id % 2 = 0 AND (doc_id % 7 + 1 > 0)
+    UNION ALL SELECT 'old-' || doc_id, 'FIGURE 0', NULL FROM documents
+    UNION ALL SELECT 'ext-' || document_id, 'FIGURE ' || (document_id % 7 + 1), 'Figure ' || (document_id % 7 + 1) || '—' FROM (SELECT DISTINCT document_id FROM w)"""
+)
+def ingest_figures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The figures of the plan in ingest_documents: what stood, and one on the first page of every document that has one."""
+    found = _ingested(spark, sf_dir)
+    names = found.documents.select(F.col("id").alias("document_id"), "external_id")
+    return found.figures.join(names, "document_id").select("external_id", "figure_label", "caption")
+
+
+@query(
+    f"""WITH {_WORDS}, kept AS (
+        SELECT *, i // 10 % 40 AS line FROM w WHERE x0 + 45 > 80 AND x0 < 600 AND top + 10 > 60 AND top < 765
+        AND NOT (x0 + 45 > 98.5 AND x0 < 301.5 AND top + 10 > 98.5 AND top < 151.5)),
+    ls AS (SELECT document_id, page_number, line, string_agg(text, ' ' ORDER BY x0) AS text FROM kept GROUP BY ALL)
+    SELECT 'ext-' || document_id AS external_id, page_number, string_agg(text, chr(10) ORDER BY line) AS text FROM ls GROUP BY ALL"""
+)
+def layout_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Page texts from dumps of page layouts, which are written first: words outside the margins or struck out are left out."""
+    folder = work_folder(spark)
+    box = ("text", *layout.BOX)
+    words = _words(spark, sf_dir).groupBy(*layout.PAGE).agg(F.collect_list(F.struct(*box)).alias("words"))
+    strike = F.struct(F.lit("StrikeOut").alias("subtype"), F.lit(None).cast("array<double>").alias("rect"), F.array(*map(F.lit, (100.0, 100.0, 300.0, 100.0, 100.0, 150.0, 300.0, 150.0))).alias("quadpoints"))
+    pages = words.select(
+        F.concat(F.lit("ext-"), F.col("document_id").cast("string")).alias("external_id"), "page_number", F.lit(600.0).alias("width"), F.lit(800.0).alias("height"), "words", F.array(strike).alias("annotations")
+    )
+    layouts.written(pages, folder)
+    return layouts.Dumps(spark, folder).texts()
+
+
+@query(
+    """SELECT doc_id AS id, CASE WHEN doc_id % 3 = 0 THEN 'new' ELSE lang END AS text, 2 AS version FROM documents WHERE NOT (doc_id % 3 = 0 AND doc_id % 2 = 0)
+    UNION ALL SELECT doc_id, lang, 1 FROM documents"""
+)
+def snapshot_versions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document is stored; then those divisible by 3 are replaced, by nothing where divisible by 2. Both versions are read."""
+    tables = Snapshots(spark, work_folder(spark), buckets=16)
+    kind = "id long, text string"
+    docs = read(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.col("lang").alias("text"))
+    tables.commit({"text": Change(docs, "id")})
+    third = docs.where("id % 3 = 0").select("id")
+    touched = tables.buckets_of(third, "id")
+    rest = tables.read("text", kind, touched).join(third, "id", "left_anti")
+    tables.commit({"text": Change(rest.unionByName(third.where("id % 2 <> 0").withColumn("text", F.lit("new"))), "id", touched)})
+    return tables.read("text", kind).withColumn("version", F.lit(2)).unionByName(tables.read("text", kind, version=1).withColumn("version", F.lit(1)))
+
+
+@query(
+    """WITH t AS (SELECT trim(coalesce(text, ''), E' \\n\\t\\r\\v\\f') AS t FROM documents)
+    SELECT sha256(t) AS digest, count(*) AS n, CASE WHEN t = '' THEN 0 ELSE 1 END AS length FROM t GROUP BY t"""
+)
+def embedded_once(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Texts of documents embedded by distinct text, with kept vectors; by text how many rows have its vector, and that vector's length."""
+    rows = read(spark, sf_dir, "documents").select("doc_id", F.col("text").alias("content"))
+    made = embeddings.embedded(rows, OfflineEmbedder(16), work_folder(spark))
+    length = F.round(vectors.norm(F.col("embedding")), 4).cast("int").alias("length")
+    return made.groupBy(embeddings.digest(F.col("content")).alias("digest"), length).agg(F.count("*").alias("n"))
+
+
+@query(
+    """WITH l AS (SELECT doc_id AS document_id, 1 AS page_number, k AS line, CASE WHEN k % 3 = 0 THEN 'Fig. ' || (doc_id % 5 + k) || '— of ' || lang WHEN k = 4 THEN 'far ' || source ELSE 'goes on ' || k END AS text,
+            60.0 + k AS x0, 100.0 + k * 18 + (k >= 4)::INT * (doc_id % 6) AS top FROM documents, range(8) r(k)),
+    g AS (SELECT *, top + 10 AS bottom, CASE WHEN k3 OR coalesce(top - lag(top + 10) OVER (PARTITION BY document_id ORDER BY line) > 8, true) THEN 1 ELSE 0 END AS starts
+          FROM (SELECT *, line % 3 = 0 AS k3 FROM l)),
+    p AS (SELECT *, sum(starts) OVER (PARTITION BY document_id ORDER BY line) AS part FROM g)
+    SELECT document_id, min(line)::INT AS position, 'FIGURE ' || (document_id % 5 + min(line)) AS figure_label, string_agg(text, ' ' ORDER BY line) AS caption_text,
+           min(x0)::DOUBLE AS x0, min(top)::DOUBLE AS top, max(x0 + 30)::DOUBLE AS x1, max(bottom)::DOUBLE AS bottom
+    FROM p GROUP BY document_id, part HAVING min(line) % 3 = 0"""
+)
+def caption_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Eight lines for each document, three of them captions; how far the fifth lies below the one before it varies."""
+    docs = read(spark, sf_dir, "documents").select(F.col("doc_id").alias("document_id"), F.lit(1).alias("page_number"), "lang", "source", F.explode(F.sequence(F.lit(0), F.lit(7))).alias("line"))
+    text = F.expr("CASE WHEN line % 3 = 0 THEN concat('Fig. ', document_id % 5 + line, '— of ', lang) WHEN line = 4 THEN concat('far ', source) ELSE concat('goes on ', line) END")
+    top = F.expr("cast(100 + line * 18 + IF(line >= 4, document_id % 6, 0) AS double)")
+    x0 = F.col("line") + 60.0
+    lines = docs.select(*layout.PAGE, "line", text.alias("text"), x0.alias("x0"), top.alias("top"), (x0 + 30).alias("x1"), (top + 10).alias("bottom"))
+    return layout.captions(lines).drop("page_number")
+
+
+@query(
+    """SELECT doc_id, 'doc' || doc_id || '_p' || (doc_id % 90) || '_' || regexp_replace(source || '_' || (doc_id % 9), '[^A-Za-z0-9]+', '_', 'g') || '.png' AS figure_file,
+    'Table ' || (doc_id % 12) || ' and Table x' AS spaced, CASE WHEN doc_id % 2 = 0 THEN 'https://o/' || doc_id ELSE 'http://h/' || doc_id END AS uri, 'http://h/base/' || lang || '/x' AS joined,
+    CASE WHEN doc_id % 3 > 0 THEN (doc_id % 3)::VARCHAR ELSE lang END AS first_value, CASE WHEN doc_id % 2 = 0 THEN 'FIGURE ' || (doc_id % 7) END AS caption FROM documents"""
+)
+def label_functions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Names, labels and addresses made from every document's columns."""
+    key = F.col("doc_id")
+    text = key.cast("string")
+    return read(spark, sf_dir, "documents").select(
+        "doc_id",
+        labels.figure_file_name(key, key % 90, F.concat("source", F.lit("--"), (key % 9).cast("string"))).alias("figure_file"),
+        labels.space_table_labels(F.concat(F.lit("Table"), (key % 12).cast("string"), F.lit(" and Table x"))).alias("spaced"),
+        labels.storage_uri(F.when(key % 2 == 0, F.concat(F.lit("gs://b/"), text)).otherwise(F.concat(F.lit("http://h/"), text)), F.concat(F.lit("https://o/"), text)).alias("uri"),
+        labels.join_url(F.lit("http://h/base//"), F.concat(F.lit("//"), "lang", F.lit("/x"))).alias("joined"),
+        labels.first_truthy(F.lit(""), key % 3, F.col("lang")).alias("first_value"),
+        labels.caption_label(F.concat(F.lit("Fig "), (key % 7).cast("string"), F.when(key % 2 == 0, F.lit(" —")).otherwise(F.lit(" ")))).alias("caption"),
+    )
+
+
+@query(
+    f"""WITH {_TOP}, need AS (SELECT id, document_id, rank, unnest(range(s, e + 1)) AS page_number FROM top)
+    SELECT document_id, page_number::INT AS page_number, list(rank + 1 ORDER BY rank)::VARCHAR AS sources FROM need WHERE page_number <= 6 GROUP BY ALL"""
+)
+def page_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The numbers of the sources that cite a page."""
+    pages = read(spark, sf_dir, "documents").select(F.col("doc_id").alias("document_id"), F.explode(F.sequence(F.lit(1), F.lit(6))).alias("page_number"))
+    top = _top(spark, sf_dir)
+    found = context.page_labels(context.pages_for_chunks(top, pages), top)
+    return found.select("document_id", "page_number", F.concat(F.lit("["), F.array_join("sources", ", "), F.lit("]")).alias("sources"))
+
+
+@query(
+    """WITH c AS (SELECT doc_id AS id, doc_id % 50 AS document_id, vec_id IS NULL AS needs_update FROM documents LEFT JOIN embeddings ON vec_id = doc_id)
+    SELECT id, document_id, needs_update FROM c WHERE document_id IN (SELECT DISTINCT document_id FROM c WHERE needs_update) ORDER BY document_id, id LIMIT 100"""
+)
+def documents_to_update_limited(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first hundred rows to embed: the limit is the feature."""
+    docs = read(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), (F.col("doc_id") % 50).alias("document_id"), F.lit(None).cast("int").alias("chunk_index"))
+    chunks = docs.join(embedded_chunks(spark, sf_dir), "id", "left")
+    return store.documents_to_update(chunks, True, 100).select("id", "document_id", "needs_update")
+
+
+@query(
+    """SELECT doc_id AS document_id, q.k, greatest(0, 100.0 + q.k * 40 - 1.5)::DOUBLE AS x0, greatest(0, (doc_id % 5) - 1.5)::DOUBLE AS top, least(600, 130.0 + q.k * 40 + 1.5)::DOUBLE AS x1, (doc_id % 5 + 12 + 1.5)::DOUBLE AS bottom
+    FROM documents, (VALUES (0), (1)) q(k) WHERE doc_id % 4 <> 1"""
+)
+def struck_quads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Strikeouts of two quads each; a quarter of them have a number too few, and so none."""
+    quad = lambda k: [F.lit(100.0 + k * 40), F.col("top"), F.lit(130.0 + k * 40), F.col("top"), F.lit(100.0 + k * 40), F.col("top") + 12, F.lit(130.0 + k * 40), F.col("top") + 12]
+    docs = read(spark, sf_dir, "documents").select(F.col("doc_id").alias("document_id"), F.lit(1).alias("page_number"), (F.col("doc_id") % 5).cast("double").alias("top"))
+    points = F.array(*quad(0), *quad(1))
+    marks = docs.select(*layout.PAGE, F.lit("strikeout").alias("subtype"), F.lit(None).cast("array<double>").alias("rect"), F.when(F.col("document_id") % 4 == 1, F.slice(points, 1, 15)).otherwise(points).alias("quadpoints"))
+    pages = docs.select(*layout.PAGE, F.lit(600.0).alias("width"), F.lit(800.0).alias("height"))
+    return layout.strike_boxes(marks, pages).select("document_id", F.when(F.col("x0") < 120, F.lit(0)).otherwise(F.lit(1)).alias("k"), *layout.BOX)
