@@ -59,12 +59,12 @@ class Lexicon:
     def add(self, chunks: DataFrame) -> None:
         """A run of chunks(id, content) whose ids are new to the index."""
         state, runs, tombstones = self.state()
-        self._commit(state, [*runs, self._written(search.postings(chunks.select("id", "content"), self.lexeme), chunks.select("id"))], tombstones)
+        self._commit(state, [*runs, self._written(chunks)], tombstones)
 
     def replace(self, chunks: DataFrame, ids: DataFrame) -> None:
         """What the index holds of ids(id) goes; chunks(id, content) come, in one state."""
         state, runs, tombstones = self.state()
-        run = self._written(search.postings(chunks.select("id", "content"), self.lexeme), chunks.select("id"))
+        run = self._written(chunks)
         name = f"tombstones-{uuid.uuid4().hex}"
         gone = ids.select("id").unionByName(chunks.select("id")).distinct()
         gone.withColumn("from", F.lit(len(runs))).write.parquet(f"{self.folder}/{name}")
@@ -75,17 +75,26 @@ class Lexicon:
         state, runs, tombstones = self.state()
         if len(runs) > 1 or tombstones:
             rows = self._postings(self._blocks(runs), tombstones)
-            self._commit(state, [self._written(rows.select("lexeme", "id", F.explode("positions").alias("position")), rows.select("id").distinct())], [])
-
-    def _written(self, postings: DataFrame, ids: DataFrame) -> str:
+            self._commit(state, [self._cut(rows.join(store.numbered(rows.select("id").distinct(), "id"), "id"))], [])
+
+    def _written(self, chunks: DataFrame) -> str:
+        """Writes a run of chunks(id, content). Texts are dealt by id, where their postings are gathered; these move once, to their blocks."""
+        known = chunks.where(F.col("id").isNotNull()).select("id", "content")
+        numbers = store.numbered(known.select("id").distinct(), "id")
+        placed = known.repartition("id").join(numbers, "id").select("id", "number", F.posexplode(search.tokens(F.col("content"))).alias("position", "token"))
+        made = self.lexeme(F.col("token")) if self.lexeme else F.col("token")
+        rows = placed.select("id", "number", "position", made.alias("lexeme")).where(F.col("lexeme").isNotNull())
+        return self._cut(rows.groupBy("id", "number", "lexeme").agg(F.sort_array(F.collect_list("position")).alias("positions")))
+
+    def _cut(self, by_chunk: DataFrame) -> str:
+        """Writes (id, number, lexeme, positions) as blocks."""
         name = f"run-{uuid.uuid4().hex}"
-        numbers = store.numbered(ids.where(F.col("id").isNotNull()).distinct(), "id")
-        by_chunk = postings.groupBy("lexeme", "id").agg(F.sort_array(F.collect_list("position")).alias("positions"))
-        placed = by_chunk.join(numbers, "id").withColumn("block", F.floor(F.col("number") / BLOCK))
-        entry = F.struct("id", "positions")
-        blocks = placed.groupBy("lexeme", "block").agg(F.sort_array(F.collect_list(entry)).alias("chunks"), F.max(F.size("positions")).alias("most"), F.count("*").alias("n"))
-        dealt = blocks.withColumn("bucket", bucket(F.col("lexeme"), self.buckets)).repartition("bucket", F.floor(F.col("block") / BLOCK))
-        dealt.sortWithinPartitions("bucket", "lexeme", "block").write.partitionBy("bucket").parquet(f"{self.folder}/{name}")
+        block = F.floor(F.col("number") / BLOCK)
+        dealt = by_chunk.select("id", "lexeme", "positions", block.alias("block"), F.floor(block / BLOCK).alias("part"), bucket(F.col("lexeme"), self.buckets).alias("bucket"))
+        # Grouping by these keys and more needs no further exchange.
+        blocks = dealt.repartition("bucket", "part").groupBy("bucket", "part", "lexeme", "block")
+        blocks = blocks.agg(F.sort_array(F.collect_list(F.struct("id", "positions"))).alias("chunks"), F.max(F.size("positions")).alias("most"), F.count("*").alias("n"))
+        blocks.drop("part").sortWithinPartitions("bucket", "lexeme", "block").write.partitionBy("bucket").parquet(f"{self.folder}/{name}")
         return name
 
     def _blocks(self, runs: list[str], lexemes: list[str] | None = None) -> DataFrame:
