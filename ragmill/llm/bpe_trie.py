@@ -39,19 +39,48 @@ UNICODE_16 = (
 )
 SMALL = {0x1C89: 0x1C8A, 0xA7CB: 0x264, 0xA7CC: 0xA7CD, 0xA7CE: 0xA7CF, 0xA7D2: 0xA7D3, 0xA7D4: 0xA7D5, 0xA7DA: 0xA7DB, 0xA7DC: 0x19B}
 SMALL |= {c: c + 0x20 for c in range(0x10D50, 0x10D66)} | {c: c + 0x1B for c in range(0x16EA0, 0x16EB9)}
+# Combining marks that versions 10.0 to 15.1 added, as ranges, and the second half of the one composition they added.
+MARKS_SINCE_10 = (
+    "7fd-7fd 898-89f 8ca-8d3 9fe-9fe c3c-c3c d3b-d3c eba-eba 1715-1715 1abf-1ace 1df6-1dfa a82c-a82c 10d24-10d27 10eab-10eac 10efd-10eff "
+    "10f46-10f50 10f82-10f85 11070-11070 1133b-1133b 1145e-1145e 11839-1183a 11930-11930 1193d-1193e 11943-11943 119e0-119e0 11a34-11a34 "
+    "11a47-11a47 11a99-11a99 11d42-11d42 11d44-11d45 11d97-11d97 11f41-11f42 16ff0-16ff1 1e08f-1e08f 1e130-1e136 1e2ae-1e2ae 1e2ec-1e2ef "
+    "1e4ec-1e4ef"
+)
 # End of the fixed values.
+#: The lowest of MARKS_SINCE_10.
+FIRST_MARK = "\u07fd"
 #: Token pairs, and words, that a worker keeps.
 _PAIRS = 200_000
 KNOWN = 400_000
 
 
+def ranges(text: str) -> list[range]:
+    """Ranges of code points from their fixed values."""
+    return [range(int(a, 16), int(b, 16) + 1) for a, _, b in (r.partition("-") for r in text.split())]
+
+
 @functools.cache
 def hidden() -> dict[int, str]:
     """Characters that the regex module has as letters or numbers and the vocabulary's pattern doesn't, with their stand-in."""
-    known = {c for r in UNICODE_16.split() for c in range(int(r.partition("-")[0], 16), int(r.partition("-")[2], 16) + 1)}
+    known = {c for r in ranges(UNICODE_16) for c in r}
     return {c: x for c, x in newer().items() if c not in known}
 
 
+@functools.cache
+def unknown_marks() -> regex.Pattern:
+    return regex.compile("([" + "".join(f"{chr(r[0])}-{chr(r[-1])}" for r in ranges(MARKS_SINCE_10)) + "])")
+
+
+def composed(text: str) -> str:
+    """Canonical composition by the vocabulary's tables, which end with Unicode 9: a later mark neither moves nor joins.
+
+    So it parts the text: no mark is carried past it, and what follows it composes with nothing before it.
+    """
+    if max(text) < FIRST_MARK:
+        return unicodedata.normalize("NFC", text)
+    return "".join(x if i % 2 else unicodedata.normalize("NFC", x) for i, x in enumerate(unknown_marks().split(text)))
+
+
 class TrieEncoder:
     """Encodes words for a vocabulary whose words end in END."""
 
@@ -142,7 +171,7 @@ class Codec:
     def words(self, text: str) -> list[str]:
         if not text.isascii():
             # Letters are lower-cased one by one, so a final sigma has no form of its own.
-            text = unicodedata.normalize("NFC", text).replace("Σ", "σ")
+            text = composed(text).replace("Σ", "σ")
         # Runs of white space, which the vocabulary makes one space, stand between words and go either way.
         text = text.lower()
         if not text or max(text) < FIRST_NEWER:

@@ -6,6 +6,7 @@ import random
 import re
 import struct
 import time
+import unicodedata
 
 import public_tokenizers
 import pytest
@@ -71,6 +72,27 @@ def test_every_character_splits_as_in_the_library():
         assert ids == struct.pack(f"<{len(x.ids)}I", *x.ids), [hex(ord(c)) for c in text if ord(c) > 127][:8]
 
 
+def test_every_pair_of_marks_is_ordered_as_in_the_library():
+    """All pairs of combining marks after a letter, and all compositions from their parts, with a later mark between them too."""
+    marks = [c for c in map(chr, range(0x110000)) if unicodedata.combining(c)]
+    normalizer = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json")).normalizer
+    for a in marks:
+        text = " ".join(f"a{a}{b}" for b in marks)
+        assert bpe_trie.composed(text).lower() == normalizer.normalize_str(text), hex(ord(a))
+    parts = [d for c in map(chr, [*range(0xD800), *range(0xE000, 0x110000)]) if (d := unicodedata.normalize("NFD", c)) != c and not c.isspace()]
+    text = " ".join([*parts, *("\u1abf".join(d) for d in parts), *(d[::-1] for d in parts)])
+    assert bpe_trie.composed(text).replace("Σ", "σ").lower() == normalizer.normalize_str(text)
+
+
+def test_odd_strings_of_marks_equal_the_library():
+    alphabet = [*"ae1 Σ", *"\u0301\u0323\u1abf\u1dfa\u0dca\u1ac5\u08d3\u05b7\u0345\u0338\u1100\u1161\u11a8\u0897", "\U00011935", "\U00011930", "\U00011938"]
+    draw = random.Random(5)
+    rows = ["".join(draw.choices(alphabet, k=draw.randint(1, 9))) for _ in range(9000)]
+    _, wanted = library("word_bpe_49k.json", rows)
+    found = bpe_trie.Codec(public_tokenizers.path("word_bpe_49k.json")).encode(rows)
+    assert [ids for ids, _ in found] == [struct.pack(f"<{len(w)}I", *w) for w in wanted]
+
+
 def test_trie_states_equal_plain_bpe():
     codec = bpe_trie.Codec(public_tokenizers.path("word_bpe_49k.json"))
     rng = random.Random(8)
