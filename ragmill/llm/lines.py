@@ -11,11 +11,15 @@ probes the indexes of its own and up to t smaller lengths with the substrings th
 meet, those go that differ in too many of eight blocks or in their letters; the rest is verified by a banded
 bit-parallel edit distance (Hyyrö 2003): one word holds the 2t + 1 diagonals.
 
-A signature that more than CROWD lines index (near copies of one line) isn't paired as it is. The letter counts
-of two lines within t edits, d apart in length, differ by at most 2t - d in all, so of 2t - d + 1 groups of
-letters one has equal counts: the signature is extended by the counts of each group in turn. Then two rounds:
-every line is compared with the first one under each of its keys, and only lines that this doesn't settle are
-paired with the others there, if their letters agree. No pair that could decide about a line is left out.
+A signature that more than CROWD lines index (near copies of one line) isn't paired as it is. The counts of
+letters and digits of two lines within t edits, d apart in length, differ by at most 2t - d in all, so of
+2t - d + 1 groups of them one has equal counts: the signature is extended by the counts of each group in turn.
+Where more than LARGE lines that share a signature differ in one short window only (a number in a fixed
+sentence), it is extended by what is left of the window after up to t deletions instead: what all of them begin
+and end with doesn't change their distance, and texts within t edits have such a rest in common. Then two
+rounds: every line is compared with the first one under each of its keys, and only lines that this doesn't
+settle are paired with the others there, if their counts agree. No pair that could decide about a line is left
+out.
 
 Equal lines are one row (128-bit hash of the line) before any join, so frequent lines cost no pairs.
 
@@ -27,6 +31,8 @@ code points goes only if it equals an earlier one.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -35,9 +41,14 @@ from .quality import let
 
 EDITS = 2
 LEAST = 40
-#: Lines that may index a signature before it is extended by letter counts.
+#: Lines that may index a signature before it is extended by counts.
 CROWD = 16
+#: Lines that may index a signature before the window in which they differ is looked for, and how wide it may be.
+LARGE = 256
+WIDEST = 24
 LETTERS = "etaoinsrhldcumfpgwybvk"
+#: Counted besides in the lines of crowds.
+DIGITS = "0123456789"
 _LAST = (1 << 63) - 1
 #: Lines whose texts are looked up by a broadcast; more are looked up by a shuffled join.
 BROADCAST_LINES = 500_000
@@ -91,26 +102,43 @@ def blocks_agree(a: Column, b: Column, edits: int, blocks: int = 8) -> Column:
     return found >= blocks - edits
 
 
-def letter_counts(line: Column) -> Column:
-    """How often each of LETTERS occurs in a line."""
-    return F.transform(F.array(*map(F.lit, LETTERS)), lambda c: F.length(line) - F.length(F.replace(line, c, F.lit(""))))
+def letter_counts(line: Column, symbols: str = LETTERS) -> Column:
+    """How often each of symbols occurs in a line."""
+    return F.transform(F.array(*map(F.lit, symbols)), lambda c: F.length(line) - F.length(F.replace(line, c, F.lit(""))))
 
 
-def letters_agree(a: Column, b: Column, apart: Column, edits: int) -> Column:
-    """Whether letter counts of lines `apart` in length differ by at most 2 * edits - apart: true of any lines within reach."""
-    total = sum((F.abs(F.get(a, F.lit(i)) - F.get(b, F.lit(i))) for i in range(len(LETTERS))), F.lit(0))
+def letters_agree(a: Column, b: Column, apart: Column, edits: int, symbols: str = LETTERS) -> Column:
+    """Whether counts of symbols in lines `apart` in length differ by at most 2 * edits - apart: true of any lines within reach."""
+    total = sum((F.abs(F.get(a, F.lit(i)) - F.get(b, F.lit(i))) for i in range(len(symbols))), F.lit(0))
     return total <= 2 * edits - apart
 
 
-def letter_keys(counts: Column, edits: int) -> Column:
+def letter_keys(counts: Column, edits: int, symbols: str = LETTERS) -> Column:
     """For each difference in length d, an array with a hash of each of 2 * edits - d + 1 groups of counts; one at least is equal in lines within reach."""
     schemes = []
     for apart in range(edits + 1):
         n = 2 * edits - apart + 1
-        schemes.append(F.array(*[F.xxhash64(F.lit(apart), F.lit(g), *[F.get(counts, F.lit(i)) for i in range(g, len(LETTERS), n)]) for g in range(n)]))
+        schemes.append(F.array(*[F.xxhash64(F.lit(apart), F.lit(g), *[F.get(counts, F.lit(i)) for i in range(g, len(symbols), n)]) for g in range(n)]))
     return F.array(*schemes)
 
 
+def remainders(text: Column, edits: int) -> Column:
+    """What is left of a short text after up to `edits` deletions; texts within reach of each other have one in common."""
+    left = F.array(text)
+    for _ in range(edits):
+        # A deletion past the end leaves the text as it is.
+        less = lambda x: F.transform(F.sequence(F.lit(1), F.length(x) + 1), lambda i: F.concat(F.substr(x, F.lit(1), i - 1), F.substr(x, i + 1)))
+        left = F.array_distinct(F.flatten(F.transform(left, less)))
+    return left
+
+
+def begin_alike(a: Column, b: Column) -> Column:
+    """How many characters two texts begin with in common."""
+    chars = lambda s: F.regexp_extract_all(s, F.lit("(?s)."), F.lit(0))
+    other = F.array_position(F.zip_with(chars(a), chars(b), lambda x, y: ~x.eqNullSafe(y)), True)
+    return F.when(other == 0, F.length(a)).otherwise(other - 1).cast("int")
+
+
 def edit_distance_within(a: Column, b: Column, edits: int) -> Column:
     """Whether two lines, whose lengths differ by at most `edits`, are within so many edits; b runs past a.
 
@@ -199,17 +227,32 @@ def _first_met(keys: DataFrame) -> DataFrame:
     return met.where("x.at < at").select("h", F.col("x.h").alias("h2")).distinct()
 
 
+def _windows(members: DataFrame, edits: int) -> DataFrame:
+    """(sig, head, tail) of the signatures in members (sig, size, line) whose lines, but for so many characters at both ends that are the
+    same in all, are at most WIDEST long and have fewer remainders than lines share the signature."""
+    back = F.reverse("line")
+    ends = members.groupBy("sig", "size").agg(
+        F.min("line").alias("a"), F.max("line").alias("b"), F.min(back).alias("c"), F.max(back).alias("d"),
+        F.min(F.length("line")).alias("least"), F.max(F.length("line")).alias("most"),
+    )
+    # What the first and the last of sorted texts begin with, all between them do.
+    ends = ends.withColumn("head", begin_alike(F.col("a"), F.col("b")))
+    ends = ends.withColumn("tail", F.least(begin_alike(F.col("c"), F.col("d")), F.col("least") - F.col("head")))
+    counts = F.array(*[F.lit(sum(math.comb(w, k) for k in range(edits + 1))) for w in range(WIDEST + 1)])
+    return ends.where(F.col("size") > F.get(counts, F.col("most") - F.col("head") - F.col("tail"))).select("sig", "head", "tail")
+
+
 def _met(keys: DataFrame, settled: DataFrame, edits: int) -> DataFrame:
     """Pairs (h, h2) that meet in a key, with letters that agree, and of which the later one is not settled."""
     rows = keys.join(settled.select("h").distinct().withColumn("done", F.lit(True)), "h", "left").withColumn("done", F.col("done").isNotNull())
     index = rows.where("own").select("key", *[F.col(c).alias(f"{c}2") for c in ("h", "at", "n", "counts", "done")])
     # Of two lines of one length either may probe the other, so one does.
     meet = (F.col("h") != F.col("h2")) & (~F.col("own") | (F.col("h") < F.col("h2"))) & ~F.when(F.col("at") > F.col("at2"), F.col("done")).otherwise(F.col("done2"))
-    meet = meet & letters_agree(F.col("counts"), F.col("counts2"), F.abs(F.col("n") - F.col("n2")), edits)
+    meet = meet & letters_agree(F.col("counts"), F.col("counts2"), F.abs(F.col("n") - F.col("n2")), edits, LETTERS + DIGITS)
     return rows.join(index, (rows["key"] == index["key"]) & meet).select("h", "h2").distinct()
 
 
-def removed(docs: DataFrame, folder: str, edits: int = EDITS, least: int = LEAST, crowd: int = CROWD) -> DataFrame:
+def removed(docs: DataFrame, folder: str, edits: int = EDITS, least: int = LEAST, crowd: int = CROWD, large: int = LARGE) -> DataFrame:
     """(d, t, ps): the places of the lines that go, by document."""
     lines = _lines(docs)
     at = F.struct("d", "t", "p")
@@ -221,7 +264,8 @@ def removed(docs: DataFrame, folder: str, edits: int = EDITS, least: int = LEAST
     # From here one half of a line's hash names it; should two lines share it, both are looked at.
     rows = distinct.where(F.col("sigs").isNotNull()).select("h", F.posexplode("sigs").alias("k", "sig")).where(F.col("sig").isNotNull())
     own = F.col("k").isin(indexed(edits))
-    crowded = common.stored(rows.where(own).groupBy("sig").count().where(F.col("count") > crowd).select("sig"), folder, "crowded")
+    sizes = rows.where(own).groupBy("sig").agg(F.count("*").alias("size"))
+    crowded = common.stored(sizes.where(F.col("size") > crowd), folder, "crowded")
     index = rows.where(own).join(crowded, "sig", "left_anti").select(F.col("sig").alias("sig2"), F.col("h").alias("h2"))
     probes = rows.select("h", "sig", F.col("k").isin(same_length(edits)).alias("same"))
     # Of two lines of one length either may probe the other, so one does.
@@ -238,11 +282,21 @@ def removed(docs: DataFrame, folder: str, edits: int = EDITS, least: int = LEAST
     known = _order(docs).join(wanted, ["d", "t"]).select("h", "g", at.alias("at"), found.alias("found")).select("h", "g", "at", "found.*")
     known = common.stored(known.distinct(), folder, "texts")
 
-    keyed = many.join(known.select("h", "at", F.length("line").alias("n"), "counts"), "h")
+    counts = F.concat("counts", letter_counts(F.col("line"), DIGITS))
+    held = known.join(many.select("h").distinct(), "h", "left_semi").select("h", "at", "line", F.length("line").alias("n"), counts.alias("counts"))
+    held = common.stored(held, folder, "held")
+    windows = _windows(many.join(crowded.where(F.col("size") > large), "sig").join(held.select("h", "line"), "h"), edits)
+    windows = common.stored(windows, folder, "windows")
+    wide = many.join(windows, "sig", "left_anti").join(held.drop("line"), "h")
     # A line is indexed for all differences in length, and probes for the one of its signature.
-    hashes = F.when(F.col("own"), F.flatten(letter_keys(F.col("counts"), edits))).otherwise(F.get(letter_keys(F.col("counts"), edits), F.col("less")))
-    keyed = keyed.select("h", "at", "n", "counts", "own", "sig", F.explode(hashes).alias("key"))
-    keyed = common.stored(keyed.withColumn("key", F.xxhash64("sig", "key")).drop("sig").distinct(), folder, "keys")
+    groups = letter_keys(F.col("counts"), edits, LETTERS + DIGITS)
+    hashes = F.when(F.col("own"), F.flatten(groups)).otherwise(F.get(groups, F.col("less")))
+    wide = wide.select("h", "at", "n", "counts", "own", "sig", F.explode(hashes).alias("key"))
+    narrow = many.join(windows, "sig").join(held, "h")
+    middle = F.substr("line", F.col("head") + 1, F.col("n") - F.col("head") - F.col("tail"))
+    narrow = narrow.select("h", "at", "n", "counts", "own", "sig", F.explode(remainders(middle, edits)).alias("left"))
+    keyed = wide.withColumn("key", F.xxhash64("sig", "key")).unionByName(narrow.withColumn("key", F.xxhash64("sig", "left")).drop("left"))
+    keyed = common.stored(keyed.drop("sig").distinct(), folder, "keys")
     near = _near(pairs.union(_first_met(keyed)).distinct(), known, folder, "near", edits)
     near = near.union(_near(_met(keyed, near, edits), known, folder, "near-again", edits)).distinct()
     # Of a line within reach of an earlier one every occurrence goes; of others all but the first.

@@ -172,9 +172,9 @@ def test_edit_distance_and_segments(spark, edits):
         assert not near or set(keys_a[abs(len(a) - len(b))]) & set(keys_b[abs(len(a) - len(b))]), (a, b)
 
 
-@pytest.mark.parametrize("crowd", [16, 1])
-def test_line_dedup_of_a_crowd(spark, crowd):
-    """Near copies of one line by degrees, and lines that a number sets apart: crowded signatures lose no pair."""
+@pytest.mark.parametrize(("crowd", "large"), [(16, lines.LARGE), (1, lines.LARGE), (1, 1), (8, 8)])
+def test_line_dedup_of_a_crowd(spark, crowd, large):
+    """Near copies of one line by degrees, and lines that a number of some or of any length sets apart: crowded signatures lose no pair."""
     rng = random.Random(3)
     words = sentence(rng, 14).split()
     rows = []
@@ -185,12 +185,41 @@ def test_line_dedup_of_a_crowd(spark, crowd):
             changed[i] = rng.choice([sentence(rng, 1), changed[i] + rng.choice("xyz"), changed[i][1:]])
         rows.append((k, " ".join(changed)))
     rows += [(1000 + k, f"entry number {k * 7 % 90:05d} of the list that goes on and on") for k in range(90)]
+    rows += [(2000 + k, f"your order {rng.randrange(10 ** rng.randint(3, 6))} é has been sent to you today, thanks") for k in range(120)]
     rng.shuffle(rows)
-    found = lines.removed(make(spark, rows), common.work_folder(spark), crowd=crowd)
+    found = lines.removed(make(spark, rows), common.work_folder(spark), crowd=crowd, large=large)
     wanted = [d for d, n, _ in brute.line_dedup(rows) if n]
     assert sorted(r.d for r in found.collect()) == sorted(wanted)
 
 
+def test_lines_that_differ_in_a_number(spark):
+    """Of 10000 lines that differ in eight digits few pairs are verified, and all that are within reach are found."""
+    rng = random.Random(8)
+    numbers = [f"{x:08d}" for x in rng.sample(range(10**8), 10_000)]
+    rows = [(k, f"Your order number {x} has been shipped and will arrive within three days.") for k, x in enumerate(numbers)]
+    folder = common.work_folder(spark)
+    found = sorted(r.d for r in lines.removed(make(spark, rows), folder).collect())
+    # Of one length, within two edits: all but two places agree, or one digit is left out of each.
+    seen, wanted = set(), []
+    for k, x in enumerate(numbers):
+        ways = {(i, j, x[:i] + x[i + 1 : j] + x[j + 1 :]) for j in range(8) for i in range(j)} | {x[:i] + x[i + 1 :] for i in range(8)}
+        if ways & seen:
+            wanted.append(k)
+        seen |= ways
+    assert found == wanted and len(wanted) > 500
+    assert sum(spark.read.parquet(f"{folder}/{name}").count() for name in ("near-likely", "near-again-likely")) < 10 * len(rows)
+
+
+@pytest.mark.parametrize("edits", [1, 2, 3])
+def test_remainders_and_beginnings(spark, edits):
+    rng = random.Random(edits)
+    texts = [["".join(rng.choices("ab1é😀", k=rng.randint(0, 6))) for _ in "ab"] for _ in range(500)]
+    df = spark.createDataFrame(texts, "a string, b string")
+    for a, b, left_a, left_b, same in df.select("a", "b", *[lines.remainders(F.col(x), edits) for x in "ab"], lines.begin_alike(F.col("a"), F.col("b"))).collect():
+        assert brute.edit_distance(a, b) > edits or set(left_a) & set(left_b), (a, b)
+        assert a[:same] == b[:same] and (same == min(len(a), len(b)) or a[same] != b[same]), (a, b)
+
+
 def test_line_dedup_of_one_long_text(spark):
     """A text of very many lines, most of which go."""
     rows = [(0, "\n".join(f"line {k % 700} of one long text" for k in range(60_000)))]
