@@ -66,17 +66,29 @@ def with_ids(rows: DataFrame, table: DataFrame, *order: str) -> DataFrame:
 CHILDREN = 1 << 24
 
 
+#: Documents whose rows' ids fit into a long.
+DOCUMENTS = 1 << 39
+
+
 def child_id(document_id: str, number: str) -> Column:
-    """An id of a document's row by its number: total over a table without counting it, and the same when a job is run again."""
-    return F.col(document_id) * CHILDREN + F.col(number).cast("long")
+    """An id of a document's row by its number: total over a table without counting it, and the same when a job is run again.
+
+    Ids are told apart for documents from -DOCUMENTS to DOCUMENTS - 1 (with_ids counts from 1) and numbers from 0 to CHILDREN - 1;
+    others raise an error, as their ids would overflow or run into those of the next document. Null gives null.
+    """
+    document, nth = F.col(document_id).cast("long"), F.col(number).cast("long")
+    outside = (document < -DOCUMENTS) | (document >= DOCUMENTS) | (nth < 0) | (nth >= CHILDREN)
+    told = F.concat(F.lit("no id for row "), nth.cast("string"), F.lit(" of document "), document.cast("string"))
+    return F.when(outside, F.raise_error(told).cast("long")).otherwise(document * CHILDREN + nth)
 
 
 def figure_ids(rows: DataFrame, table: DataFrame) -> DataFrame:
-    """rows(document_id, figure_label, position) with ids after the largest that their document has in the table."""
+    """rows(document_id, figure_label, position) with ids after the largest that their document has in the table; errors as in child_id."""
     base = table.groupBy("document_id").agg(F.max("id").alias("_base"))
     nth = F.row_number().over(Window.partitionBy("document_id").orderBy("position", "figure_label"))
-    least = F.col("document_id") * CHILDREN
-    return rows.withColumn("_n", nth).join(base, "document_id", "left").withColumn("id", F.greatest(F.coalesce("_base", least), least) + F.col("_n")).drop("_base", "_n")
+    used = F.coalesce(F.col("_base") - F.col("document_id") * CHILDREN, F.lit(0))
+    counted = rows.withColumn("_n", nth).join(base, "document_id", "left").withColumn("_n", F.greatest(used, F.lit(0)) + F.col("_n"))
+    return counted.withColumn("id", child_id("document_id", "_n")).drop("_base", "_n")
 
 
 def upsert_documents(table: DataFrame, rows: DataFrame, now: datetime) -> DataFrame:

@@ -98,6 +98,19 @@ def test_figures_keep_their_ids_and_get_new_ones(spark):
     assert sorted(r.id for r in store.figure_ids(rows, table).collect()) == [1 << 24 | 6, 1 << 24 | 7, 2 << 24 | 1]
 
 
+def test_ids_of_rows_are_told_apart_or_refused(spark):
+    make = lambda *rows: spark.createDataFrame(rows, "d long, n int").select(store.child_id("d", "n").alias("id"))
+    most = (1 << 39) - 1
+    assert [r.id for r in make((1, 0), (most, (1 << 24) - 1), (-(1 << 39), 0), (None, 1), (1, None)).collect()] == [1 << 24, (1 << 63) - 1, -(1 << 63), None, None]
+    for row in ((1 << 39, 0), (-(1 << 39) - 1, 0), (1, 1 << 24), (1, -1)):
+        with pytest.raises(Exception, match="no id for row"):
+            make(row).collect()
+    table = spark.createDataFrame([((2 << 24) - 1, 1, "FIGURE 1")], "id long, document_id long, figure_label string")
+    rows = spark.createDataFrame([(1, "FIGURE 2", 1)], "document_id long, figure_label string, position int")
+    with pytest.raises(Exception, match="no id for row"):
+        store.figure_ids(rows, table).collect()
+
+
 def test_image_names(spark):
     one = spark.createDataFrame([(3, 7, "FIGURE 9-2", " c ")], "document_id long, page_number int, figure_label string, caption string")
     names = one.select(labels.page_image_name(F.col("document_id"), F.col("page_number")), labels.figure_file_name(F.col("document_id"), F.col("page_number"), F.lit("—"))).first()
