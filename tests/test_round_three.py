@@ -6,6 +6,8 @@ from pyspark.sql import functions as F
 from ragmill.functions import vectors
 from ragmill.plans import registry
 
+FOLDER = "/root/testdata/sf0.001"
+
 
 def test_embedded_once_trims_as_its_sql_does(spark, tmp_path):
     texts = [" five\n", "five v", "fi", "  v \tv", None, "", "a\u00a0", "a"]
@@ -22,3 +24,29 @@ def test_vector_text_rounds_ties_to_even(spark):
     made = spark.createDataFrame([(values,), ([None, 1.0],)], "v array<float>").select(vectors.vector_text(F.col("v"), 6)).collect()
     assert made[0][0] == "[" + ",".join("%.6f" % x for x in spark.createDataFrame([(values,)], "v array<float>").first()[0]) + "]"
     assert made[1][0] == "[1.000000]"
+
+
+def moved(spark, name):
+    """Bytes that a query shuffles over those of its texts."""
+    store = spark.sparkContext._jsc.sc().statusStore()
+    written = lambda: store.executorList(True).apply(0).totalShuffleWrite()
+    before = written()
+    registry.QUERIES[name](spark, FOLDER).write.format("noop").mode("overwrite").save()
+    return (written() - before) / spark.read.parquet(f"{FOLDER}/documents.parquet").agg(F.sum(F.octet_length("text"))).first()[0]
+
+
+def test_words_do_not_move_to_meet_their_pages(spark):
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        plan = registry.crop_margins(spark, FOLDER)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert "REPARTITION_BY_NUM" in plan and "ENSURE_REQUIREMENTS" not in plan
+
+
+def test_figures_move_less_than_twice_the_texts(spark):
+    assert moved(spark, "extract_figures") < 2
+
+
+def test_figures_of_an_upload_move_less_than_twice_the_texts(spark):
+    assert moved(spark, "ingest_figures") < 2
