@@ -2,7 +2,7 @@
 
 A page: external_id, page_number, width, height, rotation, and lists words (text and box), rects, images (boxes), lines
 (box, y0, y1), curves (pts), annotations (subtype, rect, quadpoints) and tables (rows of cells). Any of them may be
-missing. Spark reads the dumps, from any store it knows, in parts by file and offset; each reader below names only the
+missing. Spark reads the dumps, from any store it knows, in parts by file and offset, compressed ones by file; each reader below names only the
 fields that it gives, so the others are skipped by the parser, and page ranges are filtered as lines are read.
 
 Defined cases: a line that is no JSON object, or has no external_id or page_number, is no page (broken() gives such lines, blank ones aside);
@@ -96,7 +96,12 @@ class Dumps:
         return words.withColumnRenamed("document_id", "external_id")
 
     def texts(self) -> DataFrame:
-        """(external_id, page_number, text): the lines of readable words from the top, each on its own."""
+        """(external_id, page_number, text): the lines of readable words from the top, each on its own.
+
+        Where each page is one object, as a look at their keys shows, its text is made from that object alone; else words meet by page.
+        """
+        if not self._read().groupBy(*KEY).count().where("count > 1").limit(1).count():
+            return layout.page_texts(self._read("width", "height", "words", "annotations"), KEY)
         lines = layout.lines_by(self.readable_words(), KEY)
         joined: Column = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("line", "text"))), lambda x: x["text"]), "\n")
         return lines.groupBy(*KEY).agg(joined.alias("text"))
@@ -109,5 +114,5 @@ class Dumps:
 
 
 def written(pages: DataFrame, folder: str) -> None:
-    """Writes pages(external_id, page_number, and any of FIELDS) as dumps."""
-    pages.select(*[c for c in pages.columns if c in FIELDS or c in KEY]).write.json(folder)
+    """Writes pages(external_id, page_number, and any of FIELDS) as dumps, compressed: a file for each part of pages, which is read by one task."""
+    pages.select(*[c for c in pages.columns if c in FIELDS or c in KEY]).write.option("compression", "gzip").json(folder)
