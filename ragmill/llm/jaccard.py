@@ -22,8 +22,10 @@ empty table; extra columns are ignored.
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -41,6 +43,8 @@ MOST_FREQUENT = 1 << 20
 #: Tokens of one group of the counting and pairing steps, about.
 PART_TOKENS = 1_000_000
 CHUNK_TOKENS = 1_500_000
+#: Pairs that a task compares or holds at once where components meet, about.
+BLOCK = 1 << 20
 _LAST = np.uint64(2**64 - 1)
 
 
@@ -55,7 +59,9 @@ def head_size(n: int, percent: int) -> int:
     return min(n, m + 1 + m // 8 + 12)
 
 
-def _sets(docs: DataFrame) -> DataFrame:
+def _sets(docs: DataFrame, percent: int) -> DataFrame:
+    """(doc_id, n, sid, tokens) of every row: size, digest and head of its set."""
+
     def of(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for group in common.groups(batches):
             sets = common.shingle_sets(group.column(1).to_pylist())
@@ -64,28 +70,27 @@ def _sets(docs: DataFrame) -> DataFrame:
                     group.column(0),
                     pa.array([len(s) for s in sets], pa.int64()),
                     pa.array([xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None for s in sets], pa.binary()),
+                    pa.array([s[: head_size(len(s), percent)].tobytes() for s in sets], pa.binary()),
                 ],
-                names=["doc_id", "n", "sid"],
+                names=["doc_id", "n", "sid", "tokens"],
             )
 
-    return docs.select("doc_id", "text").mapInArrow(of, "doc_id long, n long, sid binary")
+    return docs.select("doc_id", "text").mapInArrow(of, "doc_id long, n long, sid binary, tokens binary")
 
 
-def _tokens(docs: DataFrame, percent: int | None, only: Bitmap | None = None) -> DataFrame:
-    """(id, n, tokens) of each document with words: its whole set, or with percent its head; only: ids to keep, roughly."""
+def _tokens(docs: DataFrame, only: Bitmap) -> DataFrame:
+    """(id, n, tokens): the whole sets of documents with words and an id in only, roughly."""
     shared = docs.sparkSession.sparkContext.broadcast(only)
 
     def of(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        chosen = shared.value
         for batch in batches:
             batch = batch.filter(batch.column(0).is_valid())
-            if chosen is not None and batch.num_rows:
-                batch = batch.filter(pa.array(chosen.has(batch.column(0).to_numpy().view(np.uint64))))
+            if batch.num_rows:
+                batch = batch.filter(pa.array(shared.value.has(batch.column(0).to_numpy().view(np.uint64))))
             for group in common.groups([batch] if batch.num_rows else []):
                 sets = common.shingle_sets(group.column(1).to_pylist())
-                heads = [s if percent is None else s[: head_size(len(s), percent)] for s in sets]
                 table = pa.RecordBatch.from_arrays(
-                    [group.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array([h.tobytes() for h in heads], pa.binary())],
+                    [group.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())],
                     names=["id", "n", "tokens"],
                 )
                 yield table.filter(pa.array([len(s) > 0 for s in sets]))
@@ -93,6 +98,28 @@ def _tokens(docs: DataFrame, percent: int | None, only: Bitmap | None = None) ->
     return docs.select("doc_id", "text").mapInArrow(of, "id long, n long, tokens binary")
 
 
+@dataclass(frozen=True)
+class Flat:
+    """Sets one after the other."""
+
+    ids: np.ndarray
+    n: np.ndarray
+    tokens: np.ndarray
+    lengths: np.ndarray
+
+    @cached_property
+    def bounds(self) -> np.ndarray:
+        return np.concatenate([[0], np.cumsum(self.lengths)])
+
+    def each(self, values: np.ndarray) -> np.ndarray:
+        """A value of each set for each of its tokens."""
+        return np.repeat(values, self.lengths)
+
+    def prefix(self, percent: int) -> np.ndarray:
+        """Whether each token is in the plain prefix of its set."""
+        return np.arange(len(self.tokens)) - self.each(self.bounds[:-1]) <= self.each(may_lack(self.n, percent))
+
+
 @dataclass(frozen=True)
 class Rule:
     """How signatures are made; the same for all documents."""
@@ -100,12 +127,21 @@ class Rule:
     percent: int
     frequent: np.ndarray  # sorted
 
+    @cached_property
+    def marks(self) -> np.ndarray:
+        """By a token's low bits whether it may be frequent, so that few tokens are looked up."""
+        out = np.zeros(1 << max(12, (8 * len(self.frequent)).bit_length()), bool)
+        out[self.frequent & np.uint64(len(out) - 1)] = True
+        return out
+
     def rare(self, tokens: np.ndarray) -> np.ndarray:
-        if not len(self.frequent):
-            return np.ones(len(tokens), bool)
-        at = np.searchsorted(self.frequent, tokens)
-        at[at == len(self.frequent)] = 0
-        return self.frequent[at] != tokens
+        out = np.ones(len(tokens), bool)
+        if len(self.frequent):
+            likely = np.flatnonzero(self.marks[tokens & np.uint64(len(self.marks) - 1)])
+            at = np.searchsorted(self.frequent, tokens[likely])
+            at[at == len(self.frequent)] = 0
+            out[likely] = self.frequent[at] != tokens[likely]
+        return out
 
     def singles(self, tokens: np.ndarray, n: int) -> tuple[np.ndarray, bool]:
         """The first m + 1 rare tokens; whether there were so many."""
@@ -113,6 +149,15 @@ class Rule:
         found = tokens[self.rare(tokens)][:need]
         return found, len(found) == need
 
+    def all_singles(self, some: Flat) -> tuple[np.ndarray, np.ndarray]:
+        """singles() of many sets: whether each token is among them; whether each set has so many."""
+        is_rare = self.rare(some.tokens)
+        upto = np.concatenate([[0], np.cumsum(is_rare)])
+        need = may_lack(some.n, self.percent) + 1
+        before = upto[some.bounds[:-1]]
+        own = is_rare & (upto[1:] - some.each(before) <= some.each(need))
+        return own, upto[some.bounds[1:]] - before >= need
+
     def combinations(self, tokens: np.ndarray, n: int) -> np.ndarray:
         """Hashes of pairs of frequent tokens of one class, for a whole set with too few rare tokens.
 
@@ -127,29 +172,36 @@ class Rule:
             classes = max(1, 1 << max(0, level - 4))
             held = frequent[: max(0, may_lack(n, self.percent) + classes + 1 - len(rare))]
             of = common.mix(held) % np.uint64(classes)
-            for c in np.unique(of):
-                x = held[of == c]
-                a, b = np.triu_indices(len(x), 1)
-                out.append(common.mix(common.mix(x[a] + np.uint64(level)) ^ x[b]))
+            order = np.argsort(of, kind="stable")
+            x, of, mixed = held[order], of[order], common.mix(held[order] + np.uint64(level))
+            for apart in range(1, len(x)):  # pairs that stand so far apart within a class
+                same = of[apart:] == of[:-apart]
+                if not same.any():
+                    break
+                out.append(common.mix(mixed[:-apart][same] ^ x[apart:][same]))
             if len(rare) + len(frequent) == 1 or len(tokens) <= classes + may_lack(n, self.percent):
                 # Too small a set for a pair to be sure: its frequent tokens one by one.
                 out.append(common.mix(held + np.uint64(level) * common.LANES[0]))
         return np.unique(np.concatenate(out)) if out else np.empty(0, np.uint64)
 
 
-def _chunks(batches: Iterable[pa.RecordBatch]) -> Iterator[list[tuple[int, int, np.ndarray]]]:
-    """Lists of (id, n, tokens) with about CHUNK_TOKENS tokens."""
-    held: list[tuple[int, int, np.ndarray]] = []
+def _flats(batches: Iterable[pa.RecordBatch]) -> Iterator[Flat]:
+    """Sets of batches (id, n, tokens, ...) with about CHUNK_TOKENS tokens at a time."""
+    held: list[tuple[np.ndarray, ...]] = []
     size = 0
     for batch in batches:
-        for i, n, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
-            held.append((i, n, np.frombuffer(t.as_buffer(), np.uint64)))
-            size += len(held[-1][2])
-            if size >= CHUNK_TOKENS:
-                yield held
-                held, size = [], 0
+        if not batch.num_rows:
+            continue
+        tokens = batch.column(2).cast(pa.large_binary())
+        ends = np.frombuffer(tokens.buffers()[1], np.int64, len(tokens) + 1, tokens.offset * 8)
+        flat = np.frombuffer(tokens.buffers()[2] or b"", np.uint8)[ends[0] : ends[-1]].view(np.uint64)
+        held.append((batch.column(0).to_numpy(), batch.column(1).to_numpy(), flat, np.diff(ends) // 8))
+        size += len(flat)
+        if size >= CHUNK_TOKENS:
+            yield Flat(*map(np.concatenate, zip(*held, strict=True)))
+            held, size = [], 0
     if held:
-        yield held
+        yield Flat(*map(np.concatenate, zip(*held, strict=True)))
 
 
 _COUNTS = "part int, tokens binary, counts binary"
@@ -161,16 +213,12 @@ def _count(heads: DataFrame, rule: Rule, parts: int, beyond: bool) -> DataFrame:
 
     def dealt(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rule = shared.value
-        for chunk in _chunks(batches):
-            found = []
-            for _, n, tokens in chunk:
-                if beyond:
-                    own, full = rule.singles(tokens, n)
-                    if full or len(tokens) == n:
-                        found.append(own[own > tokens[may_lack(n, rule.percent)]])
-                else:
-                    found.append(tokens[: may_lack(n, rule.percent) + 1])
-            tokens, counts = np.unique(np.concatenate([np.empty(0, np.uint64), *found]), return_counts=True)
+        for some in _flats(batches):
+            chosen = some.prefix(rule.percent)
+            if beyond:
+                own, full = rule.all_singles(some)
+                chosen = own & ~chosen & some.each(full | (some.lengths == some.n))
+            tokens, counts = np.unique(some.tokens[chosen], return_counts=True)
             part = (tokens % np.uint64(parts)).astype(np.int32)
             order = np.argsort(part, kind="stable")
             tokens, counts, part = tokens[order], counts[order].astype(np.uint32), part[order]
@@ -210,17 +258,11 @@ def _pairs(heads: DataFrame, rule: Rule, repeated: Bitmap, parts: int, most: int
 
     def dealt(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rule, repeated = shared.value
-        for chunk in _chunks(batches):
-            tokens, ids, sizes = [], [], []
-            for i, n, whole in chunk:
-                own, full = rule.singles(whole, n)
-                if not full and len(whole) < n:
-                    continue  # it comes as a whole set too
-                own = own[repeated.has(own)]
-                tokens.append(own)
-                ids.append(np.full(len(own), i, np.int64))
-                sizes.append(np.full(len(own), n if full else -n, np.int64))
-            token, doc, size = np.concatenate([np.empty(0, np.uint64), *tokens]), np.concatenate([np.empty(0, np.int64), *ids]), np.concatenate([np.empty(0, np.int64), *sizes])
+        for some in _flats(batches):
+            own, full = rule.all_singles(some)
+            own = np.flatnonzero(own & some.each(full | (some.lengths == some.n)))  # others come as whole sets too
+            own = own[repeated.has(some.tokens[own])]
+            token, doc, size = some.tokens[own], some.each(some.ids)[own], some.each(np.where(full, some.n, -some.n))[own]
             part = (token % np.uint64(parts)).astype(np.int32)
             order = np.argsort(part, kind="stable")
             token, doc, size, part = token[order], doc[order], size[order], part[order]
@@ -338,7 +380,7 @@ def _members(pairs: DataFrame) -> DataFrame:
 def near_duplicates(docs: DataFrame, percent: int = common.SIMILAR) -> DataFrame:
     """doc_id, n_shingles, component_id of every row of docs: whole components of links with Jaccard >= percent / 100."""
     folder = common.work_folder(docs.sparkSession)
-    sets = common.stored(_sets(docs), folder, "sets")
+    sets = common.stored(_sets(docs, percent), folder, "sets")
     nodes = common.stored(
         sets.where("sid IS NOT NULL AND doc_id IS NOT NULL").groupBy("sid").agg(F.min("doc_id").alias("node"), F.max("n").alias("n")), folder, "nodes"
     )
@@ -363,7 +405,8 @@ def _labels(docs: DataFrame, sets: DataFrame, nodes: DataFrame, folder: str, per
     ids = nodes.select(F.col("node").alias("id")).distinct()
     copies = sets.join(nodes.select("sid", "node"), "sid").where("doc_id <> node").select(F.col("doc_id").alias("id"))
     copies = common.stored(copies.distinct().join(ids, "id", "left_anti"), folder, "spare")
-    every = common.stored(_marked(_tokens(docs, percent), bitmap(copies, "id")), folder, "every")
+    every = sets.where("sid IS NOT NULL AND doc_id IS NOT NULL").select(F.col("doc_id").alias("id"), "n", "tokens")
+    every = common.stored(_marked(every, bitmap(copies, "id")), folder, "every")
     doubtful = common.stored(every.where("doubtful").drop("doubtful").join(copies, "id", "left_anti"), folder, "doubtful")
     heads = every.where("NOT doubtful").drop("doubtful").unionByName(doubtful)
     common.release(spark)
@@ -382,26 +425,33 @@ def _labels(docs: DataFrame, sets: DataFrame, nodes: DataFrame, folder: str, per
     whole = None
     step = 0
     while True:
-        # Whatever changes the rule, prefixes grow by it: sets whose head is too short for it come whole, and
-        # what prefixes take in beyond their frequent tokens is counted again, as it may be frequent itself.
+        # Whatever changes the rule, prefixes grow by it: what they take in beyond their frequent tokens is counted
+        # again, as it may be frequent itself. That goes over the sets that the rule has touched so far; once the rule
+        # stands, all are looked through for others that it touches, and sets whose head is too short for it come whole.
         step += 1
         rule = Rule(percent, frequent)
-        short = _short(heads, rule)
+        touched = common.stored(_touched(heads, rule), folder, f"touched-{step}")
+        short = touched.where("short").select("id")
         short = common.stored(short if whole is None else short.join(whole.select("id"), "id", "left_anti"), folder, f"short-{step}")
-        grown = short.limit(1).count() > 0
-        if grown:
+        if short.limit(1).count():
             near = bitmap(short, "id")
-            fresh = _tokens(docs, None, near).join(short, "id", "left_semi")
+            fresh = _tokens(docs, near).join(short, "id", "left_semi")
             fresh = common.stored(fresh, folder, f"whole-{step}")
             whole = fresh if whole is None else whole.unionByName(fresh)
-        signed = heads if whole is None else heads.unionByName(whole)
-        more = common.stored(_count(signed, rule, max(1, parts // 8), True), folder, f"more-{step}")
-        added = _longs(more.where(F.col("n") > limit), "token")
-        if len(added) > max(8, len(frequent) // 50):
+        changed = touched.drop("short") if whole is None else touched.drop("short").unionByName(whole)
+        settled = True
+        for turn in itertools.count(1):
+            more = common.stored(_count(changed, rule, max(1, parts // 8), True), folder, f"more-{step}-{turn}")
+            added = _longs(more.where(F.col("n") > limit), "token")
+            if len(added) <= max(8, len(frequent) // 50):
+                break
             frequent = np.union1d(frequent, added)
+            rule, settled = Rule(percent, frequent), False
+        if not settled:
             continue
         # The rest is small; what still crowds a token is caught when pairs are made.
         repeated = bitmap(counts.select("token").unionByName(more.select("token")), "token")
+        signed = heads if whole is None else heads.unionByName(whole)
         raw = common.stored(_pairs(signed, rule, repeated, pair_parts, 4 * limit), folder, "raw")
         over = _longs(raw.where("c = 0"), "a")
         if not len(over):
@@ -419,17 +469,18 @@ def _labels(docs: DataFrame, sets: DataFrame, nodes: DataFrame, folder: str, per
         .select("a", "b")
     )
     # Documents with too few rare tokens: few next to all, as their signatures are many.
-    crowded = common.stored(_crowded(signed, rule), folder, "crowded")
+    crowded = common.stored(_crowded(changed, rule), folder, "crowded")
     combo_parts = max(1, -(-(crowded.agg(F.sum(F.col("n") * 2)).first()[0] or 0) // PART_TOKENS))
     alone = crowded.select("id", "n", "tokens", F.col("id").alias("component"))
     candidates = candidates.unionByName(_combination_pairs(alone, rule, combo_parts, True)).distinct()
     candidates = common.stored(candidates, folder, "candidates")
-    candidates = common.stored(_possible(candidates, heads, percent).distinct(), folder, "possible")
+    paired = common.stored(_filtered(heads, bitmap(_members(candidates), "id")), folder, "paired")
+    candidates = common.stored(_possible(candidates, paired, percent).distinct(), folder, "possible")
     common.release(spark)
 
     members = common.stored(_members(candidates).union(crowded.select("id")).distinct(), folder, "verified-ids")
     chosen = bitmap(members, "id")
-    verifiable = _tokens(docs, None, chosen)
+    verifiable = _tokens(docs, chosen)
     # The filter lets few others through; once it is too small for its members, they are joined as well.
     verifiable = common.stored(verifiable.join(members, "id", "left_semi") if chosen.full else verifiable, folder, "verifiable")
 
@@ -459,15 +510,21 @@ def _across(pairs: DataFrame, labels: DataFrame) -> DataFrame:
     return joined.where(F.coalesce("x", "a") != F.coalesce("y", "b")).select("a", "b")
 
 
-def _short(heads: DataFrame, rule: Rule) -> DataFrame:
-    """Ids of documents of which more than the head is needed: it holds too few rare tokens."""
+def _touched(heads: DataFrame, rule: Rule) -> DataFrame:
+    """The sets with a frequent token in their plain prefix, whose signatures alone the rule changes; short: whether more than
+    the head is needed, as it holds too few rare tokens."""
     shared = heads.sparkSession.sparkContext.broadcast(rule)
 
     def of(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for chunk in _chunks(batches):
-            yield _table([(i,) for i, n, tokens in chunk if len(tokens) < n and not shared.value.singles(tokens, n)[1]], [("id", pa.int64())])
+        rule = shared.value
+        for batch in batches:
+            for some in _flats([batch]):
+                plain = ~rule.rare(some.tokens) & some.prefix(rule.percent)
+                changed = np.diff(np.concatenate([[0], np.cumsum(plain)])[some.bounds]) > 0
+                short = pa.array(~rule.all_singles(some)[1] & (some.lengths < some.n))
+                yield pa.RecordBatch.from_arrays([*batch.columns, short], names=[*batch.schema.names, "short"]).filter(pa.array(changed))
 
-    return heads.mapInArrow(of, "id long")
+    return heads.mapInArrow(of, "id long, n long, tokens binary, short boolean")
 
 
 def _runs(sorted_keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -476,6 +533,12 @@ def _runs(sorted_keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return starts, np.diff(np.r_[starts, len(sorted_keys)])
 
 
+def _distinct(pairs: np.ndarray) -> np.ndarray:
+    """The distinct columns of an array of two rows."""
+    pairs = pairs[:, np.lexsort(pairs[::-1])]
+    return pairs[:, np.r_[True, (pairs[:, 1:] != pairs[:, :-1]).any(axis=0)]] if pairs.shape[1] else pairs
+
+
 def _crowded(signed: DataFrame, rule: Rule) -> DataFrame:
     """Whole sets (id, n, tokens) with too few rare tokens for a prefix of single ones."""
     shared = signed.sparkSession.sparkContext.broadcast(rule)
@@ -543,17 +606,22 @@ def _combination_pairs(crowded: DataFrame, rule: Rule, parts: int, star: bool) -
         elif len(key):
             starts, lengths = _runs(key)
             open_ = np.minimum.reduceat(component, starts) != np.maximum.reduceat(component, starts)
+            size = 0
             for a, length in zip(starts[open_].tolist(), lengths[open_].tolist(), strict=True):
-                b = a + length
-                upto = a + np.searchsorted(n[a:b], most[a:b], "right")
-                for i in range(a, b - 1):
-                    j = slice(i + 1, int(upto[i - a]))
-                    other = doc[j][(component[j] != component[i]) & (most[j] >= n[i])]
-                    if len(other):
-                        found.append(np.array([np.minimum(other, doc[i]), np.maximum(other, doc[i])]))
-                if len(found) > 1000:
-                    found = [np.unique(np.concatenate(found, axis=1), axis=1)]
-        a, b = np.unique(np.concatenate(found, axis=1), axis=1)
+                k = slice(a, a + length)
+                _, of, members = np.unique(component[k], return_inverse=True, return_counts=True)
+                # Whoever is outside the largest component meets all others: nobody else is in two of them.
+                outside = a + np.flatnonzero(of != members.argmax())
+                for at in range(0, len(outside), step := max(1, BLOCK // length)):
+                    i = outside[at : at + step, None]
+                    x, y = np.nonzero((component[i] != component[k]) & (n[k] <= most[i]) & (most[k] >= n[i]))
+                    x, y = doc[i[x, 0]], doc[a + y]
+                    found.append(np.array([np.minimum(x, y), np.maximum(x, y)]))
+                    size += len(x)
+                    if size > BLOCK or len(found) > 1000:
+                        found = [_distinct(np.concatenate(found, axis=1))]
+                        size = 0
+        a, b = _distinct(np.concatenate(found, axis=1))
         return pa.table({"a": pa.array(a), "b": pa.array(b)})
 
     kind = "part int, key binary, id binary, n binary, most binary, component binary"
