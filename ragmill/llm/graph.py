@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import common
@@ -15,29 +16,25 @@ from . import common
 def components(links: DataFrame, folder: str, name: str) -> DataFrame:
     """(id, component) for every id in links (a, b); component is the smallest id reachable.
 
-    Alternates the large-star and small-star steps of Kiveris et al. (2014) until nothing moves. Each step
-    is a grouped minimum (combined before the shuffle) and a join, so no task needs a whole component.
+    Alternates the large-star and small-star steps of Kiveris et al. (2014) until each id is a root or has one
+    neighbour, a root. The large-star step is a grouped minimum (combined before the shuffle) and a join, the small-star
+    step a minimum over one id's smaller neighbours, so no task needs a whole component. The minima that tell whether it
+    is done are those of the next large-star step, and the labels.
     """
-    edges = common.stored(
-        links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct(), folder, f"{name}-0"
-    )
-    before = None
-    step = 0
-    while True:
-        step += 1
+    edges = links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v")
+    for step in itertools.count(1):
         both = edges.union(edges.select("v", "u"))
-        lowest = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.where("v > u").join(lowest, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        lowest = large.groupBy("u").agg(F.min("v").alias("m"))
-        joined = large.join(lowest, "u")
-        small = joined.select(F.col("v").alias("u"), F.col("m").alias("v")).union(joined.select("u", F.col("m").alias("v")))
-        edges = common.stored(small.where("u <> v").distinct(), folder, f"{name}-{step}")
-        now = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if tuple(now) == before:
-            break
-        before = tuple(now)
-    roots = edges.select(F.col("v").alias("id")).distinct().select("id", F.col("id").alias("component"))
-    return common.stored(edges.select(F.col("u").alias("id"), F.col("v").alias("component")).union(roots), folder, f"{name}-labels")
+        below = F.when(F.col("v") < F.col("u"), F.col("v"))
+        ends = both.groupBy("u").agg(F.min("v").alias("low"), F.max(below).alias("below"), F.max("v").alias("high"))
+        ends = ends.select("u", F.least("u", "low").alias("m"), F.expr("low < u AND (below > low OR high > u)").alias("open"))
+        ends = common.stored(ends, folder, f"{name}-ends-{step}")
+        if not ends.where("open").limit(1).count():
+            return ends.select(F.col("u").alias("id"), F.col("m").alias("component"))
+        large = both.where("v > u").join(ends.select("u", "m"), "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        # Each smaller neighbour goes to the least of them, and the id itself does so in place of that one: edges don't become more.
+        small = large.withColumn("m", F.min("v").over(Window.partitionBy("u")))
+        small = small.select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v"))
+        edges = common.stored(small, folder, f"{name}-{step}")
 
 
 #: The primes of XXH64, whose hash of a long Spark's xxhash64 gives with seed 42.
@@ -62,6 +59,8 @@ def xxhash64(values: np.ndarray) -> np.ndarray:
 #: Bits per member of a filter, and the most bits that one may have (32 MB).
 BITS_EACH = 16
 MOST_BITS = 1 << 28
+#: Values of which a filter is made where they come together (1 MB); the words of more are put together before.
+FEW = 1 << 17
 
 
 class Bitmap:
@@ -82,15 +81,23 @@ class Bitmap:
 
 
 def bitmap(values: DataFrame, column: str) -> Bitmap:
-    """Of a column of longs, sized by its rows up to MOST_BITS, which bounds what is sent to and from the driver."""
-    n = values.count()
+    """Of a column of longs, sized by how many differ up to MOST_BITS, which bounds what is sent to and from the driver."""
+    values = values.select(F.col(column).cast("long").alias("x"))
+    rows, n = values.agg(F.count("*"), F.approx_count_distinct("x")).first()
+    n = min(rows, n)
     bits = 1 << 12
     while bits < min(MOST_BITS, n * BITS_EACH):
         bits *= 2
+    if rows <= FEW:
+        h = xxhash64(values.where("x IS NOT NULL").toArrow().column("x").to_numpy().view(np.uint64))
+        at = np.concatenate([h, h >> np.uint64(32)]) & np.uint64(bits - 1)
+        out = np.zeros(bits >> 6, np.uint64)
+        np.bitwise_or.at(out, (at >> np.uint64(6)).astype(np.int64), np.uint64(1) << (at & np.uint64(63)))
+        return Bitmap(out, n * 4 > bits)
 
     at = F.expr(f"explode(array(h & {bits - 1}, shiftrightunsigned(h, 32) & {bits - 1}))").alias("at")
     words = (
-        values.select(F.xxhash64(F.col(column).cast("long")).alias("h"))
+        values.select(F.xxhash64("x").alias("h"))
         .select(at)
         .selectExpr("at >> 6 AS word", "1L << CAST(at & 63 AS INT) AS bit")
         .groupBy("word")

@@ -305,21 +305,22 @@ def _pairs(heads: DataFrame, rule: Rule, repeated: Bitmap, parts: int, most: int
 
 
 def _joined(pairs: DataFrame, sets: DataFrame, keep: Callable[[np.ndarray, int, np.ndarray, int], bool]) -> DataFrame:
-    """The pairs (a, b) whose sets, given as (id, n, tokens), satisfy keep."""
-    # Of the sets only those that a side needs are moved, and perhaps a few more.
+    """The pairs (a, b, ...) whose sets, given as (id, n, tokens), satisfy keep."""
+    # Of the sets only those that a side needs are moved, and perhaps a few more. The smaller ids, among them those that a
+    # group shares, come first: pairs that meet at one of them are short as yet, and their sets are then dealt by the other.
     first, second = (bitmap(pairs, side) for side in ("a", "b"))
-    one = _filtered(sets, second).select(F.col("id").alias("b"), F.col("n").alias("n_b"), F.col("tokens").alias("tokens_b"))
-    other = _filtered(sets, first).select(F.col("id").alias("a"), F.col("n").alias("n_a"), F.col("tokens").alias("tokens_a"))
-    joined = pairs.select("a", "b").join(one, "b").join(other, "a").select("a", "b", "n_a", "n_b", "tokens_a", "tokens_b")
+    one = _filtered(sets, first).select(F.col("id").alias("a"), F.col("n").alias("n_a"), F.col("tokens").alias("tokens_a"))
+    other = _filtered(sets, second).select(F.col("id").alias("b"), F.col("n").alias("n_b"), F.col("tokens").alias("tokens_b"))
+    joined = pairs.join(one, "a").join(other, "b").select("n_a", "n_b", "tokens_a", "tokens_b", *pairs.columns)
 
     def of(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            numbers = zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)
-            sets = zip(batch.column(4), batch.column(5), strict=True)
+            numbers = zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)
+            sets = zip(batch.column(2), batch.column(3), strict=True)
             kept = [keep(np.frombuffer(x.as_buffer(), np.uint64), n, np.frombuffer(y.as_buffer(), np.uint64), m) for (n, m), (x, y) in zip(numbers, sets, strict=True)]
-            yield batch.select([0, 1]).filter(pa.array(kept, pa.bool_()))
+            yield batch.select(batch.schema.names[4:]).filter(pa.array(kept, pa.bool_()))
 
-    return joined.mapInArrow(of, "a long, b long")
+    return joined.mapInArrow(of, pairs.schema)
 
 
 def _shared(x: np.ndarray, y: np.ndarray) -> int:
@@ -329,7 +330,7 @@ def _shared(x: np.ndarray, y: np.ndarray) -> int:
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) that link."""
+    """The pairs (a, b, ...) that link."""
 
     def links(x: np.ndarray, _: int, y: np.ndarray, __: int) -> bool:
         n = _shared(x, y)
@@ -374,7 +375,8 @@ def _marked(sets: DataFrame, ids: Bitmap) -> DataFrame:
 
 
 def _members(pairs: DataFrame) -> DataFrame:
-    return pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct()
+    """The ids in pairs (a, b), some more than once."""
+    return pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id")))
 
 
 def near_duplicates(docs: DataFrame, percent: int = common.SIMILAR) -> DataFrame:
@@ -402,9 +404,9 @@ def _labels(docs: DataFrame, sets: DataFrame, nodes: DataFrame, folder: str, per
     """(id, component) of all nodes that link."""
     spark = docs.sparkSession
     # Documents that surely stand for their set stay where they are read; of the others those that don't are left out.
-    ids = nodes.select(F.col("node").alias("id")).distinct()
+    ids = nodes.select(F.col("node").alias("id"))
     copies = sets.join(nodes.select("sid", "node"), "sid").where("doc_id <> node").select(F.col("doc_id").alias("id"))
-    copies = common.stored(copies.distinct().join(ids, "id", "left_anti"), folder, "spare")
+    copies = common.stored(copies.join(ids, "id", "left_anti"), folder, "spare")
     every = sets.where("sid IS NOT NULL AND doc_id IS NOT NULL").select(F.col("doc_id").alias("id"), "n", "tokens")
     every = common.stored(_marked(every, bitmap(copies, "id")), folder, "every")
     doubtful = common.stored(every.where("doubtful").drop("doubtful").join(copies, "id", "left_anti"), folder, "doubtful")
@@ -462,23 +464,25 @@ def _labels(docs: DataFrame, sets: DataFrame, nodes: DataFrame, folder: str, per
     beyond = lambda n: F.ceil(F.abs(n) * percent / 100) - 1
     total_n = F.abs("n_a") + F.abs("n_b")
     overlap = F.ceil(total_n * percent / (100 + percent) - F.lit(1e-9))
-    candidates = (
-        raw.groupBy("a", "b")
-        .agg(F.first("n_a").alias("n_a"), F.first("n_b").alias("n_b"), F.sum("c").alias("c"))
-        .where((F.col("n_a") < 0) | (F.col("n_b") < 0) | (F.col("c") + F.greatest(beyond(F.col("n_a")), beyond(F.col("n_b"))) >= overlap))
-        .select("a", "b")
-    )
+    may_link = (F.col("n_a") < 0) | (F.col("n_b") < 0) | (F.col("c") + F.greatest(beyond(F.col("n_a")), beyond(F.col("n_b"))) >= overlap)
     # Documents with too few rare tokens: few next to all, as their signatures are many.
     crowded = common.stored(_crowded(changed, rule), folder, "crowded")
     combo_parts = max(1, -(-(crowded.agg(F.sum(F.col("n") * 2)).first()[0] or 0) // PART_TOKENS))
     alone = crowded.select("id", "n", "tokens", F.col("id").alias("component"))
-    candidates = candidates.unionByName(_combination_pairs(alone, rule, combo_parts, True)).distinct()
+    met = _combination_pairs(alone, rule, combo_parts, True).select("a", "b", F.lit(True).alias("met"))
+    candidates = (
+        raw.unionByName(met, allowMissingColumns=True)
+        .groupBy("a", "b")
+        .agg(F.max("n_a").alias("n_a"), F.max("n_b").alias("n_b"), F.sum("c").alias("c"), F.max("met").alias("met"))
+        .where(F.col("met") | may_link)
+        .select("a", "b")
+    )
     candidates = common.stored(candidates, folder, "candidates")
     paired = common.stored(_filtered(heads, bitmap(_members(candidates), "id")), folder, "paired")
-    candidates = common.stored(_possible(candidates, paired, percent).distinct(), folder, "possible")
+    candidates = common.stored(_possible(candidates, paired, percent), folder, "possible")
     common.release(spark)
 
-    members = common.stored(_members(candidates).union(crowded.select("id")).distinct(), folder, "verified-ids")
+    members = _members(candidates).union(crowded.select("id"))
     chosen = bitmap(members, "id")
     verifiable = _tokens(docs, chosen)
     # The filter lets few others through; once it is too small for its members, they are joined as well.
@@ -496,18 +500,21 @@ def _labels(docs: DataFrame, sets: DataFrame, nodes: DataFrame, folder: str, per
 
 
 def _merged(labels: DataFrame, links: DataFrame, folder: str, name: str) -> DataFrame:
-    """The components of those that stand and of more links."""
+    """The components of those that stand and of more links between x and y, the components that the linked ones are in."""
     if not links.limit(1).count():
         return labels
-    standing = labels.select(F.col("id").alias("a"), F.col("component").alias("b"))
-    return components(standing.unionByName(links), folder, name)
+    moved = components(links.select(F.col("x").alias("a"), F.col("y").alias("b")), folder, name)
+    moved = moved.select(F.col("id").alias("component"), F.col("component").alias("whole"))
+    # A component that stands holds its own id; one that doesn't is a document that had no link.
+    joined = labels.join(moved, "component", "full")
+    return common.stored(joined.select(F.coalesce("id", "component").alias("id"), F.coalesce("whole", "component").alias("component")), folder, f"{name}-labels")
 
 
 def _across(pairs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The pairs whose members are in different components as yet."""
+    """The pairs whose members are in different components as yet, with these as x and y."""
     of = lambda key, name: labels.select(F.col("id").alias(key), F.col("component").alias(name))
     joined = pairs.join(of("a", "x"), "a", "left").join(of("b", "y"), "b", "left")
-    return joined.where(F.coalesce("x", "a") != F.coalesce("y", "b")).select("a", "b")
+    return joined.select("a", "b", F.coalesce("x", "a").alias("x"), F.coalesce("y", "b").alias("y")).where("x <> y")
 
 
 def _touched(heads: DataFrame, rule: Rule) -> DataFrame:
@@ -553,7 +560,7 @@ def _crowded(signed: DataFrame, rule: Rule) -> DataFrame:
 
 
 def _combination_pairs(crowded: DataFrame, rule: Rule, parts: int, star: bool) -> DataFrame:
-    """Candidates (a, b) of crowded(id, n, tokens, component) that meet in a combination of frequent tokens.
+    """Candidates (a, b, x, y), x and y their components, of crowded(id, n, tokens, component) that meet in a combination of frequent tokens.
 
     All rare tokens of these documents are indexed singly, so a pair that meets here only shares frequent ones:
     at most the smaller number f of those. With n tokens it can so link with sets of at most
@@ -622,10 +629,12 @@ def _combination_pairs(crowded: DataFrame, rule: Rule, parts: int, star: bool) -
                         found = [_distinct(np.concatenate(found, axis=1))]
                         size = 0
         a, b = _distinct(np.concatenate(found, axis=1))
-        return pa.table({"a": pa.array(a), "b": pa.array(b)})
+        ids, first = np.unique(doc, return_index=True)
+        x, y = (component[first[np.searchsorted(ids, side)]] for side in (a, b))
+        return pa.table({"a": a, "b": b, "x": x, "y": y})
 
     kind = "part int, key binary, id binary, n binary, most binary, component binary"
-    return crowded.mapInArrow(dealt, kind).groupBy("part").applyInArrow(paired, "a long, b long")
+    return crowded.mapInArrow(dealt, kind).groupBy("part").applyInArrow(paired, "a long, b long, x long, y long")
 
 
 def _longs(rows: DataFrame, column: str) -> np.ndarray:

@@ -9,11 +9,13 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from ragmill.functions import vectors
-from ragmill.llm import common, jaccard
+from ragmill.llm import common, graph, jaccard
 from ragmill.operators import layout
 from ragmill.plans import registry
 from ragmill.sources.layouts import Dumps
 
+from .llm import brute
+
 FOLDER = "/root/testdata/sf0.001"
 
 
@@ -116,3 +118,75 @@ def test_rounds_of_the_rule_go_over_the_sets_it_touches(spark, monkeypatch):
     assert {r.component_id for r in found} == {0}
     scans = [x for x in names if x.startswith("short-")]
     assert len([x for x in names if x.startswith("more-")]) >= 4 > len(scans)
+
+
+def moves(spark, act) -> int:
+    """Stages of what act does that read a shuffle dealt to all of 24 partitions, as each such stage costs so many tasks however few the rows."""
+    group = f"moves-{time.time()}"
+    kept = {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.enabled")}
+    spark.conf.set("spark.sql.shuffle.partitions", 24)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    spark.sparkContext.setJobGroup(group, group)
+    try:
+        act()
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+        for k, v in kept.items():
+            spark.conf.set(k, v)
+    tracker = spark.sparkContext.statusTracker()
+    stages = {s for job in tracker.getJobIdsForGroup(group) for s in tracker.getJobInfo(job).stageIds}
+    return sum(info is not None and info.numTasks >= 24 and info.numCompletedTasks > 0 for info in map(tracker.getStageInfo, stages))
+
+
+def test_components_of_stars_chains_and_random_links(spark, tmp_path):
+    """Links that are stars with their least id in the middle are done with one move; six were made for each round, and at least two rounds."""
+    rng = random.Random(7)
+    stars = [(k // 10 * 10, k) for k in range(100) if k % 10]
+    chains = [(k, k + 1) for k in range(60) if k % 20] + [(5, 3), (3, 5), (9, 9)]
+    mixed = [(rng.randrange(400) - 200, rng.randrange(400) - 200) for _ in range(260)] + [(399, k) for k in range(200, 390)]
+    for k, links in enumerate((stars, chains, mixed)):
+        least = {x: x for a, b in links if a != b for x in (a, b)}
+        for _ in least:
+            for a, b in links:
+                if a != b:
+                    least[a] = least[b] = min(least[a], least[b])
+        frame = common.stored(spark.createDataFrame(links, "a long, b long"), str(tmp_path), f"links-{k}")
+        found = []
+        n = moves(spark, lambda: found.extend(graph.components(frame, str(tmp_path), f"c{k}").collect()))  # noqa: B023
+        assert sorted((r.id, r.component) for r in found) == sorted(least.items())
+        assert links is not stars or n <= 1
+
+
+def test_few_values_make_the_same_filter_without_a_move(spark, monkeypatch):
+    rows = spark.createDataFrame([(k * 0x9E3779B97F4A7C1 % 2**63 - 2**62,) for k in range(3000)] + [(5,), (5,), (None,)], "x long")
+    found = []
+    assert moves(spark, lambda: found.append(graph.bitmap(rows, "x"))) == 0
+    monkeypatch.setattr(graph, "FEW", 0)
+    many = graph.bitmap(rows.where("x IS NOT NULL"), "x")
+    assert (found[0].words == many.words).all() and found[0].full == many.full
+
+
+def test_merging_components_moves_the_components(spark, tmp_path):
+    """Links between components join these; the components of all documents were made anew."""
+    labels = spark.createDataFrame([(1, 1), (5, 1), (2, 2), (6, 2), (7, 2), (3, 3), (8, 3)], "id long, component long")
+    links = spark.createDataFrame([(5, 6, 1, 2), (5, 7, 1, 2), (8, 9, 3, 9), (10, 11, 10, 11)], "a long, b long, x long, y long")
+    found = jaccard._merged(labels, links, str(tmp_path), "all").collect()
+    assert sorted(map(tuple, found)) == [(1, 1), (2, 1), (3, 3), (5, 1), (6, 1), (7, 1), (8, 3), (9, 3), (10, 10), (11, 10)]
+
+
+def test_near_duplicates_move_few_times(spark):
+    """With many partitions the time went by the number of moves, whatever the rows: 21 of them where there were 61."""
+    rng = random.Random(11)
+    base = [f"w{rng.randrange(10**6)}" for _ in range(120)]
+    rows = []
+    for k in range(60):
+        text = list(base)
+        for _ in range(rng.randrange(8)):
+            text[rng.randrange(120)] = f"x{k}"
+        rows.append((k, " ".join(text)))
+    rows += [(100 + k, " ".join(f"y{k // 2}-{i}" for i in range(40))) for k in range(20)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    found = []
+    n = moves(spark, lambda: found.extend(jaccard.near_duplicates(docs).collect()))
+    assert sorted((r.doc_id, r.n_shingles, r.component_id) for r in found) == sorted(brute.components(rows))
+    assert n <= 30
