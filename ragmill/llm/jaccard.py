@@ -29,6 +29,7 @@ from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -40,11 +41,12 @@ from .graph import Bitmap, bitmap, components, one_each
 COMMON = 16
 #: Frequent tokens that are broadcast at most (8 bytes each).
 MOST_FREQUENT = 1 << 20
-#: Tokens of one group of the counting and pairing steps, about.
-PART_TOKENS = 1_000_000
-CHUNK_TOKENS = 1_500_000
-#: Pairs that a task compares or holds at once where components meet, about.
-BLOCK = 1 << 20
+#: Tokens of one group of the counting and pairing steps, and those that a task works on at once, about. A task may have several
+#: Python workers, and a worker keeps what it once took, so these and BLOCK are what bounds an executor's memory.
+PART_TOKENS = 250_000
+CHUNK_TOKENS = 250_000
+#: Pairs that a task compares, holds or gives back at once, about.
+BLOCK = 1 << 18
 _LAST = np.uint64(2**64 - 1)
 
 
@@ -185,13 +187,22 @@ class Rule:
         return np.unique(np.concatenate(out)) if out else np.empty(0, np.uint64)
 
 
+def _slices(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Slices of batches (id, n, tokens, ...) with about CHUNK_TOKENS tokens each at most; a larger set makes one of its own."""
+    for batch in batches:
+        ends = np.cumsum(pc.binary_length(batch.column(2)).to_numpy(zero_copy_only=False).astype(np.int64)) // 8
+        at = 0
+        while at < batch.num_rows:
+            upto = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + CHUNK_TOKENS, "right")))
+            yield batch.slice(at, upto - at)
+            at = upto
+
+
 def _flats(batches: Iterable[pa.RecordBatch]) -> Iterator[Flat]:
     """Sets of batches (id, n, tokens, ...) with about CHUNK_TOKENS tokens at a time."""
     held: list[tuple[np.ndarray, ...]] = []
     size = 0
-    for batch in batches:
-        if not batch.num_rows:
-            continue
+    for batch in _slices(batches):
         tokens = batch.column(2).cast(pa.large_binary())
         ends = np.frombuffer(tokens.buffers()[1], np.int64, len(tokens) + 1, tokens.offset * 8)
         flat = np.frombuffer(tokens.buffers()[2] or b"", np.uint8)[ends[0] : ends[-1]].view(np.uint64)
@@ -252,7 +263,8 @@ _PAIRS = "a long, b long, n_a long, n_b long, c long"
 def _pairs(heads: DataFrame, rule: Rule, repeated: Bitmap, parts: int, most: int) -> DataFrame:
     """Candidates (a, b, n_a, n_b, c) with c shared single tokens of one part, a < b; n below 0 marks sets without a full prefix.
 
-    A token with more than `most` documents isn't paired here; it comes as (token, token, 0, 0, 0).
+    A token with more than `most` documents isn't paired here; it comes as (token, token, 0, 0, 0). Pairs are given back by BLOCK of
+    them, so one may come several times, each with a part of its c.
     """
     shared = heads.sparkSession.sparkContext.broadcast((rule, repeated))
 
@@ -271,7 +283,17 @@ def _pairs(heads: DataFrame, rule: Rule, repeated: Bitmap, parts: int, most: int
             rows = [(int(part[a]), token[a:b].tobytes(), doc[a:b].tobytes(), size[a:b].tobytes()) for a, b in zip(cuts, ends, strict=True)]
             yield _table(rows, [("part", pa.int32()), ("tokens", pa.binary()), ("docs", pa.binary()), ("sizes", pa.binary())])
 
-    def paired(table: pa.Table) -> pa.Table:
+    def counted(found: list[np.ndarray]) -> pa.RecordBatch:
+        a, b, n_a, n_b = np.concatenate(found, axis=1)
+        order = np.lexsort((b, a))
+        a, b, n_a, n_b = a[order], b[order], n_a[order], n_b[order]
+        first = np.flatnonzero(np.r_[True, (a[1:] != a[:-1]) | (b[1:] != b[:-1])]) if len(a) else np.empty(0, np.int64)
+        c = np.diff(np.r_[first, len(a)])
+        c[n_a[first] == 0] = 0
+        return pa.record_batch({"a": a[first], "b": b[first], "n_a": n_a[first], "n_b": n_b[first], "c": c})
+
+    def paired(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = pa.Table.from_batches(batches)
         token = np.frombuffer(b"".join(table.column("tokens").to_pylist()), np.uint64)
         doc = np.frombuffer(b"".join(table.column("docs").to_pylist()), np.int64)
         size = np.frombuffer(b"".join(table.column("sizes").to_pylist()), np.int64)
@@ -281,23 +303,22 @@ def _pairs(heads: DataFrame, rule: Rule, repeated: Bitmap, parts: int, most: int
         token, doc, size = token[new], doc[new], size[new]
         starts = np.flatnonzero(np.r_[True, token[1:] != token[:-1]]) if len(token) else np.empty(0, np.int64)
         lengths = np.diff(np.r_[starts, len(token)])
-        found = []
         over = token[starts[lengths > most]].view(np.int64)
-        found.append(np.array([over, over, over * 0, over * 0]))
-        for length in np.unique(lengths[(lengths > 1) & (lengths <= most)]):  # all tokens with so many documents at once
-            at = starts[lengths == length]
+        found, held = [np.array([over, over, over * 0, over * 0])], 0
+        for length in np.unique(lengths[(lengths > 1) & (lengths <= most)]):  # all tokens with so many documents, by BLOCK of pairs
+            every = starts[lengths == length]
             i, j = np.triu_indices(int(length), 1)
-            a, b = (at[:, None] + i).ravel(), (at[:, None] + j).ravel()
-            small, large = np.minimum(abs(size[a]), abs(size[b])), np.maximum(abs(size[a]), abs(size[b]))
-            fits = 100 * small >= rule_percent * large
-            found.append(np.array([doc[a[fits]], doc[b[fits]], size[a[fits]], size[b[fits]]]))
-        a, b, n_a, n_b = np.concatenate(found, axis=1)
-        order = np.lexsort((b, a))
-        a, b, n_a, n_b = a[order], b[order], n_a[order], n_b[order]
-        first = np.flatnonzero(np.r_[True, (a[1:] != a[:-1]) | (b[1:] != b[:-1])]) if len(a) else np.empty(0, np.int64)
-        c = np.diff(np.r_[first, len(a)])
-        c[n_a[first] == 0] = 0
-        return pa.table({"a": a[first], "b": b[first], "n_a": n_a[first], "n_b": n_b[first], "c": c})
+            for k in range(0, len(every), step := max(1, BLOCK // len(i))):
+                at = every[k : k + step, None]
+                a, b = (at + i).ravel(), (at + j).ravel()
+                small, large = np.minimum(abs(size[a]), abs(size[b])), np.maximum(abs(size[a]), abs(size[b]))
+                fits = 100 * small >= rule_percent * large
+                found.append(np.array([doc[a[fits]], doc[b[fits]], size[a[fits]], size[b[fits]]]))
+                held += found[-1].shape[1]
+                if held > BLOCK:
+                    yield counted(found)
+                    found, held = [np.empty((4, 0), np.int64)], 0
+        yield counted(found)
 
     rule_percent = rule.percent
     kind = "part int, tokens binary, docs binary, sizes binary"
@@ -524,7 +545,7 @@ def _touched(heads: DataFrame, rule: Rule) -> DataFrame:
 
     def of(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rule = shared.value
-        for batch in batches:
+        for batch in _slices(batches):
             for some in _flats([batch]):
                 plain = ~rule.rare(some.tokens) & some.prefix(rule.percent)
                 changed = np.diff(np.concatenate([[0], np.cumsum(plain)])[some.bounds]) > 0
@@ -565,14 +586,15 @@ def _combination_pairs(crowded: DataFrame, rule: Rule, parts: int, star: bool) -
     All rare tokens of these documents are indexed singly, so a pair that meets here only shares frequent ones:
     at most the smaller number f of those. With n tokens it can so link with sets of at most
     f * (100 + p) / p - n tokens, which leaves out what strays too far from a group without a comparison.
-    star: of each combination the pairs with the document that strays least; else all pairs between components.
+    star: of each combination the pairs with the document that strays least; else all pairs between components. These may be as many
+    as the product of strays and group, so they are given back by BLOCK of distinct ones, and one may come several times.
     """
     shared = crowded.sparkSession.sparkContext.broadcast(rule)
     percent = rule.percent
 
     def dealt(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rule = shared.value
-        for batch in batches:
+        for batch in _slices(batches):
             rows = {"key": [], "id": [], "n": [], "most": [], "component": []}
             for i, n, t, component in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), batch.column(3).to_pylist(), strict=True):
                 tokens = np.frombuffer(t.as_buffer(), np.uint64)
@@ -592,11 +614,20 @@ def _combination_pairs(crowded: DataFrame, rule: Rule, parts: int, star: bool) -
             out = [(int(part[a]), *(v[a:b].tobytes() for v in flat.values())) for a, b in zip(cuts, ends, strict=True)]
             yield _table(out, [("part", pa.int32()), *((k, pa.binary()) for k in flat)])
 
-    def paired(table: pa.Table) -> pa.Table:
+    def paired(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = pa.Table.from_batches(batches)
         read = lambda name, kind=np.int64: np.frombuffer(b"".join(table.column(name).to_pylist()), kind)
         key, doc, n, most, component = read("key", np.uint64), read("id"), read("n"), read("most"), read("component")
         order = np.lexsort((doc, n, key))
         key, doc, n, most, component = key[order], doc[order], n[order], most[order], component[order]
+        ids, first = np.unique(doc, return_index=True)
+        of_ids = component[first]
+
+        def given(pairs: np.ndarray) -> pa.RecordBatch:
+            a, b = pairs
+            x, y = (of_ids[np.searchsorted(ids, side)] for side in (a, b))
+            return pa.record_batch({"a": a, "b": b, "x": x, "y": y})
+
         found = [np.empty((2, 0), np.int64)]
         if len(key):
             starts, lengths = _runs(key)
@@ -628,10 +659,10 @@ def _combination_pairs(crowded: DataFrame, rule: Rule, parts: int, star: bool) -
                     if size > BLOCK or len(found) > 1000:
                         found = [_distinct(np.concatenate(found, axis=1))]
                         size = 0
-        a, b = _distinct(np.concatenate(found, axis=1))
-        ids, first = np.unique(doc, return_index=True)
-        x, y = (component[first[np.searchsorted(ids, side)]] for side in (a, b))
-        return pa.table({"a": a, "b": b, "x": x, "y": y})
+                        if found[0].shape[1] > 4 * BLOCK:
+                            yield given(found[0])
+                            found = [np.empty((2, 0), np.int64)]
+        yield given(_distinct(np.concatenate(found, axis=1)))
 
     kind = "part int, key binary, id binary, n binary, most binary, component binary"
     return crowded.mapInArrow(dealt, kind).groupBy("part").applyInArrow(paired, "a long, b long, x long, y long")
