@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 
 from ..operators import layout
 from ..plans.ingest import Upload
+from .tables import work_folder
 
 BOX = "x0 double, top double, x1 double, bottom double"
 FIELDS = {
@@ -98,10 +99,15 @@ class Dumps:
     def texts(self) -> DataFrame:
         """(external_id, page_number, text): the lines of readable words from the top, each on its own.
 
-        Where each page is one object, as a look at their keys shows, its text is made from that object alone; else words meet by page.
+        The text of each object is made from it alone and stored, as a dump takes long to read. Where each page is one object,
+        as the keys of these show, that is all; else words meet by page.
         """
-        if not self._read().groupBy(*KEY).count().where("count > 1").limit(1).count():
-            return layout.page_texts(self._read("width", "height", "words", "annotations"), KEY)
+        folder = work_folder(self.spark)
+        found = layout.page_texts(self._read("width", "height", "words", "annotations"), KEY, every=True)
+        found.write.parquet(folder)
+        found = self.spark.read.schema(found.schema).parquet(folder)
+        if not found.groupBy(*KEY).count().where("count > 1").limit(1).count():
+            return found.where("text IS NOT NULL")
         lines = layout.lines_by(self.readable_words(), KEY)
         joined: Column = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("line", "text"))), lambda x: x["text"]), "\n")
         return lines.groupBy(*KEY).agg(joined.alias("text"))
